@@ -153,7 +153,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
     def cut(text, hits):
         return text.combine(hits, lambda t, h: without_spans(t, [(x["start"], x["end"]) for x in h]))
 
-    return found.select("input.*", "hits").withColumn(text_col, cut(F.col(text_col), F.col("hits"))).drop("hits")
+    own = {c: F.col("input")[c] for c in docs.columns}
+    return found.select(*[(cut(own[c], F.col("hits")) if c == text_col else own[c]).alias(c) for c in docs.columns])
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
