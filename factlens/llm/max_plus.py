@@ -22,6 +22,8 @@ UNIGRAM, BPE = 1, 2
 NONE = float("-inf")
 State = tuple[int, int]  # offsets of a piece's start and end from the boundary
 START: State = (0, 0)
+#: Units of up to so many characters are remembered.
+SHORT = 64
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -61,6 +63,9 @@ class Lattice:
         self.unknown_score = min(self.score.values(), default=0.0) - 10
         self.cuts = not any(a != SPACE and b == SPACE for p in self.score for a, b in zip(p, p[1:], strict=False))
         self.bpe = model.kind == BPE
+        # What each id adds to a text; bytes beyond ASCII need their neighbours.
+        self.high = {i for b, i in self.bytes.items() if b > 127}
+        self.shown = ["" if t == CONTROL else " ⁇ " if t == UNKNOWN else chr(int(p[3:5], 16)) if t == BYTE else p.replace(SPACE, " ") for p, _, t in model.pieces]
         self._follows: dict[tuple[str, str], bool] = {}
         self._units: dict[str, tuple[float, tuple[int, ...]]] = {}
 
@@ -78,37 +83,36 @@ class Lattice:
         return (self.unknown,)
 
     def decode(self, ids: list[int]) -> str:
-        out: list[str] = []
-        raw = bytearray()
-        for i in ids:
-            piece, _, kind = self.model.pieces[i]
-            if kind == BYTE:
-                raw.append(int(piece[3:5], 16))
-                continue
-            if raw:
-                out.append(raw.decode(errors="replace"))
-                raw.clear()
-            if kind != CONTROL:
-                out.append(" ⁇ " if kind == UNKNOWN else piece.replace(SPACE, " "))
-        if raw:
-            out.append(raw.decode(errors="replace"))
-        text = "".join(out)
+        if self.high.isdisjoint(ids):
+            text = "".join(map(self.shown.__getitem__, ids))
+        else:
+            out: list[str] = []
+            raw = bytearray()
+            for i in ids:
+                if i in self.high:
+                    raw.append(int(self.model.pieces[i][0][3:5], 16))
+                    continue
+                if raw:
+                    out.append(raw.decode(errors="replace"))
+                    raw.clear()
+                out.append(self.shown[i])
+            text = "".join(out) + raw.decode(errors="replace")
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
     # -- steps -----------------------------------------------------------------------------------------------------
 
     def merged(self, text: str) -> list[str]:
         """The pieces that BPE merges leave of a short text: best score first, then leftmost."""
-        parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts, get = list(text), self.score.get
+        value = [get(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        while value and (best := max(value)) > NONE:
+            i = value.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del value[i]
+            if i < len(value):
+                value[i] = get(parts[i] + parts[i + 1], NONE)
+            if i:
+                value[i - 1] = get(parts[i - 1] + parts[i], NONE)
         return parts
 
     def _weight(self, before: str | None, piece: str) -> float:
@@ -175,12 +179,16 @@ class Lattice:
         """Weight and ids of the best path over a whole unit, which starts and ends where words or texts do."""
         known = self._units.get(s)
         if known is None:
-            found = self._paths(s, 0, None, len(s))
-            start = max(found[len(s)], key=lambda k: found[len(s)][k][0])
-            known = found[len(s)][start][0], tuple(self._trace(s, found, 0, len(s), start))
+            if self.bpe and self.cuts and len(s) <= SHORT:
+                # The one path that weighs 0 is what the merges leave: quicker found by them than searched for.
+                known = 0.0, tuple(i for piece in self.merged(s) for i in self._ids_of(piece))
+            else:
+                found = self._paths(s, 0, None, len(s))
+                start = max(found[len(s)], key=lambda k: found[len(s)][k][0])
+                known = found[len(s)][start][0], tuple(self._trace(s, found, 0, len(s), start))
             if len(self._units) >= self.kept:
                 self._units.clear()
-            if len(s) <= 64:
+            if len(s) <= SHORT:
                 self._units[s] = known
         return known
 
