@@ -52,7 +52,7 @@ class Model(NamedTuple):
 class Lattice:
     """Encodes and decodes with one model. `kept` bounds how many word-like units' results are remembered."""
 
-    def __init__(self, model: Model, kept: int = 200_000):
+    def __init__(self, model: Model, kept: int = 300_000):
         self.model, self.kept = model, kept
         self.score = {p: s for p, s, t in model.pieces if t in (NORMAL, USER)}
         self.ids = {p: i for i, (p, _, t) in enumerate(model.pieces) if t in (NORMAL, USER)}
