@@ -27,7 +27,7 @@ _ISO, _SLASH, _BARE = r"\b\d{4}-\d{1,2}-\d{1,2}\b", r"\b\d{1,2}/\d{1,2}/\d{4}\b"
 def date_literal(token) -> Column:
     """A year-month-day or month/day/year token as a date; null if it is none."""
     token = token if isinstance(token, Column) else F.col(token)
-    return F.when(token.rlike(r"^\d{4}-"), F.try_to_date(token, F.lit("yyyy-M-d"))).otherwise(F.try_to_date(token, F.lit("M/d/yyyy")))
+    return F.when(token.rlike(r"^\d{4}-"), F.try_to_date(token, "yyyy-M-d")).otherwise(F.try_to_date(token, "M/d/yyyy"))
 
 
 def _dated(tokens: Column, day, kind: int) -> Column:
@@ -153,7 +153,7 @@ def reply_json(reply) -> Column:
 def reply_date(value) -> Column:
     """A date in a reply: null for empty, null, none and n/a; a time of day is dropped; impossible ones are null."""
     value = F.trim(value if isinstance(value, Column) else F.col(value))
-    return F.when(F.lower(value).isin("", "null", "none", "n/a"), None).otherwise(F.try_to_date(F.regexp_extract(value, r"^(\d{4}-\d{1,2}-\d{1,2})(?:[ T]\d{1,2}:\d{2}(?::\d{2})?)?$", 1), F.lit("yyyy-M-d")))
+    return F.when(F.lower(value).isin("", "null", "none", "n/a"), None).otherwise(F.try_to_date(F.regexp_extract(value, r"^(\d{4}-\d{1,2}-\d{1,2})(?:[ T]\d{1,2}:\d{2}(?::\d{2})?)?$", 1), "yyyy-M-d"))
 
 
 def reply_relations(replies: DataFrame, ids: list[str], reply: str = "reply") -> DataFrame:

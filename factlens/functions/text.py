@@ -93,7 +93,7 @@ def clamp_int(value, fallback: int, least: int, most: int) -> Column:
 
 def iso_date(text) -> Column:
     """A strict YYYY-MM-DD, else null."""
-    return F.when(_col(text).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(_col(text), F.lit("yyyy-MM-dd")))
+    return F.when(_col(text).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(_col(text), "yyyy-MM-dd"))
 
 
 def short_hash(text, length: int = 8) -> Column:
