@@ -8,9 +8,16 @@ from pyspark.sql import types as T
 
 from factlens.operators.graph import graphml_lines
 
-CHUNKS = T.StructType.fromDDL("chunk_id string, doc_id string, doc_name string, text string, page int, start date, end date, start_label string, end_label string, entities array<string>, vector array<float>")
-EDGES = T.StructType.fromDDL("subject string, predicate string, object string, valid_from date, valid_until date, start_label string, end_label string, doc_id string, chunk_id string, evidence string, confidence double, edge_seq long")
-NODES = T.StructType.fromDDL("name string, type string, aliases array<string>, doc_ids array<string>, mention_count long")
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "date": T.DateType(), "strings": T.ArrayType(T.StringType()), "floats": T.ArrayType(T.FloatType())}
+
+
+def _schema(text: str) -> T.StructType:
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (x.split() for x in text.split(", "))])
+
+
+CHUNKS = _schema("chunk_id string, doc_id string, doc_name string, text string, page int, start date, end date, start_label string, end_label string, entities strings, vector floats")
+EDGES = _schema("subject string, predicate string, object string, valid_from date, valid_until date, start_label string, end_label string, doc_id string, chunk_id string, evidence string, confidence double, edge_seq long")
+NODES = _schema("name string, type string, aliases strings, doc_ids strings, mention_count long")
 
 
 class Store:
