@@ -179,9 +179,9 @@ iw AS (
   SELECT DISTINCT item_id, least(13, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), lambda i: array_to_string(w[i:i + least(13, len(w)) - 1], ' '))) AS win
   FROM b WHERE len(w) > 0
 ), ns AS (SELECT DISTINCT n FROM iw),
-at AS (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, ns WHERE len(w) >= n),
+placed AS (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, ns WHERE len(w) >= n),
 hit AS (
-  SELECT rid, p, a.n, item_id FROM (SELECT rid, p, n, array_to_string(w[p:p + n - 1], ' ') AS win FROM at) a JOIN iw ON iw.win = a.win AND iw.n = a.n
+  SELECT rid, p, a.n, item_id FROM (SELECT rid, p, n, array_to_string(w[p:p + n - 1], ' ') AS win FROM placed) a JOIN iw ON iw.win = a.win AND iw.n = a.n
 ), words AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM hit) GROUP BY rid),
 its AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hit GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
