@@ -94,35 +94,49 @@ def neighbors(edges: DataFrame, name: str, hops: int = 1, at=None, window: tuple
     hops = min(3, max(1, hops))
     slice_ = edges_valid(edges, at, window)
     # The first frontier is one constant row, of a name as it is stored.
-    reached = edges.sparkSession.range(1).select(normal_name(F.lit(name)).alias("name"))
-    frontier, seen, out = reached, reached, None
+    frontier = edges.sparkSession.range(1).select(normal_name(F.lit(name)).alias("name"))
+    seen, out = frontier, None
     for hop in range(1, hops + 1):
-        touched = slice_.join(frontier.withColumnRenamed("name", "_s"), F.col("subject") == F.col("_s"), "left_semi").unionByName(slice_.join(frontier.withColumnRenamed("name", "_o"), F.col("object") == F.col("_o"), "left_semi"))
-        touched = touched.dropDuplicates(["edge_seq"]).withColumn("hop", F.lit(hop))
+        touched = _touching(slice_, frontier, "subject", "object").withColumn("hop", F.lit(hop)).persist()
         out = touched if out is None else out.unionByName(touched)
-        ends = touched.select(F.explode(F.array("subject", "object")).alias("name")).distinct()
-        frontier = ends.join(seen, "name", "left_anti")
-        seen = seen.unionByName(frontier)
+        if hop < hops:
+            frontier = touched.select(F.explode(F.array("subject", "object")).alias("name")).distinct().join(seen, "name", "left_anti").persist()
+            seen = seen.unionByName(frontier)
     if bag:
         return out
     return out.groupBy(*edges.columns).agg(F.min("hop").alias("hop"))
 
 
+#: Up to so many names a frontier is broadcast to the edges.
+MAX_BROADCAST_NAMES = 200_000
+
+
+def _touching(edges: DataFrame, frontier: DataFrame, start: str, end: str) -> DataFrame:
+    """Edges with either end in the frontier (column name, no name twice), in one pass over the edges."""
+    small = frontier.count() <= MAX_BROADCAST_NAMES
+    out = edges
+    for i, c in enumerate((start, end)):
+        names = frontier.select(F.col("name").alias(f"_n{i}"))
+        out = out.join(F.broadcast(names) if small else names, F.col(c) == F.col(f"_n{i}"), "left")
+    return out.where("_n0 IS NOT NULL OR _n1 IS NOT NULL").drop("_n0", "_n1")
+
+
 def time_sliced_bfs(edges: DataFrame, seeds: DataFrame, hops: int = 2, window: tuple | None = None, most: int | None = 40) -> DataFrame:
     """Facts reached from seed names (column name) in a time slice, by canonical names, each (subject, predicate, object)
     once (the first by hop, then edge_seq), the first `most` of them."""
     slice_ = edges_valid(edges, window=window).withColumn("_s", canonical_key("subject")).withColumn("_o", canonical_key("object"))
-    slice_ = slice_.groupBy("subject", "predicate", "object").agg(F.min_by(F.struct(*slice_.columns), "edge_seq").alias("e")).select("e.*")
-    frontier = seeds.select(canonical_key("name").alias("n")).distinct()
+    frontier = seeds.select(canonical_key("name").alias("name")).distinct()
     seen, out = frontier, None
     for hop in range(1, hops + 1):
-        rest = slice_ if out is None else slice_.join(out.select("edge_seq"), "edge_seq", "left_anti")
-        hit = rest.join(frontier.withColumnRenamed("n", "_s"), "_s", "left_semi").unionByName(rest.join(frontier.withColumnRenamed("n", "_o"), "_o", "left_semi").select(rest.columns), allowMissingColumns=True)
-        hit = hit.dropDuplicates(["edge_seq"]).withColumn("hop", F.lit(hop))
+        # Equal facts have equal ends, so the first of them can be picked among the touched ones.
+        hit = _touching(slice_, frontier, "_s", "_o").groupBy("subject", "predicate", "object").agg(F.min_by(F.struct(*slice_.columns), "edge_seq").alias("e")).select("e.*")
+        if out is not None:
+            hit = hit.join(out.select("edge_seq"), "edge_seq", "left_anti")
+        hit = hit.withColumn("hop", F.lit(hop)).persist()
         out = hit if out is None else out.unionByName(hit)
-        ends = hit.select(F.explode(F.array("_s", "_o")).alias("n")).distinct()
-        frontier = ends.join(seen, "n", "left_anti")
-        seen = seen.unionByName(frontier)
+        if hop < hops:
+            frontier = hit.select(F.explode(F.array("_s", "_o")).alias("name")).distinct().join(seen, "name", "left_anti").persist()
+            seen = seen.unionByName(frontier)
     out = out.drop("_s", "_o")
     return out if most is None else out.orderBy("hop", "edge_seq").limit(most)
 
