@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factlens.functions.window import parse_window
 from factlens.operators import answers, graph, intervals, retrieval
@@ -44,6 +45,11 @@ class Engine:
     def stats(self) -> DataFrame:
         return graph.stats(self.store.edges(), self.store.nodes())
 
+    def health(self) -> DataFrame:
+        """One row: how many chunks, documents, nodes and edges the store holds, and the vectors' width."""
+        chunks = self.store.chunks().agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("documents"), F.max(F.size("vector")).alias("dimensions"))
+        return chunks.crossJoin(self.store.nodes().agg(F.count("*").alias("nodes"))).crossJoin(self.store.edges().agg(F.count("*").alias("edges")))
+
     def delete_document(self, doc_id: str) -> None:
         """A document's chunks, edges and the nodes that only it held."""
         _, nodes = graph.remove_document(self.store.edges(), self.store.nodes(), doc_id)

@@ -163,3 +163,20 @@ def month_window(text: Column) -> Column:
     month = F.element_at(F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv]), F.regexp_extract(F.lower(text), rx, 1))
     year = F.nullif(F.regexp_extract(F.lower(text), rx, 2), F.lit("")).cast("int")
     return F.when(year.isNotNull(), F.struct(F.make_date(year, month, F.lit(1)).alias("start"), F.last_day(F.make_date(year, month, F.lit(1))).alias("end")))
+
+
+def explorer_window(label: str) -> tuple[str, str] | None:
+    """The graph explorer's short forms as ISO texts: a quarter (which ends on a 31st there), a year, a month, a day or
+    two days; None for anything else."""
+    s = label.strip()
+    if m := re.fullmatch(r"q([1-4])\s*(\d{4})", s, re.I):
+        q = int(m[1])
+        return f"{m[2]}-{3 * q - 2:02}-01", f"{m[2]}-{3 * q:02}-31"
+    if m := re.fullmatch(r"\d{4}", s):
+        return f"{s}-01-01", f"{s}-12-31"
+    if m := re.fullmatch(r"(\d{4})-(0[1-9]|1[0-2])", s):
+        return f"{s}-01", f"{s}-{calendar.monthrange(int(m[1]), int(m[2]))[1]}"
+    days = r"(\d{4}-\d{2}-\d{2})"
+    if m := re.fullmatch(rf"{days}(?:\s*(?:\.\.|to|→|-)\s*{days})?", s, re.I):
+        return m[1], m[2] or m[1]
+    return None

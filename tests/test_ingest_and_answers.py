@@ -31,7 +31,7 @@ def test_facts_and_windows(engine):
     assert predicates(engine.snapshot(window="Q3 2024")[0]) == {"permits", "governs", "imposes"}
     diff = {(r.bucket, r.predicate) for r in engine.graph_diff("Q1 2022", "Q4 2024").collect()}
     assert diff == {("added", "permits"), ("added", "imposes"), ("added", "amends"), ("removed", "requires"), ("unchanged", "governs")}
-    assert engine.stats().first().edge_count == 5
+    assert engine.stats().first().edge_count == 5 and engine.health().first().asDict()["edges"] == 5
     assert [r.predicate for r in engine.evolution("Data Transfer Policy").collect()] == ["requires", "permits"]
     assert predicates(engine.neighbors("Tax Reform Act", 2)) == {"imposes", "amends"}
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factlens.functions import interval as iv
-from factlens.functions.window import parse_window
+from factlens.functions.window import explorer_window, parse_window
 from factlens.operators import intervals
 
 D = date.fromisoformat
@@ -55,3 +55,7 @@ def test_snapshot_difference(spark):
     b = spark.createDataFrame([("Policy X", "requires", "A", D("2026-01-01"), None, "updated", 1), ("Policy X", "prohibits", "C", D("2026-01-01"), None, "new", 2), ("Policy X", "permits", "B", D("2023-01-01"), None, "same", 3)], schema)
     got = {(r.bucket, r.predicate) for r in intervals.snapshot_diff(a, b, ("2023-01-01", "2025-12-31"), ("2026-01-01", "2026-12-31")).collect()}
     assert got == {("added", "prohibits"), ("changed", "requires"), ("unchanged", "permits")}
+
+
+def test_explorer_windows():
+    assert [explorer_window(x) for x in ("Q2 2024", "2024", "2024-02", "2024-01-01..2024-06-30", "2024-07-15", "soon")] == [("2024-04-01", "2024-06-31"), ("2024-01-01", "2024-12-31"), ("2024-02-01", "2024-02-29"), ("2024-01-01", "2024-06-30"), ("2024-07-15", "2024-07-15"), None]
