@@ -31,7 +31,8 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
         F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("chunk_id"),
         F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("evidence"),
         F.lit(0.5).alias("confidence"),
-        (F.col("l_orderkey") * 1_000_000_000 + F.col("l_linenumber") * 100_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("edge_seq"),
+        # A line's keys repeat in small tables, so its other columns take part in its ordinal too.
+        F.conv(F.substring(F.md5(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", F.col("sd").cast("string"))), 1, 15), 16, 10).cast("long").alias("edge_seq"),
     )
 
 
@@ -41,7 +42,7 @@ FACTS = """facts AS (
     CASE WHEN l_linestatus <> 'O' THEN greatest(CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) END AS valid_until,
     'order#' || l_orderkey AS doc_id, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS chunk_id,
     'line ' || l_linenumber AS evidence,
-    CAST(l_orderkey AS BIGINT) * 1000000000 + l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS edge_seq
+    CAST('0x' || substr(md5(concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, CAST(l_shipdate AS DATE))), 1, 15) AS BIGINT) AS edge_seq
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 )"""
 Q3, Q4 = ("1997-07-01", "1997-09-30"), ("1997-10-01", "1997-12-31")
