@@ -18,26 +18,24 @@ import numpy as np
 LENGTH, DECAY, POWER = 3, 0.8, 3
 #: Words of over WIDTH characters are read as overlapping windows of that width.
 WIDTH = 20
-LANDMARKS = 48
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+LANDMARKS = 44
+#: Of a landmark's characters a word has to hold so many hundredths, or their likeness counts as none.
+SHARED = 55
+_WORD = re.compile(r"[^\W_](?:\S*[^\W_])?")
 
 
 def words_of(text: str) -> list[str]:
-    """The words of a text in lower case without marks at their ends; runs of single characters also as one word."""
-    out: list[str] = []
-    run: list[str] = []
-    for raw in text.lower().split():
-        word = raw if raw.isalpha() else _EDGE.sub("", raw)
-        if len(word) == 1:
-            run.append(word)
-            continue
-        if len(run) > 2:
-            out.append("".join(run))
-        run.clear()
-        if word:
-            out.append(word)
-    if len(run) > 2:
-        out.append("".join(run))
+    """The words of a text in lower case without marks at their ends, those of LENGTH characters or more; runs of three or
+    more single characters count as one word."""
+    found = _WORD.findall(text.lower())
+    out = [w for w in found if len(w) >= LENGTH]
+    single = [i for i, w in enumerate(found) if len(w) == 1]
+    start = 0
+    for k in range(1, len(single) + 1):
+        if k == len(single) or single[k] != single[k - 1] + 1:
+            if k - start > 2:
+                out.append("".join(found[i] for i in single[start:k]))
+            start = k
     if any(len(w) > WIDTH for w in out):
         out = [p for w in out for p in ([w] if len(w) <= WIDTH else [w[i : i + WIDTH] for i in range(0, len(w) - WIDTH // 2, WIDTH // 2)])]
     return out
@@ -54,6 +52,15 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
+def _letters(codes: np.ndarray) -> np.ndarray:
+    """How often each of 32 classes of characters stands in each word."""
+    out = np.zeros((len(codes), 32), np.uint8)
+    rows = np.arange(len(codes))
+    for j in range(codes.shape[1]):
+        out[rows, codes[:, j] % 32] += codes[:, j] > 0
+    return out
+
+
 def kernel(a: np.ndarray, b: np.ndarray, pairs: bool = False) -> np.ndarray:
     """Kernel values of the words a (rows of code points) with the words b: a matrix, or with `pairs` row by row."""
     shape = (len(a),) if pairs else (len(a), len(b))
@@ -92,19 +99,25 @@ class Scorer(NamedTuple):
 
     def likeness(self, words: list[str]) -> np.ndarray:
         """Normalised kernel values of words with the landmarks."""
+        out = np.zeros((len(words), len(self.landmarks)), np.float32)
         if not words:
-            return np.zeros((0, len(self.landmarks)), np.float32)
-        marks, _ = _codes(self.landmarks)
+            return out
+        marks, sizes = _codes(self.landmarks)
         own = kernel(marks, marks, pairs=True)
-        out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        for low, high in ((LENGTH, 6), (7, 10), (11, 14), (15, WIDTH)):  # like lengths together, as the work grows with the longest
-            rows = np.flatnonzero((sizes >= low) & (sizes <= high))
-            for at in range(0, len(rows), 2000):
-                some = rows[at : at + 2000]
+        letters = _letters(marks)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for low, high in ((LENGTH, 6), (7, 9), (10, 13), (14, WIDTH)):  # like lengths together, as the work grows with the longest
+            rows = np.flatnonzero((lengths >= low) & (lengths <= high))
+            for at in range(0, len(rows), 4000):
+                some = rows[at : at + 4000]
                 codes, _ = _codes([words[i] for i in some])
-                value = kernel(codes, marks) / np.sqrt(np.maximum(kernel(codes, codes, pairs=True)[:, None] * own, 1e-12))
-                out[some] = value
+                mine = _letters(codes)
+                shared = np.concatenate([np.minimum(mine[i : i + 400, None, :], letters[None]).sum(axis=2, dtype=np.uint8) for i in range(0, len(some), 400)])
+                row, mark = np.nonzero(shared.astype(np.int32) * 100 >= SHARED * sizes[None, :])
+                if len(row):
+                    self_ = kernel(codes, codes, pairs=True)
+                    value = np.concatenate([kernel(codes[row[i : i + 20000]], marks[mark[i : i + 20000]], pairs=True) for i in range(0, len(row), 20000)])
+                    out[some[row], mark] = value / np.sqrt(np.maximum(self_[row] * own[mark], 1e-12))
         return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -152,7 +165,7 @@ class Reader:
 
 
 def choose_landmarks(texts: list[str], labels: np.ndarray, most: int = LANDMARKS) -> list[str]:
-    """The words and word openings that labelled texts hold most in excess of the others, then words of the others."""
+    """The words and word openings that texts with the label hold most in excess of the others."""
     seen = (Counter(), Counter())
     for text, label in zip(texts, labels, strict=True):
         words = set(words_of(text))
@@ -170,13 +183,8 @@ def choose_landmarks(texts: list[str], labels: np.ndarray, most: int = LANDMARKS
         # An opening adds nothing to a longer word that the same texts hold.
         if not any((w.startswith(x) or x.startswith(w)) and abs(seen[1][x] - seen[1][w]) <= 0.1 * seen[1][x] for x in out):
             out.append(w)
-        if len(out) >= most * 3 // 4:
-            break
-    for w, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0])):
         if len(out) >= most:
             break
-        if w not in out:
-            out.append(w)
     return sorted(out) or ["none"]
 
 

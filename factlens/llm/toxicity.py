@@ -45,13 +45,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     return [t for t, _ in out], [y for _, y in out]
 
 
+_READERS: dict[int, Reader] = {}
+
+
+def _reader(scorer: Scorer) -> Reader:
+    """One reader per Python worker and scorer: tasks share the words it remembers."""
+    if id(scorer) not in _READERS:
+        _READERS.clear()
+        _READERS[id(scorer)] = Reader(scorer)
+    return _READERS[id(scorer)]
+
+
 def score_texts(docs: DataFrame, scorer: Scorer, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, score (0 to 1)."""
     kind = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(sent.value)
+        reader = _reader(sent.value)
         for batch in slices(batches, "text", 4 << 20):
             found = sent.value.score(reader.features(texts(batch)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.asarray(found, np.float64))], names=[id_col, "score"])

@@ -27,7 +27,7 @@ def test_kernel_by_brute_force():
 
 
 def test_words():
-    assert words_of("An *id-iot*, i d i o t!") == ["an", "id-iot", "idiot"]
+    assert words_of("An *id-iot*, i d i o t!") == ["id-iot", "idiot"]
     assert max(map(len, words_of("x" * 95))) <= 20 and words_of(" .. ") == []
 
 
