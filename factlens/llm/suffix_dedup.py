@@ -8,7 +8,7 @@ beyond it, so suffixes are dealt into buckets and sorted there by the hash of th
 1. Cover: the sampled suffixes' openings are hashed. One bucket is sorted at a time; equal openings share a rank, and a
    rank held twice or more is a tie.
 2. Ties: only places within V before a tied sample can start a repeated string. Those places' LENGTH-byte strings are
-   hashed (64 + 32 bits) and again sorted bucket by bucket; ranks held twice or more are the repeated strings.
+   hashed (64 + 15 bits) and again sorted bucket by bucket; ranks held twice or more are the repeated strings.
 
 Before anything is sent to a bucket, a task keeps one place per rank and marks the others as repeated there and then, so
 a passage in a third of all texts sends one place per task. Buckets have about BUCKET places, however much data there
@@ -21,6 +21,7 @@ everything; repeated rows are equal texts; extra columns are not read. Texts are
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +32,11 @@ from pyspark.sql import functions as F
 from factlens.llm.common import saved, table
 
 LENGTH = 400
-ORDER = 13  # a prime: the cover has ORDER + 1 residues modulo V
+ORDER = 11  # a prime: the cover has ORDER + 1 residues modulo V
 BUCKET = 400_000
 #: Places a task gathers before it sends them on, and bytes that are hashed at once.
 GATHERED, SEGMENT = 1_500_000, 1 << 20
-MAX_BROADCAST = 2_000_000
+MAX_BROADCAST = 500_000
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -93,6 +94,15 @@ def _ties(h: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return order, starts, np.diff(np.append(starts, len(h)))
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Sorted or nearly sorted numbers in few bytes: their differences, compressed."""
+    return zlib.compress(np.diff(x, prepend=x.dtype.type(0)).tobytes(), 1)
+
+
+def _unpacked(parts: list[bytes], kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *[np.cumsum(np.frombuffer(zlib.decompress(x), kind), dtype=kind) for x in parts]])
+
+
 _SENT = "bucket int, h binary, h2 binary, id binary, off binary, known binary, more_id binary, more_off binary"
 _SENT_NAMES = [x.split()[0] for x in _SENT.split(", ")]
 
@@ -127,20 +137,21 @@ class _Gathered:
             y = more[slice(*np.searchsorted(other, [b, b + 1]))]
             # The hash's lower half has chosen the bucket; the cover needs no more than the upper half besides.
             own = h[x] if h2.any() else (h[x] >> np.uint64(32)).astype(np.uint32)
-            second = h2[x] if h2.any() else np.zeros(0, np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in (own, second, id_[x], off[x], k, id_[y], off[y])]], names=_SENT_NAMES)
+            second = h2[x].astype(np.uint16) if h2.any() else np.zeros(0, np.uint16)
+            blobs = [own.tobytes(), second.tobytes(), *map(_packed, (id_[x], off[x], k.view(np.uint8), id_[y], off[y]))]
+            yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), *[pa.array([v], pa.binary()) for v in blobs]], names=_SENT_NAMES)
 
 
 def _sorted_bucket(rows: pa.Table) -> pa.Table:
     """The places of one bucket that are repeated, by text: id, off."""
 
     def column(name: str, kind) -> np.ndarray:
-        return np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
+        return _unpacked(rows.column(name).to_pylist(), kind)
 
-    id_, off, known = column("id", np.int64), column("off", np.uint32), column("known", np.bool_)
+    id_, off, known = column("id", np.int64), column("off", np.uint32), column("known", np.uint8).view(np.bool_)
     raw, raw2 = (b"".join(rows.column(c).to_pylist()) for c in ("h", "h2"))
     h = np.frombuffer(raw, np.uint64 if raw2 else np.uint32)
-    h2 = np.frombuffer(raw2, np.uint32) if raw2 else np.zeros(len(h), np.uint32)
+    h2 = np.frombuffer(raw2, np.uint16) if raw2 else np.zeros(len(h), np.uint16)
     order, _, counts = _ties(h, h2)
     tied = known.copy()
     tied[order] |= np.repeat(counts > 1, counts)
@@ -150,7 +161,7 @@ def _sorted_bucket(rows: pa.Table) -> pa.Table:
     id_, off = id_[by], off[by]
     starts = np.flatnonzero(np.concatenate(([True], id_[1:] != id_[:-1]))) if len(id_) else np.zeros(0, np.int64)
     ends = np.append(starts[1:], len(id_))
-    return pa.table({"id": pa.array(id_[starts], pa.int64()), "off": pa.array([off[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())})
+    return pa.table({"id": pa.array(id_[starts], pa.int64()), "off": pa.array([_packed(off[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary())})
 
 
 def _repeated(sent: DataFrame) -> DataFrame:
@@ -160,7 +171,7 @@ def _repeated(sent: DataFrame) -> DataFrame:
 
 
 def _offsets(offs: list[bytes]) -> np.ndarray:
-    return np.sort(np.frombuffer(b"".join(offs), np.uint32).astype(np.int64))
+    return np.sort(_unpacked(offs, np.uint32).astype(np.int64))
 
 
 def _picked(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -185,7 +196,7 @@ def repeated_starts(texts: DataFrame, total: int, length: int = LENGTH, order: i
                 if len(data) < length:
                     continue
                 places = np.flatnonzero(np.resize(residues, len(data) - width + 1))
-                gathered.add(windows.hashes(data, places), np.zeros(len(places), np.uint32), id_, places)
+                gathered.add(windows.hashes(data, places), np.zeros(len(places), np.uint16), id_, places)
                 if gathered.n >= GATHERED:
                     yield from gathered.sent()
         yield from gathered.sent()
@@ -202,7 +213,7 @@ def repeated_starts(texts: DataFrame, total: int, length: int = LENGTH, order: i
                 places = np.flatnonzero(np.cumsum(steps)[: len(data) - length + 1] > 0)
                 for at in range(0, len(places), GATHERED):
                     some = places[at : at + GATHERED]
-                    gathered.add(one.hashes(data, some), (two.hashes(data, some) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), id_, some)
+                    gathered.add(one.hashes(data, some), (two.hashes(data, some) >> np.uint64(48)).astype(np.uint16) | np.uint16(1), id_, some)
                     if gathered.n >= GATHERED:
                         yield from gathered.sent()
         yield from gathered.sent()
