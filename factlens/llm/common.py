@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +34,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark delete shuffle and checkpoint files that nothing refers to: it does so when the driver's garbage is
+    collected, which loops with many small jobs would hardly bring about."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """A batch's texts; null counts as empty."""
     return [x if x is not None else "" for x in batch.column(column).to_pylist()]
