@@ -11,7 +11,11 @@ comes first, which edits elsewhere don't change. Texts of fewer than five words
    times), so a bucket of n nodes gives about n comparisons, never all pairs.
 3. A pair is a link if aligning its words within the band of diagonals that the threshold allows takes at most
    (1 - SIMILARITY) * (length of the longer text) insertions, deletions and replacements.
-4. Classes are the links' connected components; a class is named by its smallest id.
+4. That finds most links at about n comparisons a group, but not all. So what is left is done exactly: words that pair up
+   in an alignment of at most k edits leave all but 2 k of the longer text's two-word grams shared. Each text puts forward
+   its rarest grams, so many that two similar texts must share one of them in each ten words at least (`Forward`); every
+   pair of different classes that does is compared. How rare a gram is taken to be changes the work, never the result.
+5. Classes are the links' connected components; a class is named by its smallest id.
 
 Edge cases: a null text is in no class but its own (class_id is the row's id); texts without words are equal only to
 equal texts; rows with the same text, repeated rows among them, share a class; a class whose ids are all null has a null
@@ -35,6 +39,8 @@ from factlens.llm.common import released, saved, slices, table
 SHINGLE, BANDS, SIMILARITY, ROUNDS = 5, 48, 0.8, 3
 #: Up to so many nodes that need their texts compared are broadcast to pick those texts; beyond, they are joined.
 MAX_BROADCAST_NODES = 300_000
+#: Grams of the exact pass, and the counters that tell rare ones from common ones (in blocks of BLOCK).
+GRAM, BINS, BLOCK = 2, 1 << 22, 1 << 14
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -142,6 +148,31 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return within(x, y, int((1 - least) * longer + 1e-9)) is not None
 
 
+class Forward:
+    """How many of its rarest grams a text of n words puts forward.
+
+    Let longer and shorter texts have b and a words and at most k(b) edits. They share b - GRAM + 1 - GRAM * k(b) grams at
+    least, so of a text's grams at most `missing` aren't shared. If both put forward missing + need grams in one order, the
+    text whose last one comes first has need shared ones among them, and the other text puts these forward too.
+    """
+
+    def __init__(self, least: float = SIMILARITY):
+        if least < 0.7:
+            raise ValueError("texts less similar than 0.7 need not share grams")
+        self.least = least
+        self.known: dict[int, int] = {}
+
+    def need(self, n: int) -> int:
+        return 1 + n // 10
+
+    def grams(self, n: int) -> int:
+        if n not in self.known:
+            longer = np.arange(n, int(n / self.least + 1e-9) + 1)
+            missing = GRAM * np.floor((1 - self.least) * longer + 1e-9) - (longer - n)
+            self.known[n] = int(missing.max()) + self.need(n)
+        return self.known[n]
+
+
 def node(text: Column) -> Column:
     """The node of a text: null for null."""
     return F.unhex(F.md5(text))
@@ -189,6 +220,108 @@ def components(links: DataFrame) -> DataFrame:
         released(links.sparkSession)
 
 
+def _rarity(texts: DataFrame) -> np.ndarray:
+    """Per counter how often its grams occur, on a scale of 8 steps for each doubling."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher, held, size = Sketcher(GRAM, 1), [], 0
+        counts = np.zeros(BINS, np.int64)
+        for batch in slices(batches, "text"):
+            for text in batch.column("text").to_pylist():
+                if words := words_of(text):
+                    held.append((sketcher.labelled(words) % np.uint64(BINS)).astype(np.int64))
+                    size += len(held[-1])
+                if size > 2 * BINS:
+                    counts += np.bincount(np.concatenate(held), minlength=BINS)
+                    held, size = [], 0
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=BINS)
+        some = np.minimum(counts, 65535).astype("<u2").reshape(-1, BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(some)), pa.int32()), pa.array([x.tobytes() for x in some], pa.binary())], names=["block", "counts"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.zeros(BLOCK, np.int64)
+        for x in rows.column("counts").to_pylist():
+            total += np.frombuffer(x, "<u2")
+        scale = np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8)
+        return pa.table({"block": rows.column("block").slice(0, 1), "scale": pa.array([scale.tobytes()], pa.binary())})
+
+    blocks = texts.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, scale binary").collect()
+    out = np.zeros(BINS, np.uint8)
+    for r in blocks:
+        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.scale, np.uint8)
+    return out
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows dealt by gram the distinct ones whose gram has two texts or more."""
+    sig, at = [], []
+    for batch in batches:
+        sig.append(batch.column("sig").to_numpy())
+        at.append(batch.column("id").to_numpy())
+    if not sig:
+        return
+    sig, at = np.concatenate(sig), np.concatenate(at)
+    order = np.lexsort((at, sig))
+    sig, at = sig[order], at[order]
+    new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (at[1:] != at[:-1])))
+    sig, at = sig[new], at[new]
+    same = sig[1:] == sig[:-1]
+    kept = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    sig, at = sig[kept], at[kept]
+    for low in range(0, len(sig), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(sig[low : low + 100_000]), pa.array(at[low : low + 100_000])], names=["sig", "id"])
+
+
+def _left(docs: DataFrame, links: DataFrame | None, text_col: str, least: float) -> DataFrame:
+    """All links (node, leader) between texts that `links` leaves in different classes."""
+    texts = docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL")
+    scale = docs.sparkSession.sparkContext.broadcast(_rarity(texts))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher, forward, table = Sketcher(GRAM, 1), Forward(least), scale.value
+        seen: set[bytes] = set()
+        for batch in slices(batches, "text"):
+            nodes, n, grams = [], [], []
+            for text in batch.column("text").to_pylist():
+                key = md5(text.encode()).digest()
+                words = words_of(text)
+                if key in seen or not words:
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(key)
+                x = sketcher.labelled(words)
+                nodes.append(key)
+                n.append(len(words))
+                grams.append(x[np.lexsort((x, table[x % np.uint64(BINS)]))][: forward.grams(len(words))].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(n, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], names=["node", "n", "grams"])
+
+    held = saved(texts.mapInArrow(put, "node binary, n int, grams array<bigint>").withColumn("id", F.xxhash64("node")))
+    # An id that two nodes should share makes candidates of both, so no pair is lost by it.
+    shared = saved(held.select("id", F.explode("grams").alias("sig")).repartition("sig").mapInArrow(_shared, "sig bigint, id bigint"))
+    nodes = held.select("id", "node", "n").distinct()
+    if links is None:
+        nodes = nodes.withColumn("label", F.col("node"))
+    else:
+        label = components(links.select(F.col("node").alias("a"), F.col("leader").alias("b"))).select(F.col("n").alias("node"), "label")
+        nodes = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    nodes = saved(nodes)
+    released(docs.sparkSession)
+    # Per gram its texts by class, so that no pair within a class is made.
+    groups = saved(shared.join(nodes, "id").groupBy("sig", "label").agg(F.collect_list(F.struct("id", "n")).alias("texts")))
+    split = groups.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
+    groups = saved(groups.join(split, "sig", "left_semi"))
+    other = groups.select("sig", F.col("label").alias("label2"), F.col("texts").alias("texts2"))
+    both = groups.join(other, "sig").where("label < label2").select(F.explode("texts").alias("x"), "texts2").select("x", F.explode("texts2").alias("y"))
+    longer, shorter = F.greatest("x.n", "y.n"), F.least("x.n", "y.n")
+    near = both.where(longer - shorter <= F.floor((1 - least) * longer + 1e-9))
+    pairs = near.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), (F.lit(1) + F.floor(shorter / 10)).alias("need")).agg(F.count("*").alias("k")).where("k >= need")
+    ends = nodes.select("id", "node")
+    pairs = pairs.join(ends.withColumnRenamed("id", "a"), "a").join(ends.select(F.col("id").alias("b"), F.col("node").alias("leader")), "b")
+    return _verified(saved(pairs.select("node", "leader")), docs, text_col, least)
+
+
 def find_links(docs: DataFrame, *, text_col: str = "text", least: float = SIMILARITY, bands: int = BANDS, rounds: int = ROUNDS) -> DataFrame:
     """Verified links between different texts, as nodes (a, b)."""
 
@@ -241,8 +374,8 @@ def find_links(docs: DataFrame, *, text_col: str = "text", least: float = SIMILA
         members = led.select("node", "sig", "company")
         del pairs, found, label, own, its
         released(docs.sparkSession)
-    if links is None:
-        return docs.sparkSession.createDataFrame([], "a binary, b binary")
+    more = _left(docs, links, text_col, least)
+    links = more if links is None else links.unionByName(more)
     return links.select(F.col("node").alias("a"), F.col("leader").alias("b"))
 
 

@@ -73,3 +73,18 @@ def test_components(spark):
     chain = [(bytes([i]), bytes([i + 1])) for i in range(20)] + [(b"z", b"y"), (b"y", b"y")]
     got = {r.n: r.label for r in components(spark.createDataFrame(chain, "a binary, b binary")).collect()}
     assert {bytes(k): bytes(v) for k, v in got.items()} == {**{bytes([i]): b"\x00" for i in range(21)}, b"z": b"y", b"y": b"y"}
+
+
+def linked(spark, texts, **options):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.class_id for r in near_duplicates(docs, **options).collect()}
+
+
+def test_pairs_beside_a_common_passage(spark):
+    """Texts that share most of their length with many others, and a pair that only its own words tell apart."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(55)]
+    texts = [passage + [f"o{rng.randrange(10**9)}" for _ in range(20)] for _ in range(80)]
+    copy = [w if i not in (55, 60, 65, 70) else f"n{i}" for i, w in enumerate(texts[40])]
+    texts.append(copy)
+    assert linked(spark, [" ".join(x) for x in texts]) == {i: 40 if i == 80 else i for i in range(81)}
