@@ -221,7 +221,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _rarity(texts: DataFrame) -> np.ndarray:
-    """Per counter how often its grams occur, on a scale of 8 steps for each doubling."""
+    """Per counter how often its grams occur, on a scale of 8 steps for each doubling. Only an order: any texts will do."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher, held, size = Sketcher(GRAM, 1), [], 0
@@ -278,11 +278,11 @@ def _left(docs: DataFrame, links: DataFrame | None, text_col: str, least: float)
     texts = docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL")
     scale = docs.sparkSession.sparkContext.broadcast(_rarity(texts))
 
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher, forward, table = Sketcher(GRAM, 1), Forward(least), scale.value
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, list[str]]]]:
+        """Texts with words, once per task at most as far as memory goes."""
         seen: set[bytes] = set()
         for batch in slices(batches, "text"):
-            nodes, n, grams = [], [], []
+            some = []
             for text in batch.column("text").to_pylist():
                 key = md5(text.encode()).digest()
                 words = words_of(text)
@@ -291,16 +291,31 @@ def _left(docs: DataFrame, links: DataFrame | None, text_col: str, least: float)
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(key)
+                some.append((key, words))
+            for low in range(0, len(some), 500):
+                yield some[low : low + 500]
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher, forward, table = Sketcher(GRAM, 1), Forward(least), scale.value
+        for some in own(batches):
+            sigs, ids = [], []
+            for key, words in some:
                 x = sketcher.labelled(words)
-                nodes.append(key)
-                n.append(len(words))
-                grams.append(x[np.lexsort((x, table[x % np.uint64(BINS)]))][: forward.grams(len(words))].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(n, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], names=["node", "n", "grams"])
+                sigs.append(x[np.lexsort((x, table[x % np.uint64(BINS)]))][: forward.grams(len(words))].view(np.int64))
+                ids.append(np.full(len(sigs[-1]), id_of(key)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], names=["sig", "id"])
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in own(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([id_of(k) for k, _ in some]), pa.array([k for k, _ in some], pa.binary()), pa.array([len(w) for _, w in some], pa.int32())], names=["id", "node", "n"])
+
+    def id_of(key: bytes) -> np.int64:
+        return np.frombuffer(key[:8], np.int64)[0]
 
-    held = saved(texts.mapInArrow(put, "node binary, n int, grams array<bigint>").withColumn("id", F.xxhash64("node")))
     # An id that two nodes should share makes candidates of both, so no pair is lost by it.
-    shared = saved(held.select("id", F.explode("grams").alias("sig")).repartition("sig").mapInArrow(_shared, "sig bigint, id bigint"))
-    nodes = held.select("id", "node", "n").distinct()
+    shared = saved(texts.mapInArrow(put, "sig bigint, id bigint").repartition("sig").mapInArrow(_shared, "sig bigint, id bigint"))
+    released(docs.sparkSession)
+    nodes = texts.mapInArrow(sizes, "id bigint, node binary, n int").distinct()
     if links is None:
         nodes = nodes.withColumn("label", F.col("node"))
     else:
@@ -309,11 +324,10 @@ def _left(docs: DataFrame, links: DataFrame | None, text_col: str, least: float)
     nodes = saved(nodes)
     released(docs.sparkSession)
     # Per gram its texts by class, so that no pair within a class is made.
-    groups = saved(shared.join(nodes, "id").groupBy("sig", "label").agg(F.collect_list(F.struct("id", "n")).alias("texts")))
-    split = groups.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
-    groups = saved(groups.join(split, "sig", "left_semi"))
-    other = groups.select("sig", F.col("label").alias("label2"), F.col("texts").alias("texts2"))
-    both = groups.join(other, "sig").where("label < label2").select(F.explode("texts").alias("x"), "texts2").select("x", F.explode("texts2").alias("y"))
+    by_class = shared.join(nodes, "id").repartition("sig").groupBy("sig", "label").agg(F.collect_list(F.struct("id", "n")).alias("texts"))
+    groups = by_class.groupBy("sig").agg(F.collect_list(F.struct("label", "texts")).alias("classes")).where("size(classes) > 1")
+    two = groups.select("classes", F.explode("classes").alias("g")).select("g", F.explode("classes").alias("h")).where("g.label < h.label")
+    both = two.select(F.explode("g.texts").alias("x"), F.col("h.texts").alias("texts2")).select("x", F.explode("texts2").alias("y"))
     longer, shorter = F.greatest("x.n", "y.n"), F.least("x.n", "y.n")
     near = both.where(longer - shorter <= F.floor((1 - least) * longer + 1e-9))
     pairs = near.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), (F.lit(1) + F.floor(shorter / 10)).alias("need")).agg(F.count("*").alias("k")).where("k >= need")
@@ -374,6 +388,8 @@ def find_links(docs: DataFrame, *, text_col: str = "text", least: float = SIMILA
         members = led.select("node", "sig", "company")
         del pairs, found, label, own, its
         released(docs.sparkSession)
+    once = rows = shared = held = members = led = tried = pairs = found = label = own = its = None
+    released(docs.sparkSession)
     more = _left(docs, links, text_col, least)
     links = more if links is None else links.unionByName(more)
     return links.select(F.col("node").alias("a"), F.col("leader").alias("b"))

@@ -88,3 +88,12 @@ def test_pairs_beside_a_common_passage(spark):
     copy = [w if i not in (55, 60, 65, 70) else f"n{i}" for i, w in enumerate(texts[40])]
     texts.append(copy)
     assert linked(spark, [" ".join(x) for x in texts]) == {i: 40 if i == 80 else i for i in range(81)}
+
+
+def test_pairs_behind_a_leader_of_one(spark):
+    """Versions that lose their beginning: the last is similar to the second only, and one bucket may be led by the first."""
+    texts = []
+    for g in range(30):
+        base = [f"g{g}w{i}" for i in range(100)]
+        texts += [base, base[15:], base[29:]]
+    assert linked(spark, [" ".join(x) for x in texts], bands=1) == {i: i // 3 * 3 for i in range(90)}
