@@ -97,3 +97,14 @@ def test_pairs_behind_a_leader_of_one(spark):
         base = [f"g{g}w{i}" for i in range(100)]
         texts += [base, base[15:], base[29:]]
     assert linked(spark, [" ".join(x) for x in texts], bands=1) == {i: i // 3 * 3 for i in range(90)}
+
+
+def test_pairs_at_the_threshold(spark):
+    """Pairs with edit similarity of 0.8 to 0.9 whose changed words are spread, in long and short texts."""
+    rng = random.Random(10)
+    texts = []
+    for n, changed in ((100, range(4, 100, 5)), (10, [4]), (20, range(4, 20, 5)), (30, range(4, 29, 5)), (5, [2]), (4, [4])):
+        for _ in range(20):
+            one = [f"o{rng.randrange(10**9)}" for _ in range(n)]
+            texts += [one, [f"n{i}" if i in changed else w for i, w in enumerate(one)] + ["more"] * (n == 4)]
+    assert linked(spark, [" ".join(x) for x in texts]) == {i: i // 2 * 2 for i in range(len(texts))}
