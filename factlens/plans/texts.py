@@ -130,6 +130,43 @@ def jaccard_pairs(spark, sf):
     return docs.join(nxt, "doc_id").select("doc_id", F.round(text.token_overlap("text", "other"), 6).alias("overlap"))
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents, for the queries that SQL's patterns can't follow."""
+    return table(spark, sf, "documents").select("doc_id", "text")
+
+
+def word_tokens_documents(spark, sf):
+    return _documents(spark, sf).select("doc_id", F.explode(text.word_tokens("text")).alias("w")).groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count_distinct("w").alias("distinct_tokens"))
+
+
+def term_frequency_documents(spark, sf):
+    return embed.term_frequencies(_documents(spark, sf), ["doc_id"])
+
+
+def hash_bucket_documents(spark, sf):
+    words = _documents(spark, sf).select(F.explode(text.word_tokens("text")).alias("term")).distinct()
+    return words.select("term", embed.bucket(F.col("term")).alias("bucket"))
+
+
+def hashing_embedding_sparse_documents(spark, sf):
+    return embed.sparse_embedding(_documents(spark, sf), ["doc_id"], dimensions=256).select("doc_id", "bucket", F.round("value", 6).alias("value"))
+
+
+def candidate_entities_documents(spark, sf):
+    return extract.candidate_entities(_documents(spark, sf), ["doc_id"])
+
+
+def canonical_entity_documents(spark, sf):
+    return candidate_entities_documents(spark, sf).select(text.canonical_key("name").alias("canon")).distinct()
+
+
+def jaccard_pairs_documents(spark, sf):
+    """Neighbouring documents' word overlap."""
+    docs = _documents(spark, sf)
+    nxt = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
+    return docs.join(nxt, "doc_id").select("doc_id", F.round(text.token_overlap("text", "other"), 6).alias("overlap"))
+
+
 def seed_dedupe(spark, sf):
     names = F.array(*map(F.lit, ["Data Transfer Policy", "The Data Transfer Policy", "Personal Data", "EU", "EU", "Tax Reform Act", "Reform Act", "Personal Data Policy"]))
     return spark.range(1).select(F.posexplode(retrieval.distinct_seeds(names)).alias("i", "name"))
@@ -208,6 +245,7 @@ NAMES = [
     "text_clean", "token_estimate", "paragraph_split", "chunk_documents", "word_tokens", "term_frequency", "hash_bucket", "hashing_embedding_sparse", "candidate_entities", "entity_classify", "canonical_entity", "find_dates", "chunk_window",
     "relation_frames", "window_grammar", "window_quarters", "window_halves", "window_months", "jaccard_pairs", "seed_dedupe", "question_node_match", "vector_topk", "vector_topk_temporal", "broad_recall_backfill", "citations",
     "extractive_answer", "compare_narrative", "llm_json_salvage",
+    "word_tokens_documents", "term_frequency_documents", "hash_bucket_documents", "hashing_embedding_sparse_documents", "candidate_entities_documents", "canonical_entity_documents", "jaccard_pairs_documents",
 ]
 QUERIES = {n: globals()[n] for n in NAMES}
 
