@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factlens.functions import interval as iv
@@ -100,6 +100,36 @@ def interval_rendered(spark, sf):
     return f.select("chunk_id", "edge_seq", iv.rendered_validity("valid_from", "valid_until").alias("validity"))
 
 
+def interval_rendered_facts(spark, sf):
+    """The validity of all facts."""
+    return facts(spark, sf).select("chunk_id", "edge_seq", iv.rendered_validity("valid_from", "valid_until").alias("validity"))
+
+
+def interval_overlap_counts(spark, sf):
+    """All facts, open ones too, against the ten-day spans of all orders, counted by customer without making the pairs.
+
+    The spans that overlap a fact start from ten days before it to its last day, so a running count of orders by day gives
+    the pairs; the orders that any of a customer's facts overlap are counted over the union of those days.
+    """
+    starts = table(spark, sf, "orders").where("o_orderdate IS NOT NULL").groupBy(F.unix_date(F.col("o_orderdate").cast("date")).alias("day")).agg(F.count("*").alias("n"))
+    span = starts.agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    days = span.select(F.explode(F.sequence(F.col("first") - 1, "last")).alias("day")).join(starts, "day", "left")
+    upto = days.select("day", F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("day")).alias("upto"))
+    span = F.broadcast(span)
+    f = facts(spark, sf).crossJoin(span).select("subject", F.greatest(F.coalesce(F.unix_date("valid_from") - 10, "first"), "first").alias("a"), F.least(F.coalesce(F.unix_date("valid_until"), "last"), "last").alias("b")).where("a <= b")
+
+    def counted(df: DataFrame) -> DataFrame:
+        low = upto.select((F.col("day") + 1).alias("a"), F.col("upto").alias("low"))
+        high = upto.select(F.col("day").alias("b"), F.col("upto").alias("high"))
+        return df.join(F.broadcast(low), "a").join(F.broadcast(high), "b").withColumn("k", F.col("high") - F.col("low"))
+
+    before = Window.partitionBy("subject").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    # The days of each fact that the customer's facts before it don't have.
+    fresh = f.withColumn("a", F.greatest("a", F.coalesce(F.max("b").over(before) + 1, "a"))).where("a <= b")
+    pairs = counted(f).groupBy("subject").agg(F.sum("k").alias("pairs"))
+    return pairs.join(counted(fresh).groupBy("subject").agg(F.sum("k").alias("orders")), "subject").where("pairs > 0")
+
+
 def temporal_density_sweep(spark, sf):
     return intervals.sweep(facts(spark, sf))
 
@@ -229,6 +259,7 @@ NAMES = [
     "window_snapshot", "as_of_snapshot", "interval_overlap_filter", "snapshot_nodes_degree", "snapshot_first_edges", "interval_overlap_join", "interval_intersection", "interval_contains", "interval_rendered", "temporal_density_sweep",
     "snapshot_diff", "context_diff", "fact_evolution", "graph_stats", "predicate_histogram", "type_histogram", "node_degree", "neighbors_1hop", "neighbors_2hop", "neighbors_bag", "time_sliced_bfs", "upsert_last_wins", "remove_document",
     "orphan_nodes", "node_merge", "as_of_join", "latest_document_state", "clamp_int",
+    "interval_rendered_facts", "interval_overlap_counts",
 ]
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLES = {k: f"WITH {FACTS} {v}" if not v.startswith(",") else f"WITH {FACTS}{v}" for k, v in {

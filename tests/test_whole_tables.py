@@ -1,8 +1,10 @@
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from datetime import timedelta
 
 import __spark_entry__ as entry
 from factlens.functions.text import EMBEDDING_STOPWORDS
+from factlens.plans.facts import facts
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +27,18 @@ def test_words_of_all_documents(spark):
     named = rows(spark, "candidate_entities_documents")
     assert {r.doc_id for r in named} - {k for k, x in docs.items() if x.isascii()}
     assert len(rows(spark, "canonical_entity_documents")) == len({re.sub("^(the|an?)\\s+", "", r.name.strip(" "), flags=re.I).lower() for r in named})
+
+
+def test_intervals_of_all_facts(spark):
+    all_facts = facts(spark, SF).select("subject", "chunk_id", "valid_from", "valid_until").collect()
+    starts = sorted(r.s for r in spark.read.parquet(f"{SF}/orders.parquet").selectExpr("CAST(o_orderdate AS DATE) AS s").collect() if r.s)
+    assert any(r.valid_until is None for r in all_facts)
+    shown = Counter((r.chunk_id, r.validity) for r in rows(spark, "interval_rendered_facts"))
+    assert shown == Counter((r.chunk_id, f"{r.valid_from} → {r.valid_until or '…'}") for r in all_facts)
+    pairs, met = Counter(), defaultdict(set)
+    for r in all_facts:
+        hit = [i for i, s in enumerate(starts) if (r.valid_until is None or s <= r.valid_until) and s + timedelta(10) >= r.valid_from]
+        pairs[r.subject] += len(hit)
+        met[r.subject].update(hit)
+    got = {r.subject: (r.pairs, r.orders) for r in rows(spark, "interval_overlap_counts")}
+    assert got == {k: (n, len(met[k])) for k, n in pairs.items() if n}
