@@ -167,6 +167,22 @@ def jaccard_pairs_documents(spark, sf):
     return docs.join(nxt, "doc_id").select("doc_id", F.round(text.token_overlap("text", "other"), 6).alias("overlap"))
 
 
+def find_dates_documents(spark, sf):
+    return _documents(spark, sf).select("doc_id", F.posexplode(extract.find_dates("text")).alias("i", "d")).select("doc_id", "i", F.col("d.day").alias("day"), F.col("d.label").alias("label"))
+
+
+def chunk_window_documents(spark, sf):
+    return _documents(spark, sf).select("doc_id", extract.chunk_window("text").alias("w")).select("doc_id", "w.start", "w.end")
+
+
+def relation_frames_documents(spark, sf):
+    return extract.relation_frames(_documents(spark, sf), ["doc_id"]).select("doc_id", "subject", "predicate", "object", "valid_from", "valid_until")
+
+
+def window_grammar_documents(spark, sf):
+    return _documents(spark, sf).select("doc_id", window.window_column(F.col("text"), F.lit(AS_OF)).alias("w")).select("doc_id", "w.start", "w.end")
+
+
 def seed_dedupe(spark, sf):
     names = F.array(*map(F.lit, ["Data Transfer Policy", "The Data Transfer Policy", "Personal Data", "EU", "EU", "Tax Reform Act", "Reform Act", "Personal Data Policy"]))
     return spark.range(1).select(F.posexplode(retrieval.distinct_seeds(names)).alias("i", "name"))
@@ -246,6 +262,7 @@ NAMES = [
     "relation_frames", "window_grammar", "window_quarters", "window_halves", "window_months", "jaccard_pairs", "seed_dedupe", "question_node_match", "vector_topk", "vector_topk_temporal", "broad_recall_backfill", "citations",
     "extractive_answer", "compare_narrative", "llm_json_salvage",
     "word_tokens_documents", "term_frequency_documents", "hash_bucket_documents", "hashing_embedding_sparse_documents", "candidate_entities_documents", "canonical_entity_documents", "jaccard_pairs_documents",
+    "find_dates_documents", "chunk_window_documents", "relation_frames_documents", "window_grammar_documents",
 ]
 QUERIES = {n: globals()[n] for n in NAMES}
 

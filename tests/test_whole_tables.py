@@ -4,6 +4,7 @@ from datetime import timedelta
 
 import __spark_entry__ as entry
 from factlens.functions.text import EMBEDDING_STOPWORDS
+from factlens.plans import texts
 from factlens.plans.facts import facts
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +43,17 @@ def test_intervals_of_all_facts(spark):
         met[r.subject].update(hit)
     got = {r.subject: (r.pairs, r.orders) for r in rows(spark, "interval_overlap_counts")}
     assert got == {k: (n, len(met[k])) for k, n in pairs.items() if n}
+
+
+def test_extraction_over_documents(spark, tmp_path):
+    """The constants as documents give the constants' results, and the tables' documents are all read."""
+    want = list(texts.STATEMENTS.items()) + [(x, x) for x in texts.WINDOWS]
+    spark.createDataFrame(want, "doc_id string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("find_dates", "chunk_window", "relation_frames", "window_grammar"):
+        one = {tuple(r) for r in rows(spark, name)}
+        ids = {x[0] for x in one}
+        got = {tuple(r) for r in entry.queries()[f"{name}_documents"](spark, str(tmp_path)).collect() if r.doc_id in ids}
+        assert one and got == one, name
+    ids = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    assert {r.doc_id for r in rows(spark, "chunk_window_documents")} == ids == {r.doc_id for r in rows(spark, "window_grammar_documents")}
+    assert {r.doc_id for r in rows(spark, "find_dates_documents")} <= ids and {r.doc_id for r in rows(spark, "relation_frames_documents")} <= ids
