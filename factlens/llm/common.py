@@ -3,40 +3,85 @@
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark deletes a query's shuffle files when it ends, where this is set.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read through Spark only (any file system it knows)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def with_checkpoint_dir(spark: SparkSession) -> None:
-    """Make sure that checkpoint() works: keep the cluster's shared folder, set one only where none is set."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir). Where none is set, a temporary folder serves a session whose
+    executors run in the driver's process (local[...]); a cluster without the setting is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = held.get() if held.isDefined() else None
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
-        folder = tempfile.mkdtemp(prefix="factlens-checkpoint-")
-    sc.setCheckpointDir(folder)
+        folder = tempfile.mkdtemp(prefix="factlens-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+class Scratch:
+    """An operator's intermediate tables, by name, as Parquet in the shared folder: their lineage ends there, so they survive
+    lost executors and plans stay small. What isn't dropped goes when the session ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/factlens-{uuid.uuid4().hex}"
+        self.turn: dict[str, int] = {}
+        self._path("").getFileSystem(self._conf()).deleteOnExit(self._path(""))
+
+    def _conf(self):
+        return self.spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def save(self, name: str, df: DataFrame) -> DataFrame:
+        """df written under a name and read again; what had the name before goes once df is written."""
+        turn = self.turn.get(name, 0) + 1
+        path = f"{self.folder}/{name}-{turn}"
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before) if before is not None else self.spark.conf.unset(_CLEANUP)
+        self.drop(name)
+        self.turn[name] = turn
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later step reads."""
+        for name in names:
+            if turn := self.turn.get(name):
+                path = self._path(f"{name}-{turn}")
+                path.getFileSystem(self._conf()).delete(path, True)
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder: its lineage ends here and survives lost executors."""
-    with_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written to the shared folder and read again."""
+    return Scratch(df.sparkSession).save("rows", df)
 
 
 def released(spark: SparkSession) -> None:
-    """Let Spark delete shuffle and checkpoint files that nothing refers to: it does so when the driver's garbage is
-    collected, which loops with many small jobs would hardly bring about."""
+    """Let Spark delete shuffle files that nothing refers to: it does so when the driver's garbage is collected."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -1,21 +1,27 @@
 """Near-duplicate classes by Order MinHash, candidates verified by banded alignment.
 
-A text's words are its white-space-separated parts in lower case. Its five-word shingles are labelled with their
-occurrence number in the text. For each of BANDS random orders the two smallest labelled shingles are taken and kept in
-text order; their hash is the band's signature, so texts meet in a bucket if they agree on both shingles and on which
-comes first, which edits elsewhere don't change. Texts of fewer than five words have one shingle.
+A text's words are its white-space-separated parts in lower case. Two texts are linked if aligning their words within the
+band of diagonals that the threshold allows takes at most (1 - SIMILARITY) * (words of the longer text) insertions,
+deletions and replacements. Classes are the links' connected components; a class is named by its smallest id.
 
 1. Equal texts become one node (by 128-bit hash), so copies are never compared.
-2. Nodes with the same signature form a bucket. Its leader is the node that shares most buckets with others; the others
-   are compared with it, unless they are in its class already, and those that it doesn't fit with a new leader (ROUNDS
-   times), so a bucket of n nodes gives about n comparisons, never all pairs.
-3. A pair is a link if aligning its words within the band of diagonals that the threshold allows takes at most
-   (1 - SIMILARITY) * (length of the longer text) insertions, deletions and replacements.
-4. That finds most links at about n comparisons a group, but not all. So what is left is done exactly: words that pair up
-   in an alignment of at most k edits leave all but 2 k of the longer text's two-word grams shared. Each text puts forward
-   its rarest grams, so many that two similar texts must share one of them in each ten words at least (`Forward`); every
-   pair of different classes that does is compared. How rare a gram is taken to be changes the work, never the result.
-5. Classes are the links' connected components; a class is named by its smallest id.
+2. A node's k-word shingles are labelled with their occurrence number. For each of a tier's random orders the two smallest
+   labelled shingles are taken and kept in text order; their hash is a signature, so texts meet in a bucket if they agree on
+   both shingles and on which comes first. Five-word shingles (FIVE orders) bring together what shares 0.8 of its shingles.
+   Words changed here and there break more five-word shingles than 0.8 of the words would let expect, so texts of over
+   MIDDLE words also have LONG orders of three-word shingles, those of over SHORT words MEDIUM orders of two-word shingles,
+   and shorter ones all pairs of their two-word shingles (see `Sketcher.tiers`).
+3. Each bucket names a leader (its smallest node, a plain aggregate); each node is compared with the one leader that it
+   meets most often. That settles groups of any size at one comparison a node.
+4. What is left are buckets that hold nodes of different classes. There all nodes of different classes are compared, by
+   sketches only, in blocks of BLOCK nodes; pairs that pass go on to alignment. So no link between nodes that share a bucket
+   depends on a leader or a number of rounds, and no pair within a class is made.
+5. A sketch has one byte for each of SKETCH random orders, that of the order's smallest labelled word. Of texts at the
+   threshold two thirds of the words or more are common (labelled, by Jaccard), so 43 of 64 bytes agree on average; pairs
+   that agree on fewer than AGREE, 4.4 standard deviations less, aren't aligned.
+
+The cost of 4 grows with the square of a bucket's nodes of different classes, that is of different texts that share both
+smallest shingles of an order, at some 20 ns a pair and without a text being moved.
 
 Edge cases: a null text is in no class but its own (class_id is the row's id); texts without words are equal only to
 equal texts; rows with the same text, repeated rows among them, share a class; a class whose ids are all null has a null
@@ -34,15 +40,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm.common import released, saved, slices, table
-
-SHINGLE, BANDS, SIMILARITY, ROUNDS = 5, 48, 0.8, 3
+from factlens.llm.common import Scratch, slices, table
+
+SIMILARITY = 0.8
+#: Words of a shingle, and the random orders of five-word shingles.
+SHINGLE, FIVE = 5, 32
+#: Up to SHORT words a text gives all pairs of two-word shingles, up to MIDDLE words MEDIUM orders of two-word shingles, and
+#: beyond LONG orders of three-word shingles.
+SHORT, MIDDLE, MEDIUM, LONG = 12, 32, 48, 96
+#: Bytes of a sketch, and how many have to agree.
+SKETCH, AGREE = 64, 26
+#: Nodes of a bucket that are compared with each other at once; members of a leader that read its text in one task.
+BLOCK, TOGETHER = 2048, 512
 #: Up to so many nodes that need their texts compared are broadcast to pick those texts; beyond, they are joined.
 MAX_BROADCAST_NODES = 300_000
-#: Grams of the exact pass, and the counters that tell rare ones from common ones (in blocks of BLOCK).
-GRAM, BINS, BLOCK = 2, 1 << 22, 1 << 14
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+_TOP = np.uint32(0xFFFFFFFF)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -51,56 +64,99 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Sketcher:
-    """Order MinHash signatures."""
-
-    def __init__(self, shingle: int = SHINGLE, bands: int = BANDS):
-        rng = np.random.Generator(np.random.PCG64(5))
-        self.shingle, self.bands = shingle, bands
-        self.flip = rng.integers(0, 1 << 63, bands, np.uint64)[:, None]
-        self.by = (rng.integers(0, 1 << 63, bands, np.uint64) | np.uint64(1))[:, None]
-        self.places = _mixed(np.arange(1, shingle + 1, dtype=np.uint64)) | np.uint64(1)
-        self.words: dict[str, int] = {}
-
-    def labelled(self, words: list[str]) -> np.ndarray:
-        """Hashes of the text's shingles with their occurrence numbers, in text order."""
-        known = self.words
-        if len(known) > 300_000:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        n = max(1, len(h) - self.shingle + 1)
-        size = min(self.shingle, len(h))
-        x = np.full(n, np.uint64(size), np.uint64)
-        for k in range(size):
-            x += h[k : k + n] * self.places[k]
-        x = _mixed(x)
-        order = np.argsort(x, kind="stable")
-        ranked = x[order]
-        first = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-        if not first.all():
-            starts = np.flatnonzero(first)
-            turn = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-            x[order] = _mixed(ranked + turn.astype(np.uint64) * _ODD)
-        return x
-
-    def signatures(self, words: list[str]) -> list[int]:
-        """One signed 64-bit signature per band; none for a text without words."""
-        if not words:
-            return []
-        x = self.labelled(words)
-        at, n, step = [], len(x), max(1, (1 << 20) // len(x))
-        for low in range(0, self.bands, step):
-            y = (x[None, :] ^ self.flip[low : low + step]) * self.by[low : low + step]
+def labelled(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k-word shingles with their occurrence numbers, in text order; a shorter text is one shingle. h: the words' hashes."""
+    n, size = max(1, len(h) - k + 1), min(k, len(h))
+    places = _mixed(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)
+    x = np.full(n, np.uint64(size), np.uint64)
+    for i in range(size):
+        x += h[i : i + n] * places[i]
+    x = _mixed(x)
+    ranked = np.sort(x)
+    again = ranked[1:][ranked[1:] == ranked[:-1]]
+    if len(again):
+        at = np.flatnonzero(np.isin(x, again))
+        at = at[np.argsort(x[at], kind="stable")]
+        own = x[at]
+        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        turn = np.arange(len(own)) - np.repeat(starts, np.diff(np.append(starts, len(own))))
+        x[at] = np.where(turn > 0, _mixed(own + turn.astype(np.uint64) * _ODD), own)
+    return x
+
+
+class Orders:
+    """Random orders of 64-bit hashes."""
+
+    def __init__(self, count: int, seed: int):
+        rng = np.random.Generator(np.random.PCG64(seed))
+        self.count = count
+        self.flip = rng.integers(0, 1 << 32, count, np.uint32)[:, None]
+        self.by = (rng.integers(0, 1 << 32, count, np.uint32) | np.uint32(1))[:, None]
+        self.label = _mixed(np.arange(count, dtype=np.uint64) + np.uint64(seed << 20))
+
+    def _ranked(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """Each hash's place in some of the orders at a time."""
+        short, step = (x >> np.uint64(32)).astype(np.uint32), max(1, (1 << 18) // len(x))
+        for low in range(0, self.count, step):
+            y = (short[None, :] ^ self.flip[low : low + step]) * self.by[low : low + step]
+            yield y ^ (y >> np.uint32(15))
+
+    def pairs(self, x: np.ndarray) -> np.ndarray:
+        """Per order a hash of its two smallest, in the order in which they stand in x."""
+        at = []
+        for y in self._ranked(x):
             rows = np.arange(len(y))
             a = y.argmin(axis=1)
             y[rows, a] = _TOP
-            at.append((a, y.argmin(axis=1) if n > 1 else a))
+            at.append((a, y.argmin(axis=1) if len(x) > 1 else a))
         a, b = (np.concatenate(v) for v in zip(*at, strict=True))
-        first, second = x[np.minimum(a, b)], x[np.maximum(a, b)]
-        return _mixed(_mixed(first + np.arange(self.bands, dtype=np.uint64) * _ODD) + second).view(np.int64).tolist()
+        return _mixed(_mixed(x[np.minimum(a, b)] + self.label) + x[np.maximum(a, b)])
+
+    def bytes(self, x: np.ndarray) -> bytes:
+        """Per order a byte of its smallest."""
+        least = np.concatenate([y.min(axis=1) for y in self._ranked(x)])
+        return (_mixed(least + self.label) & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+class Sketcher:
+    """Order MinHash signatures and sketches of texts."""
+
+    def __init__(self, least: float = SIMILARITY):
+        self.least = least
+        self.five, self.medium, self.long, self.word = Orders(FIVE, 5), Orders(MEDIUM, 2), Orders(LONG, 3), Orders(SKETCH, 1)
+        self.known: dict[str, int] = {}
+
+    def hashes(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        if len(known) > 500_000:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh3_64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+    def tiers(self, n: int) -> range:
+        """The tiers (0: all pairs, 1: MEDIUM, 2: LONG) of a text of n words: its own, and those of shorter similar texts."""
+        of = lambda m: (m > SHORT) + (m > MIDDLE)
+        return range(of(int(np.ceil(self.least * n - 1e-9))), of(n) + 1)
+
+    def signatures(self, h: np.ndarray) -> np.ndarray:
+        """Distinct signatures, as signed numbers."""
+        tiers, parts = self.tiers(len(h)), []
+        if len(h) >= SHINGLE:
+            parts.append(self.five.pairs(labelled(h, SHINGLE)))
+        if tiers[0] < 2:
+            two = labelled(h, 2)
+            if 0 in tiers:
+                a, b = np.triu_indices(len(two), 1) if len(two) > 1 else (np.zeros(1, np.int64),) * 2
+                parts.append(_mixed(_mixed(two[a] + _ODD) + two[b]))
+            if 1 in tiers:
+                parts.append(self.medium.pairs(two))
+        if 2 in tiers:
+            parts.append(self.long.pairs(labelled(h, 3)))
+        return np.unique(np.concatenate(parts)).view(np.int64)
+
+    def sketch(self, h: np.ndarray) -> bytes:
+        return self.word.bytes(labelled(h, 1))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -148,283 +204,218 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return within(x, y, int((1 - least) * longer + 1e-9)) is not None
 
 
-class Forward:
-    """How many of its rarest grams a text of n words puts forward.
+def node(text: Column) -> Column:
+    """The node of a text: null for null."""
+    return F.unhex(F.md5(text))
 
-    Let longer and shorter texts have b and a words and at most k(b) edits. They share b - GRAM + 1 - GRAM * k(b) grams at
-    least, so of a text's grams at most `missing` aren't shared. If both put forward missing + need grams in one order, the
-    text whose last one comes first has need shared ones among them, and the other text puts these forward too.
-    """
 
-    def __init__(self, least: float = SIMILARITY):
-        if least < 0.7:
-            raise ValueError("texts less similar than 0.7 need not share grams")
-        self.least = least
-        self.known: dict[int, int] = {}
+def _sketches(docs: DataFrame, text_col: str, least: float) -> DataFrame:
+    """Per different text with words: node, id (64 bits of it), n (words), sketch, sigs."""
 
-    def need(self, n: int) -> int:
-        return 1 + n // 10
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher, seen = Sketcher(least), set()
+        for batch in slices(batches, "text"):
+            rows = []
+            for text in batch.column("text").to_pylist():
+                key = md5(text.encode()).digest()
+                if key in seen or not (words := words_of(text)):
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(key)
+                h = sketcher.hashes(words)
+                rows.append((key, len(h), sketcher.sketch(h), sketcher.signatures(h)))
+            for at in range(0, len(rows), 1000):
+                some = list(zip(*rows[at : at + 1000], strict=True))
+                kinds = (pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(some, kinds, strict=True)], names=["node", "n", "sketch", "sigs"])
 
-    def grams(self, n: int) -> int:
-        if n not in self.known:
-            longer = np.arange(n, int(n / self.least + 1e-9) + 1)
-            missing = GRAM * np.floor((1 - self.least) * longer + 1e-9) - (longer - n)
-            self.known[n] = int(missing.max()) + self.need(n)
-        return self.known[n]
+    texts = docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL")
+    # A task yields a text once as far as its memory goes; other repeats meet here, one row a task.
+    found = texts.mapInArrow(sketch, "node binary, n int, sketch binary, sigs array<bigint>")
+    once = found.groupBy("node").agg(F.first(F.struct("n", "sketch", "sigs")).alias("x"))
+    return once.select("node", F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("id"), "x.*")
 
 
-def node(text: Column) -> Column:
-    """The node of a text: null for null."""
-    return F.unhex(F.md5(text))
+def _agreeing(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return (rows == one).sum(axis=1, dtype=np.uint8) >= AGREE
+
 
+def _near(pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b, n, n2, sketch, sketch2) whose lengths and sketches let them be similar: a, b."""
 
-def _leaders(members: DataFrame) -> DataFrame:
-    """Per bucket of two members or more its leader: the member in most company (led_by), then the one whose hash is greatest."""
-    best = members.groupBy("sig").agg(F.max(F.struct("company", "node")).alias("best"), F.count("*").alias("n")).where("n > 1")
-    return best.select("sig", F.col("best.node").alias("leader"), F.col("best.company").alias("led_by"))
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch", "sketch2"))
+                ok = (one == two).sum(axis=1, dtype=np.uint8) >= AGREE
+                yield batch.select(["a", "b"]).filter(pa.array(ok))
 
+    longer, shorter = F.greatest("n", "n2"), F.least("n", "n2")
+    fit = pairs.where(longer - shorter <= F.floor((1 - least) * longer + 1e-9))
+    return fit.select("a", "b", "sketch", "sketch2").mapInArrow(keep, "a binary, b binary")
 
-def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, least: float) -> DataFrame:
-    """The pairs of nodes (node, leader) that are links."""
-    wanted = pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).distinct()
+
+def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, least: float, work: Scratch) -> DataFrame:
+    """The pairs of nodes (a, b) that are links. A text that many pairs hold as b goes to a task for each TOGETHER of them."""
+    wanted = work.save("wanted", pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "node"))
     rows = docs.select(node(F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
-    wanted = saved(wanted)
     some = rows.join(F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_NODES else wanted, "node", "left_semi")
-    texts = saved(some.dropDuplicates(["node"]))
-    both = pairs.join(texts, "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("other")), "leader")
+    texts = work.save("texts", some.dropDuplicates(["node"]))
+    most = pairs.groupBy("b").agg(F.count("*").alias("n")).select("b", F.ceil(F.col("n") / TOGETHER).cast("int").alias("salts"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("other")).join(most, "b")
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    left = pairs.join(most, "b").withColumn("salt", F.pmod(F.xxhash64("a"), "salts").cast("int")).drop("salts")
+    left = left.join(texts.withColumnRenamed("node", "a"), "a")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             ok = [similar(a, b, least) for a, b in zip(batch.column("text").to_pylist(), batch.column("other").to_pylist(), strict=True)]
-            yield batch.select(["node", "leader"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("node", "leader", "text", "other").mapInArrow(verify, "node binary, leader binary")
+    return left.join(right, ["b", "salt"]).select("a", "b", "text", "other").mapInArrow(verify, "a binary, b binary")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, work: Scratch | None = None) -> DataFrame:
     """Connected components of links (a, b): each node (n) with the component's least node (label)."""
+    work = work or Scratch(links.sparkSession)
     both = links.select(F.col("a").alias("n"), F.col("b").alias("m"))
-    edges = saved(both.unionByName(both.select(F.col("m").alias("n"), F.col("n").alias("m"))).where("n != m").distinct())
-    labels = saved(edges.groupBy("n").agg(F.least(F.col("n"), F.min("m")).alias("label")))
+    edges = work.save("edges", both.unionByName(both.select(F.col("m").alias("n"), F.col("n").alias("m"))).where("n != m").distinct())
+    labels = work.save("labels", edges.groupBy("n").agg(F.least(F.col("n"), F.min("m")).alias("label")))
     while True:
         near = edges.join(labels.select(F.col("n").alias("m"), "label"), "m").groupBy("n").agg(F.min("label").alias("near"))
-        step = labels.join(near, "n", "left").select("n", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        step = work.save("step", labels.join(near, "n").select("n", F.col("label").alias("old"), F.least("label", "near").alias("label")))
         # Half the way to a distant root at once: take the label of the label.
-        jump = saved(step)
-        far = jump.join(jump.select(F.col("n").alias("label"), F.col("label").alias("far")), "label", "left")
-        labels = saved(far.select("n", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
-        if labels.where("label != old").isEmpty():
-            return labels.select("n", "label")
-        labels = labels.select("n", "label")
-        del near, step, jump, far
-        released(links.sparkSession)
-
-
-def _rarity(texts: DataFrame) -> np.ndarray:
-    """Per counter how often its grams occur, on a scale of 8 steps for each doubling. Only an order: any texts will do."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher, held, size = Sketcher(GRAM, 1), [], 0
-        counts = np.zeros(BINS, np.int64)
-        for batch in slices(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                if words := words_of(text):
-                    held.append((sketcher.labelled(words) % np.uint64(BINS)).astype(np.int64))
-                    size += len(held[-1])
-                if size > 2 * BINS:
-                    counts += np.bincount(np.concatenate(held), minlength=BINS)
-                    held, size = [], 0
+        far = step.join(step.select(F.col("n").alias("label"), F.col("label").alias("far")), "label", "left")
+        moved = work.save("labels", far.select("n", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
+        labels = moved.select("n", "label")
+        if moved.where("label != old").isEmpty():
+            work.drop("edges", "step")
+            return labels
+
+
+def _met(members: DataFrame, nodes: DataFrame, least: float, work: Scratch, block: int) -> DataFrame:
+    """Pairs (a, b) of different classes that share a bucket and whose sketches agree. members: sig, id; nodes: id, node, n,
+    sketch, label."""
+    classes = members.join(nodes.select("id", F.xxhash64("label").alias("lab")), "id")
+    split = classes.groupBy("sig").agg(F.count("*").alias("c"), F.min("lab").alias("low"), F.max("lab").alias("high")).where("low != high")
+    split = split.select("sig", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
+    rows = classes.join(split, "sig").join(nodes.select("id", "n", "sketch"), "id").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    # Each two blocks of a bucket meet in one cell: x below y, or a block with itself.
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("sig", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "id", "lab", "n", "sketch")
+    cells = rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
+
+    def pairs_of(cell: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        own, ids, lab, n = (cell.column(c).to_numpy() for c in ("own", "id", "lab", "n"))
+        sketch = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        across = cell.column("x")[0].as_py() != cell.column("y")[0].as_py()
+        left, right = [], []
+        for i in range(len(ids)):
+            rest = slice(i + 1, None)
+            top = np.maximum(n[rest], n[i])
+            ok = (lab[rest] != lab[i]) & (top - np.minimum(n[rest], n[i]) <= np.floor((1 - least) * top + 1e-9))
+            if across:
+                ok &= own[rest] != own[i]
+            at = np.flatnonzero(ok) + i + 1
+            if len(at):
+                at = at[_agreeing(sketch[at], sketch[i])]
+                left.append(np.full(len(at), ids[i]))
+                right.append(ids[at])
+        none = [np.zeros(0, np.int64)]
+        a, b = np.concatenate(left or none), np.concatenate(right or none)
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells come in order, so one is held at a time."""
+        held: list[pa.RecordBatch] = []
+
+        def cut(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            keys = [rows.column(c).to_numpy() for c in ("sig", "x", "y")]
+            ends = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            ends = [0, *ends.tolist(), *[len(keys[0])] * last]
+            found = [pairs_of(rows.slice(s, e - s)) for s, e in zip(ends, ends[1:], strict=False)]
+            a, b = (np.concatenate([np.zeros(0, np.int64), *v]) for v in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 2
+            both = np.unique(np.stack([a, b]), axis=1)
+            for at in range(0, both.shape[1], 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(v[at : at + 100_000]) for v in both], names=["x", "y"])
+            held[:] = rows.slice(ends[-1]).combine_chunks().to_batches() if not last else []
+
+        rows = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= 100_000:
+                yield from cut(pa.Table.from_batches(held), False)
+                rows = 0
         if held:
-            counts += np.bincount(np.concatenate(held), minlength=BINS)
-        some = np.minimum(counts, 65535).astype("<u2").reshape(-1, BLOCK)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(some)), pa.int32()), pa.array([x.tobytes() for x in some], pa.binary())], names=["block", "counts"])
-
-    def add(rows: pa.Table) -> pa.Table:
-        total = np.zeros(BLOCK, np.int64)
-        for x in rows.column("counts").to_pylist():
-            total += np.frombuffer(x, "<u2")
-        scale = np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8)
-        return pa.table({"block": rows.column("block").slice(0, 1), "scale": pa.array([scale.tobytes()], pa.binary())})
-
-    blocks = texts.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, scale binary").collect()
-    out = np.zeros(BINS, np.uint8)
-    for r in blocks:
-        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.scale, np.uint8)
-    return out
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows dealt by gram the distinct ones whose gram has two texts or more."""
-    sig, at = [], []
-    for batch in batches:
-        sig.append(batch.column("sig").to_numpy())
-        at.append(batch.column("id").to_numpy())
-    if not sig:
-        return
-    sig, at = np.concatenate(sig), np.concatenate(at)
-    order = np.lexsort((at, sig))
-    sig, at = sig[order], at[order]
-    new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (at[1:] != at[:-1])))
-    sig, at = sig[new], at[new]
-    same = sig[1:] == sig[:-1]
-    kept = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    sig, at = sig[kept], at[kept]
-    for low in range(0, len(sig), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(sig[low : low + 100_000]), pa.array(at[low : low + 100_000])], names=["sig", "id"])
-
-
-def _left(docs: DataFrame, links: DataFrame | None, text_col: str, least: float) -> DataFrame:
-    """All links (node, leader) between texts that `links` leaves in different classes."""
-    texts = docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL")
-    scale = docs.sparkSession.sparkContext.broadcast(_rarity(texts))
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, list[str]]]]:
-        """Texts with words, once per task at most as far as memory goes."""
-        seen: set[bytes] = set()
-        for batch in slices(batches, "text"):
-            some = []
-            for text in batch.column("text").to_pylist():
-                key = md5(text.encode()).digest()
-                words = words_of(text)
-                if key in seen or not words:
-                    continue
-                if len(seen) > 500_000:
-                    seen.clear()
-                seen.add(key)
-                some.append((key, words))
-            for low in range(0, len(some), 500):
-                yield some[low : low + 500]
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher, forward, table = Sketcher(GRAM, 1), Forward(least), scale.value
-        for some in own(batches):
-            sigs, ids = [], []
-            for key, words in some:
-                x = sketcher.labelled(words)
-                sigs.append(x[np.lexsort((x, table[x % np.uint64(BINS)]))][: forward.grams(len(words))].view(np.int64))
-                ids.append(np.full(len(sigs[-1]), id_of(key)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], names=["sig", "id"])
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in own(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([id_of(k) for k, _ in some]), pa.array([k for k, _ in some], pa.binary()), pa.array([len(w) for _, w in some], pa.int32())], names=["id", "node", "n"])
-
-    def id_of(key: bytes) -> np.int64:
-        return np.frombuffer(key[:8], np.int64)[0]
-
-    # An id that two nodes should share makes candidates of both, so no pair is lost by it.
-    shared = saved(texts.mapInArrow(put, "sig bigint, id bigint").repartition("sig").mapInArrow(_shared, "sig bigint, id bigint"))
-    released(docs.sparkSession)
-    nodes = texts.mapInArrow(sizes, "id bigint, node binary, n int").distinct()
-    if links is None:
-        nodes = nodes.withColumn("label", F.col("node"))
-    else:
-        label = components(links.select(F.col("node").alias("a"), F.col("leader").alias("b"))).select(F.col("n").alias("node"), "label")
-        nodes = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    nodes = saved(nodes)
-    released(docs.sparkSession)
-    # Per gram its texts by class, so that no pair within a class is made.
-    by_class = shared.join(nodes, "id").repartition("sig").groupBy("sig", "label").agg(F.collect_list(F.struct("id", "n")).alias("texts"))
-    groups = by_class.groupBy("sig").agg(F.collect_list(F.struct("label", "texts")).alias("classes")).where("size(classes) > 1")
-    two = groups.select("classes", F.explode("classes").alias("g")).select("g", F.explode("classes").alias("h")).where("g.label < h.label")
-    both = two.select(F.explode("g.texts").alias("x"), F.col("h.texts").alias("texts2")).select("x", F.explode("texts2").alias("y"))
-    longer, shorter = F.greatest("x.n", "y.n"), F.least("x.n", "y.n")
-    near = both.where(longer - shorter <= F.floor((1 - least) * longer + 1e-9))
-    pairs = near.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), (F.lit(1) + F.floor(shorter / 10)).alias("need")).agg(F.count("*").alias("k")).where("k >= need")
-    ends = nodes.select("id", "node")
-    pairs = pairs.join(ends.withColumnRenamed("id", "a"), "a").join(ends.select(F.col("id").alias("b"), F.col("node").alias("leader")), "b")
-    return _verified(saved(pairs.select("node", "leader")), docs, text_col, least)
-
-
-def find_links(docs: DataFrame, *, text_col: str = "text", least: float = SIMILARITY, bands: int = BANDS, rounds: int = ROUNDS) -> DataFrame:
-    """Verified links between different texts, as nodes (a, b)."""
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher = Sketcher(SHINGLE, bands)
-        seen: set[bytes] = set()
-        for batch in slices(batches, "text"):
-            nodes, sigs = [], []
-            for text in batch.column("text").to_pylist():
-                key = md5(text.encode()).digest()
-                if key in seen:
-                    continue
-                if len(seen) > 500_000:
-                    seen.clear()
-                seen.add(key)
-                nodes.append(key)
-                sigs.append(sketcher.signatures(words_of(text)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], names=["node", "sigs"])
-
-    texts = docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL")
-    # Nodes come once per task at most from here; the rest of the repeats go with the shuffle, pre-aggregated.
-    once = saved(texts.mapInArrow(sketch, "node binary, sigs array<bigint>").groupBy("node").agg(F.min("sigs").alias("sigs")))
-    rows = once.select("node", F.explode("sigs").alias("sig"))
-    shared = rows.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
-    # Kept by node, with at most one signature a band: a fraction of the size of rows by signature.
-    held = saved(rows.join(shared, "sig").groupBy("node").agg(F.sum("n").alias("company"), F.collect_list("sig").alias("sigs")))
-    members = held.select("node", "company", F.explode("sigs").alias("sig"))
-    links, tried, led = None, None, None
-    for r in range(rounds + 1):
-        if r != 1:
-            led = members.join(_leaders(members), "sig").where("node != leader")
-        # At first each node is compared with one leader only, the one in most company: that settles large groups. Then
-        # the other leaders of buckets that are still split follow, and then new leaders.
-        pairs = led.groupBy("node").agg(F.max(F.struct("led_by", "leader")).getField("leader").alias("leader")) if r == 0 else led.select("node", "leader").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["node", "leader"], "left_anti")
-        pairs = saved(pairs)
-        if pairs.isEmpty() and r != 1:
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = _verified(pairs, docs, text_col, least)
-        links = saved(found if links is None else links.unionByName(found))
-        if r == rounds:
-            break
-        # On go the members that their leader isn't linked to, directly or through others.
-        label = components(links.select(F.col("node").alias("a"), F.col("leader").alias("b")))
-        own = led.join(label.select(F.col("n").alias("node"), F.col("label").alias("own")), "node", "left")
-        its = own.join(label.select(F.col("n").alias("leader"), F.col("label").alias("its")), "leader", "left")
-        led = saved(its.where("own IS NULL OR its IS NULL OR own != its").select("node", "sig", "company", "leader", "led_by"))
-        members = led.select("node", "sig", "company")
-        del pairs, found, label, own, its
-        released(docs.sparkSession)
-    once = rows = shared = held = members = led = tried = pairs = found = label = own = its = None
-    released(docs.sparkSession)
-    more = _left(docs, links, text_col, least)
-    links = more if links is None else links.unionByName(more)
-    return links.select(F.col("node").alias("a"), F.col("leader").alias("b"))
+            yield from cut(pa.Table.from_batches(held), True)
+
+    found = work.save("found", cells.mapInArrow(compare, "x bigint, y bigint").distinct())
+    ends = nodes.select("id", "node", "n", "sketch", "label")
+    pairs = found.join(ends.select(F.col("id").alias("x"), F.col("node").alias("a"), F.col("label").alias("la")), "x")
+    pairs = pairs.join(ends.select(F.col("id").alias("y"), F.col("node").alias("b"), F.col("label").alias("lb")), "y")
+    return pairs.where("la != lb").select("a", "b")
+
+
+def find_links(docs: DataFrame, work: Scratch, *, text_col: str = "text", least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Verified links between different texts as nodes (a, b): enough to connect each class."""
+    nodes = work.save("nodes", _sketches(docs, text_col, least))
+    signed = nodes.select("id", F.explode("sigs").alias("sig"))
+    lead = signed.groupBy("sig").agg(F.count("*").alias("c"), F.min("id").alias("leader")).where("c > 1").select("sig", "leader")
+    members = work.save("members", signed.join(lead, "sig"))
+    # Each node with the one leader that it meets most often.
+    often = members.where("id != leader").groupBy("id", "leader").agg(F.count("*").alias("c"))
+    first = often.groupBy("id").agg(F.max(F.struct("c", "leader")).alias("best")).select("id", F.col("best.leader").alias("leader"))
+    ends = nodes.select("id", "node", "n", "sketch")
+    other = ends.select(*[F.col(c).alias(d) for c, d in (("id", "leader"), ("node", "b"), ("n", "n2"), ("sketch", "sketch2"))])
+    led = first.join(ends.withColumnRenamed("node", "a"), "id").join(other, "leader").where("a != b")
+    pairs = work.save("pairs", _near(led, least))
+    links = work.save("links", _verified(pairs, docs, text_col, least, work))
+    labels = components(links, work).withColumnRenamed("n", "node")
+    labelled_nodes = nodes.drop("sigs").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled_nodes = work.save("labelled", labelled_nodes)
+    pairs = work.save("pairs", _met(members.select("sig", "id"), labelled_nodes, least, work, block))
+    more = work.save("more", _verified(pairs, docs, text_col, least, work))
+    work.drop("nodes", "members", "labelled", "pairs", "found", "texts", "wanted")
+    return links.unionByName(more)
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    """Per node: its smallest id (own), its class's smallest id (class_id), the number of links, and whether the class's
-    document is one of the node's (first)."""
-    links = saved(find_links(docs, text_col=text_col, **options).distinct())
-    labels = components(links)
-    degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
+    """Per node: its smallest id (own), its class's smallest id (class_id), and whether the class's document is one of the
+    node's (first)."""
+    work = Scratch(docs.sparkSession)
+    labels = components(find_links(docs, work, text_col=text_col, **options), work)
     nodes = docs.select(F.col(id_col).alias("id"), node(F.col(text_col)).alias("node")).where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("own"))
-    linked = saved(labels.withColumnRenamed("n", "node").join(nodes, "node").join(degree, "node", "left"))
+    nodes = work.save("own", nodes)
+    linked = labels.withColumnRenamed("n", "node").join(nodes, "node")
     # A class's document: the smallest id, then the smallest node; nodes without an id come last.
     best = linked.groupBy("label").agg(F.min(F.struct(F.col("own").isNull().alias("no"), "own", "node")).alias("best"))
-    named = linked.join(best, "label").select("node", "own", F.col("best.own").alias("class_id"), "n_links", (F.col("best.node") == F.col("node")).alias("first"))
-    alone = nodes.join(linked.select("node"), "node", "left_anti").select("node", "own", F.col("own").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
-    return saved(named.unionByName(alone))
+    named = linked.join(best, "label").select("node", F.col("best.own").alias("class_id"), (F.col("best.node") == F.col("node")).alias("first"))
+    named = nodes.join(named, "node", "left")
+    named = named.select("node", "own", F.when(F.col("first").isNull(), F.col("own")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("first", F.lit(True)).alias("first"))
+    out = work.save("classes", named)
+    work.drop("own", "labels", "links", "more")
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per row of docs: id_col, class_id, n_links (verified links of its text to different texts)."""
-    classes = _classes(docs, id_col, text_col, **options)
+    """One row per row of docs: id_col, class_id."""
+    classes = _classes(docs, id_col, text_col, **options).select("node", "class_id")
     rows = docs.select(F.col(id_col).alias("id"), node(F.col(text_col)).alias("node"))
-    return rows.join(classes, "node", "left").select(F.col("id").alias(id_col), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return rows.join(classes, "node", "left").select(F.col("id").alias(id_col), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each class: the one with the smallest id. Rows with null texts all stay."""
+    """docs with one row of each class: the one with the smallest id; of rows with equal ids and texts the one that is first
+    as JSON. Rows with null texts all stay."""
     classes = _classes(docs, id_col, text_col, **options).where("first").select("node", "own")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), node(F.col(text_col)).alias("node"))
     count = docs.select(F.col(id_col).alias("id"), node(F.col(text_col)).alias("node")).groupBy("id", "node").agg(F.count("*").alias("n"))
     again = not count.where("n > 1 AND node IS NOT NULL").isEmpty()
     kept = rows.join(classes, "node").where("own <=> id")
-    kept = kept.dropDuplicates(["node"]) if again else kept
+    kept = kept.groupBy("node").agg(F.min_by("row", F.to_json("row")).alias("row")) if again else kept
     return kept.select("row.*").unionByName(rows.where("node IS NULL").select("row.*"))
 
 

@@ -1,7 +1,10 @@
 import random
 from itertools import combinations
 
-from factlens.llm.near_dedup import Sketcher, components, deduplicated, near_duplicates, similar, within, words_of
+import numpy as np
+import pytest
+
+from factlens.llm.near_dedup import AGREE, FIVE, LONG, SHINGLE, Sketcher, components, deduplicated, labelled, near_duplicates, similar, within, words_of
 
 
 def distance(a, b):
@@ -26,9 +29,9 @@ def test_alignment_by_brute_force():
 def test_sketches_know_order():
     words = [f"w{i}" for i in range(60)]
     one = Sketcher()
-    same = lambda x, y: sum(a == b for a, b in zip(one.signatures(x), one.signatures(y), strict=True))
-    assert same(words, words) == 48 > same(words, words[30:] + words[:30]) and one.signatures([]) == []
-    assert len(set(one.labelled(["a"] * 20).tolist())) == 16
+    same = lambda x, y: len(np.intersect1d(one.signatures(one.hashes(x)), one.signatures(one.hashes(y))))
+    assert same(words, words) == FIVE + LONG > same(words, words[30:] + words[:30])
+    assert len(set(labelled(one.hashes(["a"] * 20), SHINGLE).tolist())) == 16
 
 
 def corpus(rng):
@@ -96,7 +99,7 @@ def test_pairs_behind_a_leader_of_one(spark):
     for g in range(30):
         base = [f"g{g}w{i}" for i in range(100)]
         texts += [base, base[15:], base[29:]]
-    assert linked(spark, [" ".join(x) for x in texts], bands=1) == {i: i // 3 * 3 for i in range(90)}
+    assert linked(spark, [" ".join(x) for x in texts], block=1) == {i: i // 3 * 3 for i in range(90)}
 
 
 def test_pairs_at_the_threshold(spark):
@@ -108,3 +111,34 @@ def test_pairs_at_the_threshold(spark):
             one = [f"o{rng.randrange(10**9)}" for _ in range(n)]
             texts += [one, [f"n{i}" if i in changed else w for i, w in enumerate(one)] + ["more"] * (n == 4)]
     assert linked(spark, [" ".join(x) for x in texts]) == {i: i // 2 * 2 for i in range(len(texts))}
+
+
+def edited(rng, words, edits):
+    """words after `edits` insertions, deletions or replacements of words drawn anywhere."""
+    out = list(words)
+    for k in range(edits):
+        at, fresh = rng.randrange(len(out)), f"n{rng.randrange(10**9)}"
+        kind = rng.randrange(3)
+        out[at : at + (kind != 0)] = [fresh] * (kind != 1)
+    return out
+
+
+@pytest.mark.parametrize("n", [5, 6, 8, 10, 12, 13, 20, 30, 32, 33, 40, 100, 300, 1000])
+def test_recall_of_planted_pairs(n):
+    """The share of similar pairs that meet in a bucket and whose sketches agree: both are all that candidates need."""
+    rng, sketcher = random.Random(n), Sketcher()
+    for least in (0.8, 0.85, 0.9, 0.95):
+        edits = int((1 - least) * n + 1e-9)
+        if not edits:
+            continue
+        met = total = 0
+        while total < 60:
+            one = [f"o{rng.randrange(10**9)}" for _ in range(n)]
+            two = edited(rng, one, edits)
+            if within(one, two, int(0.2 * max(len(one), len(two)) + 1e-9)) is None:
+                continue
+            total += 1
+            a, b = (sketcher.hashes(x) for x in (one, two))
+            agree = sum(x == y for x, y in zip(sketcher.sketch(a), sketcher.sketch(b), strict=True))
+            met += bool(len(np.intersect1d(sketcher.signatures(a), sketcher.signatures(b)))) and agree >= AGREE
+        assert met >= 0.95 * total, (least, met, total)
