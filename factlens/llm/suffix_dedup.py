@@ -10,12 +10,14 @@ beyond it, so suffixes are dealt into buckets and sorted there by the hash of th
 2. Ties: only places within V before a tied sample can start a repeated string. Those places' LENGTH-byte strings are
    hashed (64 + 15 bits) and again sorted bucket by bucket; ranks held twice or more are the repeated strings.
 
-Before anything is sent to a bucket, a task keeps one place per rank and marks the others as repeated there and then, so
-a passage in a third of all texts sends one place per task. Buckets have about BUCKET places, however much data there
-is. Equal texts are found first by their hash and take part once.
+Before anything is sent to a rank's bucket, a task keeps one place per rank and marks the others as repeated there and
+then; those go to a bucket by their text, where nothing is left to sort. So a passage in a third of all texts sends one
+place per task to its rank's bucket. Buckets have about BUCKET places, however much data there is. Equal texts are found
+first by their hashes and take part once. What a step shuffles is freed before the next one shuffles.
 
 Edge cases: a null text counts as empty; texts below LENGTH bytes lose nothing; equal texts of LENGTH bytes or more lose
-everything; repeated rows are equal texts; extra columns are not read. Texts are told apart by 64-bit hashes.
+everything; repeated rows are equal texts; extra columns are not read. Texts are
+told apart by 96 bits of hashes (id, id2) and their lengths.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm.common import saved, table
+from factlens.llm.common import Scratch, slices, table
 
 LENGTH = 400
 ORDER = 11  # a prime: the cover has ORDER + 1 residues modulo V
@@ -37,6 +39,7 @@ BUCKET = 400_000
 #: Places a task gathers before it sends them on, and bytes that are hashed at once.
 GATHERED, SEGMENT = 1_500_000, 1 << 20
 MAX_BROADCAST = 500_000
+KEY = ["id", "id2"]
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -103,7 +106,7 @@ def _unpacked(parts: list[bytes], kind) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *[np.cumsum(np.frombuffer(zlib.decompress(x), kind), dtype=kind) for x in parts]])
 
 
-_SENT = "bucket int, h binary, h2 binary, id binary, off binary, known binary, more_id binary, more_off binary"
+_SENT = "bucket int, h binary, h2 binary, id binary, id2 binary, off binary, known binary, more_id binary, more_id2 binary, more_off binary"
 _SENT_NAMES = [x.split()[0] for x in _SENT.split(", ")]
 
 
@@ -113,14 +116,14 @@ class _Gathered:
     def __init__(self, buckets: int):
         self.buckets, self.parts, self.n = buckets, [], 0
 
-    def add(self, h: np.ndarray, h2: np.ndarray, id_: int, off: np.ndarray) -> None:
-        self.parts.append((h, h2, np.full(len(h), id_, np.int64), off.astype(np.uint32)))
+    def add(self, h: np.ndarray, h2: np.ndarray, id_: int, id2: int, off: np.ndarray) -> None:
+        self.parts.append((h, h2, np.full(len(h), id_, np.int64), np.full(len(h), id2, np.int64), off.astype(np.uint32)))
         self.n += len(h)
 
     def sent(self) -> Iterator[pa.RecordBatch]:
         if not self.n:
             return
-        h, h2, id_, off = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        h, h2, id_, id2, off = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.n = [], 0
         order, starts, counts = _ties(h, h2)
         lead = order[starts]
@@ -128,7 +131,8 @@ class _Gathered:
         rest = np.ones(len(h), bool)
         rest[lead] = False
         more = np.flatnonzero(rest)
-        place, other = ((h[x] & np.uint64(0xFFFFFFFF)) % np.uint64(self.buckets) for x in (lead, more))
+        place = (h[lead] & np.uint64(0xFFFFFFFF)) % np.uint64(self.buckets)
+        other = id_[more].view(np.uint64) % np.uint64(self.buckets)
         by, by2 = np.lexsort((off[lead], id_[lead], place)), np.lexsort((off[more], id_[more], other))
         lead, known, place, more, other = lead[by], known[by], place[by], more[by2], other[by2]
         for b in np.union1d(place, other).tolist():
@@ -138,7 +142,7 @@ class _Gathered:
             # The hash's lower half has chosen the bucket; the cover needs no more than the upper half besides.
             own = h[x] if h2.any() else (h[x] >> np.uint64(32)).astype(np.uint32)
             second = h2[x].astype(np.uint16) if h2.any() else np.zeros(0, np.uint16)
-            blobs = [own.tobytes(), second.tobytes(), *map(_packed, (id_[x], off[x], k.view(np.uint8), id_[y], off[y]))]
+            blobs = [own.tobytes(), second.tobytes(), *map(_packed, (id_[x], id2[x], off[x], k.view(np.uint8), id_[y], id2[y], off[y]))]
             yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), *[pa.array([v], pa.binary()) for v in blobs]], names=_SENT_NAMES)
 
 
@@ -148,7 +152,7 @@ def _sorted_bucket(rows: pa.Table) -> pa.Table:
     def column(name: str, kind) -> np.ndarray:
         return _unpacked(rows.column(name).to_pylist(), kind)
 
-    id_, off, known = column("id", np.int64), column("off", np.uint32), column("known", np.uint8).view(np.bool_)
+    id_, id2, off, known = column("id", np.int64), column("id2", np.int64), column("off", np.uint32), column("known", np.uint8).view(np.bool_)
     raw, raw2 = (b"".join(rows.column(c).to_pylist()) for c in ("h", "h2"))
     h = np.frombuffer(raw, np.uint64 if raw2 else np.uint32)
     h2 = np.frombuffer(raw2, np.uint16) if raw2 else np.zeros(len(h), np.uint16)
@@ -156,18 +160,19 @@ def _sorted_bucket(rows: pa.Table) -> pa.Table:
     tied = known.copy()
     tied[order] |= np.repeat(counts > 1, counts)
     id_ = np.concatenate((id_[tied], column("more_id", np.int64)))
+    id2 = np.concatenate((id2[tied], column("more_id2", np.int64)))
     off = np.concatenate((off[tied], column("more_off", np.uint32)))
-    by = np.lexsort((off, id_))
-    id_, off = id_[by], off[by]
-    starts = np.flatnonzero(np.concatenate(([True], id_[1:] != id_[:-1]))) if len(id_) else np.zeros(0, np.int64)
+    by = np.lexsort((off, id2, id_))
+    id_, id2, off = id_[by], id2[by], off[by]
+    starts = np.flatnonzero(np.concatenate(([True], (id_[1:] != id_[:-1]) | (id2[1:] != id2[:-1])))) if len(id_) else np.zeros(0, np.int64)
     ends = np.append(starts[1:], len(id_))
-    return pa.table({"id": pa.array(id_[starts], pa.int64()), "off": pa.array([_packed(off[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary())})
+    return pa.table({"id": pa.array(id_[starts], pa.int64()), "id2": pa.array(id2[starts], pa.int64()), "off": pa.array([_packed(off[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary())})
 
 
 def _repeated(sent: DataFrame) -> DataFrame:
-    """Per text (id) its repeated places, as a list of packed arrays."""
-    found = sent.groupBy("bucket").applyInArrow(_sorted_bucket, "id long, off binary")
-    return found.groupBy("id").agg(F.collect_list("off").alias("offs"))
+    """Per text (id, id2) its repeated places, as a list of packed arrays."""
+    found = sent.groupBy("bucket").applyInArrow(_sorted_bucket, "id long, id2 long, off binary")
+    return found.groupBy(*KEY).agg(F.collect_list("off").alias("offs"))
 
 
 def _offsets(offs: list[bytes]) -> np.ndarray:
@@ -175,12 +180,12 @@ def _offsets(offs: list[bytes]) -> np.ndarray:
 
 
 def _picked(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """rows whose id is (left_semi) or isn't (left_anti) among ids, which are broadcast if they are few enough."""
-    return rows.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, "id", how)
+    """rows whose key is (left_semi) or isn't (left_anti) among ids, which are broadcast if they are few enough."""
+    return rows.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, KEY, how)
 
 
-def repeated_starts(texts: DataFrame, total: int, length: int = LENGTH, order: int = ORDER, bucket: int = BUCKET) -> DataFrame:
-    """Of different texts (id, text): per id the places where repeated strings of `length` bytes start (offs)."""
+def repeated_starts(texts: DataFrame, total: int, work: Scratch, length: int = LENGTH, order: int = ORDER, bucket: int = BUCKET) -> DataFrame:
+    """Of different texts (id, id2, text): per text the places where repeated strings of `length` bytes start (offs)."""
     v, cover = difference_cover(order)
     width = length - v + 1
     if width < 1:
@@ -190,21 +195,21 @@ def repeated_starts(texts: DataFrame, total: int, length: int = LENGTH, order: i
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, gathered = Windows(width, _BASE[0]), _Gathered(buckets)
-        for batch in batches:
-            for id_, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for batch in slices(batches, "text"):
+            for id_, id2, text in zip(*(batch.column(c).to_pylist() for c in (*KEY, "text")), strict=True):
                 data = np.frombuffer(text.encode(), np.uint8)
                 if len(data) < length:
                     continue
                 places = np.flatnonzero(np.resize(residues, len(data) - width + 1))
-                gathered.add(windows.hashes(data, places), np.zeros(len(places), np.uint16), id_, places)
+                gathered.add(windows.hashes(data, places), np.zeros(len(places), np.uint16), id_, id2, places)
                 if gathered.n >= GATHERED:
                     yield from gathered.sent()
         yield from gathered.sent()
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two, gathered = Windows(length, _BASE[0]), Windows(length, _BASE[1]), _Gathered(buckets)
-        for batch in batches:
-            for id_, text, offs in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), batch.column("offs").to_pylist(), strict=True):
+        for batch in slices(batches, "text"):
+            for id_, id2, text, offs in zip(*(batch.column(c).to_pylist() for c in (*KEY, "text", "offs")), strict=True):
                 data = np.frombuffer(text.encode(), np.uint8)
                 ties = _offsets(offs)
                 steps = np.zeros(len(data) + 2, np.int32)
@@ -213,15 +218,17 @@ def repeated_starts(texts: DataFrame, total: int, length: int = LENGTH, order: i
                 places = np.flatnonzero(np.cumsum(steps)[: len(data) - length + 1] > 0)
                 for at in range(0, len(places), GATHERED):
                     some = places[at : at + GATHERED]
-                    gathered.add(one.hashes(data, some), (two.hashes(data, some) >> np.uint64(48)).astype(np.uint16) | np.uint16(1), id_, some)
+                    gathered.add(one.hashes(data, some), (two.hashes(data, some) >> np.uint64(48)).astype(np.uint16) | np.uint16(1), id_, id2, some)
                     if gathered.n >= GATHERED:
                         yield from gathered.sent()
         yield from gathered.sent()
 
     buckets = max(1, round(total * len(cover) / v / bucket))
-    ties = saved(_repeated(texts.mapInArrow(sampled, _SENT)))
-    near = _picked(texts, ties.select("id"), "left_semi").join(ties, "id")
-    return saved(_repeated(near.mapInArrow(strings, _SENT)))
+    ties = work.save("ties", _repeated(texts.mapInArrow(sampled, _SENT)))
+    near = _picked(texts, ties.select(*KEY), "left_semi").join(ties, KEY)
+    starts = work.save("starts", _repeated(near.mapInArrow(strings, _SENT)))
+    work.drop("ties")
+    return starts
 
 
 def removed_spans(offs: list[bytes], length: int = LENGTH) -> list[tuple[int, int]]:
@@ -236,25 +243,30 @@ def removed_spans(offs: list[bytes], length: int = LENGTH) -> list[tuple[int, in
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, order: int = ORDER, bucket: int = BUCKET, with_kept: bool = False) -> DataFrame:
     """One row per row of docs: id_col, n_bytes, n_removed, spans (array of byte stretches start, end), kept_sha256; with
     with_kept also the bytes that remain (kept)."""
+    work = Scratch(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("own"), text.alias("text"), F.xxhash64(text).alias("id"))
-    counts = saved(rows.groupBy("id").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("long").alias("size")).where(F.col("size") >= length))
+    # The second half of a key: a text's crc and its length.
+    second = F.crc32(text) * (1 << 31) + F.octet_length(text)
+    rows = docs.select(F.col(id_col).alias("own"), text.alias("text"), F.xxhash64(text).alias("id"), second.alias("id2"))
+    counts = rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("long").alias("size")).where(F.col("size") >= length)
+    counts = work.save("counts", counts)
     total = counts.agg(F.sum("size")).first()[0] or 0
-    copied = saved(counts.where("n > 1").select("id"))
+    copied = work.save("copied", counts.where("n > 1").select(*KEY))
     # Texts too short for a string stay out; equal texts take part once.
-    long = rows.where(F.octet_length("text") >= length).select("id", "text")
-    once = _picked(long, copied, "left_anti").unionByName(_picked(long, copied, "left_semi").groupBy("id").agg(F.first("text").alias("text")))
-    starts = _picked(repeated_starts(once, total, length, order, bucket), copied, "left_anti")
-    touched = saved(starts)
+    long = rows.where(F.octet_length("text") >= length).select(*KEY, "text")
+    once = _picked(long, copied, "left_anti").unionByName(_picked(long, copied, "left_semi").groupBy(*KEY).agg(F.first("text").alias("text")))
+    starts = _picked(repeated_starts(once, total, work, length, order, bucket), copied, "left_anti")
+    touched = work.save("touched", starts)
+    work.drop("counts", "starts")
 
     span = "array<struct<start:bigint,end:bigint>>"
-    whole = rows.select("own", F.octet_length("text").cast("long").alias("n_bytes"), "text", "id")
-    clean = _picked(_picked(whole, copied, "left_anti"), touched.select("id"), "left_anti")
+    whole = rows.select("own", F.octet_length("text").cast("long").alias("n_bytes"), "text", *KEY)
+    clean = _picked(_picked(whole, copied, "left_anti"), touched.select(*KEY), "left_anti")
     gone = _picked(whole, copied, "left_semi")
-    cut = _picked(_picked(whole, copied, "left_anti"), touched.select("id"), "left_semi").join(touched, "id")
+    cut = _picked(_picked(whole, copied, "left_anti"), touched.select(*KEY), "left_semi").join(touched, KEY)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             out = []
             for text, offs in zip(batch.column("text").to_pylist(), batch.column("offs").to_pylist(), strict=True):
                 data, spans = text.encode(), removed_spans(offs, length)
