@@ -18,12 +18,21 @@ D = date.fromisoformat
     ("2024-07-15", None, "2024-07-15", "2024-07-16"), ("as of 2024-07-15", None, "2024-07-15", "2024-07-15"), ("2024-07", None, "2024-01-01", "2024-12-31"),
     ("2024-01-01..2024-06-30", None, "2024-01-01", "2024-01-02"), ("last tax year", "2024-05-15", None, None), ("year 3000", None, None, None),
     ("previous quarter", "2024-02-10", "2023-10-01", "2023-12-31"), ("last month", "2024-03-15", "2024-02-01", "2024-02-29"), ("", None, None, None), (None, None, None, None),
+    ("2024/03/01 until 2024.09.30", None, "2024-03-01", "2024-09-30"), ("Q2, 2023", None, "2023-04-01", "2023-06-30"), ("q4 to q3 2024", None, "2024-07-01", "2024-12-31"), ("Sept 2024 – May 2025", None, "2024-09-01", "2025-05-31"),
+    ("on March 5 2024", None, "2024-03-05", "2024-03-05"), ("last 2 years", "2024-02-29", "2022-02-28", "2024-02-29"), ("last 3 months", "2024-05-15", "2024-02-01", "2024-05-15"), ("last quarter", "2024-05-15", "2024-01-01", "2024-03-31"),
+    ("this year", "2024-05-15", "2024-01-01", "2024-12-31"), ("the past 30 days", "2024-05-15", "2024-04-15", "2024-05-15"), ("today", "2024-05-15", "2024-05-15", "2024-05-15"), ("mayor 2024", None, "2024-01-01", "2024-12-31"), ("current year 3000", "2024-05-15", None, None),
 ])
-def test_window_words(text, as_of, start, end):
+def test_window_words(spark, text, as_of, start, end):
     got = parse_window(text, as_of and D(as_of))
     assert got.bounds == (start and D(start), end and D(end))
 
 
+def test_window_labels(spark):
+    assert [parse_window(x, D("2024-05-15")).label for x in (" Q3 2024 ", "in the current quarter", "last quarter", "this year", "currently", "year 3000")] == ["Q3 2024", "current quarter", "previous quarter", "current year", "current", ""]
+    with pytest.raises(ValueError):
+        parse_window("2024-02-30")
+
+
 def test_interval_algebra(spark):
     rows = [(None, None), ("2024-01-01", None), (None, "2024-03-31"), ("2024-01-01", "2024-03-31"), ("2024-04-01", "2024-06-30"), ("2024-07-01", "2025-06-30"), ("2024-01-01", "2024-12-31")]
     t = spark.createDataFrame(rows, "s string, e string").select(F.col("s").cast("date").alias("s"), F.col("e").cast("date").alias("e"))
@@ -57,5 +66,5 @@ def test_snapshot_difference(spark):
     assert got == {("added", "prohibits"), ("changed", "requires"), ("unchanged", "permits")}
 
 
-def test_explorer_windows():
+def test_explorer_windows(spark):
     assert [explorer_window(x) for x in ("Q2 2024", "2024", "2024-02", "2024-01-01..2024-06-30", "2024-07-15", "soon")] == [("2024-04-01", "2024-06-31"), ("2024-01-01", "2024-12-31"), ("2024-02-01", "2024-02-29"), ("2024-01-01", "2024-06-30"), ("2024-07-15", "2024-07-15"), None]
