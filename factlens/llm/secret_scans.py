@@ -1,8 +1,9 @@
 r"""Secret scans: all rules compiled into one deterministic automaton, run over each text's bytes in one pass.
 
-The combined automaton (subset construction, minimised, transition arrays) tells in one pass which rules can have a
-match; only for those, the rule's own anchored automaton then fixes leftmost, longest, non-overlapping matches. Matches
-whose run is shorter than the rule asks for are dropped after matching, so they still take up the text they cover.
+The combined automaton (subset construction, minimised, transition arrays) has a place for each rule in its state: how far
+the rule's openings have come, how long a match's run is, and how many bytes ago it began. So the one pass itself yields
+the spans of all rules, per rule leftmost, longest and not overlapping. Matches whose run is shorter than the rule asks for
+are dropped, but still take up the text they cover.
 
 Offsets are code points, ends exclusive. Spans of different kinds may overlap. Edge cases: a null text counts as empty
 and has no spans (redacting leaves it null); repeated rows are scanned one by one; extra columns are not read.
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factlens.llm.automaton import Dfa, Rule, compile_dfa
-from factlens.llm.common import table
+from factlens.llm.automaton import Automaton, Rule, compile_rules
+from factlens.llm.common import slices, table
 
 BASE = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", "[A-Za-z0-9+/_.=-]", 12, any_case=True),
@@ -40,35 +41,16 @@ class Scanner:
     """Finds the rules' spans in a text."""
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
-        self.rules = rules
-        # A run that opens a rule has to be counted here, or common short runs would mark nearly every text.
-        loose = [(r.prefix + (f"{r.run}{{{1 if r.prefix else max(1, r.least)}}}" if r.run else ""), 1 << i, r.any_case) for i, r in enumerate(rules)]
-        self.all = compile_dfa(loose, anywhere=True)
-        self.own = [compile_dfa([(r.pattern, 1, r.any_case)], anywhere=False) for r in rules]
-        self.prefix = [compile_dfa([(r.prefix, 1, r.any_case)], anywhere=False) if r.prefix else None for r in rules]
+        self.rules, self.all = rules, compile_rules(rules)
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, rule number, end) of all spans, sorted."""
         data = text.encode()
-        marks = self.all.marked(data)
-        found = [x for i in range(len(self.rules)) if marks >> i & 1 for x in self._of(i, data)]
+        found = self.all.spans(data)
         if found and len(data) != len(text):
             found = [(len(data[:s].decode()), i, len(data[:e].decode())) for s, i, e in found]
         return sorted(found)
 
-    def _of(self, i: int, data: bytes) -> Iterator[tuple[int, int, int]]:
-        rule, dfa, prefix = self.rules[i], self.own[i], self.prefix[i]
-        opens = [dfa.moves[dfa.start + dfa.classes[b]] != dfa.dead for b in range(256)]
-        at, n = 0, len(data)
-        while at < n:
-            if not opens[data[at]] or (end := dfa.longest(data, at)) <= at:
-                at += 1
-                continue
-            run = end - (prefix.longest(data, at) if prefix else at) if rule.run else 0
-            if run >= rule.least:
-                yield at, i, end
-            at = end
-
 
 @cache
 def scanner(rules: tuple[Rule, ...]) -> Scanner:
@@ -96,7 +78,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: st
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = scanner(rules)
-        for batch in batches:
+        for batch in slices(batches, text_col):
             rows = [[{"kind": rules[i].kind, "start": s, "end": e} for s, i, e in finder.spans(x)] if x else [] for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, arrow)], names=[id_col, "spans"])
 
@@ -110,7 +92,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = scanner(rules)
-        for batch in batches:
+        for batch in slices(batches, text_col):
             cols = list(batch.columns)
             old = cols[at].to_pylist()
             new = [redacted(x, found, rules) if x and (found := finder.spans(x)) else x for x in old]
@@ -137,4 +119,4 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES, ORACLES = {"op5_secret_scans": op5_secret_scans}, {}
-__all__ = ["BASE", "MORE", "RULES", "Dfa", "Rule", "Scanner", "find_secrets", "op5_secret_scans", "redact_secrets"]
+__all__ = ["BASE", "MORE", "RULES", "Automaton", "Rule", "Scanner", "find_secrets", "op5_secret_scans", "redact_secrets"]
