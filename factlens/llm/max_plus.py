@@ -14,6 +14,7 @@ when the model is loaded), so what lies between two word starts has the same bes
 from __future__ import annotations
 
 import re
+from itertools import chain
 from typing import NamedTuple
 
 SPACE = "▁"
@@ -22,6 +23,8 @@ UNIGRAM, BPE = 1, 2
 NONE = float("-inf")
 State = tuple[int, int]  # offsets of a piece's start and end from the boundary
 START: State = (0, 0)
+#: Characters of a chunk; texts of over two chunks are split.
+CHUNK = 4096
 #: Units of up to so many characters are remembered.
 SHORT = 64
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -68,6 +71,7 @@ class Lattice:
         self.shown = ["" if t == CONTROL else " ⁇ " if t == UNKNOWN else chr(int(p[3:5], 16)) if t == BYTE else p.replace(SPACE, " ") for p, _, t in model.pieces]
         self._follows: dict[tuple[str, str], bool] = {}
         self._units: dict[str, tuple[float, tuple[int, ...]]] = {}
+        self._unit_ids: dict[str, tuple[int, ...]] = {}
 
     # -- texts and ids ---------------------------------------------------------------------------------------------
 
@@ -186,12 +190,26 @@ class Lattice:
                 found = self._paths(s, 0, None, len(s))
                 start = max(found[len(s)], key=lambda k: found[len(s)][k][0])
                 known = found[len(s)][start][0], tuple(self._trace(s, found, 0, len(s), start))
-            if len(self._units) >= self.kept:
-                self._units.clear()
-            if len(s) <= SHORT:
+            if not self.bpe and len(s) <= SHORT:  # a chunk's weights are needed before its ids
+                if len(self._units) >= self.kept:
+                    self._units.clear()
                 self._units[s] = known
         return known
 
+    def units(self, s: str) -> list[int]:
+        """The ids of a stretch from one word start to another, or to the text's end."""
+        own, known = _UNITS.findall(s), self._unit_ids
+        if len(known) > self.kept:
+            known.clear()
+        fresh = set(own).difference(known)
+        for u in fresh:
+            known[u] = self.unit(u)[1]
+        out = list(chain.from_iterable(map(known.__getitem__, own)))
+        for u in fresh:
+            if len(u) > SHORT:
+                del known[u]
+        return out
+
     # -- chunks ----------------------------------------------------------------------------------------------------
 
     def states(self, s: str, b: int) -> list[State]:
@@ -257,23 +275,18 @@ class Lattice:
             found = self._paths(s, q, before, first)
             start = max(found[first], key=lambda k: found[first][k][0])
             out += self._trace(s, found, q, first, start)
-        for u in _UNITS.findall(s[first:last]):
-            out += self.unit(u)[1]
+        out += self.units(s[first:last])
         if last < b1:
             found = self._paths(s, last, None, b1)
             _, to, start = self._exits(s, found, b1, end)[exit_]
             out += self._trace(s, found, last, to, start)
         return out
 
-    def encode(self, text: str, chunk: int = 1 << 16) -> list[int]:
+    def encode(self, text: str, chunk: int = CHUNK) -> list[int]:
         """The ids of a text: its chunks' matrices, their scan, and each chunk's trace."""
         s = self.prepared(text)
-        if self.cuts and len(s) <= chunk:  # one chunk: its states are known
-            out: list[int] = []
-            known = self._units
-            for u in _UNITS.findall(s):
-                out += (known.get(u) or self.unit(u))[1]
-            return out
+        if self.cuts and len(s) <= 2 * chunk:  # one chunk: its states are known
+            return self.units(s)
         bounds = [*range(0, len(s), chunk), len(s)] if s else [0]
         spans = list(zip(bounds, bounds[1:], strict=False))
         path = scan([self.transfer(s, a, b, b == len(s)) for a, b in spans])

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from factlens.llm.max_plus import BPE, NORMAL, UNIGRAM, Lattice, Model
+from factlens.llm.max_plus import BPE, CHUNK, NORMAL, UNIGRAM, Lattice, Model
 from factlens.llm.sentencepiece_codec import MODEL_PATH, decode_ids, encode_texts, read_model
 
 PARTS = ["a", "b", "aa", " ", "  ", "the", "ing", "\n", "é", "漢", "字", "x1", "==", "----", "Z", " th", "tion"]
@@ -58,3 +58,14 @@ def test_frames(spark, library):
         assert got.where("NOT round_trip").count() == 0
     assert {(r.doc_id, r.text) for r in decode_ids(got).collect()} == {(i, x or "") for i, x in rows}
     assert encode_texts(docs.limit(0)).count() == 0
+
+
+def test_the_scan_carries_long_texts(spark, library):
+    """Texts of over two chunks go through matrices and scan; they hold a good part of all characters."""
+    lattice, scanned, every = Lattice(read_model()), 0, 0
+    for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").where("text IS NOT NULL").collect():
+        every += len(r.text)
+        if len(r.text) > 2 * CHUNK:
+            scanned += len(r.text)
+            assert lattice.encode(r.text) == library.encode(r.text)
+    assert scanned > 0.15 * every
