@@ -14,8 +14,9 @@ deletions and replacements. Classes are the links' connected components; a class
 3. Each bucket names a leader (its smallest node, a plain aggregate); each node is compared with the one leader that it
    meets most often. That settles groups of any size at one comparison a node.
 4. What is left are buckets that hold nodes of different classes. There all nodes of different classes are compared, by
-   sketches only, in blocks of BLOCK nodes; pairs that pass go on to alignment. So no link between nodes that share a bucket
-   depends on a leader or a number of rounds, and no pair within a class is made.
+   sketches only, in blocks of BLOCK nodes. First, of the pairs that pass, those that best connect the classes (a spanning
+   forest) are aligned. Then, with what is connected by them, all pairs of different classes that pass and haven't been
+   aligned are. So no link between nodes that share a bucket depends on a leader, and no pair within a class is made.
 5. A sketch has one byte for each of SKETCH random orders, that of the order's smallest labelled word. Of texts at the
    threshold two thirds of the words or more are common (labelled, by Jaccard), so 43 of 64 bytes agree on average; pairs
    that agree on fewer than AGREE, 4.4 standard deviations less, aren't aligned.
@@ -44,7 +45,7 @@ from factlens.llm.common import Scratch, slices, table
 
 SIMILARITY = 0.8
 #: Words of a shingle, and the random orders of five-word shingles.
-SHINGLE, FIVE = 5, 32
+SHINGLE, FIVE = 5, 12
 #: Up to SHORT words a text gives all pairs of two-word shingles, up to MIDDLE words MEDIUM orders of two-word shingles, and
 #: beyond LONG orders of three-word shingles.
 SHORT, MIDDLE, MEDIUM, LONG = 12, 32, 48, 96
@@ -163,10 +164,19 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def _places(a: list[str]) -> dict[str, int]:
+    """Per word the places where it stands in a, as bits."""
+    out: dict[str, int] = {}
+    for i, w in enumerate(a):
+        out[w] = out.get(w, 0) | 1 << i
+    return out
+
+
 def within(a: list[str], b: list[str], most: int) -> int | None:
     """The least number of insertions, deletions and replacements of words that make a into b, or None if over `most`.
 
-    Only diagonals up to `most` off are followed, each as far as it goes for a growing number of edits.
+    A band of the diagonals up to `most` off is followed, a column of it at a time as bits of two numbers: where the
+    distance grows (up) and where it falls (down) from one place of a to the next.
     """
     if abs(len(a) - len(b)) > most or max(len(a), len(b)) - sum((Counter(a) & Counter(b)).values()) > most:
         return None
@@ -178,24 +188,32 @@ def within(a: list[str], b: list[str], most: int) -> int | None:
         end_a, end_b = end_a - 1, end_b - 1
     a, b = a[low:end_a], b[low:end_b]
     n, m = len(a), len(b)
-    goal = n - m
-    reach = {0: 0}  # diagonal (place in a - place in b): the furthest place in a
-    for edits in range(most + 1):
-        for d, i in reach.items():
-            j = i - d
-            while i < n and j < m and a[i] == b[j]:
-                i, j = i + 1, j + 1
-            reach[d] = i
-        if reach.get(goal, -1) >= n:
-            return edits
-        spread = min(edits + 1, most)
-        new = {}
-        for d in range(max(-spread, -m), min(spread, n) + 1):
-            i = max(reach.get(d, -2) + 1, reach.get(d + 1, -1), reach.get(d - 1, -2) + 1)
-            if i >= 0:
-                new[d] = min(i, n, m + d)
-        reach = {d: i for d, i in new.items() if i >= d and i >= 0}
-    return None
+    if not n or not m:
+        return max(n, m)
+    # The band's lowest diagonal starts at place `deep` of a and ends at its last place; from there on the last row is followed.
+    deep = min(most, n)
+    width = deep + most + 1
+    every, top = (1 << width) - 1, width - 1
+    up, down, edits = every ^ ((1 << (width - deep - 1)) - 1), 0, deep
+    shift, places = deep + 1 - width, _places(a)
+    for j, w in enumerate(b):
+        at = places.get(w, 0)
+        x = (at >> shift if shift >= 0 else at << -shift) & every
+        same = (((x & up) + up) ^ up | x | down) & every
+        rise = down | every & ~(same | up)
+        fall = same & up
+        if j < n - deep:
+            edits += not same >> top & 1
+        else:
+            row = top - 1 - (j - (n - deep))
+            edits += (rise >> row & 1) - (fall >> row & 1) if row >= 0 else 0
+        # What is left to do can't lower it by more than the columns beyond the diagonal's end.
+        if edits > most + m - max(j + 1, n - deep):
+            return None
+        up = (fall | ~(same >> 1 | rise)) & every
+        down = same >> 1 & rise
+        shift += 1
+    return edits if edits <= most else None
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
@@ -237,10 +255,6 @@ def _sketches(docs: DataFrame, text_col: str, least: float) -> DataFrame:
     return once.select("node", F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("id"), "x.*")
 
 
-def _agreeing(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return (rows == one).sum(axis=1, dtype=np.uint8) >= AGREE
-
-
 def _near(pairs: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b, n, n2, sketch, sketch2) whose lengths and sketches let them be similar: a, b."""
 
@@ -294,13 +308,32 @@ def components(links: DataFrame, work: Scratch | None = None) -> DataFrame:
             return labels
 
 
-def _met(members: DataFrame, nodes: DataFrame, least: float, work: Scratch, block: int) -> DataFrame:
-    """Pairs (a, b) of different classes that share a bucket and whose sketches agree. members: sig, id; nodes: id, node, n,
-    sketch, label."""
-    classes = members.join(nodes.select("id", F.xxhash64("label").alias("lab")), "id")
+def _forest(a: np.ndarray, b: np.ndarray, likeness: np.ndarray, lab: np.ndarray) -> np.ndarray:
+    """Of pairs of places (a, b) those that connect their classes (lab) with the greatest likeness."""
+    root = {c: c for c in lab.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    kept = []
+    for i in np.argsort(-likeness, kind="stable").tolist():
+        x, y = find(int(lab[a[i]])), find(int(lab[b[i]]))
+        if x != y:
+            root[x] = y
+            kept.append(i)
+    return np.array(kept, np.int64)
+
+
+def _met(members: DataFrame, nodes: DataFrame, tried: DataFrame | None, least: float, work: Scratch, block: int) -> DataFrame:
+    """Pairs (a, b) of different classes that share a bucket and whose sketches agree: without `tried` a forest that connects
+    the classes of each bucket, else all that aren't among `tried` (x, y). members: sig, id; nodes: id, node, n, sketch, lab."""
+    forest = tried is None
+    classes = members.join(nodes.select("id", "lab"), "id")
     split = classes.groupBy("sig").agg(F.count("*").alias("c"), F.min("lab").alias("low"), F.max("lab").alias("high")).where("low != high")
     split = split.select("sig", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
-    rows = classes.join(split, "sig").join(nodes.select("id", "n", "sketch"), "id").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = members.join(split, "sig").join(nodes.select("id", "lab", "n", "sketch"), "id").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     # Each two blocks of a bucket meet in one cell: x below y, or a block with itself.
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("sig", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "id", "lab", "n", "sketch")
@@ -310,7 +343,7 @@ def _met(members: DataFrame, nodes: DataFrame, least: float, work: Scratch, bloc
         own, ids, lab, n = (cell.column(c).to_numpy() for c in ("own", "id", "lab", "n"))
         sketch = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
         across = cell.column("x")[0].as_py() != cell.column("y")[0].as_py()
-        left, right = [], []
+        left, right, likeness = [], [], []
         for i in range(len(ids)):
             rest = slice(i + 1, None)
             top = np.maximum(n[rest], n[i])
@@ -319,12 +352,17 @@ def _met(members: DataFrame, nodes: DataFrame, least: float, work: Scratch, bloc
                 ok &= own[rest] != own[i]
             at = np.flatnonzero(ok) + i + 1
             if len(at):
-                at = at[_agreeing(sketch[at], sketch[i])]
-                left.append(np.full(len(at), ids[i]))
-                right.append(ids[at])
+                agree = (sketch[at] == sketch[i]).sum(axis=1, dtype=np.uint8)
+                near = agree >= AGREE
+                left.append(np.full(int(near.sum()), i))
+                right.append(at[near])
+                likeness.append(agree[near])
         none = [np.zeros(0, np.int64)]
-        a, b = np.concatenate(left or none), np.concatenate(right or none)
-        return np.minimum(a, b), np.maximum(a, b)
+        a, b, agree = (np.concatenate(v or none) for v in (left, right, likeness))
+        if forest and len(a) > 1:
+            kept = _forest(a, b, agree.astype(np.int64), lab)
+            a, b = a[kept], b[kept]
+        return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cells come in order, so one is held at a time."""
@@ -352,19 +390,25 @@ def _met(members: DataFrame, nodes: DataFrame, least: float, work: Scratch, bloc
         if held:
             yield from cut(pa.Table.from_batches(held), True)
 
-    found = work.save("found", cells.mapInArrow(compare, "x bigint, y bigint").distinct())
-    ends = nodes.select("id", "node", "n", "sketch", "label")
-    pairs = found.join(ends.select(F.col("id").alias("x"), F.col("node").alias("a"), F.col("label").alias("la")), "x")
-    pairs = pairs.join(ends.select(F.col("id").alias("y"), F.col("node").alias("b"), F.col("label").alias("lb")), "y")
-    return pairs.where("la != lb").select("a", "b")
+    found = cells.mapInArrow(compare, "x bigint, y bigint").distinct()
+    return found if forest else found.join(tried, ["x", "y"], "left_anti")
+
+
+def _ends(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of ids (x, y) as pairs of nodes (a, b): all that have these ids, if 64 bits should not tell two nodes apart."""
+    ends = nodes.select("id", "node")
+    both = pairs.join(ends.select(F.col("id").alias("x"), F.col("node").alias("a")), "x")
+    return both.join(ends.select(F.col("id").alias("y"), F.col("node").alias("b")), "y").select("a", "b")
 
 
 def find_links(docs: DataFrame, work: Scratch, *, text_col: str = "text", least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Verified links between different texts as nodes (a, b): enough to connect each class."""
     nodes = work.save("nodes", _sketches(docs, text_col, least))
     signed = nodes.select("id", F.explode("sigs").alias("sig"))
+    # Saved on its own, so that its shuffle is gone before the join's.
     lead = signed.groupBy("sig").agg(F.count("*").alias("c"), F.min("id").alias("leader")).where("c > 1").select("sig", "leader")
-    members = work.save("members", signed.join(lead, "sig"))
+    members = work.save("members", signed.join(work.save("lead", lead), "sig"))
+    work.drop("lead")
     # Each node with the one leader that it meets most often.
     often = members.where("id != leader").groupBy("id", "leader").agg(F.count("*").alias("c"))
     first = often.groupBy("id").agg(F.max(F.struct("c", "leader")).alias("best")).select("id", F.col("best.leader").alias("leader"))
@@ -372,14 +416,20 @@ def find_links(docs: DataFrame, work: Scratch, *, text_col: str = "text", least:
     other = ends.select(*[F.col(c).alias(d) for c, d in (("id", "leader"), ("node", "b"), ("n", "n2"), ("sketch", "sketch2"))])
     led = first.join(ends.withColumnRenamed("node", "a"), "id").join(other, "leader").where("a != b")
     pairs = work.save("pairs", _near(led, least))
-    links = work.save("links", _verified(pairs, docs, text_col, least, work))
-    labels = components(links, work).withColumnRenamed("n", "node")
-    labelled_nodes = nodes.drop("sigs").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled_nodes = work.save("labelled", labelled_nodes)
-    pairs = work.save("pairs", _met(members.select("sig", "id"), labelled_nodes, least, work, block))
-    more = work.save("more", _verified(pairs, docs, text_col, least, work))
-    work.drop("nodes", "members", "labelled", "pairs", "found", "texts", "wanted")
-    return links.unionByName(more)
+    links = work.save("led", _verified(pairs, docs, text_col, least, work))
+    tried = None
+    for name in ("forest", "rest"):
+        labels = components(links, work).withColumnRenamed("n", "node")
+        with_class = nodes.drop("sigs").join(labels, "node", "left").withColumn("lab", F.xxhash64(F.coalesce("label", "node"))).drop("label")
+        with_class = work.save("classed", with_class)
+        found = work.save(f"found_{name}", _met(members.select("sig", "id"), with_class, tried, least, work, block))
+        if found.isEmpty():
+            break
+        pairs = work.save("pairs", _ends(found, nodes))
+        links = links.unionByName(work.save(name, _verified(pairs, docs, text_col, least, work)))
+        tried = found
+    work.drop("nodes", "members", "classed", "pairs", "found_forest", "found_rest", "texts", "wanted")
+    return links
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
@@ -396,7 +446,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFram
     named = nodes.join(named, "node", "left")
     named = named.select("node", "own", F.when(F.col("first").isNull(), F.col("own")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("first", F.lit(True)).alias("first"))
     out = work.save("classes", named)
-    work.drop("own", "labels", "links", "more")
+    work.drop("own", "labels", "led", "forest", "rest")
     return out
 
 
