@@ -2,25 +2,27 @@
 
 The kernel counts common subsequences of LENGTH characters of two words, each occurrence weighted by DECAY to the power
 of the span it takes in either word, so inserted characters and gaps lower a likeness but don't end it. It is normalised
-to 1 for equal words. A text's features are, for each landmark, the largest and the second largest kernel value over its
-words (raised to a power that parts near likeness from chance), mapped by the inverse root of the landmarks' own kernel
-matrix. For training, each toxic text is also seen with a mark put into its most telling word.
+to 1 for equal words and raised to POWER, which parts near likeness from chance (a power of a kernel is one too). Landmarks
+are single words. A text's kernel value with a landmark is that of its word that is most like it, so sentences of a text
+count as one and long texts aren't taken for toxic ones. The Nyström map takes these values times the inverse root of the
+landmarks' own kernel matrix; the support vector machine is linear in it.
+
+Kernel values with landmarks come from the landmarks' subsequences: a table tells for each of them how much it weighs in
+each landmark, and a word's values are the sums over its own subsequences. That is the whole kernel, nothing is cut off.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
 
-LENGTH, DECAY, POWER = 3, 0.8, 3
+LENGTH, DECAY, POWER = 3, 0.8, 5
 #: Words of over WIDTH characters are read as overlapping windows of that width.
 WIDTH = 20
-LANDMARKS = 44
-#: Of a landmark's characters a word has to hold so many hundredths, or their likeness counts as none.
-SHARED = 55
+LANDMARKS = 96
 _WORD = re.compile(r"[^\W_](?:\S*[^\W_])?")
 
 
@@ -52,15 +54,6 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def _letters(codes: np.ndarray) -> np.ndarray:
-    """How often each of 32 classes of characters stands in each word."""
-    out = np.zeros((len(codes), 32), np.uint8)
-    rows = np.arange(len(codes))
-    for j in range(codes.shape[1]):
-        out[rows, codes[:, j] % 32] += codes[:, j] > 0
-    return out
-
-
 def kernel(a: np.ndarray, b: np.ndarray, pairs: bool = False) -> np.ndarray:
     """Kernel values of the words a (rows of code points) with the words b: a matrix, or with `pairs` row by row."""
     shape = (len(a),) if pairs else (len(a), len(b))
@@ -89,57 +82,83 @@ def kernel(a: np.ndarray, b: np.ndarray, pairs: bool = False) -> np.ndarray:
 
 
 class Scorer(NamedTuple):
-    """Landmarks, their own kernel values, and the linear machine: score = 1 / (1 + exp(slope * margin + shift))."""
+    """Landmarks and the linear machine on kernel values with them: score = 1 / (1 + exp(-slope * (margin - middle)))."""
 
     landmarks: list[str]
     weights: np.ndarray
     bias: float
     slope: float
-    shift: float
+    middle: float
+
+    def score(self, values: np.ndarray) -> np.ndarray:
+        """Scores of texts by their kernel values (before POWER) with the landmarks."""
+        margin = (values.astype(np.float64) ** POWER) @ self.weights + self.bias
+        return 1 / (1 + np.exp(np.clip(self.slope * (self.middle - margin), -30, 30)))
+
+
+class Subsequences:
+    """The landmarks' subsequences of LENGTH characters and what they weigh in each landmark."""
+
+    def __init__(self, landmarks: list[str]):
+        self.landmarks = landmarks
+        self.letters = {c: i for i, c in enumerate(sorted({c for m in landmarks for c in m}), 1)}
+        self.base = len(self.letters) + 1
+        weight: dict[int, np.ndarray] = {}
+        for k, mark in enumerate(landmarks):
+            for at in combinations(range(len(mark)), LENGTH):
+                key = self._key([self.letters[mark[i]] for i in at])
+                weight.setdefault(key, np.zeros(len(landmarks), np.float32))[k] += DECAY ** (at[-1] - at[0] + 1)
+        # Row 0 stands for subsequences that no landmark has.
+        self.row = np.zeros(self.base**LENGTH, np.int32)
+        self.row[list(weight)] = np.arange(1, len(weight) + 1)
+        self.weight = np.stack([np.zeros(len(landmarks), np.float32), *weight.values()])
+        codes, _ = _codes(landmarks)
+        self.norm = np.sqrt(np.maximum(kernel(codes, codes, pairs=True), 1e-12))
+
+    def _key(self, letters):
+        out = 0
+        for x in letters:
+            out = out * self.base + x
+        return out
 
-    def likeness(self, words: list[str]) -> np.ndarray:
+    def values(self, words: list[str]) -> np.ndarray:
         """Normalised kernel values of words with the landmarks."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        if not words:
-            return out
-        marks, sizes = _codes(self.landmarks)
-        own = kernel(marks, marks, pairs=True)
-        letters = _letters(marks)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        for low, high in ((LENGTH, 6), (7, 9), (10, 13), (14, WIDTH)):  # like lengths together, as the work grows with the longest
-            rows = np.flatnonzero((lengths >= low) & (lengths <= high))
-            for at in range(0, len(rows), 4000):
-                some = rows[at : at + 4000]
-                codes, _ = _codes([words[i] for i in some])
-                mine = _letters(codes)
-                shared = np.concatenate([np.minimum(mine[i : i + 400, None, :], letters[None]).sum(axis=2, dtype=np.uint8) for i in range(0, len(some), 400)])
-                row, mark = np.nonzero(shared.astype(np.int32) * 100 >= SHARED * sizes[None, :])
-                if len(row):
-                    self_ = kernel(codes, codes, pairs=True)
-                    value = np.concatenate([kernel(codes[row[i : i + 20000]], marks[mark[i : i + 20000]], pairs=True) for i in range(0, len(row), 20000)])
-                    out[some[row], mark] = value / np.sqrt(np.maximum(self_[row] * own[mark], 1e-12))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for n in np.unique(sizes[sizes >= LENGTH]):
+            at = np.array(list(combinations(range(n), LENGTH)))
+            span = (DECAY ** (at[:, -1] - at[:, 0] + 1)).astype(np.float32)
+            same = np.flatnonzero(sizes == n)
+            step = max(1, 400_000 // len(at))
+            for low in range(0, len(same), step):
+                some = same[low : low + step]
+                own = [words[i] for i in some]
+                letters = np.array([[self.letters.get(c, 0) for c in w] for w in own])
+                parts = [letters[:, at[:, k]] for k in range(LENGTH)]
+                row = np.where(np.all([x > 0 for x in parts], axis=0), self.row[self._key(parts)], 0)
+                word, sub = np.nonzero(row)
+                if len(word):
+                    value = self.weight[row[word, sub]] * span[sub][:, None]
+                    starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+                    codes, _ = _codes(own)
+                    norm = np.sqrt(kernel(codes, codes, pairs=True))
+                    out[some[word[starts]]] = np.add.reduceat(value, starts, axis=0) / norm[word[starts]][:, None] / self.norm
         return out
 
-    def score(self, features: np.ndarray) -> np.ndarray:
-        margin = (features.astype(np.float64) ** POWER) @ self.weights + self.bias
-        found = 1 / (1 + np.exp(np.clip(self.slope * margin + self.shift, -30, 30)))
-        # Where no word is like any landmark there is nothing to go by.
-        return np.where(features.any(axis=1) | ~self.weights.any(), found, 0.0)
-
 
 class Reader:
-    """Reads texts' features; remembers the kernel values of up to `kept` words."""
+    """Reads texts' kernel values; remembers those of up to `kept` words."""
 
-    def __init__(self, scorer: Scorer, kept: int = 200_000):
-        self.scorer, self.kept = scorer, kept
+    def __init__(self, landmarks: list[str], kept: int = 200_000):
+        self.subsequences, self.kept = Subsequences(landmarks), kept
         self._clear()
 
     def _clear(self) -> None:
         self.row: dict[str, int] = {}
-        self.values = np.zeros((1 << 12, len(self.scorer.landmarks)), np.float32)
+        self.known = np.zeros((1 << 12, len(self.subsequences.landmarks)), np.float32)
 
-    def features(self, texts: list[str]) -> np.ndarray:
-        """Per text a row of the landmarks' largest and then their second largest likenesses (zeros where it has no words)."""
+    def values(self, texts: list[str]) -> np.ndarray:
+        """Per text its kernel values with the landmarks (zeros where it has no words)."""
         words = [words_of(t) for t in texts]
         if len(self.row) > self.kept:
             self._clear()
@@ -147,75 +166,48 @@ class Reader:
         fresh = list({w for x in words for w in x if w not in row})
         if fresh:
             need = len(row) + len(fresh)
-            if need > len(self.values):
-                self.values = np.concatenate([self.values, np.zeros((max(need, 2 * len(self.values)) - len(self.values), self.values.shape[1]), np.float32)])
-            self.values[len(row) : need] = self.scorer.likeness(fresh)
+            if need > len(self.known):
+                self.known = np.concatenate([self.known, np.zeros((max(need, 2 * len(self.known)) - len(self.known), self.known.shape[1]), np.float32)])
+            self.known[len(row) : need] = self.subsequences.values(fresh)
             row.update(zip(fresh, range(len(row), need), strict=True))
-        wide = self.values.shape[1]
-        out = np.zeros((len(texts), 2 * wide), np.float32)
-        every = np.arange(wide)
+        out = np.zeros((len(texts), self.known.shape[1]), np.float32)
         for i, x in enumerate(words):
             if x:
-                own = self.values[np.fromiter(map(row.__getitem__, x), np.int64, len(x))]
-                top = own.argmax(axis=0)
-                out[i, :wide] = own[top, every]
-                own[top, every] = 0
-                out[i, wide:] = own.max(axis=0)
+                out[i] = self.known[np.fromiter(map(row.__getitem__, set(x)), np.int64)].max(axis=0)
         return out
 
 
-def choose_landmarks(texts: list[str], labels: np.ndarray, most: int = LANDMARKS) -> list[str]:
-    """The words and word openings that texts with the label hold most in excess of the others."""
-    seen = (Counter(), Counter())
-    for text, label in zip(texts, labels, strict=True):
-        words = set(words_of(text))
-        words |= {w[:n] for w in words for n in range(4, min(9, len(w)))}
-        seen[int(label)].update(w for w in words if len(w) >= LENGTH)
-    n0, n1 = max(1, int((labels == 0).sum())), max(1, int((labels == 1).sum()))
+def openings(text: str) -> set[str]:
+    """What may become a landmark: a text's words, and the beginnings of its words."""
+    words = set(words_of(text))
+    return words | {w[:n] for w in words for n in range(4, min(9, len(w)))}
 
-    def excess(w: str) -> float:
-        a, b = seen[1][w] / n1, seen[0][w] / n0
-        return (a - b) / np.sqrt((a + b) / n1 + 1.0 / n1 / n1)
 
-    ranked = sorted((w for w in seen[1] if seen[1][w] >= 3), key=lambda w: (-excess(w), -len(w), w))
-    out: list[str] = []
-    for w in ranked:
+def choose_landmarks(ranked: list[tuple[str, int]], most: int = LANDMARKS) -> list[str]:
+    """Landmarks from candidates (word, number of texts with the label that hold it), the most telling first."""
+    out: dict[str, int] = {}
+    for w, n in ranked:
         # An opening adds nothing to a longer word that the same texts hold.
-        if not any((w.startswith(x) or x.startswith(w)) and abs(seen[1][x] - seen[1][w]) <= 0.1 * seen[1][x] for x in out):
-            out.append(w)
+        if not any((w.startswith(x) or x.startswith(w)) and abs(k - n) <= 0.1 * k for x, k in out.items()):
+            out[w] = n
         if len(out) >= most:
             break
     return sorted(out) or ["none"]
 
 
-def _marred(text: str, marks: list[str], at: int) -> str:
+def marred(text: str, marks: list[str], at: int) -> str:
     """text with a mark put into each of its words that begin like a landmark of five letters or more; empty if it has none."""
-    openings = tuple(m[:5] for m in marks if len(m) > 4)
-    told = [w for w in words_of(text) if w.startswith(openings)]
-    words = [w if not w.startswith(openings) else w[: 1 + at % 4] + "-.*_"[at % 4] + w[1 + at % 4 :] for w in words_of(text)]
-    return " ".join(words) if told else ""
+    begin = tuple(m[:5] for m in marks if len(m) > 4)
+    words = words_of(text)
+    if not begin or not any(w.startswith(begin) for w in words):
+        return ""
+    return " ".join(w[: 1 + at % 4] + "-.*_"[at % 4] + w[1 + at % 4 :] if w.startswith(begin) else w for w in words)
 
 
-def fit(texts: list[str], labels: list[int], most: int = LANDMARKS, cost: float = 4.0, rounds: int = 400) -> Scorer:
-    """A scorer trained on labelled texts. With a single class it gives each text that class's share."""
-    y = np.asarray(labels, np.int64)
-    if len(y) == 0 or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        return Scorer(["none"], np.zeros(2), 0.0, 0.0, float(np.log((1 - min(max(share, 0.01), 0.99)) / min(max(share, 0.01), 0.99))))
-    marks = choose_landmarks(texts, y, most)
-    scorer = Scorer(marks, np.zeros(2 * len(marks)), 0.0, -1.0, 0.0)
-    marred = [_marred(t, marks, i) for i, t in enumerate(texts) if y[i] == 1]
-    texts, y = [*texts, *filter(None, marred)], np.concatenate([y, np.ones(sum(map(bool, marred)), np.int64)])
-    x = Reader(scorer).features(texts).astype(np.float64) ** POWER
-    # Nyström: features that make the linear machine one in the kernel's space, as far as the landmarks span it.
-    own = scorer.likeness(marks).astype(np.float64) ** POWER
-    values, vectors = np.linalg.eigh((own + own.T) / 2 + 1e-3 * np.eye(len(marks)))
-    root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-    root = np.kron(np.eye(2), root)
-    z = x @ root
+def _machine(z: np.ndarray, y: np.ndarray, cost: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear support vector machine: squared hinge loss by Nesterov's accelerated gradient."""
     side = np.where(y == 1, 1.0, -1.0)
-    weight = np.where(y == 1, ((y == 0).sum() / (y == 1).sum()) ** 0.25, 1.0)
-    # Squared hinge loss by Nesterov's accelerated gradient.
+    weight = np.where(y == 1, ((y == 0).sum() / max(1, (y == 1).sum())) ** 0.25, 1.0)
     w, b, vw, vb = np.zeros(z.shape[1]), 0.0, np.zeros(z.shape[1]), 0.0
     step = 1 / (1 + 2 * cost * (weight @ (np.square(z).sum(1) + 1)) / len(y))
     for r in range(rounds):
@@ -224,22 +216,48 @@ def fit(texts: list[str], labels: list[int], most: int = LANDMARKS, cost: float
         slack = np.maximum(0, 1 - side * (z @ tw + tb)) * side * weight / len(y)
         nw, nb = tw - step * (tw - 2 * cost * z.T @ slack), tb + step * 2 * cost * slack.sum()
         vw, vb, w, b = nw - w, nb - b, nw, nb
-    margin = z @ w + b
-    # Platt's sigmoid by Newton's method.
+    return w, b
+
+
+def _slope(margin: np.ndarray, y: np.ndarray) -> float:
+    """The slope of Platt's sigmoid, by Newton's method."""
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     goal = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, c = -1.0, np.log((n0 + 1) / (n1 + 1))
+    a, c = 1.0, -np.log((n0 + 1) / (n1 + 1))
     for _ in range(50):
-        p = 1 / (1 + np.exp(np.clip(a * margin + c, -30, 30)))
+        p = 1 / (1 + np.exp(np.clip(-a * margin - c, -30, 30)))
         d, h = goal - p, p * (1 - p) + 1e-9
         grad = np.array([(margin * d).sum(), d.sum()])
         hess = np.array([[(margin * margin * h).sum() + 1e-3, (margin * h).sum()], [(margin * h).sum(), h.sum() + 1e-3]])
         move = np.linalg.solve(hess, grad)
-        a, c = a - np.clip(move[0], -1, 1), c - np.clip(move[1], -1, 1)
-    # A score of one half goes where F0.5 over the texts as they are is best: clean texts count for more than missed ones.
-    own = slice(0, len(labels))
-    order = np.argsort(-margin[own], kind="stable")
-    hits, ranked = np.cumsum(y[own][order]), margin[own][order]
+        a, c = a + np.clip(move[0], -1, 1), c + np.clip(move[1], -1, 1)
+    return max(0.1, float(a))
+
+
+def fit(marks: list[str], values: np.ndarray, labels: np.ndarray, extra: np.ndarray, cost: float = 5000.0, rounds: int = 2000, folds: int = 5) -> Scorer:
+    """A scorer trained on texts' kernel values with the landmarks and their labels; extra: values of marred texts with the
+    label. With a single class it gives each text that class's share.
+
+    Scores aren't probabilities: a half lies where F0.5 is best (clean texts count for more than missed ones). That place and
+    the slope come from margins of machines that haven't seen the text.
+    """
+    y = np.asarray(labels, np.int64)
+    if len(y) == 0 or y.min() == y.max():
+        share = min(max(float(y.mean()) if len(y) else 0.0, 0.01), 0.99)
+        return Scorer(marks, np.zeros(len(marks)), float(np.log(share / (1 - share))), 1.0, 0.0)
+    own = Subsequences(marks).values(marks).astype(np.float64) ** POWER
+    size, vectors = np.linalg.eigh((own + own.T) / 2 + 1e-3 * np.eye(len(marks)))
+    root = vectors / np.sqrt(np.maximum(size, 1e-3)) @ vectors.T
+    z = np.concatenate([values, extra]).astype(np.float64) ** POWER @ root
+    y = np.concatenate([y, np.ones(len(extra), np.int64)])
+    margin, turn = np.zeros(len(y)), np.arange(len(y)) % folds
+    for k in range(folds):
+        rows = np.flatnonzero(turn != k)
+        if len(rows) and y[rows].min() != y[rows].max():
+            w, b = _machine(z[rows], y[rows], cost, rounds)
+            margin[turn == k] = z[turn == k] @ w + b
+    order = np.argsort(-margin, kind="stable")
+    hits, ranked = np.cumsum(y[order]), margin[order]
     at = int(np.argmax(1.25 * hits / (np.arange(1, len(order) + 1) + 0.25 * hits[-1])))
-    middle = (ranked[at] + ranked[min(at + 1, len(order) - 1)]) / 2
-    return Scorer(marks, root @ w, float(b), float(a), float(-a * middle))
+    w, b = _machine(z, y, cost, rounds)
+    return Scorer(marks, root @ w, float(b), _slope(margin, y), float((ranked[at] + ranked[min(at + 1, len(order) - 1)]) / 2))

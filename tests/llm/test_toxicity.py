@@ -1,14 +1,14 @@
+import zlib
 from collections import defaultdict
 from itertools import combinations
-import zlib
 
 import numpy as np
 import pytest
 
-from factlens.llm.string_kernel import DECAY, LENGTH, Reader, _codes, fit, kernel, words_of
-from factlens.llm.toxicity import held_out, score_texts, training_rows
+from factlens.llm.string_kernel import DECAY, LENGTH, Subsequences, _codes, kernel, words_of
+from factlens.llm.toxicity import held_out, score_texts, train, training_rows
 
-DATA = "/root/testdata/sf0.01"
+DATA = "/root/testdata/sf0.1"
 
 
 def spans(word):
@@ -19,11 +19,15 @@ def spans(word):
 
 
 def test_kernel_by_brute_force():
-    words = ["idiot", "id-iot", "clown", "réeux", "banana", "ana", "abc", "ab"]
+    words = ["idiot", "id-iot", "clown", "réeux", "banana", "ana", "abc", "ab", "zzz", "a" * 20]
     codes, _ = _codes(words)
     want = np.array([[sum(v * spans(b).get(k, 0) for k, v in spans(a).items()) for b in words] for a in words])
-    assert np.allclose(kernel(codes, codes), want, atol=1e-4)
-    assert np.allclose(kernel(codes, codes, pairs=True), np.diag(want), atol=1e-4)
+    assert np.allclose(kernel(codes, codes), want, rtol=1e-4)
+    assert np.allclose(kernel(codes, codes, pairs=True), np.diag(want), rtol=1e-4)
+    marks = [w for w in words if len(w) >= LENGTH]
+    at = [words.index(w) for w in marks]
+    norm = np.sqrt(np.maximum(np.diag(want), 1e-12))
+    assert np.allclose(Subsequences(marks).values(words), (want / norm[:, None] / norm[None, :])[:, at], atol=1e-4)
 
 
 def test_words():
@@ -31,30 +35,41 @@ def test_words():
     assert max(map(len, words_of("x" * 95))) <= 20 and words_of(" .. ") == []
 
 
-def test_held_out_accuracy(spark):
+def test_held_out_recall(spark):
+    """An answer that calls all texts clean has a recall of 0 and an area under the curve of a half."""
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
-    got = training_rows(docs, labels)
-    scorer = fit(*got)
+    scorer = train(training_rows(docs, labels))
     rows = score_texts(docs, scorer).join(labels, "doc_id").where(held_out(labels.doc_id)).collect()
     assert all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
-    right = np.mean([(r.score >= 0.5) == (r.toxic == 1) for r in rows])
-    assert right >= 0.9
+    bad, good = ([r.score for r in rows if r.toxic == k] for k in (1, 0))
+    assert np.mean([x >= 0.5 for x in bad]) >= 0.75 and np.mean([x >= 0.5 for x in good]) <= 0.01
+    assert np.mean([(x > z) + (x == z) / 2 for x in bad for z in good]) >= 0.93
 
 
 def test_gaps_and_empty(spark):
     rng = np.random.default_rng(0)
     filler = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "lambda"]
     say = lambda *more: " ".join([*rng.choice(filler, 20), *more])
-    scorer = fit([say("moron") for _ in range(40)] + [say("idiot") for _ in range(40)] + [say() for _ in range(200)], [1] * 80 + [0] * 200)
-    score = lambda t: float(scorer.score(Reader(scorer).features([t]))[0])
-    assert score(say("moron")) > 0.5 > score(say()) and score(say("m.oron")) > score(say()) and score("i d i o t") > 0.5
-    docs = spark.createDataFrame([(1, None), (2, ""), (2, "")], "doc_id long, text string")
-    assert [r.score < 0.5 for r in score_texts(docs, scorer).collect()] == [True] * 3
-    assert score_texts(docs, fit([], [])).where("score < 0.5").count() == 3
+    rows = [(say(w), 1) for w in ("moron", "idiot") for _ in range(40)] + [(say(), 0) for _ in range(200)] + [(None, 0)]
+    scorer = train(spark.createDataFrame(rows, "text string, label int"))
+    asked = [(1, say("moron")), (2, say("m.oron")), (3, "i d i o t"), (4, say("idi*ot")), (5, say()), (6, None), (7, ""), (7, ""), (7, "idiot")]
+    docs = spark.createDataFrame(asked, "doc_id long, text string").selectExpr("*", "1 AS id", "'x' AS label", "2 AS h")
+    got = sorted((r.doc_id, r.score >= 0.5) for r in score_texts(docs, scorer).collect())
+    assert got == [(1, True), (2, True), (3, True), (4, True), (5, False), (6, False), (7, False), (7, False), (7, True)]
+    assert score_texts(docs, train(docs.selectExpr("text", "0 AS label").limit(0))).where("score < 0.5").count() == len(asked)
     assert score_texts(docs.limit(0), scorer).count() == 0
 
 
+def test_repeated_ids_count_as_pairs(spark):
+    docs = spark.createDataFrame([(1, "one"), (1, "two"), (1, "two"), (2, None), (3, "held out or not")], "doc_id long, text string").selectExpr("*", "0 AS label", "'c' AS toxic")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (9, 1), (None, 1)], "doc_id long, toxic int")
+    free = {i for i in (1, 2) if zlib.crc32(str(i).encode()) % 5}
+    want = [x for x in [("one", 0), ("one", 1), ("two", 0), ("two", 1)] if 1 in free] + [("", 0)] * (2 in free)
+    assert sorted((r.text, r.label) for r in training_rows(docs, labels).collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("label", [0, 1])
-def test_single_class(label):
-    scorer = fit(["a b c"], [label])
-    assert (float(scorer.score(Reader(scorer).features(["x"]))[0]) >= 0.5) == bool(label)
+def test_single_class(spark, label):
+    scorer = train(spark.createDataFrame([("a b c", label)], "text string, label int"))
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    assert (score_texts(docs, scorer).first().score >= 0.5) == bool(label)
