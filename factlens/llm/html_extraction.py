@@ -9,7 +9,10 @@
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by
 one line break in page order. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments (by tag, class, id or role) are left out; nothing else is.
+comments are left out; nothing else is. Elements that are these by tag or role, or are hidden, go. Blocks that are these by
+a class or id go too, unless they hold MOST of the page's text (and none is marked as main text elsewhere) or have the winning path: the whole of a class or id has to
+say so (`ad`), or its first or last part (`site-header`, `comment-list`) where the other part doesn't say that something
+else merely has one (`has-sidebar`). Headings, paragraphs and inline elements go only by a whole class or id.
 
 Edge cases: null or empty html gives an empty text; a null URL's page counts to the host ''; markup without any
 container counts as the body; unclosed tags end with their parent or the page; repeated rows are extracted one by one.
@@ -20,6 +23,8 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,25 +34,68 @@ from factlens.llm.common import saved, slices, table
 
 #: Up to so many hosts the winning paths are broadcast; beyond, they are joined by a shuffle.
 MAX_BROADCAST_HOSTS = 100_000
-#: Beyond that bound a host's pages are dealt over so many join keys.
-SALTS = 32
+#: The share of a page's text that shows a container to be no boilerplate, whatever its classes say.
+MOST = 0.8
+#: Beyond that bound a host's pages are dealt over a join key for each SALT of them (the largest hosts, as many as the bound).
+SALT = 50_000
 
 # HTML elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object select option button".split())
+RAW = frozenset("script style textarea title iframe template".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article blockquote body center dd div dl fieldset figure li main ol section table tbody td tr ul".split())
-BOILERPLATE = frozenset("aside dialog footer form head header menu nav".split())
+INLINE = frozenset("p span a b i em strong small h1 h2 h3 h4 h5 h6".split())
+BOILERPLATE = frozenset("aside button dialog footer form head header menu nav select".split())
 # Words in class, id or role that mark boilerplate, and such as mark the main text.
 OUT = frozenset("ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus footer form gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices outbrain pager pagination popup promo promos promotion recommended related replies reply respond search share sharing sidebar sidebars signup skyscraper social sponsor sponsored subscribe taboola toolbar widget widgets".split())
+HAVING = frozenset("has have with without no not is in show hide open close below above after before".split())
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 MAIN = frozenset("article articlebody body content entry main post story text".split())
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)""", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_PART = re.compile(r"[-_.:]+|(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"\d+")
 
 
+class _Said(NamedTuple):
+    """What an element's attributes say of it."""
+
+    classes: list[str]  # generalised
+    main: bool
+    out: bool  # a part of a class or id marks boilerplate
+    plainly: bool  # a whole class or id does
+    gone: bool  # hidden, or boilerplate by its role
+
+
+_NOTHING = _Said([], False, False, False, False)
+
+
+@lru_cache(maxsize=20_000)
+def _said(attributes: str) -> _Said:
+    main = out = plainly = gone = False
+    classes: set[str] = set()
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key == "hidden":
+            gone = True
+        elif key == "style":
+            gone = gone or "display:none" in value.lower().replace(" ", "")
+        elif key == "role":
+            gone = gone or value.strip().lower() in ROLES
+            main = main or value.strip().lower() in MAIN
+        else:
+            for token in value.split():
+                parts = [x.lower() for x in _PART.split(_DIGITS.sub("", token)) if x]
+                main = main or not MAIN.isdisjoint(parts)
+                if key == "class":
+                    classes.add(_DIGITS.sub("#", token.lower()))
+                if key != "itemprop" and parts:
+                    plainly = plainly or len(parts) == 1 and parts[0] in OUT
+                    out = out or HAVING.isdisjoint(parts) and (parts[0] in OUT or parts[-1] in OUT)
+    return _Said(sorted(classes), main, out, plainly, gone)
+
+
 class Page:
     """A page's containers and text blocks, read in one pass over its tags."""
 
@@ -55,6 +103,7 @@ class Page:
         self.paths: list[str] = ["body"]
         self.parents: list[int] = [-1]
         self.weights: list[float] = [0.5]
+        self.doubtful: list[bool] = [False]  # boilerplate by a class or id
         self.blocks: list[tuple[str, int, int]] = []  # text, container, characters outside links
         self._read(source)
 
@@ -116,53 +165,58 @@ class Page:
             _, box, out, link = stack[-1]
             if name in ("html", "body"):
                 continue
-            words, classes, hidden = self._words(attributes) if attributes else (frozenset(), (), False)
-            bad = hidden or name in BOILERPLATE or bool(words & OUT) and name in (CONTAINERS | {"p", "span", "a", "h1", "h2", "h3", "h4", "h5", "h6"})
+            said = _said(attributes) if attributes else _NOTHING
+            bad = said.gone or name in BOILERPLATE or said.plainly and name in INLINE
             if bad and not out:
                 end_block() if name in BLOCKS else None
             out = out or bad
             if name in CONTAINERS and not out:
-                self.paths.append(f"{self.paths[box]}/{name}" + "".join(f".{x}" for x in classes))
+                self.paths.append(f"{self.paths[box]}/{name}" + "".join(f".{x}" for x in said.classes))
                 self.parents.append(box)
-                self.weights.append(4.0 if name == "article" else 3.0 if name == "main" or words & MAIN else 1.0)
+                self.weights.append(4.0 if name == "article" else 3.0 if name == "main" or said.main else 1.0)
+                self.doubtful.append(said.out)
                 box = len(self.paths) - 1
             if name in CONTAINERS or name in BOILERPLATE or name in ("p", "a", "dt", "th") or bad:
                 stack.append((name, box, out, link or name == "a"))
         end_block()
 
-    @staticmethod
-    def _words(attributes: str) -> tuple[frozenset[str], list[str], bool]:
-        """The words of class, id, role and itemprop; the generalised classes; whether the element is hidden."""
-        words, hidden, classes = set(), False, []
-        for m in _ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if key == "hidden":
-                hidden = True
-            elif key == "style":
-                hidden = hidden or "display:none" in value.replace(" ", "")
-            else:
-                words.update(_WORD.findall(value))
-                if key == "class":
-                    classes = sorted({_DIGITS.sub("#", c) for c in value.split()})
-        return frozenset(words), classes, hidden
+    def _settle(self) -> list[int]:
+        """Decide which doubtful containers are boilerplate: those that hold less than MOST of the page's text (outside
+        links), and all if the main text is marked elsewhere. Returns the characters below each container, without those in boilerplate."""
+        own = [0] * len(self.paths)
+        for _, box, n in self.blocks:
+            own[box] += n
+        below = own[:]
+        for i in range(len(below) - 1, 0, -1):
+            below[self.parents[i]] += below[i]
+        beneath = self.doubtful[:]
+        for i in range(1, len(own)):
+            beneath[i] = beneath[i] or beneath[self.parents[i]]
+        # Where the page marks its main text elsewhere, no doubt is left.
+        marked = any(w > 1 and n and not bad for w, n, bad in zip(self.weights, below, beneath, strict=True))
+        self.cut = [doubtful and (marked or below[i] < MOST * below[0]) for i, doubtful in enumerate(self.doubtful)]
+        for i in range(len(own) - 1, 0, -1):
+            if not self.cut[i]:
+                own[self.parents[i]] += own[i]
+        return own
 
     def best(self) -> tuple[str, int]:
         """The path of the container with the highest score, and the characters below it."""
-        chars = [0] * len(self.paths)
-        for _, box, n in self.blocks:
-            chars[box] += n
-        for i in range(len(chars) - 1, 0, -1):
-            chars[self.parents[i]] += chars[i]
-        i = max(range(len(chars)), key=lambda k: (chars[k] * self.weights[k], k))
+        chars = self._settle()
+        out = [False] * len(chars)
+        for i in range(1, len(chars)):
+            out[i] = self.cut[i] or out[self.parents[i]]
+        i = max((k for k, gone in enumerate(out) if not gone), key=lambda k: (chars[k] * self.weights[k], k))
         return self.paths[i], chars[i]
 
     def text(self, path: str | None) -> str:
         """The text below the containers with that path, or below the page's own best container if it has none."""
+        best = self.best()[0]
         if path not in self.paths:
-            path = self.best()[0]
-        inside = []
-        for own, parent in zip(self.paths, self.parents, strict=True):
-            inside.append(own == path or parent >= 0 and inside[parent])
+            path = best
+        inside: list[bool] = []
+        for i, (own, parent) in enumerate(zip(self.paths, self.parents, strict=True)):
+            inside.append(own == path or parent >= 0 and inside[parent] and not self.cut[i])
         return "\n".join(text for text, box, _ in self.blocks if inside[box])
 
 
@@ -171,7 +225,7 @@ def host_of(url: Column) -> Column:
 
 
 def winning_paths(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per host the path that wins the vote: host, path."""
+    """Per host the path that wins the vote: host, path, pages (votes in all)."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
@@ -181,8 +235,8 @@ def winning_paths(pages: DataFrame, *, url_col: str = "url", html_col: str = "ht
     votes = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(vote, "host string, path string, chars long").where("chars > 0")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("chars").alias("chars"))
     # The order of a struct that is largest for most votes, then most characters, then the first name.
-    best = counted.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), (-F.col("chars")).alias("c"), "path")).alias("b"))
-    return best.select("host", F.col("b.path").alias("path"))
+    best = counted.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), (-F.col("chars")).alias("c"), "path")).alias("b"), F.sum("votes").alias("pages"))
+    return best.select("host", F.col("b.path").alias("path"), "pages")
 
 
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_hosts: int = MAX_BROADCAST_HOSTS) -> DataFrame:
@@ -191,10 +245,14 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     winners = saved(winning_paths(pages, url_col=url_col, html_col=html_col))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     if winners.count() <= max_hosts:
-        rows = rows.join(F.broadcast(winners), "host", "left")
+        rows = rows.join(F.broadcast(winners.select("host", "path")), "host", "left")
     else:
-        dealt = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("url", "id"), F.lit(SALTS)).cast("int")).join(dealt, ["host", "salt"], "left")
+        # A host gets a salt for each SALT of its pages with text.
+        salts = winners.select("host", "path", F.ceil(F.col("pages") / SALT).cast("int").alias("salts"))
+        hot = F.broadcast(salts.where("salts > 1").orderBy(F.desc("salts"), "host").limit(max_hosts).select("host", "salts"))
+        rows = rows.join(hot, "host", "left").withColumn("salt", F.pmod(F.xxhash64("url", "id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        dealt = salts.drop("salts").join(hot, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        rows = rows.join(dealt, ["host", "salt"], "left")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):

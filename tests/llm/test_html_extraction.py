@@ -1,4 +1,8 @@
-from factlens.llm.html_extraction import Page, extract_text
+import html
+import random
+import re
+
+from factlens.llm.html_extraction import Page, extract_text, winning_paths
 
 ARTICLE = '<article><h1>Ti&amp;tle\n x</h1><p><b>One &lt;two&gt;<br><p>Three  <i>fo</i>ur</p> tail<aside>side</aside><form>f</form><div class="comments"><p>Reader</p></div></article>'
 
@@ -20,3 +24,52 @@ def test_article_only(spark):
 
 def test_paths_are_generalised():
     assert Page('<div class="b story12 a9"><p>x y z</p></div>').best()[0] == "body/div.a#.b.story#"
+
+
+def test_article_text_stays():
+    """What merely sounds like boilerplate, inside the article or around it."""
+    long = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu. " * 3
+    page = Page(f'<body><div class="sidebar"><p>side text</p></div><div class="main-content has-sidebar"><h2 class="section-header">Head</h2><p class="share-price">Up 3 %</p><p>{long}</p><math><mi>x</mi> = 2</math><svg><text>drawn</text></svg><noscript>plain</noscript><div class="comment-list"><p>reader</p></div><form><select><option>o</option></select><button>b</button></form><div id="relatedLinks"><p>more</p></div><p class="ad">Ad</p></div></body>')
+    assert page.text(page.best()[0]).split("\n") == ["Head", "Up 3 %", long.strip(), "x = 2drawnplain"]
+    wrapper = Page(f'<body><div class="social-post"><p>{long}</p></div><div class="ad">Buy</div></body>')
+    assert wrapper.text(None) == long.strip()
+
+
+def built(rng):
+    """A page and the article text that it holds."""
+    say = lambda n: " ".join(rng.choice(["alpha", "be&amp;ta", "gam&#109;a", "<i>del</i>ta", "é"]) for _ in range(n))
+    plain = lambda x: html.unescape(re.sub("<[^>]*>", "", x))
+    blocks, want = ["<p>first</p>"], ["first"]
+    for _ in range(rng.randrange(3, 9)):
+        text, kind = say(rng.randrange(8, 40)), rng.randrange(8)
+        if kind < 4:
+            blocks.append(f"<p>{text}\n</p>")
+            want.append(plain(text))
+        elif kind == 4:
+            items = [say(4) for _ in range(3)]
+            blocks.append("<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>")
+            want += map(plain, items)
+        elif kind == 5:
+            blocks.append(f"<h2 class='top'>{text}</h2>")
+            want.append(plain(text))
+        else:
+            blocks.append(rng.choice(['<div class="advert">{}</div>', "<script>{}</script>", "<aside>{}</aside>", '<div id="comments"><p>{}</p></div>', "<form>{}</form>", "<style>{}</style>", "<!-- {} -->", '<div class="newsletter-box"><p>{}</p></div>']).format(say(5)))
+    around = lambda: rng.choice(["<nav><ul><li><a href=x>{}</a></li></ul></nav>", "<header>{}</header>", '<div class="cookie-banner">{}</div>', "<footer>{}</footer>", ""]).format(say(6))
+    name = rng.choice(["article", "main", "div class='entry-content'", "section id=story"])
+    return f"<html><head><title>t</title></head><body>{around()}{around()}<{name}>{''.join(blocks)}</{name.split()[0]}>{around()}</body></html>", "\n".join(" ".join(x.split()) for x in want)
+
+
+def test_built_pages(spark):
+    rng = random.Random(3)
+    made = [built(rng) for _ in range(300)]
+    rows = [(i, f"http://h{i}/", page) for i, (page, _) in enumerate(made)] + [(900, "http://long/", "<body><article>" + "<p>x y</p>" * 60_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'h' AS host", "1 AS salt", "2 AS id", "3 AS path")
+    got = {r.page_id: r.text for r in extract_text(pages).collect()}
+    assert got == {**{i: text for i, (_, text) in enumerate(made)}, 900: "\n".join(["x y"] * 60_000)}
+
+
+def test_vote_ties(spark):
+    """Of paths with as many votes and characters the first by name wins."""
+    pages = spark.createDataFrame([(1, "http://h/1", "<div class='a'><p>one two</p></div><div class='b'><p>x</p></div>"), (2, "http://h/2", "<div class='b'><p>one two</p></div><div class='a'><p>x</p></div>")], "page_id long, url string, html string")
+    assert [r.path for r in winning_paths(pages).collect()] == ["body/div.a"]
+    assert {r.page_id: r.text for r in extract_text(pages).collect()} == {1: "one two", 2: "x"}
