@@ -15,8 +15,10 @@ deletions and replacements. Classes are the links' connected components; a class
    meets most often. That settles groups of any size at one comparison a node.
 4. What is left are buckets that hold nodes of different classes. There all nodes of different classes are compared, by
    sketches only, in blocks of BLOCK nodes. First, of the pairs that pass, those that best connect the classes (a spanning
-   forest) are aligned. Then, with what is connected by them, all pairs of different classes that pass and haven't been
-   aligned are. So no link between nodes that share a bucket depends on a leader, and no pair within a class is made.
+   forest) are aligned. Then, with what is connected by them, all pairs of different classes that pass are. There may be
+   many, since texts that nearly reach the threshold may be many: the nodes are dealt into blocks by their leaders, and
+   each two blocks' texts meet once in a task that aligns their pairs and returns links only. So no link between nodes that
+   share a bucket depends on a leader, and no pair within a class is made.
 5. A sketch has one byte for each of SKETCH random orders, that of the order's smallest labelled word. Of texts at the
    threshold two thirds of the words or more are common (labelled, by Jaccard), so 43 of 64 bytes agree on average; pairs
    that agree on fewer than AGREE, 4.4 standard deviations less, aren't aligned.
@@ -51,8 +53,9 @@ SHINGLE, FIVE = 5, 12
 SHORT, MIDDLE, MEDIUM, LONG = 12, 32, 48, 96
 #: Bytes of a sketch, and how many have to agree.
 SKETCH, AGREE = 64, 26
-#: Nodes of a bucket that are compared with each other at once; members of a leader that read its text in one task.
-BLOCK, TOGETHER = 2048, 512
+#: Nodes of a bucket that are compared with each other at once; members of a leader that read its text in one task; nodes
+#: of a leader whose texts are aligned with another block's at once.
+BLOCK, TOGETHER, TEXTS = 2048, 512, 256
 #: Up to so many nodes that need their texts compared are broadcast to pick those texts; beyond, they are joined.
 MAX_BROADCAST_NODES = 300_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -326,21 +329,20 @@ def _forest(a: np.ndarray, b: np.ndarray, likeness: np.ndarray, lab: np.ndarray)
     return np.array(kept, np.int64)
 
 
-def _met(members: DataFrame, nodes: DataFrame, tried: DataFrame | None, least: float, work: Scratch, block: int) -> DataFrame:
-    """Pairs (a, b) of different classes that share a bucket and whose sketches agree: without `tried` a forest that connects
-    the classes of each bucket, else all that aren't among `tried` (x, y). members: sig, id; nodes: id, node, n, sketch, lab."""
-    forest = tried is None
+def _met(members: DataFrame, nodes: DataFrame, forest: bool, least: float, work: Scratch, block: int) -> DataFrame:
+    """Pairs of different classes (x, y, and their homes hx, hy) that share a bucket and whose sketches agree: all, or with
+    `forest` those that connect each bucket's classes best. members: sig, id; nodes: id, home, n, sketch, lab."""
     classes = members.join(nodes.select("id", "lab"), "id")
     split = classes.groupBy("sig").agg(F.count("*").alias("c"), F.min("lab").alias("low"), F.max("lab").alias("high")).where("low != high")
     split = split.select("sig", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
-    rows = members.join(split, "sig").join(nodes.select("id", "lab", "n", "sketch"), "id").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = members.join(split, "sig").join(nodes.select("id", "home", "lab", "n", "sketch"), "id").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     # Each two blocks of a bucket meet in one cell: x below y, or a block with itself.
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("sig", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "id", "lab", "n", "sketch")
+    rows = rows.select("sig", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "id", "home", "lab", "n", "sketch")
     cells = rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
 
-    def pairs_of(cell: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        own, ids, lab, n = (cell.column(c).to_numpy() for c in ("own", "id", "lab", "n"))
+    def pairs_of(cell: pa.Table) -> np.ndarray:
+        own, ids, home, lab, n = (cell.column(c).to_numpy() for c in ("own", "id", "home", "lab", "n"))
         sketch = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
         across = cell.column("x")[0].as_py() != cell.column("y")[0].as_py()
         left, right, likeness = [], [], []
@@ -362,7 +364,8 @@ def _met(members: DataFrame, nodes: DataFrame, tried: DataFrame | None, least: f
         if forest and len(a) > 1:
             kept = _forest(a, b, agree.astype(np.int64), lab)
             a, b = a[kept], b[kept]
-        return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+        a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
+        return np.stack([ids[a], ids[b], home[a], home[b]])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cells come in order, so one is held at a time."""
@@ -373,10 +376,9 @@ def _met(members: DataFrame, nodes: DataFrame, tried: DataFrame | None, least: f
             ends = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
             ends = [0, *ends.tolist(), *[len(keys[0])] * last]
             found = [pairs_of(rows.slice(s, e - s)) for s, e in zip(ends, ends[1:], strict=False)]
-            a, b = (np.concatenate([np.zeros(0, np.int64), *v]) for v in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 2
-            both = np.unique(np.stack([a, b]), axis=1)
+            both = np.unique(np.concatenate([np.zeros((4, 0), np.int64), *found], axis=1), axis=1)
             for at in range(0, both.shape[1], 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(v[at : at + 100_000]) for v in both], names=["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(v[at : at + 100_000]) for v in both], names=["x", "y", "hx", "hy"])
             held[:] = rows.slice(ends[-1]).combine_chunks().to_batches() if not last else []
 
         rows = 0
@@ -390,8 +392,7 @@ def _met(members: DataFrame, nodes: DataFrame, tried: DataFrame | None, least: f
         if held:
             yield from cut(pa.Table.from_batches(held), True)
 
-    found = cells.mapInArrow(compare, "x bigint, y bigint").distinct()
-    return found if forest else found.join(tried, ["x", "y"], "left_anti")
+    return cells.mapInArrow(compare, "x bigint, y bigint, hx bigint, hy bigint").distinct()
 
 
 def _ends(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -401,6 +402,39 @@ def _ends(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.join(ends.select(F.col("id").alias("y"), F.col("node").alias("b")), "y").select("a", "b")
 
 
+def _aligned(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, least: float, work: Scratch) -> DataFrame:
+    """The pairs (x, y, hx, hy) that are links (a, b), aligned in blocks of nodes: a text goes once to each two blocks that hold
+    pairs of it."""
+    # A cell's pairs are TEXTS * TEXTS at most.
+    cells = work.save("cells", pairs.groupBy("hx", "hy").agg(F.collect_list(F.struct("x", "y")).alias("pairs")))
+    ids = F.array_distinct(F.concat(F.transform("pairs", lambda p: p["x"]), F.transform("pairs", lambda p: p["y"])))
+    held = cells.select("hx", "hy", F.explode(ids).alias("id")).join(nodes.select("id", "node"), "id")
+    wanted = work.save("wanted", held.select("node").distinct())
+    rows = docs.select(node(F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
+    some = rows.join(F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_NODES else wanted, "node", "left_semi")
+    texts = work.save("texts", some.dropDuplicates(["node"]))
+    some = held.join(texts, "node").select("hx", "hy", F.lit(None).cast("array<struct<x:bigint,y:bigint>>").alias("pairs"), "id", "node", "text")
+    both = some.unionByName(cells.select("hx", "hy", "pairs", F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("node"), F.lit(None).cast("string").alias("text")))
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells come in order, each with its texts first and then its pairs."""
+        cell, own = None, {}
+        for batch in slices(batches, "text"):
+            links = []
+            for r in batch.to_pylist():
+                if (r["hx"], r["hy"]) != cell:
+                    cell, own = (r["hx"], r["hy"]), {}
+                if r["pairs"] is None:
+                    own.setdefault(r["id"], []).append((r["node"], words_of(r["text"])))
+                    continue
+                for p in r["pairs"]:
+                    links += [(a, b) for a, v in own[p["x"]] for b, w in own[p["y"]] if within(v, w, int((1 - least) * max(len(v), len(w)) + 1e-9)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    dealt = both.repartition("hx", "hy").sortWithinPartitions("hx", "hy", F.col("pairs").isNotNull())
+    return dealt.mapInArrow(align, "a binary, b binary")
+
+
 def find_links(docs: DataFrame, work: Scratch, *, text_col: str = "text", least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Verified links between different texts as nodes (a, b): enough to connect each class."""
     nodes = work.save("nodes", _sketches(docs, text_col, least))
@@ -417,18 +451,24 @@ def find_links(docs: DataFrame, work: Scratch, *, text_col: str = "text", least:
     led = first.join(ends.withColumnRenamed("node", "a"), "id").join(other, "leader").where("a != b")
     pairs = work.save("pairs", _near(led, least))
     links = work.save("led", _verified(pairs, docs, text_col, least, work))
-    tried = None
+    # A node's home: its leader, and a block of that leader's nodes.
+    size = first.groupBy("leader").agg(F.ceil(F.count("*") / TEXTS).alias("blocks"))
+    homes = first.join(size, "leader").select("id", F.xxhash64("leader", F.pmod(F.xxhash64("id"), "blocks")).alias("home"))
+    plain = work.save("plain", nodes.drop("sigs").join(homes, "id", "left").withColumn("home", F.coalesce("home", F.xxhash64("id"))))
+    work.drop("nodes")
     for name in ("forest", "rest"):
         labels = components(links, work).withColumnRenamed("n", "node")
-        with_class = nodes.drop("sigs").join(labels, "node", "left").withColumn("lab", F.xxhash64(F.coalesce("label", "node"))).drop("label")
-        with_class = work.save("classed", with_class)
-        found = work.save(f"found_{name}", _met(members.select("sig", "id"), with_class, tried, least, work, block))
+        classed = plain.join(labels, "node", "left").withColumn("lab", F.xxhash64(F.coalesce("label", "node"))).drop("label")
+        classed = work.save("classed", classed)
+        found = work.save("found", _met(members.select("sig", "id"), classed, name == "forest", least, work, block))
         if found.isEmpty():
             break
-        pairs = work.save("pairs", _ends(found, nodes))
-        links = links.unionByName(work.save(name, _verified(pairs, docs, text_col, least, work)))
-        tried = found
-    work.drop("nodes", "members", "classed", "pairs", "found_forest", "found_rest", "texts", "wanted")
+        if name == "forest":
+            more = _verified(work.save("pairs", _ends(found, plain)), docs, text_col, least, work)
+        else:
+            more = _aligned(found, plain, docs, text_col, least, work)
+        links = links.unionByName(work.save(name, more))
+    work.drop("plain", "members", "classed", "pairs", "found", "texts", "wanted", "cells")
     return links
 
 

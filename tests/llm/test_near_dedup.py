@@ -113,6 +113,26 @@ def test_pairs_at_the_threshold(spark):
     assert linked(spark, [" ".join(x) for x in texts]) == {i: i // 2 * 2 for i in range(len(texts))}
 
 
+def test_many_pairs_below_the_threshold(spark):
+    """Texts that are all nearly similar to each other, and some that are: only these are linked."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(60)]
+    texts = [[w if rng.random() > 0.14 else f"o{rng.randrange(10**9)}" for w in base] for _ in range(90)]
+    want = list(range(90))
+
+    def root(i):
+        while want[i] != i:
+            i = want[i]
+        return i
+
+    for i, j in combinations(range(90), 2):
+        if similar(" ".join(texts[i]), " ".join(texts[j])):
+            x, y = sorted((root(i), root(j)))
+            want[y] = x
+    assert 5 < len({root(i) for i in range(90)}) < 85
+    assert linked(spark, [" ".join(x) for x in texts], block=20) == {i: root(i) for i in range(90)}
+
+
 def edited(rng, words, edits):
     """words after `edits` insertions, deletions or replacements of words drawn anywhere."""
     out = list(words)
