@@ -51,7 +51,5 @@ class Engine:
         return chunks.crossJoin(self.store.nodes().agg(F.count("*").alias("nodes"))).crossJoin(self.store.edges().agg(F.count("*").alias("edges")))
 
     def delete_document(self, doc_id: str) -> None:
-        """A document's chunks, edges and the nodes that only it held."""
-        _, nodes = graph.remove_document(self.store.edges(), self.store.nodes(), doc_id)
-        self.store.put_nodes(nodes)
+        """A document's chunks, edges and mentions, and so the nodes that only it held."""
         self.store.delete_document(doc_id)

@@ -131,7 +131,7 @@ def time_sliced_bfs(edges: DataFrame, seeds: DataFrame, hops: int = 2, window: t
         # Equal facts have equal ends, so the first of them can be picked among the touched ones.
         hit = _touching(slice_, frontier, "_s", "_o").groupBy("subject", "predicate", "object").agg(F.min_by(F.struct(*slice_.columns), "edge_seq").alias("e")).select("e.*")
         if out is not None:
-            hit = hit.join(out.select("edge_seq"), "edge_seq", "left_anti")
+            hit = hit.join(out.select("subject", "predicate", "object"), ["subject", "predicate", "object"], "left_anti")
         hit = hit.withColumn("hop", F.lit(hop)).persist()
         out = hit if out is None else out.unionByName(hit)
         if hop < hops:

@@ -1,4 +1,9 @@
-"""Tables of chunks, edges and nodes as Parquet folders, written whole per document."""
+"""Tables of chunks, edges and entity mentions as Parquet folders, one folder a batch, and the documents' states.
+
+A batch only adds folders, and its states come last. A document's rows are those of the last batch that has a state of it, so
+a new version replaces the old one even if it has no rows, a deleted document is one more state, and a batch that breaks off
+leaves no trace. A batch costs what it holds; readers join the states; compact() rewrites what counts as one batch.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factlens.operators.graph import graphml_lines
+from factlens.operators.graph import graphml_lines, merge_nodes
 
 _TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "date": T.DateType(), "strings": T.ArrayType(T.StringType()), "floats": T.ArrayType(T.FloatType())}
 
@@ -17,78 +22,81 @@ def _schema(text: str) -> T.StructType:
 
 CHUNKS = _schema("chunk_id string, doc_id string, doc_name string, text string, page int, start date, end date, start_label string, end_label string, entities strings, vector floats")
 EDGES = _schema("subject string, predicate string, object string, valid_from date, valid_until date, start_label string, end_label string, doc_id string, chunk_id string, evidence string, confidence double, edge_seq long")
-NODES = _schema("name string, type string, aliases strings, doc_ids strings, mention_count long")
+MENTIONS = _schema("name string, type string, aliases strings, doc_id string, seq long")
+STATES = _schema("doc_id string, status string, error string, chunk_count long, entity_count long, relation_count long")
+TABLES = {"chunks": CHUNKS, "edges": EDGES, "mentions": MENTIONS}
 
 
 class Store:
-    """A folder with the tables. Chunks and edges are parted by a hash of the document, so their number of folders is
-    fixed; writing a document rewrites its parts, with what it held of that document left out."""
+    """A folder with the tables. One writer at a time."""
 
-    def __init__(self, spark: SparkSession, path: str, parts: int = 64):
-        self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
 
-    def _read(self, name: str, schema: T.StructType) -> DataFrame:
+    def _folder(self, name: str):
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(T.StructType([*schema.fields, T.StructField("part", T.IntegerType())])).parquet(f"{self.path}/{name}")
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _read(self, name: str, schema: T.StructType) -> DataFrame:
+        whole = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+        folder, files = self._folder(name)
+        if not files.exists(folder):
+            return self.spark.createDataFrame([], whole)
+        return self.spark.read.schema(whole).parquet(f"{self.path}/{name}")
+
+    def states(self) -> DataFrame:
+        """The last state of each document, with its batch."""
+        rows = self._read("states", STATES)
+        return rows.groupBy("doc_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "doc_id"]), "batch").alias("s")).select("doc_id", "s.*")
+
+    def _live(self, name: str) -> DataFrame:
+        live = self.states().where("status = 'indexed'").select("doc_id", "batch")
+        return self._read(name, TABLES[name]).join(live, ["doc_id", "batch"], "left_semi").select(*TABLES[name].names)
 
     def chunks(self) -> DataFrame:
-        return self._read("chunks", CHUNKS).select(*CHUNKS.names)
+        return self._live("chunks")
 
     def edges(self) -> DataFrame:
-        return self._read("edges", EDGES).select(*EDGES.names)
+        return self._live("edges")
+
+    def mentions(self) -> DataFrame:
+        return self._live("mentions")
 
     def nodes(self) -> DataFrame:
-        return self._read("nodes", NODES).select(*NODES.names)
-
-    def _part(self):
-        return F.pmod(F.xxhash64("doc_id"), F.lit(self.parts)).cast("int")
-
-    def _replace(self, name: str, new: DataFrame, docs: DataFrame) -> None:
-        schema = CHUNKS if name == "chunks" else EDGES
-        parts = [r.part for r in docs.select(self._part().alias("part")).distinct().collect()]  # self.parts numbers at most
-        old = self._read(name, schema)
-        if "part" in old.columns:  # the folders prune to the parts that are written again
-            old = old.where(F.col("part").isin(parts))
-        old = old.select(*schema.names).join(docs, "doc_id", "left_anti").select(*schema.names)
-        rows = old.unionByName(new.select(*schema.names)).withColumn("part", self._part())
-        rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.path}/{name}")
-
-    def put(self, name: str, rows: DataFrame) -> None:
-        """The documents in rows, in place of what there is of them. Vectors of another width raise ValueError."""
-        if name == "chunks":
-            widths = [r.n for r in rows.select(F.size("vector").alias("n")).distinct().limit(3).collect()]
-            old = self.chunks().select(F.size("vector").alias("n")).limit(1).collect()
-            if len(found := {*widths, *[r.n for r in old]}) > 1:
-                raise ValueError(f"vectors of different widths: {sorted(found)}")
-        self._replace(name, rows, rows.select("doc_id").distinct())
-
-    def put_nodes(self, nodes: DataFrame) -> None:
-        """All nodes, written beside the old ones first."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        new, old = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}") for n in ("nodes.new", "nodes"))
-        nodes.select(*NODES.names).write.mode("overwrite").parquet(f"{self.path}/nodes.new")
-        fs = new.getFileSystem(conf)
-        fs.delete(old, True)
-        fs.rename(new, old)
+        return merge_nodes(self.mentions(), self.edges())
+
+    def next_batch(self) -> int:
+        folder, files = self._folder("states")
+        names = [x.getPath().getName() for x in files.listStatus(folder)] if files.exists(folder) else []
+        return 1 + max([int(x.partition("=")[2]) for x in names if x.startswith("batch=")], default=0)
+
+    def put(self, name: str, rows: DataFrame, batch: int) -> DataFrame:
+        """rows written as a batch's part of a table, and read again. Vectors of another width raise ValueError."""
+        schema = TABLES.get(name, STATES)
+        rows = rows.select(*schema.names)
+        old = [r.n for r in self.chunks().select(F.size("vector").alias("n")).limit(1).collect()] if name == "chunks" else []
+        path = f"{self.path}/{name}/batch={batch}"
+        rows.write.mode("overwrite").parquet(path)
+        out = self.spark.read.schema(schema).parquet(path)
+        if old and (found := {r.n for r in out.select(F.size("vector").alias("n")).distinct().limit(3).collect()} | set(old)) != set(old):
+            raise ValueError(f"vectors of different widths: {sorted(found)}")
+        return out
 
     def delete_document(self, doc_id: str) -> None:
-        docs = self.spark.range(1).select(F.lit(doc_id).alias("doc_id"))
-        for name, schema in (("chunks", CHUNKS), ("edges", EDGES)):
-            rest = self._read(name, schema)
-            if "part" not in rest.columns:
-                continue
-            part = docs.select(self._part().alias("p")).first()["p"]
-            kept = rest.where((F.col("part") == part) & (F.col("doc_id") != doc_id)).select(*schema.names)
-            # A part without rows would not be written: what is left is written even then, as a file without rows.
-            target = f"{self.path}/{name}/part={part}"
-            kept.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{name}.new")
-            jvm = self.spark._jvm
-            new, old = (jvm.org.apache.hadoop.fs.Path(x) for x in (f"{self.path}/{name}.new", target))
-            fs = new.getFileSystem(self.spark._jsc.hadoopConfiguration())
-            fs.delete(old, True)
-            fs.rename(new, old)
+        gone = self.spark.range(1).select(F.lit(doc_id).alias("doc_id"), F.lit("deleted").alias("status"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in STATES.fields[2:]])
+        self.put("states", gone, self.next_batch())
+
+    def compact(self) -> None:
+        """What counts of all batches as one batch; the others' folders go."""
+        batch = self.next_batch()
+        for name in TABLES:
+            self.put(name, self._live(name), batch)
+        self.put("states", self.states(), batch)
+        for name in (*TABLES, "states"):
+            folder, files = self._folder(name)
+            for x in files.listStatus(folder):
+                if x.getPath().getName().startswith("batch=") and x.getPath().getName() != f"batch={batch}":
+                    files.delete(x.getPath(), True)
 
     def count(self) -> int:
         return self.chunks().count()

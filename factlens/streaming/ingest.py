@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from factlens.functions.embed import DIMENSIONS, embed
 from factlens.functions.extract import chunk_window, relation_frames, typed_entities
 from factlens.operators.chunking import OVERLAP, SIZE, chunk_documents
-from factlens.operators.graph import merge_nodes, upsert_edges
+from factlens.operators.graph import upsert_edges
 from factlens.sources.store import CHUNKS, EDGES, Store
 
 PAGES = "doc_id string, page int, text string"
@@ -24,23 +24,38 @@ def chunk_table(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, dime
     return rows.select("chunk_id", "doc_id", F.col("doc_id").alias("doc_name"), "text", F.col("page_start").alias("page"), "w.start", "w.end", "w.start_label", "w.end_label", "entities", "vector").select(*CHUNKS.names)
 
 
-def edge_table(chunks: DataFrame) -> DataFrame:
-    """The relations of chunks as rows of the edge table; edge_seq orders them within the batch."""
+#: Tasks that number a batch's edges, and bits of an ordinal for the task and for its rows.
+TASKS, TASK_BITS, ROW_BITS = 1 << 13, 13, 30
+
+
+def edge_table(chunks: DataFrame, batch: int = 0) -> DataFrame:
+    """The relations of chunks as rows of the edge table. edge_seq is the order of ingestion: by batch, document, chunk and
+    place in the chunk, no number twice."""
     found = relation_frames(chunks.select("doc_id", "chunk_id", "text"), ["doc_id", "chunk_id"])
-    seq = F.conv(F.substring(F.md5("chunk_id"), 1, 10), 16, 10).cast("long") * 1000 + F.col("position")
-    rows = found.select("subject", "predicate", "object", "valid_from", "valid_until", "start_label", "end_label", "doc_id", "chunk_id", F.col("sentence").alias("evidence"), "confidence", seq.alias("edge_seq"))
-    return upsert_edges(None, rows).select(*EDGES.names)
+    rows = found.select("subject", "predicate", "object", "valid_from", "valid_until", "start_label", "end_label", "doc_id", "chunk_id", F.col("sentence").alias("evidence"), "confidence", F.col("position").cast("long").alias("edge_seq"))
+    kept = upsert_edges(None, rows).select(*EDGES.names)
+    order = ["doc_id", F.length("chunk_id"), "chunk_id", "edge_seq", "subject", "object"]
+    parts = min(TASKS, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = kept.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # monotonically_increasing_id has the task's number above 33 bits of its rows'.
+    at = F.monotonically_increasing_id()
+    task, row = F.shiftright(at, 33), at.bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.withColumn("edge_seq", F.lit(batch << (TASK_BITS + ROW_BITS)) + task * (1 << ROW_BITS) + row)
 
 
 def ingest(store: Store, pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, dimensions: int = DIMENSIONS) -> None:
-    """pages written to the store; what it holds of their documents is replaced."""
-    chunks = chunk_table(pages, size, overlap, dimensions).persist()
-    store.put("chunks", chunks)
-    store.put("edges", edge_table(chunks))
-    chunks.unpersist()
-    every = store.chunks()
-    mentions = typed_entities(every, ["doc_id", "chunk_id"]).select("name", "type", F.lit(None).cast("array<string>").alias("aliases"), "doc_id", F.col("rank").cast("long").alias("seq"))
-    store.put_nodes(merge_nodes(mentions, store.edges()))
+    """pages written to the store as a batch, in place of what it holds of their documents. A document without text is a
+    failed one."""
+    batch = store.next_batch()
+    chunks = store.put("chunks", chunk_table(pages, size, overlap, dimensions), batch)
+    edges = store.put("edges", edge_table(chunks, batch), batch)
+    found = typed_entities(chunks, ["doc_id", "chunk_id"])
+    mentions = store.put("mentions", found.select("name", "type", F.lit(None).cast("array<string>").alias("aliases"), "doc_id", F.col("rank").cast("long").alias("seq")), batch)
+    states = pages.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    for name, rows in (("chunk_count", chunks), ("entity_count", mentions.select("doc_id", "name").distinct()), ("relation_count", edges)):
+        states = states.join(rows.groupBy("doc_id").agg(F.count("*").alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    empty = F.col("chunk_count") == 0
+    store.put("states", states.select("doc_id", F.when(empty, "failed").otherwise("indexed").alias("status"), F.when(empty, "no text to extract").alias("error"), "chunk_count", "entity_count", "relation_count"), batch)
 
 
 def ingest_stream(spark: SparkSession, store: Store, folder: str, checkpoint: str, **options) -> StreamingQuery:

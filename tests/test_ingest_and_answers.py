@@ -64,6 +64,25 @@ def test_again_and_away(engine, spark, tmp_path):
     assert predicates(engine.store.edges()) == {"imposes", "amends"}
 
 
+def test_new_versions_replace_old_ones(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"), dimensions=16)
+    engine.ingest(spark.createDataFrame([("a", 1, STATEMENTS["a"]), ("b", 1, STATEMENTS["b"])], PAGES))
+    assert engine.store.edges().count() == 5
+    engine.ingest(spark.createDataFrame([("a", 1, "Nothing is dated here."), ("b", 1, "  ")], PAGES))
+    assert engine.store.edges().count() == 0 and [r.doc_id for r in engine.store.doc_ids().collect()] == ["a"]
+    states = {r.doc_id: (r.status, r.error, r.chunk_count, r.relation_count) for r in engine.store.states().collect()}
+    assert states == {"a": ("indexed", None, 1, 0), "b": ("failed", "no text to extract", 0, 0)}
+    engine.ingest(spark.createDataFrame([("b", 1, STATEMENTS["b"]), ("c", 1, STATEMENTS["a"])], PAGES))
+    seqs = [(r.edge_seq, r.doc_id) for r in engine.store.edges().orderBy("edge_seq").collect()]
+    assert len({x for x, _ in seqs}) == 5 and [d for _, d in seqs] == ["b", "b", "c", "c", "c"]
+    before = {tuple(r) for r in engine.store.edges().collect()}
+    engine.delete_document("c")
+    assert {r.doc_id for r in engine.store.edges().collect()} == {"b"} and "Data Transfer Policy" not in {r.name for r in engine.store.nodes().collect()}
+    engine.store.compact()
+    assert {tuple(r) for r in engine.store.edges().collect()} == {r for r in before if r[7] == "b"}
+    assert len(list((tmp_path / "store" / "chunks").glob("batch=*"))) == 1
+
+
 def test_stream(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "store"), dimensions=16)
     (tmp_path / "in").mkdir()
