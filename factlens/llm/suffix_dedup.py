@@ -17,7 +17,7 @@ first by their hashes and take part once. What a step shuffles is freed before t
 
 Edge cases: a null text counts as empty; texts below LENGTH bytes lose nothing; equal texts of LENGTH bytes or more lose
 everything; repeated rows are equal texts; extra columns are not read. Texts are
-told apart by 96 bits of hashes (id, id2) and their lengths.
+told apart by 96 bits of hashes (id, id2).
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ LENGTH = 400
 ORDER = 11  # a prime: the cover has ORDER + 1 residues modulo V
 BUCKET = 400_000
 #: Places a task gathers before it sends them on, and bytes that are hashed at once.
-GATHERED, SEGMENT = 1_500_000, 1 << 20
+GATHERED, SEGMENT = 600_000, 1 << 20
 MAX_BROADCAST = 500_000
 KEY = ["id", "id2"]
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -106,7 +106,7 @@ def _unpacked(parts: list[bytes], kind) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *[np.cumsum(np.frombuffer(zlib.decompress(x), kind), dtype=kind) for x in parts]])
 
 
-_SENT = "bucket int, h binary, h2 binary, id binary, id2 binary, off binary, known binary, more_id binary, more_id2 binary, more_off binary"
+_SENT = "bucket int, h binary, h2 binary, id binary, id2 binary, times binary, off binary, known binary, more_id binary, more_id2 binary, more_times binary, more_off binary"
 _SENT_NAMES = [x.split()[0] for x in _SENT.split(", ")]
 
 
@@ -114,17 +114,26 @@ class _Gathered:
     """Places that a task has found, sent on by bucket."""
 
     def __init__(self, buckets: int):
-        self.buckets, self.parts, self.n = buckets, [], 0
+        self.buckets, self.parts, self.keys, self.n = buckets, [], [], 0
 
     def add(self, h: np.ndarray, h2: np.ndarray, id_: int, id2: int, off: np.ndarray) -> None:
-        self.parts.append((h, h2, np.full(len(h), id_, np.int64), np.full(len(h), id2, np.int64), off.astype(np.uint32)))
+        self.parts.append((h, h2, np.full(len(h), len(self.keys), np.int32), off.astype(np.uint32)))
+        self.keys.append((id_, id2))
         self.n += len(h)
 
     def sent(self) -> Iterator[pa.RecordBatch]:
         if not self.n:
             return
-        h, h2, id_, id2, off = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        self.parts, self.n = [], 0
+        h, h2, text, off = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        id_, id2 = np.array(self.keys, np.int64).T
+
+        def keys(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Runs of equal texts as the texts' keys and the runs' lengths."""
+            starts = np.flatnonzero(np.diff(numbers, prepend=-1))
+            own = numbers[starts]
+            return id_[own], id2[own].astype(np.uint32), np.diff(starts, append=len(numbers)).astype(np.uint32)
+
+        self.parts, self.keys, self.n = [], [], 0
         order, starts, counts = _ties(h, h2)
         lead = order[starts]
         known = counts > 1
@@ -132,8 +141,8 @@ class _Gathered:
         rest[lead] = False
         more = np.flatnonzero(rest)
         place = (h[lead] & np.uint64(0xFFFFFFFF)) % np.uint64(self.buckets)
-        other = id_[more].view(np.uint64) % np.uint64(self.buckets)
-        by, by2 = np.lexsort((off[lead], id_[lead], place)), np.lexsort((off[more], id_[more], other))
+        other = id_[text[more]].view(np.uint64) % np.uint64(self.buckets)
+        by, by2 = np.lexsort((off[lead], text[lead], place)), np.lexsort((off[more], text[more], other))
         lead, known, place, more, other = lead[by], known[by], place[by], more[by2], other[by2]
         for b in np.union1d(place, other).tolist():
             x = lead[slice(*np.searchsorted(place, [b, b + 1]))]
@@ -142,7 +151,7 @@ class _Gathered:
             # The hash's lower half has chosen the bucket; the cover needs no more than the upper half besides.
             own = h[x] if h2.any() else (h[x] >> np.uint64(32)).astype(np.uint32)
             second = h2[x].astype(np.uint16) if h2.any() else np.zeros(0, np.uint16)
-            blobs = [own.tobytes(), second.tobytes(), *map(_packed, (id_[x], id2[x], off[x], k.view(np.uint8), id_[y], id2[y], off[y]))]
+            blobs = [own.tobytes(), second.tobytes(), *map(_packed, (*keys(text[x]), off[x], k.view(np.uint8), *keys(text[y]), off[y]))]
             yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), *[pa.array([v], pa.binary()) for v in blobs]], names=_SENT_NAMES)
 
 
@@ -152,15 +161,19 @@ def _sorted_bucket(rows: pa.Table) -> pa.Table:
     def column(name: str, kind) -> np.ndarray:
         return _unpacked(rows.column(name).to_pylist(), kind)
 
-    id_, id2, off, known = column("id", np.int64), column("id2", np.int64), column("off", np.uint32), column("known", np.uint8).view(np.bool_)
+    def keys(prefix: str = "") -> tuple[np.ndarray, np.ndarray]:
+        times = column(f"{prefix}times", np.uint32)
+        return np.repeat(column(f"{prefix}id", np.int64), times), np.repeat(column(f"{prefix}id2", np.uint32), times).astype(np.int64)
+
+    (id_, id2), off, known = keys(), column("off", np.uint32), column("known", np.uint8).view(np.bool_)
     raw, raw2 = (b"".join(rows.column(c).to_pylist()) for c in ("h", "h2"))
     h = np.frombuffer(raw, np.uint64 if raw2 else np.uint32)
     h2 = np.frombuffer(raw2, np.uint16) if raw2 else np.zeros(len(h), np.uint16)
     order, _, counts = _ties(h, h2)
     tied = known.copy()
     tied[order] |= np.repeat(counts > 1, counts)
-    id_ = np.concatenate((id_[tied], column("more_id", np.int64)))
-    id2 = np.concatenate((id2[tied], column("more_id2", np.int64)))
+    more, more2 = keys("more_")
+    id_, id2 = np.concatenate((id_[tied], more)), np.concatenate((id2[tied], more2))
     off = np.concatenate((off[tied], column("more_off", np.uint32)))
     by = np.lexsort((off, id2, id_))
     id_, id2, off = id_[by], id2[by], off[by]
@@ -245,9 +258,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     with_kept also the bytes that remain (kept)."""
     work = Scratch(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # The second half of a key: a text's crc and its length.
-    second = F.crc32(text) * (1 << 31) + F.octet_length(text)
-    rows = docs.select(F.col(id_col).alias("own"), text.alias("text"), F.xxhash64(text).alias("id"), second.alias("id2"))
+    rows = docs.select(F.col(id_col).alias("own"), text.alias("text"), F.xxhash64(text).alias("id"), F.crc32(text).alias("id2"))
     counts = rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("long").alias("size")).where(F.col("size") >= length)
     counts = work.save("counts", counts)
     total = counts.agg(F.sum("size")).first()[0] or 0
