@@ -92,7 +92,8 @@ def snapshot(edges: DataFrame, nodes: DataFrame | None = None, at=None, window:
 def neighbors(edges: DataFrame, name: str, hops: int = 1, at=None, window: tuple | None = None, bag: bool = False) -> DataFrame:
     """Edges within 1 to 3 hops of an entity, with the hop; `bag` repeats an edge at each hop that reaches it."""
     hops = min(3, max(1, hops))
-    slice_ = edges_valid(edges, at, window)
+    # Each hop reads the slice again.
+    slice_ = edges_valid(edges, at, window).persist() if hops > 1 else edges_valid(edges, at, window)
     # The first frontier is one constant row, of a name as it is stored.
     frontier = edges.sparkSession.range(1).select(normal_name(F.lit(name)).alias("name"))
     seen, out = frontier, None
@@ -124,7 +125,7 @@ def _touching(edges: DataFrame, frontier: DataFrame, start: str, end: str) -> Da
 def time_sliced_bfs(edges: DataFrame, seeds: DataFrame, hops: int = 2, window: tuple | None = None, most: int | None = 40) -> DataFrame:
     """Facts reached from seed names (column name) in a time slice, by canonical names, each (subject, predicate, object)
     once (the first by hop, then edge_seq), the first `most` of them."""
-    slice_ = edges_valid(edges, window=window).withColumn("_s", canonical_key("subject")).withColumn("_o", canonical_key("object"))
+    slice_ = edges_valid(edges, window=window).withColumn("_s", canonical_key("subject")).withColumn("_o", canonical_key("object")).persist()
     frontier = seeds.select(canonical_key("name").alias("name")).distinct()
     seen, out = frontier, None
     for hop in range(1, hops + 1):

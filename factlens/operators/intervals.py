@@ -10,17 +10,22 @@ from factlens.functions import interval as iv
 KEY_CHARS = 80
 
 
-def overlap_join(left: DataFrame, right: DataFrame, ls: str, le: str, rs: str, re: str, *, days: int = 0, bound: tuple[str, str] = ("1900-01-01", "2200-12-31")) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, ls: str, le: str, rs: str, re: str, *, days: int = 0, bound: tuple[str, str] | None = None) -> DataFrame:
     """All pairs of rows whose intervals overlap.
 
     Without `days` this is the plain condition, which Spark runs as a nested loop over a broadcast side: right for a
     small side. With `days`, both sides are dealt into buckets of so many days, joined by bucket, and a pair is kept in
     the later of their first buckets only, so large sides with short intervals shuffle and no pair comes twice. Open
-    ends reach to `bound`.
+    ends reach to `bound`, by default the first and last day of both sides, so that they have no more buckets than the
+    data have.
     """
     exact = iv.overlaps(ls, le, rs, re)
     if not days:
         return left.join(right, exact)
+    if bound is None:
+        ends = left.select(F.explode(F.array(ls, le)).alias("d")).unionByName(right.select(F.explode(F.array(rs, re)).alias("d")))
+        got = ends.agg(F.min("d").alias("low"), F.max("d").alias("high")).first()
+        bound = (str(got["low"] or "1970-01-01"), str(got["high"] or "1970-01-01"))
 
     def dealt(df: DataFrame, s: str, e: str, name: str) -> DataFrame:
         number = lambda x: F.floor(F.datediff(x, F.to_date(F.lit(bound[0]))) / days)

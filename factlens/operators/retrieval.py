@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlens.functions import interval as iv
@@ -26,6 +26,24 @@ def nearest(chunks: DataFrame, vector: list[float], k: int = TOP_K, window: tupl
     return rows.withColumn("score", squared_distance(F.col(vector_col), query)).orderBy("score", id_col).limit(k)
 
 
+#: Queries that are sent to all tasks at once.
+QUERY_BLOCK = 20_000
+
+
+def nearest_of_each(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+    """The k rows nearest to each query (query_id, q): query_id, id_col, score, rank; ties by id. Queries are broadcast in
+    blocks of about `block`; the ranking keeps k rows per query and task before its shuffle."""
+    blocks = -(-queries.count() // block) or 1
+    order = Window.partitionBy("query_id").orderBy("score", id_col)
+    out = None
+    for b in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
+        scored = rows.join(F.broadcast(some)).select("query_id", id_col, F.round(squared_distance(vector_col, "q"), 6).alias("score"))
+        best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
 def with_broad_recall(hits: DataFrame, chunks: DataFrame, vector: list[float], k: int = TOP_K, windowed: bool = True, id_col: str = "chunk_id") -> DataFrame:
     """hits and, if a window left fewer than max(4, k), the nearest max(8, k + 4) chunks of any time behind them, with
     lens (0: in the window, 1: beyond)."""

@@ -108,6 +108,38 @@ def _labels(spark: SparkSession) -> DataFrame:
     return spark.range(1990, 2030).select(F.col("id").cast("int").alias("y"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("m"))
 
 
+#: Ways to name a window of a day and the two after it, as SQL for either engine over d (a day), y, q and m (its year, quarter
+#: and month): text, start, end. {last} is the last day of a month.
+SPOKEN = [
+    ("concat('Q', q, ' ', y)", "make_date(y, 3 * q - 2, 1)", "{last}(make_date(y, 3 * q, 1))"),
+    ("concat('between q1 to Q', q, ', ', y)", "make_date(y, 1, 1)", "{last}(make_date(y, 3 * q, 1))"),
+    ("concat('H', CASE WHEN m > 6 THEN 2 ELSE 1 END, ' ', y)", "make_date(y, CASE WHEN m > 6 THEN 7 ELSE 1 END, 1)", "make_date(y, CASE WHEN m > 6 THEN 12 ELSE 6 END, CASE WHEN m > 6 THEN 31 ELSE 30 END)"),
+    ("concat('in ', y)", "make_date(y, 1, 1)", "make_date(y, 12, 31)"),
+    ("concat(d, ' to ', {later})", "d", "{later}"),
+    ("concat('from ', d, ' → ', {later})", "d", "{later}"),
+    ("CAST(d AS VARCHAR(10))", "d", "{next}"),
+    ("concat('as of ', d)", "d", "d"),
+    ("concat('as of ', {month}, ' ', {day}, ', ', y)", "d", "d"),
+    ("concat({month}, ' ', y)", "make_date(y, m, 1)", "{last}(d)"),
+    ("concat({month}, ' ', y, ' through ', {month}, ' ', y + 1)", "make_date(y, m, 1)", "{last}(make_date(y + 1, m, 1))"),
+    ("'current quarter'", "make_date(y, 3 * q - 2, 1)", "{last}(make_date(y, 3 * q, 1))"),
+    ("'this year'", "make_date(y, 1, 1)", "make_date(y, 12, 31)"),
+    ("'today'", "d", "d"),
+    ("'the last 90 days'", "{ago}", "d"),
+    ("'year 3000'", "NULL", "NULL"),
+    ("'what changed?'", "NULL", "NULL"),
+]
+
+
+def window_words(spark, sf):
+    """Windows in words around each day that an order has, read on that day."""
+    days = table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("d")).where("d IS NOT NULL").distinct()
+    days = days.selectExpr("d", "year(d) AS y", "quarter(d) AS q", "month(d) AS m")
+    said = F.array(*[F.expr(text.format(later="date_add(d, 200)", month="date_format(d, 'MMMM')", day="day(d)")) for text, _, _ in SPOKEN])
+    rows = days.select("d", F.explode(said).alias("text"))
+    return rows.select("d", "text", window.window_column(F.col("text"), F.col("d")).alias("w")).select("d", "text", "w.start", "w.end")
+
+
 def window_quarters(spark, sf):
     rows = _labels(spark).where("m <= 4").select(F.concat(F.lit("in Q"), "m", F.lit(" "), "y").alias("text"))
     return rows.select("text", window.quarter_window(F.col("text")).alias("w")).select("text", "w.start", "w.end")
@@ -198,9 +230,7 @@ def vector_topk(spark, sf):
     the ranking's shuffle."""
     v = table(spark, sf, "embeddings")
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = v.join(F.broadcast(q)).select("query_id", "vec_id", F.round(embed.squared_distance("embedding", "q"), 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
+    return retrieval.nearest_of_each(v, q, 10)
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -259,7 +289,7 @@ def llm_json_salvage(spark, sf):
 
 NAMES = [
     "text_clean", "token_estimate", "paragraph_split", "chunk_documents", "word_tokens", "term_frequency", "hash_bucket", "hashing_embedding_sparse", "candidate_entities", "entity_classify", "canonical_entity", "find_dates", "chunk_window",
-    "relation_frames", "window_grammar", "window_quarters", "window_halves", "window_months", "jaccard_pairs", "seed_dedupe", "question_node_match", "vector_topk", "vector_topk_temporal", "broad_recall_backfill", "citations",
+    "relation_frames", "window_grammar", "window_words", "window_quarters", "window_halves", "window_months", "jaccard_pairs", "seed_dedupe", "question_node_match", "vector_topk", "vector_topk_temporal", "broad_recall_backfill", "citations",
     "extractive_answer", "compare_narrative", "llm_json_salvage",
     "word_tokens_documents", "term_frequency_documents", "hash_bucket_documents", "hashing_embedding_sparse_documents", "candidate_entities_documents", "canonical_entity_documents", "jaccard_pairs_documents",
     "find_dates_documents", "chunk_window_documents", "relation_frames_documents", "window_grammar_documents",
@@ -303,6 +333,7 @@ ORACLES = {
     "find_dates": _values([("a", 0, "2022-01-01", "2022-01-01"), ("a", 1, "2024-06-30", "2024-06-30"), ("a", 2, "2024-07-01", "2024-07-01"), ("b", 0, "2023-01-01", "2023-01-01"), ("b", 1, "2024-10-01", "2024-10-01"), ("b", 2, "2025-12-31", "2025-12-31"), ("c", 0, "2024-01-01", "january 2024"), ("c", 1, "2024-03-01", "march 2024"), ("c", 2, "2024-07-01", "q3 2024"), ("c", 3, "2024-09-30", "q3 2024"), ("c", 4, "2025-12-31", "12/31/2025"), ("c", 5, "2026-01-01", "2026")], "doc, i, day, label", "VARCHAR,INTEGER,DATE,VARCHAR"),
     "relation_frames": _values([("a", "Data Transfer Policy", "requires", "data localization for Personal", "2022-01-01", "2024-06-30"), ("a", "Data Transfer Policy", "permits", "cross-border data transfers when", "2024-07-01", None), ("a", "Cross-Border Data Regulation", "governs", "transfer of Personal", None, None), ("b", "Tax Reform Act", "imposes", "15 percent corporate", "2023-01-01", None), ("b", "Corporate Finance Act", "amends", "Tax Reform Act", "2024-10-01", None), ("c", "Q3", "effective", "January 2024 through March", "2024-01-01", "2024-09-30")], "doc, subject, predicate, object, valid_from, valid_until", "VARCHAR,VARCHAR,VARCHAR,VARCHAR,DATE,DATE"),
     "window_grammar": _values([("Q3 2024", "2024-07-01", "2024-09-30"), ("Q1-Q2 2025", "2025-01-01", "2025-06-30"), ("2024", "2024-01-01", "2024-12-31"), ("2024-03-01 to 2024-09-30", "2024-03-01", "2024-09-30"), ("January 2024 to March 2024", "2024-01-01", "2024-03-31"), ("as of Dec 31, 2023", "2023-12-31", "2023-12-31"), ("current quarter", "2024-04-01", "2024-06-30"), ("last 90 days", "2024-02-15", "2024-05-15"), ("what changed?", None, None), ("H1 2024", "2024-01-01", "2024-06-30"), ("2024-07-15", "2024-07-15", "2024-07-16"), ("as of 2024-07-15", "2024-07-15", "2024-07-15"), ("2024-07", "2024-01-01", "2024-12-31"), ("year 3000", None, None), ("previous quarter", "2024-01-01", "2024-03-31"), ("last month", "2024-04-01", "2024-04-30"), ("this year", "2024-01-01", "2024-12-31"), ("today", "2024-05-15", "2024-05-15"), ("last 2 months", "2024-03-01", "2024-05-15")], 'text, "start", "end"', "VARCHAR,DATE,DATE"),
+    "window_words": "WITH days AS (SELECT d, CAST(year(d) AS INTEGER) AS y, CAST(quarter(d) AS INTEGER) AS q, CAST(month(d) AS INTEGER) AS m FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderdate IS NOT NULL)) " + " UNION ALL ".join(f'SELECT d, {a} AS text, CAST({b} AS DATE) AS "start", CAST({c} AS DATE) AS "end" FROM days' for a, b, c in SPOKEN).format(last="last_day", later="CAST(d + 200 AS DATE)", next="d + 1", month="strftime(d, '%B')", day="day(d)", ago="d - 90"),
     "window_quarters": "SELECT 'in Q' || m || ' ' || y AS text, make_date(y, 3 * m - 2, 1) AS \"start\", last_day(make_date(y, 3 * m, 1)) AS \"end\" FROM range(1990, 2030) a(y), range(1, 5) b(m)",
     "window_halves": "SELECT 'H' || m || ', ' || y AS text, make_date(y, 6 * m - 5, 1) AS \"start\", last_day(make_date(y, 6 * m, 1)) AS \"end\" FROM range(1990, 2030) a(y), range(1, 3) b(m)",
     "window_months": "SELECT strftime(make_date(y, m, 1), '%B') || ' ' || y AS text, make_date(y, m, 1) AS \"start\", last_day(make_date(y, m, 1)) AS \"end\" FROM range(1990, 2030) a(y), range(1, 13) b(m)",
