@@ -9,7 +9,8 @@ The set holds MAX_WINDOWS windows at most; larger benchmarks are taken in blocks
 block, with the hits so far carried along in the rows.
 
 Edge cases: a null or empty text has no words, no hits and is not contaminated; an item without words occurs nowhere;
-repeated items (same text, other ids) are all listed, an id twice in the benchmark once; repeated rows are judged one by
+repeated items (same text, other ids) are all listed, an id twice in the benchmark once; an item without an
+id hits words but isn't listed; repeated rows are judged one by
 one; extra columns are not read.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factlens.llm.common import saved, table
+from factlens.llm.common import saved, slices, table
 
 WINDOW = 13
 MAX_WINDOWS = 2_000_000
@@ -70,6 +71,18 @@ class Windows:
         return merged(hits), items
 
 
+_BUILT: dict[tuple, Windows] = {}
+
+
+def _built(sent, window: int) -> Windows:
+    """The set of a broadcast block, built once per Python worker."""
+    key = (id(sent.value), window)
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Windows(sent.value, window)
+    return _BUILT[key]
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans):
@@ -102,15 +115,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
         sent = docs.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in block.toLocalIterator()])
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            windows = Windows(sent.value, window)
-            for batch in batches:
+            windows = _built(sent, window)
+            for batch in slices(batches, "text"):
                 n_words, hits, items = [], [], []
                 for text, old, had in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True):
                     words = words_of(text)
                     found, which = windows.find(words) if words else ([], set())
                     n_words.append(len(words))
                     hits.append([{"start": s, "end": e} for s, e in (merged([(x["start"], x["end"]) for x in old] + found) if old else found)])
-                    items.append(sorted({*had, *map(str, which)}))
+                    items.append(sorted({*had, *(str(x) for x in which if x is not None)}))
                 cols = [*batch.columns[:2], pa.array(n_words, pa.int64()), pa.array(hits, spans), pa.array(items, pa.list_(pa.string())), *batch.columns[5:]]
                 yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 

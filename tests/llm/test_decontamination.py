@@ -39,3 +39,10 @@ def test_empty_tables(spark):
     assert find_contamination(docs, bench).first().hits == []
     assert find_contamination(docs.limit(0), bench).count() == 0
     assert Windows([]).find(["a"]) == ([], set())
+
+
+def test_items_without_ids_hit_but_have_no_name(spark):
+    docs = spark.createDataFrame([(1, "x one two three y"), (2, None), (3, "")], "doc_id long, text string").selectExpr("*", "1 AS id", "'h' AS hits")
+    items = spark.createDataFrame([(None, "one two three"), (None, None), (7, "y")], "item_id long, text string").selectExpr("*", "1 AS item")
+    got = {r.doc_id: (r.n_words, [(h.start, h.end) for h in r.hits], r["items"]) for r in find_contamination(docs, items).collect()}
+    assert got == {1: (5, [(1, 5)], ["7"]), 2: (0, [], []), 3: (0, [], [])}
