@@ -103,6 +103,9 @@ class Subsequences:
         self.landmarks = landmarks
         self.letters = {c: i for i, c in enumerate(sorted({c for m in landmarks for c in m}), 1)}
         self.base = len(self.letters) + 1
+        # By code point; the last place stands for all beyond.
+        self.letter = np.zeros(max(map(ord, self.letters)) + 2, np.int32)
+        self.letter[list(map(ord, self.letters))] = list(self.letters.values())
         weight: dict[int, np.ndarray] = {}
         for k, mark in enumerate(landmarks):
             for at in combinations(range(len(mark)), LENGTH):
@@ -129,18 +132,18 @@ class Subsequences:
             at = np.array(list(combinations(range(n), LENGTH)))
             span = (DECAY ** (at[:, -1] - at[:, 0] + 1)).astype(np.float32)
             same = np.flatnonzero(sizes == n)
-            step = max(1, 400_000 // len(at))
+            step = max(1, 60_000 // len(at))
             for low in range(0, len(same), step):
                 some = same[low : low + step]
                 own = [words[i] for i in some]
-                letters = np.array([[self.letters.get(c, 0) for c in w] for w in own])
-                parts = [letters[:, at[:, k]] for k in range(LENGTH)]
-                row = np.where(np.all([x > 0 for x in parts], axis=0), self.row[self._key(parts)], 0)
+                codes, _ = _codes(own)
+                letters = self.letter[np.minimum(codes, len(self.letter) - 1)]
+                # A character that no landmark has is a 0, and no key holds one.
+                row = self.row[self._key([letters[:, at[:, k]] for k in range(LENGTH)])]
                 word, sub = np.nonzero(row)
                 if len(word):
                     value = self.weight[row[word, sub]] * span[sub][:, None]
                     starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-                    codes, _ = _codes(own)
                     norm = np.sqrt(kernel(codes, codes, pairs=True))
                     out[some[word[starts]]] = np.add.reduceat(value, starts, axis=0) / norm[word[starts]][:, None] / self.norm
         return out
