@@ -97,8 +97,13 @@ def iso_date(text) -> Column:
 
 
 def short_hash(text, length: int = 8) -> Column:
-    """FNV-1a of a string's characters as 32-bit hex, cut to a length."""
-    low = F.lit(0xFFFFFFFF)
-    codes = F.transform(F.split(_col(text), ""), lambda c: F.ascii(c).cast("long"))
-    h = F.aggregate(F.filter(codes, lambda c: c > 0), F.lit(2166136261).cast("long"), lambda s, c: (s.bitwiseXOR(c) * F.lit(16777619)).bitwiseAND(low))
-    return F.substring(F.lpad(F.lower(F.hex(h)), 8, "0"), 1, length)
+    """The key of a graph node: n and FNV-1a of the string's UTF-16 units as 32-bit hex, cut to a length. Products are doubles
+    and so rounded to 53 bits, as the keys' first users had them."""
+    point = lambda c: F.ascii(c).cast("long")
+    units = lambda c: F.when(point(c) > 0xFFFF, F.array((point(c) - 0x10000 - (point(c) - 0x10000) % 1024) / 1024 + 0xD800, (point(c) - 0x10000) % 1024 + 0xDC00)).otherwise(F.array(point(c)))
+    codes = F.flatten(F.transform(F.filter(F.split(_col(text), ""), lambda c: c != ""), lambda c: F.transform(units(c), lambda x: x.cast("long"))))
+    wide, half = float(1 << 32), float(1 << 31)
+    signed = lambda h: F.when(h >= half, h - wide).otherwise(h)
+    step = lambda h, c: F.pmod(signed(h.cast("long").bitwiseXOR(c).cast("double")) * 16777619.0, F.lit(wide))
+    h = F.aggregate(codes, F.lit(2166136261.0), step)
+    return F.concat(F.lit("n"), F.substring(F.lpad(F.lower(F.hex(h.cast("long"))), 8, "0"), 1, length))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,8 +57,12 @@ def extractive_answer(hits: DataFrame, edges: DataFrame, label: str = "") -> Dat
 
 
 def answer(context: Context, model: Callable[[Context], str | None] | None = None) -> DataFrame:
-    """One row (question, answer, engine): by a given model, or where it has none or says nothing, extractive."""
-    said = model(context) if model else None
+    """One row (question, answer, engine): by a given model, or extractive where there is none, it says nothing or it fails."""
+    try:
+        said = model(context) if model else None
+    except Exception as error:  # whatever a model raises, the evidence stands
+        logging.getLogger(__name__).warning("the model gave no answer: %r", error)
+        said = None
     out = extractive_answer(context.hits, context.edges, context.window.label)
     text = F.lit(said) if said else F.col("answer")
     return out.select(F.lit(context.question).alias("question"), text.alias("answer"), F.lit("model" if said else "extractive").alias("engine"))

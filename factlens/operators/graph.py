@@ -165,7 +165,7 @@ def edge_model(edges: DataFrame) -> DataFrame:
 
 def graphml_lines(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The graph's elements as GraphML lines (column value), nodes first; see sources.store.write_graphml for the frame."""
-    esc = lambda c: F.replace(F.replace(F.replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    esc = lambda c: F.replace(F.replace(F.replace(F.replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#39;"))
     data = lambda c: F.concat(F.lit(f'<data key="{c}">'), esc(F.col(c)), F.lit("</data>"))
     node = nodes.select(F.lit(0).alias("part"), F.concat(F.lit('<node id="'), esc(F.col("name")), F.lit('">'), data("type"), F.lit("</node>")).alias("value"))
     edge = edges.select(F.lit(1).alias("part"), F.concat(F.lit('<edge source="'), esc(F.col("subject")), F.lit('" target="'), esc(F.col("object")), F.lit('">'), *[data(c) for c in ("predicate", "valid_from", "valid_until", "doc_id", "chunk_id")], F.lit("</edge>")).alias("value"))

@@ -4,6 +4,7 @@ from datetime import date
 import pytest
 
 from factlens.engine import Engine
+from factlens.functions.text import short_hash
 from factlens.operators import graph
 from factlens.operators.chunking import chunk_documents
 from factlens.plans.texts import STATEMENTS
@@ -44,6 +45,7 @@ def test_questions(engine):
     said = engine.query("What does the Data Transfer Policy permit in Q3 2024?").first()
     assert said.engine == "extractive" and "--[permits]-->" in said.answer
     assert engine.query("x", model=lambda c: "yes").first().answer == "yes"
+    assert engine.query("x", model=lambda c: 1 // 0).first().engine == "extractive"
     diff, text = engine.compare("Data Transfer Policy", "Q1 2022", "Q4 2024")
     assert "Comparing “Q1 2022” vs “Q4 2024”:" in text.first().narrative and "removed" in {r.bucket for r in diff.collect()}
 
@@ -123,6 +125,20 @@ def test_chunks(spark):
     assert {r.doc_id for r in sources.failed_documents(pages, chunk_documents(pages)).collect()} == {"c"}
 
 
+def test_node_keys(spark):
+    names = ["", "EU", "Data Transfer Policy", "Zoë — 字 😀", "x" * 300]
+
+    def plain(text):
+        h, raw = 2166136261, text.encode("utf-16-le")
+        for i in range(0, len(raw), 2):
+            h ^= int.from_bytes(raw[i : i + 2], "little")
+            h = int(float(h - (1 << 32) if h >= 1 << 31 else h) * 16777619.0) % (1 << 32)
+        return f"n{h:08x}"
+
+    rows = spark.createDataFrame([(x,) for x in names], "name string").select("name", short_hash("name").alias("k"), short_hash("name", 4).alias("s")).collect()
+    assert all(r.k == plain(r.name) and r.s == r.k[:5] for r in rows)
+
+
 def test_sources_and_states(spark, tmp_path):
     (tmp_path / "x.pdf").write_bytes(b"one\ftwo")
     (tmp_path / "y.PDF").write_bytes(b"\xff")
