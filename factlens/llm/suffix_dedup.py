@@ -8,11 +8,15 @@ beyond it, so suffixes are dealt into buckets and sorted there by the hash of th
 1. Cover: the sampled suffixes' openings are hashed. One bucket is sorted at a time; equal openings share a rank, and a
    rank held twice or more is a tie.
 2. Ties: only places within V before a tied sample can start a repeated string. Those places' LENGTH-byte strings are
-   hashed (64 + 15 bits) and again sorted bucket by bucket; ranks held twice or more are the repeated strings.
+   hashed (64 bits) and again sorted bucket by bucket; ranks held twice or more are the repeated strings.
+
+A string's bucket is that of its anchor, the GRAM-byte piece in it with the smallest hash: equal strings have equal anchors,
+and neighbouring places mostly share theirs, so a text's places go to few buckets and come back in few rows.
 
 Before anything is sent to a rank's bucket, a task keeps one place per rank and marks the others as repeated there and
-then; those go to a bucket by their text, where nothing is left to sort. So a passage in a third of all texts sends one
-place per task to its rank's bucket. Buckets have about BUCKET places, however much data there is. Equal texts are found
+then, where nothing is left to sort. So a passage in a third of all texts sends one place per task to its bucket. Buckets
+have about BUCKET places, however much data there is; one that has more than twice as many, since many strings share an
+anchor, is split by the strings' hashes. Equal texts are found
 first by their hashes and take part once. What a step shuffles is freed before the next one shuffles.
 
 Edge cases: a null text counts as empty; texts below LENGTH bytes lose nothing; equal texts of LENGTH bytes or more lose
@@ -36,6 +40,8 @@ from factlens.llm.common import Scratch, slices, table
 LENGTH = 400
 ORDER = 11  # a prime: the cover has ORDER + 1 residues modulo V
 BUCKET = 400_000
+#: Bytes of an anchor.
+GRAM = 32
 #: Places a task gathers before it sends them on, and bytes that are hashed at once.
 GATHERED, SEGMENT = 600_000, 1 << 20
 MAX_BROADCAST = 500_000
@@ -89,11 +95,30 @@ class Windows:
         return out
 
 
-def _ties(h: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places in the order of (h, h2), where each rank starts in it, and how many places each rank has."""
-    order = np.lexsort((h2, h)) if h2.any() else np.argsort(h, kind="stable")
-    a, b = h[order], h2[order]
-    starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(h) else np.zeros(0, np.int64)
+class Anchors:
+    """Per place the hash of the anchor of the window that starts there."""
+
+    def __init__(self, width: int):
+        self.gram = min(GRAM, width)
+        self.wide, self.grams = width - self.gram + 1, Windows(self.gram, _BASE[1])
+
+    def of(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """For sorted places. Minima over stretches of equal length, from running minima of blocks of that length."""
+        low, wide = int(places[0]), self.wide
+        piece = data[low : int(places[-1]) + wide + self.gram - 1]
+        x = (self.grams.hashes(piece, np.arange(len(piece) - self.gram + 1)) >> np.uint64(32)).astype(np.uint32)
+        blocks = np.pad(x, (0, -len(x) % wide), constant_values=0xFFFFFFFF).reshape(-1, wide)
+        ahead = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+        behind = np.minimum.accumulate(blocks, axis=1).ravel()
+        at = places - low
+        return np.minimum(ahead[at], behind[at + wide - 1])
+
+
+def _ties(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the order of h, where each rank starts in it, and how many places each rank has."""
+    order = np.argsort(h, kind="stable")
+    a = h[order]
+    starts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(h) else np.zeros(0, np.int64)
     return order, starts, np.diff(np.append(starts, len(h)))
 
 
@@ -106,86 +131,116 @@ def _unpacked(parts: list[bytes], kind) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *[np.cumsum(np.frombuffer(zlib.decompress(x), kind), dtype=kind) for x in parts]])
 
 
-_SENT = "bucket int, h binary, h2 binary, id binary, id2 binary, times binary, off binary, known binary, more_id binary, more_id2 binary, more_times binary, more_off binary"
+#: A row of places: their bucket (-1: known to be repeated) and its part, how many, hashes (in `wide` bytes each), texts' keys
+#: and how many places each has, offsets, and whether a place is known to be repeated.
+_SENT = "bucket int, part int, n long, wide int, h binary, id binary, id2 binary, times binary, off binary, known binary"
 _SENT_NAMES = [x.split()[0] for x in _SENT.split(", ")]
 
 
+def _row(bucket: int, part: int, h: np.ndarray, id_: np.ndarray, id2: np.ndarray, off: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+    """Places in the order of their texts as one row."""
+    starts = np.flatnonzero(np.concatenate(([True], (id_[1:] != id_[:-1]) | (id2[1:] != id2[:-1]))))
+    times = np.diff(starts, append=len(id_)).astype(np.uint32)
+    blobs = [h.tobytes(), *map(_packed, (id_[starts], id2[starts].astype(np.uint32), times, off, known.view(np.uint8)))]
+    ints = [pa.array([bucket], pa.int32()), pa.array([part], pa.int32()), pa.array([len(off)], pa.int64()), pa.array([h.itemsize], pa.int32())]
+    return pa.RecordBatch.from_arrays([*ints, *[pa.array([v], pa.binary()) for v in blobs]], names=_SENT_NAMES)
+
+
+def _places(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """h, id, id2, off and known of the places in rows."""
+
+    def column(name: str, kind) -> np.ndarray:
+        return _unpacked(rows.column(name).to_pylist(), kind)
+
+    times = column("times", np.uint32)
+    wide = rows.column("wide")[0].as_py() if rows.num_rows else 8
+    h = np.frombuffer(b"".join(rows.column("h").to_pylist()), np.uint64 if wide == 8 else np.uint32)
+    id_, id2 = np.repeat(column("id", np.int64), times), np.repeat(column("id2", np.uint32), times)
+    return h, id_, id2.astype(np.int64), column("off", np.uint32), column("known", np.uint8).view(np.bool_)
+
+
 class _Gathered:
-    """Places that a task has found, sent on by bucket."""
+    """Places that a task has found, sent on by bucket. short: half of a hash's bits will do."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.parts, self.keys, self.n = buckets, [], [], 0
+    def __init__(self, buckets: int, short: bool):
+        self.buckets, self.short, self.parts, self.keys, self.n = buckets, short, [], [], 0
 
-    def add(self, h: np.ndarray, h2: np.ndarray, id_: int, id2: int, off: np.ndarray) -> None:
-        self.parts.append((h, h2, np.full(len(h), len(self.keys), np.int32), off.astype(np.uint32)))
+    def add(self, h: np.ndarray, anchor: np.ndarray, id_: int, id2: int, off: np.ndarray) -> None:
+        self.parts.append((h, anchor, np.full(len(h), len(self.keys), np.int32), off.astype(np.uint32)))
         self.keys.append((id_, id2))
         self.n += len(h)
 
     def sent(self) -> Iterator[pa.RecordBatch]:
         if not self.n:
             return
-        h, h2, text, off = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        h, anchor, text, off = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         id_, id2 = np.array(self.keys, np.int64).T
-
-        def keys(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Runs of equal texts as the texts' keys and the runs' lengths."""
-            starts = np.flatnonzero(np.diff(numbers, prepend=-1))
-            own = numbers[starts]
-            return id_[own], id2[own].astype(np.uint32), np.diff(starts, append=len(numbers)).astype(np.uint32)
-
         self.parts, self.keys, self.n = [], [], 0
-        order, starts, counts = _ties(h, h2)
-        lead = order[starts]
-        known = counts > 1
+        order, starts, counts = _ties(h)
         rest = np.ones(len(h), bool)
-        rest[lead] = False
-        more = np.flatnonzero(rest)
-        place = (h[lead] & np.uint64(0xFFFFFFFF)) % np.uint64(self.buckets)
-        other = id_[text[more]].view(np.uint64) % np.uint64(self.buckets)
-        by, by2 = np.lexsort((off[lead], text[lead], place)), np.lexsort((off[more], text[more], other))
-        lead, known, place, more, other = lead[by], known[by], place[by], more[by2], other[by2]
-        for b in np.union1d(place, other).tolist():
-            x = lead[slice(*np.searchsorted(place, [b, b + 1]))]
-            k = known[slice(*np.searchsorted(place, [b, b + 1]))]
-            y = more[slice(*np.searchsorted(other, [b, b + 1]))]
-            # The hash's lower half has chosen the bucket; the cover needs no more than the upper half besides.
-            own = h[x] if h2.any() else (h[x] >> np.uint64(32)).astype(np.uint32)
-            second = h2[x].astype(np.uint16) if h2.any() else np.zeros(0, np.uint16)
-            blobs = [own.tobytes(), second.tobytes(), *map(_packed, (*keys(text[x]), off[x], k.view(np.uint8), *keys(text[y]), off[y]))]
-            yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), *[pa.array([v], pa.binary()) for v in blobs]], names=_SENT_NAMES)
+        rest[order[starts]] = False
+        known = np.zeros(len(h), bool)
+        known[order[starts[counts > 1]]] = True
+        if more := rest.any():
+            x = np.flatnonzero(rest)  # in the order of texts and offsets, as they were gathered
+            yield _row(-1, 0, np.zeros(0, np.uint64), id_[text[x]], id2[text[x]], off[x], np.zeros(0, bool))
+        lead = np.flatnonzero(~rest) if more else np.arange(len(h))
+        spread = (anchor[lead] * np.uint32(0x9E3779B1)) >> np.uint32(3)
+        place = (spread % np.uint32(self.buckets)).astype(np.int32)
+        by = np.argsort(place, kind="stable")
+        lead, place = lead[by], place[by]
+        ends = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(place))
+        for s, e in zip(ends, ends[1:], strict=False):
+            x = lead[s:e]
+            yield _row(int(place[s]), 0, (h[x] >> np.uint64(32)).astype(np.uint32) if self.short else h[x], id_[text[x]], id2[text[x]], off[x], known[x])
+
+
+def _by_text(id_: np.ndarray, id2: np.ndarray, off: np.ndarray) -> pa.Table:
+    """Places by text: id, id2, off (packed)."""
+    by = np.lexsort((off, id2, id_))
+    id_, id2, off = id_[by], id2[by], off[by]
+    starts = np.flatnonzero(np.concatenate(([True], (id_[1:] != id_[:-1]) | (id2[1:] != id2[:-1])))) if len(id_) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(id_))
+    return pa.table({"id": pa.array(id_[starts], pa.int64()), "id2": pa.array(id2[starts], pa.int64()), "off": pa.array([_packed(off[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary())})
 
 
 def _sorted_bucket(rows: pa.Table) -> pa.Table:
-    """The places of one bucket that are repeated, by text: id, off."""
+    """The places of one bucket that are repeated, by text."""
+    h, id_, id2, off, known = _places(rows)
+    order, _, counts = _ties(h)
+    tied = known.copy()
+    tied[order] |= np.repeat(counts > 1, counts)
+    return _by_text(id_[tied], id2[tied], off[tied])
 
-    def column(name: str, kind) -> np.ndarray:
-        return _unpacked(rows.column(name).to_pylist(), kind)
 
-    def keys(prefix: str = "") -> tuple[np.ndarray, np.ndarray]:
-        times = column(f"{prefix}times", np.uint32)
-        return np.repeat(column(f"{prefix}id", np.int64), times), np.repeat(column(f"{prefix}id2", np.uint32), times).astype(np.int64)
+def _direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            _, id_, id2, off, _ = _places(batch.slice(i, 1))
+            yield from _by_text(id_, id2, off).to_batches()
 
-    (id_, id2), off, known = keys(), column("off", np.uint32), column("known", np.uint8).view(np.bool_)
-    raw, raw2 = (b"".join(rows.column(c).to_pylist()) for c in ("h", "h2"))
-    h = np.frombuffer(raw, np.uint64 if raw2 else np.uint32)
-    h2 = np.frombuffer(raw2, np.uint16) if raw2 else np.zeros(len(h), np.uint16)
-    order, _, counts = _ties(h, h2)
-    tied = known.copy()
-    tied[order] |= np.repeat(counts > 1, counts)
-    more, more2 = keys("more_")
-    id_, id2 = np.concatenate((id_[tied], more)), np.concatenate((id2[tied], more2))
-    off = np.concatenate((off[tied], column("more_off", np.uint32)))
-    by = np.lexsort((off, id2, id_))
-    id_, id2, off = id_[by], id2[by], off[by]
-    starts = np.flatnonzero(np.concatenate(([True], (id_[1:] != id_[:-1]) | (id2[1:] != id2[:-1])))) if len(id_) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(id_))
-    return pa.table({"id": pa.array(id_[starts], pa.int64()), "id2": pa.array(id2[starts], pa.int64()), "off": pa.array([_packed(off[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary())})
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of large buckets, dealt into `parts` by the places' hashes."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            h, id_, id2, off, known = _places(row)
+            part = (h * h.dtype.type(0x9E3779B1) >> h.dtype.type(7)) % h.dtype.type(row.column("parts")[0].as_py())
+            for k in np.unique(part).tolist():
+                x = np.flatnonzero(part == k)
+                yield _row(row.column("bucket")[0].as_py(), int(k), h[x], id_[x], id2[x], off[x], known[x])
 
 
-def _repeated(sent: DataFrame) -> DataFrame:
+def _repeated(sent: DataFrame, bucket: int) -> DataFrame:
     """Per text (id, id2) its repeated places, as a list of packed arrays."""
-    found = sent.groupBy("bucket").applyInArrow(_sorted_bucket, "id long, id2 long, off binary")
-    return found.groupBy(*KEY).agg(F.collect_list("off").alias("offs"))
+    large = sent.where("bucket >= 0").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * bucket)
+    large = large.select("bucket", F.ceil(F.col("n") / bucket).cast("int").alias("parts"))
+    rows = sent.where("bucket >= 0").join(large, "bucket", "left")
+    dealt = rows.where("parts IS NULL").select(*_SENT_NAMES).unionByName(rows.where("parts IS NOT NULL").mapInArrow(_split, _SENT))
+    found = dealt.groupBy("bucket", "part").applyInArrow(_sorted_bucket, "id long, id2 long, off binary")
+    known = sent.where("bucket < 0").mapInArrow(_direct, "id long, id2 long, off binary")
+    return found.unionByName(known).groupBy(*KEY).agg(F.collect_list("off").alias("offs"))
 
 
 def _offsets(offs: list[bytes]) -> np.ndarray:
@@ -207,20 +262,21 @@ def repeated_starts(texts: DataFrame, total: int, work: Scratch, length: int = L
     residues[cover] = True
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, gathered = Windows(width, _BASE[0]), _Gathered(buckets)
+        windows, anchors, gathered = Windows(width, _BASE[0]), Anchors(width), _Gathered(buckets, short=True)
         for batch in slices(batches, "text"):
             for id_, id2, text in zip(*(batch.column(c).to_pylist() for c in (*KEY, "text")), strict=True):
                 data = np.frombuffer(text.encode(), np.uint8)
                 if len(data) < length:
                     continue
                 places = np.flatnonzero(np.resize(residues, len(data) - width + 1))
-                gathered.add(windows.hashes(data, places), np.zeros(len(places), np.uint16), id_, id2, places)
+                if len(places):
+                    gathered.add(windows.hashes(data, places), anchors.of(data, places), id_, id2, places)
                 if gathered.n >= GATHERED:
                     yield from gathered.sent()
         yield from gathered.sent()
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, gathered = Windows(length, _BASE[0]), Windows(length, _BASE[1]), _Gathered(buckets)
+        windows, anchors, gathered = Windows(length, _BASE[0]), Anchors(length), _Gathered(buckets, short=False)
         for batch in slices(batches, "text"):
             for id_, id2, text, offs in zip(*(batch.column(c).to_pylist() for c in (*KEY, "text", "offs")), strict=True):
                 data = np.frombuffer(text.encode(), np.uint8)
@@ -231,16 +287,20 @@ def repeated_starts(texts: DataFrame, total: int, work: Scratch, length: int = L
                 places = np.flatnonzero(np.cumsum(steps)[: len(data) - length + 1] > 0)
                 for at in range(0, len(places), GATHERED):
                     some = places[at : at + GATHERED]
-                    gathered.add(one.hashes(data, some), (two.hashes(data, some) >> np.uint64(48)).astype(np.uint16) | np.uint16(1), id_, id2, some)
+                    gathered.add(windows.hashes(data, some), anchors.of(data, some), id_, id2, some)
                     if gathered.n >= GATHERED:
                         yield from gathered.sent()
         yield from gathered.sent()
 
     buckets = max(1, round(total * len(cover) / v / bucket))
-    ties = work.save("ties", _repeated(texts.mapInArrow(sampled, _SENT)))
+    # Saved before they are sorted: the buckets' sizes are known then.
+    sent = work.save("sent", texts.mapInArrow(sampled, _SENT))
+    ties = work.save("ties", _repeated(sent, bucket))
+    work.drop("sent")
     near = _picked(texts, ties.select(*KEY), "left_semi").join(ties, KEY)
-    starts = work.save("starts", _repeated(near.mapInArrow(strings, _SENT)))
-    work.drop("ties")
+    sent = work.save("sent", near.mapInArrow(strings, _SENT))
+    starts = work.save("starts", _repeated(sent, bucket))
+    work.drop("sent", "ties")
     return starts
 
 
