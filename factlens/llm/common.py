@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -80,12 +79,6 @@ def saved(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession).save("rows", df)
 
 
-def released(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that nothing refers to: it does so when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """A batch's texts; null counts as empty."""
     return [x if x is not None else "" for x in batch.column(column).to_pylist()]
