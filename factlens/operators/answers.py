@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import logging
-
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
