@@ -445,7 +445,7 @@ def find_links(docs: DataFrame, work: Scratch, *, text_col: str = "text", least:
     work.drop("lead")
     # Each node with the one leader that it meets most often.
     often = members.where("id != leader").groupBy("id", "leader").agg(F.count("*").alias("c"))
-    first = often.groupBy("id").agg(F.max(F.struct("c", "leader")).alias("best")).select("id", F.col("best.leader").alias("leader"))
+    first = work.save("first", often.groupBy("id").agg(F.max(F.struct("c", "leader")).alias("best")).select("id", F.col("best.leader").alias("leader")))
     ends = nodes.select("id", "node", "n", "sketch")
     other = ends.select(*[F.col(c).alias(d) for c, d in (("id", "leader"), ("node", "b"), ("n", "n2"), ("sketch", "sketch2"))])
     led = first.join(ends.withColumnRenamed("node", "a"), "id").join(other, "leader").where("a != b")
@@ -455,7 +455,7 @@ def find_links(docs: DataFrame, work: Scratch, *, text_col: str = "text", least:
     size = first.groupBy("leader").agg(F.ceil(F.count("*") / TEXTS).alias("blocks"))
     homes = first.join(size, "leader").select("id", F.xxhash64("leader", F.pmod(F.xxhash64("id"), "blocks")).alias("home"))
     plain = work.save("plain", nodes.drop("sigs").join(homes, "id", "left").withColumn("home", F.coalesce("home", F.xxhash64("id"))))
-    work.drop("nodes")
+    work.drop("nodes", "first")
     for name in ("forest", "rest"):
         labels = components(links, work).withColumnRenamed("n", "node")
         classed = plain.join(labels, "node", "left").withColumn("lab", F.xxhash64(F.coalesce("label", "node"))).drop("label")
