@@ -45,3 +45,15 @@ def test_trie_by_brute_force():
             fit = [r for r in rules if (h == r.host or h.endswith("." + r.host)) and p.startswith(r.path)]
             want = max(fit, key=lambda r: (r.host.count("."), len(r.path), r.verdict == "allow"), default=None)
             assert trie.match(h, p) == want, (h, p)
+
+
+def test_repeated_rows_and_very_long_values(spark):
+    """Each row is judged by itself; values of megabytes are read whole."""
+    long = "alpha beta gamma delta " * 60_000
+    docs = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (2, long), (None, None)], "doc_id long, text string").selectExpr("*", "1 AS kept", "2 AS n_words", "'i' AS input")
+    got = sorted(((r.doc_id or 0, r.n_words, r.n_repeat_words, r.kept) for r in judge_quality(docs).collect()))
+    assert got == [(0, 0, 0, False), (1, 3, 0, False), (1, 3, 0, False), (2, 240_000, 240_000, False)]
+    pages = spark.createDataFrame([(1, "http://a.net/" + "x/" * 500_000), (1, "http://a.net/" + "x/" * 500_000), (2, "http://" + "a." * 100_000 + "net/x"), (3, "://"), (4, None)], "page_id long, url string").selectExpr("*", "'h' AS host", "'p' AS path", "'r' AS rule")
+    got = sorted((r.page_id, len(r.path), r.rule, r.verdict) for r in judge_urls(pages).collect())
+    assert [(i, n, rule) for i, n, rule, _ in got] == [(1, 1_000_001, "net/"), (1, 1_000_001, "net/"), (2, 2, "net/"), (3, 0, None), (4, 0, None)]
+    assert [v for *_, v in got[:3]] == ["block"] * 3
