@@ -330,8 +330,8 @@ def _forest(a: np.ndarray, b: np.ndarray, likeness: np.ndarray, lab: np.ndarray)
 
 
 def _met(members: DataFrame, nodes: DataFrame, forest: bool, least: float, work: Scratch, block: int) -> DataFrame:
-    """Pairs of different classes (x, y, and their homes hx, hy) that share a bucket and whose sketches agree: all, or with
-    `forest` those that connect each bucket's classes best. members: sig, id; nodes: id, home, n, sketch, lab."""
+    """Pairs of different classes that share a bucket and whose sketches agree: with `forest` those that connect each bucket's
+    classes best (x, y), else all, as lists by their homes (hx, hy, pairs; a pair may come again). members: sig, id; nodes: id, home, n, sketch, lab."""
     classes = members.join(nodes.select("id", "lab"), "id")
     split = classes.groupBy("sig").agg(F.count("*").alias("c"), F.min("lab").alias("low"), F.max("lab").alias("high")).where("low != high")
     split = split.select("sig", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
@@ -376,9 +376,16 @@ def _met(members: DataFrame, nodes: DataFrame, forest: bool, least: float, work:
             ends = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
             ends = [0, *ends.tolist(), *[len(keys[0])] * last]
             found = [pairs_of(rows.slice(s, e - s)) for s, e in zip(ends, ends[1:], strict=False)]
-            both = np.unique(np.concatenate([np.zeros((4, 0), np.int64), *found], axis=1), axis=1)
-            for at in range(0, both.shape[1], 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(v[at : at + 100_000]) for v in both], names=["x", "y", "hx", "hy"])
+            x, y, hx, hy = np.unique(np.concatenate([np.zeros((4, 0), np.int64), *found], axis=1), axis=1)
+            if forest:
+                for at in range(0, len(x), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(v[at : at + 100_000]) for v in (x, y)], names=["x", "y"])
+            elif len(x):
+                by = np.lexsort((hy, hx))
+                x, y, hx, hy = x[by], y[by], hx[by], hy[by]
+                starts = np.flatnonzero(np.concatenate(([True], (hx[1:] != hx[:-1]) | (hy[1:] != hy[:-1]))))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(x)), pa.int32()), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"]))
+                yield pa.RecordBatch.from_arrays([pa.array(hx[starts]), pa.array(hy[starts]), lists], names=["hx", "hy", "pairs"])
             held[:] = rows.slice(ends[-1]).combine_chunks().to_batches() if not last else []
 
         rows = 0
@@ -392,7 +399,9 @@ def _met(members: DataFrame, nodes: DataFrame, forest: bool, least: float, work:
         if held:
             yield from cut(pa.Table.from_batches(held), True)
 
-    return cells.mapInArrow(compare, "x bigint, y bigint, hx bigint, hy bigint").distinct()
+    if forest:
+        return cells.mapInArrow(compare, "x bigint, y bigint").distinct()
+    return cells.mapInArrow(compare, "hx bigint, hy bigint, pairs array<struct<x:bigint,y:bigint>>")
 
 
 def _ends(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -403,10 +412,10 @@ def _ends(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _aligned(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, least: float, work: Scratch) -> DataFrame:
-    """The pairs (x, y, hx, hy) that are links (a, b), aligned in blocks of nodes: a text goes once to each two blocks that hold
+    """The pairs (hx, hy, pairs) that are links (a, b), aligned in blocks of nodes: a text goes once to each two blocks that hold
     pairs of it."""
-    # A cell's pairs are TEXTS * TEXTS at most.
-    cells = work.save("cells", pairs.groupBy("hx", "hy").agg(F.collect_list(F.struct("x", "y")).alias("pairs")))
+    # A cell's different pairs are TEXTS * TEXTS at most.
+    cells = work.save("cells", pairs.groupBy("hx", "hy").agg(F.flatten(F.collect_list("pairs")).alias("pairs")))
     ids = F.array_distinct(F.concat(F.transform("pairs", lambda p: p["x"]), F.transform("pairs", lambda p: p["y"])))
     held = cells.select("hx", "hy", F.explode(ids).alias("id")).join(nodes.select("id", "node"), "id")
     wanted = work.save("wanted", held.select("node").distinct())
@@ -427,8 +436,8 @@ def _aligned(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
                 if r["pairs"] is None:
                     own.setdefault(r["id"], []).append((r["node"], words_of(r["text"])))
                     continue
-                for p in r["pairs"]:
-                    links += [(a, b) for a, v in own[p["x"]] for b, w in own[p["y"]] if within(v, w, int((1 - least) * max(len(v), len(w)) + 1e-9)) is not None]
+                for x, y in {(p["x"], p["y"]) for p in r["pairs"]}:
+                    links += [(a, b) for a, v in own[x] for b, w in own[y] if within(v, w, int((1 - least) * max(len(v), len(w)) + 1e-9)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     dealt = both.repartition("hx", "hy").sortWithinPartitions("hx", "hy", F.col("pairs").isNotNull())
