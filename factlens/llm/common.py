@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -79,6 +80,22 @@ def saved(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession).save("rows", df)
 
 
+class Kept:
+    """What a Python worker has built from a broadcast value, for its next tasks. The value is held beside it and compared as
+    an object, so another value at the same address isn't taken for it."""
+
+    def __init__(self):
+        self.of: Any = None
+        self.options: tuple = ()
+        self.built: Any = None
+
+    def get(self, value: Any, build: Callable[..., Any], *options: Any) -> Any:
+        """build(value, *options), or what it gave last time for the same object and options."""
+        if self.of is not value or self.options != options or self.built is None:
+            self.of, self.options, self.built = value, options, build(value, *options)
+        return self.built
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """A batch's texts; null counts as empty."""
     return [x if x is not None else "" for x in batch.column(column).to_pylist()]

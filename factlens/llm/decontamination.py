@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factlens.llm.common import saved, slices, table
+from factlens.llm.common import Kept, saved, slices, table
 
 WINDOW = 13
 MAX_WINDOWS = 2_000_000
@@ -71,16 +71,8 @@ class Windows:
         return merged(hits), items
 
 
-_BUILT: dict[tuple, Windows] = {}
-
-
-def _built(sent, window: int) -> Windows:
-    """The set of a broadcast block, built once per Python worker."""
-    key = (id(sent.value), window)
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Windows(sent.value, window)
-    return _BUILT[key]
+#: The set of a broadcast block, built once per Python worker.
+_BUILT = Kept()
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -115,7 +107,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
         sent = docs.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in block.toLocalIterator()])
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            windows = _built(sent, window)
+            windows = _BUILT.get(sent.value, Windows, window)
             for batch in slices(batches, "text"):
                 n_words, hits, items = [], [], []
                 for text, old, had in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True):

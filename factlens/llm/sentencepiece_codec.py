@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm.common import saved, slices, table
+from factlens.llm.common import Kept, saved, slices, table
 from factlens.llm.max_plus import SPACE, Lattice, Model, scan
 
 #: The model that read_model takes where no path is given: a public one on the driver.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT, CHUNK = 1 << 15, 1 << 14
-_LATTICES: dict[int, Lattice] = {}
+#: One lattice per Python worker and model.
+_LATTICE = Kept()
 
 
 def read_model(path: str = MODEL_PATH) -> Model:
@@ -33,15 +34,6 @@ def read_model(path: str = MODEL_PATH) -> Model:
         return Model.read(file.read())
 
 
-def _lattice(sent) -> Lattice:
-    """One lattice per Python worker and model."""
-    key = id(sent.value)
-    if key not in _LATTICES:
-        _LATTICES.clear()
-        _LATTICES[key] = Lattice(sent.value)
-    return _LATTICES[key]
-
-
 def encode_texts(docs: DataFrame, model: Model | None = None, *, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """One row per row of docs: id_col, n_tokens, ids, round_trip (whether the ids decode to the text)."""
     model = model or read_model()
@@ -57,7 +49,7 @@ def encode_texts(docs: DataFrame, model: Model | None = None, *, id_col: str = "
         )
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = _lattice(sent)
+        lattice = _LATTICE.get(sent.value, Lattice)
         for batch in slices(batches, "text", 4 << 20):
             texts = batch.column("text").to_pylist()
             yield finished(batch.column("id"), texts, [lattice.encode(x) for x in texts], lattice)
@@ -67,7 +59,7 @@ def encode_texts(docs: DataFrame, model: Model | None = None, *, id_col: str = "
     pieces = _chunks(large, model, chunk)
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = _lattice(sent)
+        lattice = _LATTICE.get(sent.value, Lattice)
         for batch in batches:
             for r in batch.to_pylist():
                 found = lattice.transfer(r["s"], r["b0"], r["b1"], r["last"])
@@ -84,13 +76,13 @@ def encode_texts(docs: DataFrame, model: Model | None = None, *, id_col: str = "
         return pd.DataFrame([(cells["rid"].iloc[0], k, *path[k], *path[k + 1]) for k in range(len(parts))], columns=["rid", "k", "e0", "e1", "x0", "x1"])
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = _lattice(sent)
+        lattice = _LATTICE.get(sent.value, Lattice)
         for batch in batches:
             found = [lattice.trace(r["s"], r["b0"], r["b1"], r["last"], (r["e0"], r["e1"]), (r["x0"], r["x1"])) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("k"), pa.array(found, pa.list_(pa.int32()))], names=["rid", "k", "ids"])
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = _lattice(sent)
+        lattice = _LATTICE.get(sent.value, Lattice)
         for batch in slices(batches, "text", 4 << 20):
             yield finished(batch.column("id"), batch.column("text").to_pylist(), batch.column("ids").to_pylist(), lattice)
 
@@ -119,7 +111,7 @@ def decode_ids(encoded: DataFrame, model: Model | None = None, *, ids_col: str =
 
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
-        lattice = _lattice(sent)
+        lattice = _LATTICE.get(sent.value, Lattice)
         return ids.map(lambda x: None if x is None else lattice.decode(x))
 
     return encoded.withColumn(text_col, decode(F.col(ids_col)))

@@ -200,7 +200,7 @@ def _by_text(id_: np.ndarray, id2: np.ndarray, off: np.ndarray) -> pa.Table:
     by = np.lexsort((off, id2, id_))
     id_, id2, off = id_[by], id2[by], off[by]
     starts = np.flatnonzero(np.concatenate(([True], (id_[1:] != id_[:-1]) | (id2[1:] != id2[:-1])))) if len(id_) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(id_))
+    ends = np.append(starts[1:], len(id_)) if len(id_) else starts
     return pa.table({"id": pa.array(id_[starts], pa.int64()), "id2": pa.array(id2[starts], pa.int64()), "off": pa.array([_packed(off[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary())})
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm.common import Scratch, slices, table, texts
+from factlens.llm.common import Kept, Scratch, slices, table, texts
 from factlens.llm.string_kernel import LANDMARKS, Reader, Scorer, choose_landmarks, fit, marred, openings
 
 FOLDS, MAX_TOXIC, MAX_CLEAN = 5, 1500, 3500
@@ -81,15 +81,8 @@ def train(sample: DataFrame, most: int = LANDMARKS) -> Scorer:
     return fit(marks, x[order], y[order], x[y < 0])
 
 
-_READERS: dict[int, Reader] = {}
-
-
-def _reader(scorer: Scorer) -> Reader:
-    """One reader per Python worker and scorer: tasks share the words it remembers."""
-    if id(scorer) not in _READERS:
-        _READERS.clear()
-        _READERS[id(scorer)] = Reader(scorer.landmarks)
-    return _READERS[id(scorer)]
+#: One reader per Python worker and scorer: tasks share the words it remembers.
+_READER = Kept()
 
 
 def score_texts(docs: DataFrame, scorer: Scorer, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,7 +91,7 @@ def score_texts(docs: DataFrame, scorer: Scorer, *, id_col: str = "doc_id", text
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _reader(sent.value)
+        reader = _READER.get(sent.value, lambda scorer: Reader(scorer.landmarks))
         for batch in slices(batches, "text", 4 << 20):
             found = sent.value.score(reader.values(texts(batch)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.asarray(found, np.float64))], names=[id_col, "score"])

@@ -46,3 +46,20 @@ def test_items_without_ids_hit_but_have_no_name(spark):
     items = spark.createDataFrame([(None, "one two three"), (None, None), (7, "y")], "item_id long, text string").selectExpr("*", "1 AS item")
     got = {r.doc_id: (r.n_words, [(h.start, h.end) for h in r.hits], r["items"]) for r in find_contamination(docs, items).collect()}
     assert got == {1: (5, [(1, 5)], ["7"]), 2: (0, [], []), 3: (0, [], [])}
+
+
+def test_benchmarks_and_blocks_in_one_session(spark):
+    """Workers that are used again keep no other block's windows."""
+    docs = spark.createDataFrame([(i, f"say w{i} v{i} end") for i in range(12)], "doc_id long, text string")
+    for turn in range(3):
+        items = [(i, f"w{i} v{i}") for i in range(turn, 12, 3)]
+        for most in (1, 2, 100):
+            found = find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"), max_windows=most)
+            assert {r.doc_id for r in found.where("size(items) > 0").collect()} == {i for i, _ in items}
+
+
+def test_spans_are_cut(spark):
+    docs = spark.createDataFrame([(1, "Keep this. One, two three! And that."), (2, None), (3, "one two threes"), (4, "ONE two three one two three")], "doc_id long, text string").selectExpr("*", "5 AS hits")
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    got = {r.doc_id: (r.text, r.hits) for r in decontaminate(docs, bench, remove="spans").collect()}
+    assert got == {1: ("Keep this. ! And that.", 5), 2: (None, 5), 3: ("one two threes", 5), 4: ("", 5)}

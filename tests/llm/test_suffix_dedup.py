@@ -58,3 +58,15 @@ def test_by_brute_force(spark):
         want = brute(texts, length)
         assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256, bytes(r.kept)) for r in got} == dict(enumerate(want))
     assert remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_few_or_no_repeats_in_many_buckets(spark):
+    """Buckets in which nothing is repeated, all of them or all but one."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(3000)) for _ in range(20)]
+    for more in ([], [texts[3][100:900] + "!"]):
+        rows = [*texts, *more]
+        docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        for bucket in (300, 400_000):
+            got = remove_repeats(docs, bucket=bucket, with_kept=True).collect()
+            assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256, bytes(r.kept)) for r in got} == dict(enumerate(brute(rows, 400)))

@@ -73,3 +73,16 @@ def test_single_class(spark, label):
     scorer = train(spark.createDataFrame([("a b c", label)], "text string, label int"))
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert (score_texts(docs, scorer).first().score >= 0.5) == bool(label)
+
+
+def test_two_scorers_in_one_session(spark):
+    """Each scorer reads with its own landmarks, though Python workers are used again."""
+    filler = ["alpha", "beta", "gamma", "delta", "omega"]
+    say = lambda i, *more: " ".join([filler[i % 5], filler[i // 5 % 5], *more])
+    docs = spark.createDataFrame([(1, say(1, "moron")), (2, say(2, "zwicker")), (3, say(3))], "doc_id long, text string")
+    for _ in range(3):
+        for bad, want in (("moron", [True, False, False]), ("zwicker", [False, True, False])):
+            rows = [(say(i, bad), 1) for i in range(40)] + [(say(i), 0) for i in range(120)]
+            scorer = train(spark.createDataFrame(rows, "text string, label int"))
+            assert [r.score >= 0.5 for r in score_texts(docs, scorer).orderBy("doc_id").collect()] == want
+            del scorer
