@@ -411,11 +411,35 @@ def _ends(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.join(ends.select(F.col("id").alias("y"), F.col("node").alias("b")), "y").select("a", "b")
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (hx, hy, pairs) in the order of hx and hy one for each two blocks, with each pair once. What is held are the
+    different pairs of one cell, about TEXTS * TEXTS at most, and the next row's, however many buckets a pair has met in."""
+    names = ["hx", "hy", "pairs"]
+    cell: tuple[int, int] | None = None
+    held = np.zeros((2, 0), np.int64)
+
+    def row() -> pa.RecordBatch:
+        pairs = pa.StructArray.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["x", "y"])
+        lists = pa.ListArray.from_arrays(pa.array([0, held.shape[1]], pa.int32()), pairs)
+        return pa.RecordBatch.from_arrays([pa.array([cell[0]], pa.int64()), pa.array([cell[1]], pa.int64()), lists], names=names)
+
+    for batch in batches:
+        for hx, hy, pairs in zip(*(batch.column(c) for c in names), strict=True):
+            key, new = (hx.as_py(), hy.as_py()), np.stack([pairs.values.field(k).to_numpy() for k in (0, 1)])
+            if key != cell:
+                if cell is not None:
+                    yield row()
+                cell, held = key, held[:, :0]
+            held = np.unique(np.concatenate([held, new], axis=1), axis=1)
+    if cell is not None:
+        yield row()
+
+
 def _aligned(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, least: float, work: Scratch) -> DataFrame:
     """The pairs (hx, hy, pairs) that are links (a, b), aligned in blocks of nodes: a text goes once to each two blocks that hold
     pairs of it."""
-    # A cell's different pairs are TEXTS * TEXTS at most.
-    cells = work.save("cells", pairs.groupBy("hx", "hy").agg(F.flatten(F.collect_list("pairs")).alias("pairs")))
+    kind = "hx bigint, hy bigint, pairs array<struct<x:bigint,y:bigint>>"
+    cells = work.save("cells", pairs.repartition("hx", "hy").sortWithinPartitions("hx", "hy").mapInArrow(_united, kind))
     ids = F.array_distinct(F.concat(F.transform("pairs", lambda p: p["x"]), F.transform("pairs", lambda p: p["y"])))
     held = cells.select("hx", "hy", F.explode(ids).alias("id")).join(nodes.select("id", "node"), "id")
     wanted = work.save("wanted", held.select("node").distinct())
@@ -436,7 +460,7 @@ def _aligned(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
                 if r["pairs"] is None:
                     own.setdefault(r["id"], []).append((r["node"], words_of(r["text"])))
                     continue
-                for x, y in {(p["x"], p["y"]) for p in r["pairs"]}:
+                for x, y in ((p["x"], p["y"]) for p in r["pairs"]):
                     links += [(a, b) for a, v in own[x] for b, w in own[y] if within(v, w, int((1 - least) * max(len(v), len(w)) + 1e-9)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
