@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("url_filters", "quality_rules", "secret_scans", "decontamination", "html_extraction", "sharding", "sentencepiece_codec", "toxicity", "near_dedup", "suffix_dedup")
+MODULES = ("url_filters", "quality_rules", "secret_scans", "decontamination", "html_extraction", "sharding", "sentencepiece_codec", "toxicity", "near_dedup", "suffix_dedup", "cross_tokenizer", "fill_in_middle", "max_score")
 
 
 def _all(kind: str) -> dict:
