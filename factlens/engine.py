@@ -21,7 +21,7 @@ class Engine:
         ingest(self.store, pages, self.size, self.overlap, self.dimensions)
 
     def retrieve(self, question: str, **options) -> retrieval.Context:
-        return retrieval.retrieve(question, self.store.chunks(), self.store.edges(), self.store.nodes(), dimensions=self.dimensions, **options)
+        return retrieval.retrieve(question, self.store.chunks(), self.store.adjacency(), self.store.nodes(), dimensions=self.dimensions, **options)
 
     def query(self, question: str, model=None, **options) -> DataFrame:
         return answers.answer(self.retrieve(question, **options), model)
@@ -37,13 +37,13 @@ class Engine:
         return graph.snapshot(self.store.edges(), self.store.nodes(), at, parse_window(window).bounds if window else None, names, min(5000, max(1, most)))
 
     def neighbors(self, name: str, hops: int = 1, at=None, window: str | None = None, bag: bool = False) -> DataFrame:
-        return graph.neighbors(self.store.edges(), name, hops, at, parse_window(window).bounds if window else None, bag)
+        return graph.neighbors(self.store.adjacency(), name, hops, at, parse_window(window).bounds if window else None, bag)
 
     def evolution(self, name: str, predicate: str | None = None) -> DataFrame:
         return graph.evolution(self.store.edges(), name, predicate)
 
     def stats(self) -> DataFrame:
-        return graph.stats(self.store.edges(), self.store.nodes())
+        return self.store.stats()
 
     def health(self) -> DataFrame:
         """One row: how many chunks, documents, nodes and edges the store holds, and the vectors' width."""

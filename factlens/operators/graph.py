@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from factlens.functions import interval as iv
 from factlens.functions.text import canonical_key, normal_name
+from factlens.operators.traversal import Adjacency, Scan, reach
 
 GENERIC_TYPES = ("", "UNKNOWN", "Other")
 
@@ -33,24 +34,37 @@ def upsert_edges(edges: DataFrame | None, relations: DataFrame, doc_id: str | No
     return old.unionByName(last.select(old.columns))
 
 
-def merge_nodes(mentions: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes from entity mentions (name, type, aliases, doc_id, seq) and from the ends of edges (type Other).
-
-    A type is the first that says something, else the first; aliases are those of the first mention.
-    """
+def node_parts(mentions: DataFrame, edges: DataFrame) -> DataFrame:
+    """What each document says of each name: name, doc_id, type (with what it counts by), aliases, n (mentions). From entity
+    mentions (name, type, aliases, doc_id, seq) and from the ends of edges (type Other)."""
     own = mentions.select(normal_name("name").alias("name"), "type", "aliases", "doc_id", "seq", F.lit(1).alias("n"))
     ends = edges.select(F.explode(F.array("subject", "object")).alias("name"), "doc_id").distinct()
     ends = ends.select("name", F.lit("Other").alias("type"), F.lit(None).cast("array<string>").alias("aliases"), "doc_id", F.lit(1 << 60).cast("long").alias("seq"), F.lit(0).alias("n"))
     rows = own.unionByName(ends).where(F.coalesce("name", F.lit("")) != "")
-    said = F.coalesce(F.col("type"), F.lit("")).isin(*GENERIC_TYPES).cast("int")
-    return rows.groupBy("name").agg(
-        F.min_by("type", F.struct(said, "seq")).alias("type"),
-        F.min_by("aliases", F.struct((F.col("n") == 0).cast("int").alias("x"), "seq")).alias("aliases"),
+    generic = F.coalesce(F.col("type"), F.lit("")).isin(*GENERIC_TYPES).cast("int")
+    return rows.groupBy("name", "doc_id").agg(
+        F.min(F.struct(generic.alias("generic"), "seq", "type")).alias("type"),
+        F.min(F.struct((F.col("n") == 0).cast("int").alias("end"), "seq", "aliases")).alias("aliases"),
+        F.sum("n").cast("long").alias("n"),
+    )
+
+
+def merge_parts(parts: DataFrame) -> DataFrame:
+    """Nodes from parts of any documents: name, type (the first that says something, else the first), aliases (those of the first
+    mention), doc_ids, mention_count."""
+    return parts.groupBy("name").agg(
+        F.min("type")["type"].alias("type"),
+        F.min("aliases")["aliases"].alias("aliases"),
         F.sort_array(F.collect_set("doc_id")).alias("doc_ids"),
         F.sum("n").cast("long").alias("mention_count"),
     )
 
 
+def merge_nodes(mentions: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes from entity mentions and from the ends of edges."""
+    return merge_parts(node_parts(mentions, edges))
+
+
 def remove_document(edges: DataFrame, nodes: DataFrame, doc_id: str) -> tuple[DataFrame, DataFrame]:
     """Both tables without a document's edges and without nodes that no edge touches then."""
     left = edges.where(F.col("doc_id") != doc_id)
@@ -89,57 +103,32 @@ def snapshot(edges: DataFrame, nodes: DataFrame | None = None, at=None, window:
     return found, out
 
 
-def neighbors(edges: DataFrame, name: str, hops: int = 1, at=None, window: tuple | None = None, bag: bool = False) -> DataFrame:
+def _source(edges: DataFrame | Adjacency, at=None, window: tuple | None = None, canonical: bool = False) -> Scan | Adjacency:
+    """Where a traversal reads the edges of a time slice."""
+    if isinstance(edges, Adjacency):
+        return Adjacency(edges_valid(edges.rows, at, window), edges.columns, canonical)
+    return Scan(edges_valid(edges, at, window), canonical)
+
+
+def neighbors(edges: DataFrame | Adjacency, name: str, hops: int = 1, at=None, window: tuple | None = None, bag: bool = False) -> DataFrame:
     """Edges within 1 to 3 hops of an entity, with the hop; `bag` repeats an edge at each hop that reaches it."""
     hops = min(3, max(1, hops))
-    # Each hop reads the slice again.
-    slice_ = edges_valid(edges, at, window).persist() if hops > 1 else edges_valid(edges, at, window)
-    # The first frontier is one constant row, of a name as it is stored.
-    frontier = edges.sparkSession.range(1).select(normal_name(F.lit(name)).alias("name"))
-    seen, out = frontier, None
-    for hop in range(1, hops + 1):
-        touched = _touching(slice_, frontier, "subject", "object").withColumn("hop", F.lit(hop)).persist()
-        out = touched if out is None else out.unionByName(touched)
-        if hop < hops:
-            frontier = touched.select(F.explode(F.array("subject", "object")).alias("name")).distinct().join(seen, "name", "left_anti").persist()
-            seen = seen.unionByName(frontier)
-    if bag:
-        return out
-    return out.groupBy(*edges.columns).agg(F.min("hop").alias("hop"))
-
-
-#: Up to so many names a frontier is broadcast to the edges.
-MAX_BROADCAST_NAMES = 200_000
-
-
-def _touching(edges: DataFrame, frontier: DataFrame, start: str, end: str) -> DataFrame:
-    """Edges with either end in the frontier (column name, no name twice), in one pass over the edges."""
-    small = frontier.count() <= MAX_BROADCAST_NAMES
-    out = edges
-    for i, c in enumerate((start, end)):
-        names = frontier.select(F.col("name").alias(f"_n{i}"))
-        out = out.join(F.broadcast(names) if small else names, F.col(c) == F.col(f"_n{i}"), "left")
-    return out.where("_n0 IS NOT NULL OR _n1 IS NOT NULL").drop("_n0", "_n1")
-
-
-def time_sliced_bfs(edges: DataFrame, seeds: DataFrame, hops: int = 2, window: tuple | None = None, most: int | None = 40) -> DataFrame:
+    source = _source(edges, at, window)
+    spark = (edges.rows if isinstance(edges, Adjacency) else edges).sparkSession
+    # One constant row, of a name as it is stored.
+    start = spark.range(1).select(normal_name(F.lit(name)).alias("name"))
+    found = source.reached(reach(source, start, hops)).select(*edges.columns, (F.col("dist") + 1).alias("hop"))
+    return found if bag else found.groupBy(*edges.columns).agg(F.min("hop").alias("hop"))
+
+
+def time_sliced_bfs(edges: DataFrame | Adjacency, seeds: DataFrame, hops: int = 2, window: tuple | None = None, most: int | None = 40) -> DataFrame:
     """Facts reached from seed names (column name) in a time slice, by canonical names, each (subject, predicate, object)
     once (the first by hop, then edge_seq), the first `most` of them."""
-    slice_ = edges_valid(edges, window=window).withColumn("_s", canonical_key("subject")).withColumn("_o", canonical_key("object")).persist()
-    frontier = seeds.select(canonical_key("name").alias("name")).distinct()
-    seen, out = frontier, None
-    for hop in range(1, hops + 1):
-        # Equal facts have equal ends, so the first of them can be picked among the touched ones.
-        hit = _touching(slice_, frontier, "_s", "_o").groupBy("subject", "predicate", "object").agg(F.min_by(F.struct(*slice_.columns), "edge_seq").alias("e")).select("e.*")
-        if out is not None:
-            hit = hit.join(out.select("subject", "predicate", "object"), ["subject", "predicate", "object"], "left_anti")
-        hit = hit.withColumn("hop", F.lit(hop)).persist()
-        out = hit if out is None else out.unionByName(hit)
-        if hop < hops:
-            frontier = hit.select(F.explode(F.array("_s", "_o")).alias("name")).distinct().join(seen, "name", "left_anti").persist()
-            seen = seen.unionByName(frontier)
-    out = out.drop("_s", "_o")
-    return out if most is None else out.orderBy("hop", "edge_seq").limit(most)
+    source = _source(edges, window=window, canonical=True)
+    found = source.reached(reach(source, seeds.select(canonical_key("name").alias("name")), hops))
+    # Equal facts have equal ends, so they are reached at the same hops.
+    facts = found.groupBy("subject", "predicate", "object").agg(F.min_by(F.struct(*edges.columns, (F.col("dist") + 1).alias("hop")), F.struct("dist", "edge_seq")).alias("e")).select("e.*")
+    return facts if most is None else facts.orderBy("hop", "edge_seq").limit(most)
 
 
 def evolution(edges: DataFrame, name: str, predicate: str | None = None) -> DataFrame:
@@ -150,12 +139,30 @@ def evolution(edges: DataFrame, name: str, predicate: str | None = None) -> Data
     return found.withColumn("evidence", F.substring("evidence", 1, 240)).orderBy(F.asc_nulls_first("valid_from"), F.asc_nulls_last("valid_until"), "edge_seq")
 
 
-def stats(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row: counts, histograms of types and predicates, dated and open edges, the range of dates."""
-    total = edges.agg(F.count("*").alias("edge_count"), F.count_distinct("doc_id").alias("doc_count"), F.count_if(F.col("valid_from").isNotNull()).alias("validated_edges"), F.count_if(F.col("valid_until").isNull()).alias("open_ended_edges"), F.min("valid_from").alias("earliest"), F.max("valid_until").alias("latest"))
-    by = lambda df, c, name: df.groupBy(c).count().agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(c, "count")))).alias(name))
+def stat_parts(edges: DataFrame) -> DataFrame:
+    """What the statistics need of each document and predicate: counts and the range of dates."""
+    return edges.groupBy("doc_id", "predicate").agg(
+        F.count("*").alias("edges"),
+        F.count_if(F.col("valid_from").isNotNull()).alias("validated"),
+        F.count_if(F.col("valid_until").isNull()).alias("open_ended"),
+        F.min("valid_from").alias("earliest"),
+        F.max("valid_until").alias("latest"),
+    )
+
+
+def merge_stats(parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row from the parts of any documents: counts, histograms of types and predicates, dated and open edges, the range of
+    dates."""
+    number = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    total = parts.agg(number("edges").alias("edge_count"), F.count_distinct("doc_id").alias("doc_count"), number("validated").alias("validated_edges"), number("open_ended").alias("open_ended_edges"), F.min("earliest").alias("earliest"), F.max("latest").alias("latest"))
+    by = lambda df, c, n, name: df.groupBy(c).agg(n.alias("count")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(c, "count")))).alias(name))
+    types = nodes.withColumn("type", F.coalesce("type", F.lit("UNKNOWN")))
     # Four tables of one row each.
-    return total.crossJoin(nodes.agg(F.count("*").alias("node_count"))).crossJoin(by(nodes.withColumn("type", F.coalesce("type", F.lit("UNKNOWN"))), "type", "entity_types")).crossJoin(by(edges, "predicate", "predicates"))
+    return total.crossJoin(nodes.agg(F.count("*").alias("node_count"))).crossJoin(by(types, "type", F.count("*"), "entity_types")).crossJoin(by(parts, "predicate", F.sum("edges"), "predicates"))
+
+
+def stats(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    return merge_stats(stat_parts(edges), nodes)
 
 
 def edge_model(edges: DataFrame) -> DataFrame:

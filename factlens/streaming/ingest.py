@@ -10,7 +10,7 @@ from factlens.functions.embed import DIMENSIONS, embed
 from factlens.functions.extract import chunk_window, relation_frames, typed_entities
 from factlens.operators.chunking import OVERLAP, SIZE, chunk_documents
 from factlens.operators.graph import upsert_edges
-from factlens.sources.store import CHUNKS, EDGES, Store
+from factlens.sources.store import CHUNKS, EDGES, TABLES, Store
 
 PAGES = "doc_id string, page int, text string"
 
@@ -46,16 +46,17 @@ def edge_table(chunks: DataFrame, batch: int = 0) -> DataFrame:
 def ingest(store: Store, pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, dimensions: int = DIMENSIONS) -> None:
     """pages written to the store as a batch, in place of what it holds of their documents. A document without text is a
     failed one."""
-    batch = store.next_batch()
+    batch = store.reserve()
     chunks = store.put("chunks", chunk_table(pages, size, overlap, dimensions), batch)
-    edges = store.put("edges", edge_table(chunks, batch), batch)
     found = typed_entities(chunks, ["doc_id", "chunk_id"])
-    mentions = store.put("mentions", found.select("name", "type", F.lit(None).cast("array<string>").alias("aliases"), "doc_id", F.col("rank").cast("long").alias("seq")), batch)
+    found = found.select("name", "type", F.lit(None).cast("array<string>").alias("aliases"), "doc_id", F.col("rank").cast("long").alias("seq"))
+    edges, mentions = store.put_graph(edge_table(chunks, batch), found, batch)
     states = pages.select("doc_id").where("doc_id IS NOT NULL").distinct()
     for name, rows in (("chunk_count", chunks), ("entity_count", mentions.select("doc_id", "name").distinct()), ("relation_count", edges)):
         states = states.join(rows.groupBy("doc_id").agg(F.count("*").alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
     empty = F.col("chunk_count") == 0
-    store.put("states", states.select("doc_id", F.when(empty, "failed").otherwise("indexed").alias("status"), F.when(empty, "no text to extract").alias("error"), "chunk_count", "entity_count", "relation_count"), batch)
+    store.put("states", states.select("doc_id", F.when(empty, "failed").otherwise("indexed").alias("status"), F.when(empty, "no text to extract").alias("error"), "chunk_count", "entity_count", "relation_count", F.lit(batch).cast("long").alias("version")), batch)
+    store.commit(batch, [*TABLES, "states"])
 
 
 def ingest_stream(spark: SparkSession, store: Store, folder: str, checkpoint: str, **options) -> StreamingQuery:

@@ -82,7 +82,8 @@ def test_new_versions_replace_old_ones(spark, tmp_path):
     assert {r.doc_id for r in engine.store.edges().collect()} == {"b"} and "Data Transfer Policy" not in {r.name for r in engine.store.nodes().collect()}
     engine.store.compact()
     assert {tuple(r) for r in engine.store.edges().collect()} == {r for r in before if r[7] == "b"}
-    assert len(list((tmp_path / "store" / "chunks").glob("batch=*"))) == 1
+    assert engine.store.vacuum(0) == 4 and len(list((tmp_path / "store" / "chunks").glob("batch=*"))) == 1
+    assert {tuple(r) for r in engine.store.edges().collect()} == {r for r in before if r[7] == "b"}
 
 
 def test_stream(spark, tmp_path):
