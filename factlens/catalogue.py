@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("facts", "texts")
+MODULES: tuple[str, ...] = ("facts", "texts", "stored")
 
 
 def _all(kind: str) -> dict:

@@ -9,7 +9,7 @@ A document's rows are those of the batch that holds its state with the highest v
 a new version replaces the old one even if it has no rows, and a deleted document is one more state. A batch costs what it holds;
 readers join the states; compact() rewrites what counts as one batch, versions included.
 
-Edges are kept in the order of their validity (open ends apart), so that scans of a window skip files and row groups by their
+Edges are kept in the order of their validity (open ends apart), so that scans of a window skip row groups and pages by their
 statistics, and under both ends in an adjacency, so that a hop reads few folders. What documents add to nodes and statistics
 is kept by document, so both are merged from there and an edge is not read again.
 """
@@ -47,15 +47,15 @@ NODES = T.StructType([
     T.StructField("n", T.LongType()),
 ])
 TABLES = {"chunks": CHUNKS, "edges": EDGES, "adjacency": ADJACENCY, "mentions": MENTIONS, "nodes": NODES, "stats": STATS}
-#: Bytes of a row group of edges; smaller ones skip more.
-ROW_GROUP = 16 << 20
+#: Bytes of a row group of edges, and rows of its pages, each with statistics of its own: smaller ones skip more.
+ROW_GROUP, PAGE_ROWS = 32 << 20, 2000
 
 
 def write_by_validity(edges: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """edges as Parquet in the order of their validity, those without an end apart: files and row groups cover short ranges of
+    """edges as Parquet in the order of their validity, those without an end apart: files, row groups and pages cover short ranges of
     days. edge_seq is last in the order, so that many facts of one day go to several files."""
     order = [F.col("valid_until").isNull(), F.col("valid_from"), F.col("valid_until"), F.col("edge_seq")]
-    edges.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).option("parquet.block.size", ROW_GROUP).parquet(path)
+    edges.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).option("parquet.block.size", ROW_GROUP).option("parquet.page.row.count.limit", PAGE_ROWS).parquet(path)
 
 
 class Store:

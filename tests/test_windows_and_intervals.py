@@ -1,11 +1,12 @@
-from datetime import date
+import random
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from factlens.functions import interval as iv
 from factlens.functions.window import explorer_window, parse_window
-from factlens.operators import intervals
+from factlens.operators import asof, dyadic, intervals
 
 D = date.fromisoformat
 
@@ -68,3 +69,55 @@ def test_snapshot_difference(spark):
 
 def test_explorer_windows(spark):
     assert [explorer_window(x) for x in ("Q2 2024", "2024", "2024-02", "2024-01-01..2024-06-30", "2024-07-15", "soon")] == [("2024-04-01", "2024-06-31"), ("2024-01-01", "2024-12-31"), ("2024-02-01", "2024-02-29"), ("2024-01-01", "2024-06-30"), ("2024-07-15", "2024-07-15"), None]
+
+
+def _random_intervals(spark, n, seed, names):
+    rng = random.Random(seed)
+    day = lambda: D("2021-01-01") + timedelta(rng.randrange(300)) if rng.random() < 0.8 else None
+    rows = []
+    for i in range(n):
+        s = day()
+        e = s + timedelta(rng.randrange(60)) if s and rng.random() < 0.6 else day()
+        rows.append((i, f"k{rng.randrange(3)}", s, e))
+    return rows, spark.createDataFrame(rows, f"{names[0]} int, k string, {names[1]} date, {names[2]} date")
+
+
+def _met(a, b):
+    return (a[2] is None or b[3] is None or a[2] <= b[3]) and (b[2] is None or a[3] is None or b[2] <= a[3])
+
+
+def test_dyadic_overlap_by_brute_force(spark):
+    (a, left), (b, right) = _random_intervals(spark, 120, 1, ("i", "s", "e")), _random_intervals(spark, 90, 2, ("j", "s2", "e2"))
+    for on in ([], ["k"]):
+        r = right if on else right.drop("k")
+        pairs = [(x.i, x.j) for x in dyadic.overlap_join(left, r, "s", "e", "s2", "e2", on=on).collect()]
+        want = {(x[0], y[0]) for x in a for y in b if _met(x, y) and (not on or x[1] == y[1])}
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want
+        whole = lambda x: x[2] is None or x[3] is None or x[2] <= x[3]
+        counts = {x.i: x.n for x in dyadic.overlap_counts(left, r, "s", "e", "s2", "e2", on=on).collect()}
+        assert counts == {x[0]: sum(whole(x) and whole(y) and _met(x, y) and (not on or x[1] == y[1]) for y in b) for x in a}
+    nothing = left.limit(0)
+    assert dyadic.overlap_join(nothing, right.drop("k"), "s", "e", "s2", "e2").count() == 0 and dyadic.overlap_counts(nothing, nothing, "s", "e", "s", "e").count() == 0
+
+
+def test_cover_is_short(spark):
+    """An interval has at most two nodes a level, and each of its days one of them among its ancestors."""
+    tree = dyadic.Tree(D("2000-01-01"), D("2000-12-31"))
+    rows = spark.createDataFrame([(a, b) for a in range(0, 366, 13) for b in range(a - 1, 366, 17)], "a int, b int")
+    for r in rows.select("a", "b", tree.cover(F.col("a"), F.col("b")).alias("c")).collect():
+        own = [x for n in r.c for x in range((n << (h := tree.levels + 1 - n.bit_length())) - (1 << tree.levels), ((n + 1) << h) - (1 << tree.levels))]
+        assert sorted(own) == list(range(r.a, r.b + 1)) and len(r.c) <= 2 * tree.levels
+
+
+def test_as_of_latest_by_brute_force(spark):
+    rng = random.Random(7)
+    day = lambda: D("2022-01-01") + timedelta(rng.randrange(400)) if rng.random() < 0.95 else None
+    key = lambda: rng.choice(["hot"] * 6 + ["a", "b", None])
+    facts = [(key(), day(), i) for i in range(150)]
+    probes = [(i, key(), day()) for i in range(200)] + [(900, "none", D("2022-05-05")), (901, "hot", D("2021-01-01"))]
+    f, p = spark.createDataFrame(facts, "k string, t date, seq int"), spark.createDataFrame(probes, "id int, k string, at date")
+    want = {i: max(((t, n) for k2, t, n in facts if k2 == k and t is not None and t <= at), default=(None, None))[1] if k is not None and at is not None else None for i, k, at in probes}
+    for days in (1, 30, 10_000):
+        got = asof.as_of_latest(p, f, "k", "at", "t", "seq", days=days).select("id", "fact.seq").collect()
+        assert len(got) == len(probes) and {r.id: r.seq for r in got} == want
+    assert asof.as_of_latest(p.limit(0), f, "k", "at", "t", "seq").count() == 0
