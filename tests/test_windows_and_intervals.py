@@ -105,7 +105,8 @@ def test_cover_is_short(spark):
     tree = dyadic.Tree(D("2000-01-01"), D("2000-12-31"))
     rows = spark.createDataFrame([(a, b) for a in range(0, 366, 13) for b in range(a - 1, 366, 17)], "a int, b int")
     for r in rows.select("a", "b", tree.cover(F.col("a"), F.col("b")).alias("c")).collect():
-        own = [x for n in r.c for x in range((n << (h := tree.levels + 1 - n.bit_length())) - (1 << tree.levels), ((n + 1) << h) - (1 << tree.levels))]
+        height = lambda n: tree.levels + 1 - n.bit_length()
+        own = [x - (1 << tree.levels) for n in r.c for x in range(n << height(n), (n + 1) << height(n))]
         assert sorted(own) == list(range(r.a, r.b + 1)) and len(r.c) <= 2 * tree.levels
 
 
