@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("facts", "texts", "stored")
+MODULES: tuple[str, ...] = ("facts", "texts", "stored", "statements")
 
 
 def _all(kind: str) -> dict:

@@ -11,25 +11,10 @@ from factlens.functions import embed, extract, text, window
 from factlens.operators import answers, chunking, retrieval
 from factlens.plans.facts import FACTS, facts, table
 
-# Fixed inputs: texts with dated statements, and windows in words.
-STATEMENTS = {
-    "a": "The Data Transfer Policy requires data localization for Personal Data effective 2022-01-01 until 2024-06-30. The Data Transfer Policy permits cross-border data transfers when the recipient implements Standard Contractual Clauses starting 2024-07-01. Cross-Border Data Regulation governs the transfer of Personal Data within the EU.",
-    "b": "The Tax Reform Act imposes a 15 percent corporate minimum tax on Large Multinational Groups from 2023-01-01. The Tax Reform Act exempts small domestic companies until 2025-12-31. Corporate Finance Act amends the Tax Reform Act effective 2024-10-01.",
-    "c": "Q3 2024 saw a change; effective January 2024 through March 2024. It ends on 12/31/2025 or 2026.",
-    "d": "Nothing is dated here.",
-}
-WINDOWS = ["Q3 2024", "Q1-Q2 2025", "2024", "2024-03-01 to 2024-09-30", "January 2024 to March 2024", "as of Dec 31, 2023", "current quarter", "last 90 days", "what changed?", "H1 2024", "2024-07-15", "as of 2024-07-15", "2024-07", "year 3000", "previous quarter", "last month", "this year", "today", "last 2 months"]
+#: The day on which windows in documents are read.
 AS_OF = date(2024, 5, 15)
 
 
-def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-def _statements(spark: SparkSession) -> DataFrame:
-    return _rows(spark, list(STATEMENTS.items()), "doc string, text string")
-
-
 def _english(spark: SparkSession, sf: str) -> DataFrame:
     """English documents in ASCII: other letters end words in one engine's patterns and not in the other's."""
     return table(spark, sf, "documents").where("lang = 'en' AND octet_length(text) = length(text)").select("doc_id", "text")
@@ -87,27 +72,6 @@ def canonical_entity(spark, sf):
     return runs.select(text.canonical_key("name").alias("canon")).distinct()
 
 
-def find_dates(spark, sf):
-    return _statements(spark).select("doc", F.posexplode(extract.find_dates("text")).alias("i", "d")).select("doc", "i", F.col("d.day").alias("day"), F.col("d.label").alias("label"))
-
-
-def chunk_window(spark, sf):
-    return _statements(spark).select("doc", extract.chunk_window("text").alias("w")).select("doc", "w.start", "w.end")
-
-
-def relation_frames(spark, sf):
-    return extract.relation_frames(_statements(spark), ["doc"]).select("doc", "subject", "predicate", "object", "valid_from", "valid_until")
-
-
-def window_grammar(spark, sf):
-    rows = _rows(spark, [(x, AS_OF) for x in WINDOWS], "text string, as_of date")
-    return rows.select("text", window.window_column(F.col("text"), F.col("as_of")).alias("w")).select("text", "w.start", "w.end")
-
-
-def _labels(spark: SparkSession) -> DataFrame:
-    return spark.range(1990, 2030).select(F.col("id").cast("int").alias("y"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("m"))
-
-
 #: Ways to name a window of a day and the two after it, as SQL for either engine over d (a day), y, q and m (its year, quarter
 #: and month): text, start, end. {last} is the last day of a month.
 SPOKEN = [
@@ -140,21 +104,6 @@ def window_words(spark, sf):
     return rows.select("d", "text", window.window_column(F.col("text"), F.col("d")).alias("w")).select("d", "text", "w.start", "w.end")
 
 
-def window_quarters(spark, sf):
-    rows = _labels(spark).where("m <= 4").select(F.concat(F.lit("in Q"), "m", F.lit(" "), "y").alias("text"))
-    return rows.select("text", window.quarter_window(F.col("text")).alias("w")).select("text", "w.start", "w.end")
-
-
-def window_halves(spark, sf):
-    rows = _labels(spark).where("m <= 2").select(F.concat(F.lit("H"), "m", F.lit(", "), "y").alias("text"))
-    return rows.select("text", window.half_window(F.col("text")).alias("w")).select("text", "w.start", "w.end")
-
-
-def window_months(spark, sf):
-    rows = _labels(spark).select(F.concat(F.date_format(F.make_date("y", "m", F.lit(1)), "MMMM"), F.lit(" "), "y").alias("text"))
-    return rows.select("text", window.month_window(F.col("text")).alias("w")).select("text", "w.start", "w.end")
-
-
 def jaccard_pairs(spark, sf):
     """Neighbouring documents' word overlap."""
     docs = _english(spark, sf)
@@ -215,16 +164,6 @@ def window_grammar_documents(spark, sf):
     return _documents(spark, sf).select("doc_id", window.window_column(F.col("text"), F.lit(AS_OF)).alias("w")).select("doc_id", "w.start", "w.end")
 
 
-def seed_dedupe(spark, sf):
-    names = F.array(*map(F.lit, ["Data Transfer Policy", "The Data Transfer Policy", "Personal Data", "EU", "EU", "Tax Reform Act", "Reform Act", "Personal Data Policy"]))
-    return spark.range(1).select(F.posexplode(retrieval.distinct_seeds(names)).alias("i", "name"))
-
-
-def question_node_match(spark, sf):
-    nodes = _rows(spark, [(x,) for x in ("The Data Transfer Policy", "Transfer Policy of Data", "Tax Reform Act", "EU", "Policy", "Corporate Finance Act")], "name string")
-    return nodes.where(retrieval.question_names_node(F.col("name"), F.lit("What does the data transfer policy say about a tax reform?")))
-
-
 def vector_topk(spark, sf):
     """The ten nearest vectors of each vector whose id is divisible by 100. Spark keeps ten rows per query and task before
     the ranking's shuffle."""
@@ -275,22 +214,10 @@ def compare_narrative(spark, sf):
     return answers.narrative(context_diff(f.where("valid_from < '1996-06-01'"), f.where("valid_until > '2001-06-01' OR predicate = 'returns'")), "before", "after")
 
 
-REPLIES = [
-    ("plain", '{"entities": [{"name": "EU", "type": "Jurisdiction"}, {"name": " "}], "relations": [{"subject": "A", "predicate": "amends", "object": "B", "validity": {"start": "2024-01-01", "end": "none"}}]}'),
-    ("fenced", '```json\n{"relations": [{"subject": " A ", "predicate": "sets", "object": "C", "validity": {"start": "2024-02-30"}}, {"subject": "A", "predicate": "", "object": "D"}]}\n```'),
-    ("salvaged", 'Here it is: {"relations": [{"subject": "E", "predicate": "bars", "object": "F", "validity": {"start": "2024-3-5 10:00:00", "end": "2024-04-01"}}]} Bye.'),
-    ("broken", "no json {here"),
-]
-
-
-def llm_json_salvage(spark, sf):
-    return extract.reply_relations(_rows(spark, REPLIES, "id string, reply string"), ["id"]).select("id", "subject", "predicate", "object", "valid_from", "valid_until", "start_label")
-
-
 NAMES = [
-    "text_clean", "token_estimate", "paragraph_split", "chunk_documents", "word_tokens", "term_frequency", "hash_bucket", "hashing_embedding_sparse", "candidate_entities", "entity_classify", "canonical_entity", "find_dates", "chunk_window",
-    "relation_frames", "window_grammar", "window_words", "window_quarters", "window_halves", "window_months", "jaccard_pairs", "seed_dedupe", "question_node_match", "vector_topk", "vector_topk_temporal", "broad_recall_backfill", "citations",
-    "extractive_answer", "compare_narrative", "llm_json_salvage",
+    "text_clean", "token_estimate", "paragraph_split", "chunk_documents", "word_tokens", "term_frequency", "hash_bucket", "hashing_embedding_sparse", "candidate_entities", "entity_classify", "canonical_entity",
+    "window_words", "jaccard_pairs", "vector_topk", "vector_topk_temporal", "broad_recall_backfill", "citations",
+    "extractive_answer", "compare_narrative",
     "word_tokens_documents", "term_frequency_documents", "hash_bucket_documents", "hashing_embedding_sparse_documents", "candidate_entities_documents", "canonical_entity_documents", "jaccard_pairs_documents",
     "find_dates_documents", "chunk_window_documents", "relation_frames_documents", "window_grammar_documents",
 ]
@@ -312,12 +239,6 @@ CH = "ch AS (SELECT *, CASE WHEN label % 2 = 0 THEN \"start\" + 90 END AS \"end\
 WORDS3 = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda w: length(w) > 2))"
 
 
-def _values(rows: list[tuple], names: str, types: str) -> str:
-    one = lambda v, t: "NULL" if v is None else f"CAST('{str(v)}' AS {t})"
-    kinds = types.split(",")
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(one(v, t) for v, t in zip(r, kinds, strict=True)) + ")" for r in rows) + f") AS t({names})"
-
-
 ORACLES = {
     "text_clean": f"SELECT doc_id, md5({CLEAN}) AS clean_md5, CAST(length({CLEAN}) AS INTEGER) AS n FROM documents",
     "token_estimate": "SELECT doc_id, CAST(greatest(1, length(text) // 4) AS INTEGER) AS tokens FROM documents",
@@ -329,21 +250,11 @@ ORACLES = {
     "candidate_entities": f"WITH {NAMED} SELECT * FROM ranked",
     "canonical_entity": f"WITH {NAMED} SELECT DISTINCT lower(regexp_replace(trim(name), '^([Tt][Hh][Ee]|[Aa][Nn]?)\\s+', '')) AS canon FROM ranked",
     "entity_classify": "SELECT k, name, CASE WHEN regexp_matches(lower(name), 'regulation|act|directive|standard|policy|protocol|guideline|circular') THEN 'Regulation' WHEN regexp_matches(lower(name), 'firm|bank|authority|company|corp|ltd|inc|commission|agency|board') THEN 'Organization' WHEN regexp_matches(lower(name), 'tax|charge|rate|fee|levy|credit|deduction|threshold') THEN 'Instrument' WHEN regexp_matches(lower(name), 'party|citizen|resident|taxpayer|entity|customer|person') THEN 'Party' WHEN regexp_matches(lower(name), 'eu|us|uk|usa|germany|france|japan|china|canada|india') THEN 'Jurisdiction' ELSE 'Concept' END AS type FROM (SELECT c_custkey AS k, c_mktsegment AS name FROM customer UNION SELECT n_nationkey, 'Tax Board of ' || n_name FROM nation UNION SELECT n_nationkey, n_name FROM nation)",
-    "chunk_window": _values([("a", "2022-01-01", None), ("b", "2023-01-01", "2025-12-31"), ("c", "2024-01-01", "2026-01-01"), ("d", None, None)], 'doc, "start", "end"', "VARCHAR,DATE,DATE"),
-    "find_dates": _values([("a", 0, "2022-01-01", "2022-01-01"), ("a", 1, "2024-06-30", "2024-06-30"), ("a", 2, "2024-07-01", "2024-07-01"), ("b", 0, "2023-01-01", "2023-01-01"), ("b", 1, "2024-10-01", "2024-10-01"), ("b", 2, "2025-12-31", "2025-12-31"), ("c", 0, "2024-01-01", "january 2024"), ("c", 1, "2024-03-01", "march 2024"), ("c", 2, "2024-07-01", "q3 2024"), ("c", 3, "2024-09-30", "q3 2024"), ("c", 4, "2025-12-31", "12/31/2025"), ("c", 5, "2026-01-01", "2026")], "doc, i, day, label", "VARCHAR,INTEGER,DATE,VARCHAR"),
-    "relation_frames": _values([("a", "Data Transfer Policy", "requires", "data localization for Personal", "2022-01-01", "2024-06-30"), ("a", "Data Transfer Policy", "permits", "cross-border data transfers when", "2024-07-01", None), ("a", "Cross-Border Data Regulation", "governs", "transfer of Personal", None, None), ("b", "Tax Reform Act", "imposes", "15 percent corporate", "2023-01-01", None), ("b", "Corporate Finance Act", "amends", "Tax Reform Act", "2024-10-01", None), ("c", "Q3", "effective", "January 2024 through March", "2024-01-01", "2024-09-30")], "doc, subject, predicate, object, valid_from, valid_until", "VARCHAR,VARCHAR,VARCHAR,VARCHAR,DATE,DATE"),
-    "window_grammar": _values([("Q3 2024", "2024-07-01", "2024-09-30"), ("Q1-Q2 2025", "2025-01-01", "2025-06-30"), ("2024", "2024-01-01", "2024-12-31"), ("2024-03-01 to 2024-09-30", "2024-03-01", "2024-09-30"), ("January 2024 to March 2024", "2024-01-01", "2024-03-31"), ("as of Dec 31, 2023", "2023-12-31", "2023-12-31"), ("current quarter", "2024-04-01", "2024-06-30"), ("last 90 days", "2024-02-15", "2024-05-15"), ("what changed?", None, None), ("H1 2024", "2024-01-01", "2024-06-30"), ("2024-07-15", "2024-07-15", "2024-07-16"), ("as of 2024-07-15", "2024-07-15", "2024-07-15"), ("2024-07", "2024-01-01", "2024-12-31"), ("year 3000", None, None), ("previous quarter", "2024-01-01", "2024-03-31"), ("last month", "2024-04-01", "2024-04-30"), ("this year", "2024-01-01", "2024-12-31"), ("today", "2024-05-15", "2024-05-15"), ("last 2 months", "2024-03-01", "2024-05-15")], 'text, "start", "end"', "VARCHAR,DATE,DATE"),
     "window_words": "WITH days AS (SELECT d, CAST(year(d) AS INTEGER) AS y, CAST(quarter(d) AS INTEGER) AS q, CAST(month(d) AS INTEGER) AS m FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderdate IS NOT NULL)) " + " UNION ALL ".join(f'SELECT d, {a} AS text, CAST({b} AS DATE) AS "start", CAST({c} AS DATE) AS "end" FROM days' for a, b, c in SPOKEN).format(last="last_day", later="CAST(d + 200 AS DATE)", next="d + 1", month="strftime(d, '%B')", day="day(d)", ago="d - 90"),
-    "window_quarters": "SELECT 'in Q' || m || ' ' || y AS text, make_date(y, 3 * m - 2, 1) AS \"start\", last_day(make_date(y, 3 * m, 1)) AS \"end\" FROM range(1990, 2030) a(y), range(1, 5) b(m)",
-    "window_halves": "SELECT 'H' || m || ', ' || y AS text, make_date(y, 6 * m - 5, 1) AS \"start\", last_day(make_date(y, 6 * m, 1)) AS \"end\" FROM range(1990, 2030) a(y), range(1, 3) b(m)",
-    "window_months": "SELECT strftime(make_date(y, m, 1), '%B') || ' ' || y AS text, make_date(y, m, 1) AS \"start\", last_day(make_date(y, m, 1)) AS \"end\" FROM range(1990, 2030) a(y), range(1, 13) b(m)",
     "jaccard_pairs": f"WITH t AS (SELECT doc_id, {WORDS3.format('text')} AS w FROM {EN}) SELECT a.doc_id, round(CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END, 6) AS overlap FROM t a JOIN t b ON b.doc_id = a.doc_id + 1",
-    "seed_dedupe": _values([(0, "Data Transfer Policy"), (1, "Personal Data"), (2, "EU"), (3, "EU"), (4, "Tax Reform Act")], "i, name", "INTEGER,VARCHAR"),
-    "question_node_match": _values([("The Data Transfer Policy",), ("Transfer Policy of Data",), ("Tax Reform Act",)], "name", "VARCHAR"),
     "vector_topk": "SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, " + DISTANCE.format("v.embedding", "q.embedding") + " AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0) QUALIFY rank <= 10",
     "vector_topk_temporal": f"WITH {CH} SELECT chunk_id, \"start\", \"end\", score FROM sc WHERE (\"end\" IS NULL OR \"end\" >= DATE '1997-01-01') AND \"start\" <= DATE '1997-02-28' ORDER BY score, chunk_id LIMIT 10",
     "broad_recall_backfill": f"WITH {CH}, hits AS (SELECT chunk_id, 0 AS lens, score FROM sc WHERE (\"end\" IS NULL OR \"end\" >= DATE '1996-01-01') AND \"start\" <= DATE '1996-01-02' ORDER BY score, chunk_id LIMIT 6), broad AS (SELECT chunk_id, 1 AS lens, score FROM sc ORDER BY score, chunk_id LIMIT 10) SELECT * FROM hits UNION ALL SELECT * FROM broad WHERE (SELECT count(*) FROM hits) < 6 AND chunk_id NOT IN (SELECT chunk_id FROM hits)",
     "citations": f"WITH {FACTS}, {CH} SELECT 'v' || (row_number() OVER (ORDER BY score, chunk_id) - 1) AS key, 'chunk' AS kind, 'doc' || label AS doc_id, chunk_id, CAST(\"start\" AS VARCHAR) || ' → ' || coalesce(CAST(\"end\" AS VARCHAR), '…') AS validity, 'vector ' || chunk_id AS snippet FROM (SELECT * FROM sc WHERE (\"end\" IS NULL OR \"end\" >= DATE '1997-01-01') AND \"start\" <= DATE '1997-02-28' ORDER BY score, chunk_id LIMIT 6) UNION ALL SELECT 'g' || (row_number() OVER (ORDER BY edge_seq) - 1), 'graph_fact', doc_id, chunk_id, CAST(valid_from AS VARCHAR) || ' → ' || coalesce(CAST(valid_until AS VARCHAR), '…'), subject || ' → ' || predicate || ' → ' || object FROM facts WHERE subject = 'customer#7' AND valid_from < DATE '1996-01-01'",
     "extractive_answer": f"WITH {FACTS}, {CH}, l AS (SELECT 1 AS part, row_number() OVER (ORDER BY score, chunk_id) - 1 AS i, label, \"start\", \"end\", chunk_id, NULL AS f FROM (SELECT * FROM sc WHERE (\"end\" IS NULL OR \"end\" >= DATE '1997-01-01') AND \"start\" <= DATE '1997-02-28' ORDER BY score, chunk_id LIMIT 5) UNION ALL SELECT 2, row_number() OVER (ORDER BY edge_seq) - 1, NULL, valid_from, valid_until, NULL, subject || ' --[' || predicate || ']--> ' || object FROM facts WHERE subject = 'customer#7' AND valid_from < DATE '1996-01-01') SELECT 'Evidence for “1997” (extractive engine):' || chr(10) || string_agg(CASE part WHEN 1 THEN '[v' || i || '] (doc' || label || ', p' || label || ', valid ' || CAST(\"start\" AS VARCHAR) || ' → ' || coalesce(CAST(\"end\" AS VARCHAR), '…') || ') vector ' || chunk_id || '…' ELSE '[g' || i || '] ' || f || ' (valid ' || CAST(\"start\" AS VARCHAR) || ' → ' || coalesce(CAST(\"end\" AS VARCHAR), '…') || ')' END, chr(10) ORDER BY part, i) AS answer FROM l WHERE part = 1 OR i < 20",
-    "llm_json_salvage": _values([("plain", "A", "amends", "B", "2024-01-01", None, "2024-01-01"), ("fenced", "A", "sets", "C", None, None, None), ("salvaged", "E", "bars", "F", "2024-03-05", "2024-04-01", "2024-03-05")], "id, subject, predicate, object, valid_from, valid_until, start_label", "VARCHAR,VARCHAR,VARCHAR,VARCHAR,DATE,DATE,VARCHAR"),
 }

@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from factlens.plans import statements
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,10 +12,10 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["snapshot_diff", "time_sliced_bfs", "node_merge", "candidate_entities", "relation_frames", "vector_topk", "window_grammar", "stored_window_snapshot", "stored_neighbors_2hop", "stored_bfs", "interval_overlap_all", "interval_overlap_own", "as_of_latest", "graph_stats", "neighbors_2hop", "neighbors_bag"])
+@pytest.mark.parametrize("name", ["snapshot_diff", "time_sliced_bfs", "node_merge", "candidate_entities", "vector_topk", "stored_window_snapshot", "stored_neighbors_2hop", "stored_bfs", "interval_overlap_all", "interval_overlap_own", "as_of_latest", "graph_stats", "neighbors_2hop", "neighbors_bag", *statements.NAMES])
 def test_oracle(spark, name):
     db = duckdb.connect()
-    for t in ("orders", "lineitem", "documents", "embeddings", "events", "customer", "nation"):
+    for t in ("orders", "lineitem", "documents", "embeddings", "events", "customer", "nation", "part"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got = entry.queries()[name](spark, SF)
     cols = sorted(got.columns)

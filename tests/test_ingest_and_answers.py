@@ -2,12 +2,12 @@ import json
 from datetime import date
 
 import pytest
+from statements import STATEMENTS
 
 from factlens.engine import Engine
 from factlens.functions.text import short_hash
 from factlens.operators import graph
 from factlens.operators.chunking import chunk_documents
-from factlens.plans.texts import STATEMENTS
 from factlens.sources import pages as sources
 from factlens.sources.state import latest, overlay, synced
 from factlens.sources.store import write_graphml, write_json

@@ -5,11 +5,11 @@ from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from statements import STATEMENTS
 
 from factlens.engine import Engine
 from factlens.functions import interval as iv
 from factlens.operators import graph, traversal
-from factlens.plans.texts import STATEMENTS
 from factlens.sources.store import EDGES, Store, write_by_validity
 
 PAGES = "doc_id string, page int, text string"
