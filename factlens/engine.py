@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factlens.functions.window import parse_window
 from factlens.operators import answers, graph, intervals, retrieval
+from factlens.operators.extraction import Load
 from factlens.sources.store import Store
 from factlens.streaming.ingest import ingest
 
@@ -17,14 +18,15 @@ class Engine:
     def __init__(self, spark: SparkSession, path: str, dimensions: int = 768, size: int = 800, overlap: int = 120):
         self.store, self.dimensions, self.size, self.overlap = Store(spark, path), dimensions, size, overlap
 
-    def ingest(self, pages: DataFrame) -> None:
-        ingest(self.store, pages, self.size, self.overlap, self.dimensions)
+    def ingest(self, pages: DataFrame, load: Load | None = None) -> None:
+        """Pages as a batch; with a model (load, see operators.extraction) what it reads from them."""
+        ingest(self.store, pages, self.size, self.overlap, self.dimensions, load)
 
     def retrieve(self, question: str, **options) -> retrieval.Context:
         return retrieval.retrieve(question, self.store.chunks(), self.store.adjacency(), self.store.nodes(), dimensions=self.dimensions, **options)
 
-    def query(self, question: str, model=None, **options) -> DataFrame:
-        return answers.answer(self.retrieve(question, **options), model)
+    def query(self, question: str, load: Load | None = None, **options) -> DataFrame:
+        return answers.answer(self.retrieve(question, **options), load)
 
     def compare(self, question: str, a: str, b: str, **options) -> tuple[DataFrame, DataFrame]:
         return answers.compare(self.retrieve(question, label=a, **options), self.retrieve(question, label=b, **options))

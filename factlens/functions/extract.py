@@ -137,7 +137,7 @@ def relation_frames(chunks: DataFrame, ids: list[str], text: str = "text") -> Da
     return dates.select(*ids, "position", "subject", "predicate", "object", first["day"].alias("valid_from"), end("day").alias("valid_until"), first["label"].alias("start_label"), end("label").alias("end_label"), F.substring("s", 1, 300).alias("sentence"), F.lit(0.55).alias("confidence"))
 
 
-REPLY = "entities array<struct<id:string,name:string,type:string,aliases:array<string>,sentence:string,confidence:double>>, relations array<struct<subject:string,predicate:string,object:string,validity:struct<start:string,end:string,start_label:string,end_label:string>,sentence:string,confidence:double>>"
+REPLY = "entities array<struct<id:string,name:string,type:string,aliases:array<string>,sentence:string,confidence:double>>, relations array<struct<subject:string,predicate:string,object:string,validity:struct<start:string,end:string,start_label:string,end_label:string>,sentence:string,confidence:double>>, chunk_temporal struct<start:string,end:string,start_label:string,end_label:string>"
 
 
 def reply_json(reply) -> Column:
@@ -168,5 +168,13 @@ def reply_relations(replies: DataFrame, ids: list[str], reply: str = "reply") ->
 def reply_entities(replies: DataFrame, ids: list[str], reply: str = "reply") -> DataFrame:
     """The named entities of replies."""
     parsed = replies.select(*ids, F.from_json(reply_json(reply), REPLY).alias("r")).select(*ids, F.posexplode("r.entities").alias("position", "x"))
-    out = parsed.select(*ids, "position", F.trim("x.name").alias("name"), F.coalesce("x.type", F.lit("UNKNOWN")).alias("type"), "x.aliases", F.coalesce("x.confidence", F.lit(0.5)).alias("confidence"))
+    out = parsed.select(*ids, "position", F.trim("x.name").alias("name"), F.coalesce(F.nullif(F.trim("x.type"), F.lit("")), F.lit("Other")).alias("type"), "x.aliases", F.coalesce("x.confidence", F.lit(0.5)).alias("confidence"))
     return out.where(F.coalesce("name", F.lit("")) != "")
+
+
+def reply_windows(replies: DataFrame, ids: list[str], reply: str = "reply") -> DataFrame:
+    """ids, w: the window that a reply gives for its whole text (start, end, start_label, end_label)."""
+    x = replies.select(*ids, F.from_json(reply_json(reply), REPLY).alias("r")).select(*ids, "r.chunk_temporal.*")
+    start, end = reply_date(F.col("start")), reply_date(F.col("end"))
+    label = lambda c, day: F.coalesce(F.nullif(F.trim(f"{c}_label"), F.lit("")), F.when(day.isNotNull(), F.col(c)))
+    return x.select(*ids, F.struct(start.alias("start"), end.alias("end"), label("start", start).alias("start_label"), label("end", end).alias("end_label")).alias("w"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import logging
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factlens.functions.extract import reply_json
 from factlens.functions.interval import rendered, rendered_validity
+from factlens.operators.extraction import Load, replies
 from factlens.operators.intervals import context_diff
 from factlens.operators.retrieval import Context
 
@@ -55,16 +54,21 @@ def extractive_answer(hits: DataFrame, edges: DataFrame, label: str = "") -> Dat
     return lines.select(F.array_join(F.concat(F.array(head), body), "\n").alias("answer"))
 
 
-def answer(context: Context, model: Callable[[Context], str | None] | None = None) -> DataFrame:
-    """One row (question, answer, engine): by a given model, or extractive where there is none, it says nothing or it fails."""
-    try:
-        said = model(context) if model else None
-    except Exception as error:  # whatever a model raises, the evidence stands
-        logging.getLogger(__name__).warning("the model gave no answer: %r", error)
-        said = None
-    out = extractive_answer(context.hits, context.edges, context.window.label)
-    text = F.lit(said) if said else F.col("answer")
-    return out.select(F.lit(context.question).alias("question"), text.alias("answer"), F.lit("model" if said else "extractive").alias("engine"))
+def question_prompt(context: Context, evidence: Column) -> Column:
+    """What a model is asked about a question, with the evidence in words."""
+    asked = 'Answer from the evidence alone, for the window asked about, and cite it like [v0] or [g1]. Reply with JSON: {"answer": "..."}.'
+    return F.concat(F.lit(f"{asked}\nQuestion: {context.question}\nWindow: {context.window.label or 'open'}\n"), evidence)
+
+
+def answer(context: Context, load: Load | None = None) -> DataFrame:
+    """One row (question, answer, engine): by a given model (load, see operators.extraction), or extractive where there is none, it
+    fails, or its reply holds no answer."""
+    out = extractive_answer(context.hits, context.edges, context.window.label).select(F.lit(context.question).alias("question"), "answer")
+    if load is None:
+        return out.withColumn("engine", F.lit("extractive"))
+    said = replies(out, question_prompt(context, F.col("answer")), load)
+    own = F.nullif(F.trim(F.get_json_object(reply_json("reply"), "$.answer")), F.lit(""))
+    return said.select("question", F.coalesce(own, "answer").alias("answer"), F.when(own.isNotNull(), "model").otherwise("extractive").alias("engine"))
 
 
 def narrative(diff: DataFrame, label_a: str, label_b: str) -> DataFrame:

@@ -13,6 +13,7 @@ from factlens.functions.embed import DIMENSIONS, embed, squared_distance
 from factlens.functions.text import canonical_name, jaccard, search_tokens
 from factlens.functions.window import DateWindow, parse_window
 from factlens.operators.graph import time_sliced_bfs
+from factlens.operators.traversal import Adjacency
 
 TOP_K, HOPS, MOST_EDGES, MOST_SEEDS = 6, 2, 40, 12
 SEED_LIKENESS = 0.4
@@ -77,7 +78,7 @@ def seeds(hits: DataFrame, nodes: DataFrame, question: str, most: int = MOST_SEE
 
 @dataclass
 class Context:
-    """What a question was answered from."""
+    """What a question was answered from. hits, edges and seeds are a few rows, kept on the driver."""
 
     question: str
     window: DateWindow
@@ -87,6 +88,11 @@ class Context:
     trace: list[str] = field(default_factory=list)
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A few rows as a local table, so that what gave them isn't run again by each reader."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def resolve_window(question: str, start=None, end=None, label: str | None = None, as_of: date | None = None) -> DateWindow:
     """Explicit bounds, else the window that the label or a start in words names, else the one the question names."""
     if isinstance(start, str) and end is None:
@@ -106,12 +112,20 @@ def iv_label(start, end) -> str:
     return f"{start} (as of)" if start == end else f"{start or '…'} → {end or '…'}"
 
 
-def retrieve(question: str, chunks: DataFrame, edges: DataFrame, nodes: DataFrame, *, start=None, end=None, label: str | None = None, k: int = TOP_K, hops: int = HOPS, most_edges: int = MOST_EDGES, dimensions: int = DIMENSIONS, as_of: date | None = None) -> Context:
+def retrieve(question: str, chunks: DataFrame, edges: DataFrame | Adjacency, nodes: DataFrame, *, start=None, end=None, label: str | None = None, k: int = TOP_K, hops: int = HOPS, most_edges: int = MOST_EDGES, dimensions: int = DIMENSIONS, as_of: date | None = None) -> Context:
     window = resolve_window(question, start, end, label, as_of)
     spark = chunks.sparkSession
     vector = embed(spark.createDataFrame([(1, question)], "i int, text string"), ["i"], dimensions=dimensions).first()["vector"]
-    hits = with_broad_recall(nearest(chunks, vector, k, window.bounds), chunks, vector, k, not window.is_empty)
-    found = seeds(hits, nodes, question)
-    facts = time_sliced_bfs(edges, found, hops, window.bounds, most_edges)
-    trace = [f"window: {window.label or 'open'}", f"hits: up to {k}", f"seeds: up to {MOST_SEEDS}", f"facts: up to {most_edges} within {hops} hops"]
+    # At most k and max(8, k + 4) hits, MOST_SEEDS seeds and most_edges facts.
+    hits = _few(with_broad_recall(_few(nearest(chunks, vector, k, window.bounds)), chunks, vector, k, not window.is_empty))
+    found = _few(seeds(hits, nodes, question))
+    facts = _few(time_sliced_bfs(edges, found, hops, window.bounds, most_edges))
+    lenses = [r["lens"] for r in hits.select("lens").collect()]
+    names, n_facts = [r["name"] for r in found.collect()], facts.count()
+    trace = [f"parsed window from question: '{window.label}'"] if start is end is label is None and not window.is_empty else []
+    trace.append("no temporal filter (open window)" if window.is_empty else f"temporal filter applied: [{window.start or '…'} → {window.end or '…'}]")
+    extra = f", +{sum(lenses)} broad-recall" if sum(lenses) else ""
+    trace.append(f"vector search: {len(lenses)} chunk hits (top_k={k}{extra})")
+    trace += [f"seed entities: {names[:8]}"] if names else []
+    trace += [f"graph lens: {n_facts} interval-validated facts via {len(names)} seeds"] if n_facts else []
     return Context(question, window, hits, facts, found, trace)

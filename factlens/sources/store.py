@@ -1,7 +1,7 @@
 """Tables of chunks, edges and entity mentions as Parquet folders, one folder a batch, and the documents' states.
 
 A writer reserves a number by making a file that nobody else made, writes its batch's folders and commits them by one more
-manifest, again a file that nobody else made: the list of the batches that count. So two writers never share a folder, a batch
+manifest, again a file that nobody else made: the list of the batches that count, and of streams the last micro-batch. So two writers never share a folder, a batch
 that breaks off leaves no trace, and a reader keeps the files of the manifest that it read, whatever is committed afterwards.
 Folders that no manifest lists any more are removed by `vacuum`, once nobody can be reading them.
 
@@ -85,12 +85,13 @@ class Store:
         out.close()
         return True
 
-    def _manifest(self) -> tuple[int, dict[str, list[str]]]:
-        """The newest manifest's number, and the batches that count with the tables each has."""
+    def _manifest(self) -> tuple[int, dict]:
+        """The newest manifest's number, and what it says: `batches` that count with the tables each has, and `sources`, the streams'
+        last micro-batches."""
         for _ in range(100):
             number = max([int(x.partition(".")[0]) for x in self._names("manifest") if x.endswith(".json")], default=0)
             if not number:
-                return 0, {}
+                return 0, {"batches": {}, "sources": {}}
             file, files = self._folder(f"manifest/{number:012d}.json")
             stream = files.open(file)
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -100,6 +101,13 @@ class Store:
             time.sleep(0.05)
         raise RuntimeError(f"manifest {number} of {self.path} isn't whole")
 
+    def _batches(self) -> dict[str, list[str]]:
+        return self._manifest()[1]["batches"]
+
+    def has(self, source: str, number: int) -> bool:
+        """Whether a stream's micro-batch was committed."""
+        return self._manifest()[1]["sources"].get(source, -1) >= number
+
     def reserve(self) -> int:
         """A batch number that no other writer has."""
         n = max([int(x) for x in self._names("reserved") if x.isdigit()], default=0) + 1
@@ -107,15 +115,21 @@ class Store:
             n += 1
         return n
 
-    def commit(self, batch: int, tables: list[str], instead_of: list[str] = ()) -> None:
-        """The batch counts from now on, in place of others. Writers that commit at the same time do so one after the other."""
+    def commit(self, batch: int, tables: list[str], instead_of: list[str] = (), source: tuple[str, int] | None = None) -> bool:
+        """The batch counts from now on, in place of others. Writers that commit at the same time do so one after the other. False,
+        and no change, if the batch is of a stream's micro-batch (source) that was committed already."""
         while True:
-            number, live = self._manifest()
+            number, said = self._manifest()
+            live, sources = said["batches"], said["sources"]
             if missing := [x for x in instead_of if x not in live]:
                 raise RuntimeError(f"batches {missing} were replaced by another writer")
+            if source:
+                if sources.get(source[0], -1) >= source[1]:
+                    return False
+                sources = sources | {source[0]: source[1]}
             now = {k: v for k, v in live.items() if k not in instead_of} | {str(batch): tables}
-            if self._put_new(f"manifest/{number + 1:012d}.json", json.dumps(now) + "\n"):
-                return
+            if self._put_new(f"manifest/{number + 1:012d}.json", json.dumps({"batches": now, "sources": sources}) + "\n"):
+                return True
 
     def _read(self, name: str, schema: T.StructType, live: dict[str, list[str]]) -> DataFrame:
         whole = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
@@ -130,10 +144,10 @@ class Store:
 
     def states(self) -> DataFrame:
         """The last state of each document, with the batch that holds it."""
-        return self._states(self._manifest()[1])
+        return self._states(self._batches())
 
     def _live(self, name: str, batches: dict[str, list[str]] | None = None) -> DataFrame:
-        batches = self._manifest()[1] if batches is None else batches
+        batches = self._batches() if batches is None else batches
         live = self._states(batches).where("status = 'indexed'").select("doc_id", "batch")
         return self._read(name, TABLES[name], batches).join(live, ["doc_id", "batch"], "left_semi").select(*TABLES[name].names)
 
@@ -193,7 +207,7 @@ class Store:
     def compact(self) -> None:
         """What counts of all batches as one batch. Readers of the old batches go on; `vacuum` removes those. If another compaction
         was faster, this one raises RuntimeError and changes nothing; batches that others commit meanwhile stay as they are."""
-        _, live = self._manifest()
+        live = self._batches()
         batch = self.reserve()
         for name in TABLES:
             self.put(name, self._live(name, live), batch)
@@ -203,7 +217,7 @@ class Store:
     def vacuum(self, older_than: float = 7 * 86400) -> int:
         """Remove the folders of batches that the newest manifest doesn't list, if their number was reserved and the newest manifest
         was made more than `older_than` seconds ago; returns how many. That has to be longer than any reader or writer takes."""
-        number, live = self._manifest()
+        number, live = self._manifest()[0], self._batches()
         if not number:
             return 0
         now = time.time()

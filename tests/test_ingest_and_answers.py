@@ -1,4 +1,5 @@
 import json
+import time
 from datetime import date
 
 import pytest
@@ -8,10 +9,11 @@ from factlens.engine import Engine
 from factlens.functions.text import short_hash
 from factlens.operators import graph
 from factlens.operators.chunking import chunk_documents
+from factlens.operators.extraction import extract_chunks
 from factlens.sources import pages as sources
 from factlens.sources.state import latest, overlay, synced
 from factlens.sources.store import write_graphml, write_json
-from factlens.streaming.ingest import ingest_stream
+from factlens.streaming.ingest import ingest, ingest_stream
 
 PAGES = "doc_id string, page int, text string"
 
@@ -44,8 +46,14 @@ def test_questions(engine):
     assert "permits" in predicates(context.edges) and "requires" not in predicates(context.edges)
     said = engine.query("What does the Data Transfer Policy permit in Q3 2024?").first()
     assert said.engine == "extractive" and "--[permits]-->" in said.answer
-    assert engine.query("x", model=lambda c: "yes").first().answer == "yes"
-    assert engine.query("x", model=lambda c: 1 // 0).first().engine == "extractive"
+    assert context.trace[0] == f"parsed window from question: '{context.window.label}'" and context.trace[1] == "temporal filter applied: [2024-07-01 → 2024-09-30]"
+    assert context.trace[2].startswith("vector search: 2 chunk hits (top_k=6") and context.trace[-1].startswith(f"graph lens: {context.edges.count()} interval-validated facts via ")
+    assert engine.retrieve("zzz").trace[0] == "no temporal filter (open window)"
+    for reply, engine_, want in (('```json\n{"answer": " yes [v0] "}\n```', "model", "yes [v0]"), ("I don't know", "extractive", None), ('{"answer": ""}', "extractive", None)):
+        got = engine.query("x", load=lambda reply=reply: lambda prompt: reply).first()
+        assert got.engine == engine_ and (want is None or got.answer == want)
+    assert engine.query("What is in Q3 2024?", load=lambda: lambda prompt: json.dumps({"answer": prompt})).first().answer.split("\n")[1:3] == ["Question: What is in Q3 2024?", f"Window: {engine.retrieve('What is in Q3 2024?').window.label}"]
+    assert engine.query("x", load=lambda: lambda prompt: 1 // 0).first().engine == "extractive"
     diff, text = engine.compare("Data Transfer Policy", "Q1 2022", "Q4 2024")
     assert "Comparing “Q1 2022” vs “Q4 2024”:" in text.first().narrative and "removed" in {r.bucket for r in diff.collect()}
 
@@ -96,6 +104,58 @@ def test_stream(spark, tmp_path):
         (tmp_path / "in" / f"{name}.json").write_text(json.dumps({"doc_id": name, "page": 1, "text": STATEMENTS["b"]}))
 
 
+def test_stream_puts_documents_together(spark, tmp_path):
+    """Pages of several micro-batches make one document, a replayed micro-batch changes nothing, and a timeout gives up waiting."""
+    engine, folder = Engine(spark, str(tmp_path / "store"), dimensions=16), tmp_path / "in"
+    folder.mkdir()
+    first, second, third = (x.strip() + "." for x in STATEMENTS["a"].rstrip(".").split(". "))
+
+    def arrive(name, *rows, **options):
+        (folder / f"{name}.json").write_text("\n".join(json.dumps(dict(zip(("doc_id", "page", "text", "pages"), r, strict=False))) for r in rows))
+        ingest_stream(spark, engine.store, str(folder), str(tmp_path / "checkpoint"), dimensions=16, **options).awaitTermination()
+        return {k: {r.predicate for r in engine.store.edges().where(f"doc_id = '{k}'").collect()} for k in "ab"}
+
+    assert arrive("1", ("a", 1, first, 2), (None, 1, "x", 1), ("b", 1, first)) == {"a": set(), "b": {"requires"}}
+    assert arrive("2", ("b", 2, second)) == {"a": set(), "b": {"requires", "permits"}}
+    assert arrive("3", ("a", 2, third)) == {"a": {"requires", "governs"}, "b": {"requires", "permits"}}
+    batches = engine.store._batches()
+    assert not ingest(engine.store, spark.createDataFrame([("a", 1, second)], PAGES), dimensions=16, source=(str(tmp_path / "checkpoint"), 0))
+    assert engine.store._batches() == batches
+    engine.delete_document("a")
+    arrive("4", ("a", 9, second, 12), timeout_ms=1)
+    time.sleep(0.1)
+    assert arrive("5", ("c", 1, "Nothing.", 1), timeout_ms=1)["a"] == {"requires", "permits", "governs"}
+
+
+def test_models_and_rules(spark, tmp_path):
+    """A model that fails on every third document leaves these to the rules; the others have what it says."""
+    engine = Engine(spark, str(tmp_path / "store"), dimensions=16)
+
+    def load():
+        def model(prompt):
+            n = int(prompt.split("Document d")[1].split(",")[0])
+            if n % 3 == 0:
+                raise RuntimeError("no luck")
+            if n % 3 == 1:
+                return "Well: " + json.dumps({"entities": [{"name": f"Model {n}", "aliases": ["M"]}], "relations": [{"subject": f"Model {n}", "predicate": "sets", "object": "Rules", "validity": {"start": "2020-01-01", "end": "none"}}], "chunk_temporal": {"start": "2020-01-01", "end": "2020-12-31"}})
+            return '{"entities": [], "relations": []}' if n == 2 else "nothing at all"
+
+        return model
+
+    engine.ingest(spark.createDataFrame([(f"d{n}", 1, STATEMENTS["b"]) for n in range(9)], PAGES), load)
+    found = {}
+    for r in engine.store.edges().collect():
+        found.setdefault(r.doc_id, set()).add((r.subject, r.predicate, str(r.valid_from)))
+    ruled = {("Tax Reform Act", "imposes", "2023-01-01"), ("Corporate Finance Act", "amends", "2024-10-01")}
+    assert found == {f"d{n}": {(f"Model {n}", "sets", "2020-01-01")} if n % 3 == 1 else ruled for n in range(9)}
+    chunks = {r.doc_id: (r.entities, str(r.start), str(r.end), r.start_label) for r in engine.store.chunks().collect()}
+    assert chunks["d1"] == (["Model 1"], "2020-01-01", "2020-12-31", "2020-01-01") and chunks["d0"][1:3] == ("2023-01-01", "2025-12-31")
+    assert {(r.name, r.type, tuple(r.aliases)) for r in engine.store.nodes().where("name LIKE 'Model%'").collect()} == {(f"Model {n}", "Other", ("M",)) for n in (1, 4, 7)}
+    text = spark.createDataFrame([("d3", "c3", STATEMENTS["b"]), ("d4", "c4", ""), ("d5", "c5", None)], "doc_id string, chunk_id string, text string")
+    engines = {r.chunk_id: (r.engine, r.error) for r in extract_chunks(text, load).engines.collect()}
+    assert engines == {"c3": ("rules", "RuntimeError: no luck"), "c4": ("model", None), "c5": ("rules", None)}
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([
         ("Data Transfer Policy", "governs", "Data Processor", date(2024, 1, 1), date(2025, 12, 31), "1 Jan 2024", "31 Dec 2025", "d", "c1", "e", 0.5, 1),

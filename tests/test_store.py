@@ -89,7 +89,7 @@ def test_writers_and_readers_at_once(spark, tmp_path):
         t.start()
     for t in threads:
         t.join()
-    assert {str(n) for n in numbers[:4]} <= store._manifest()[1].keys()
+    assert {str(n) for n in numbers[:4]} <= store._batches().keys()
     # A batch that is never committed leaves no trace, and a reader keeps what it read.
     store.put("edges", store.edges(), store.reserve())
     reader = store.edges()
@@ -112,7 +112,7 @@ def test_versions_outlive_compaction(spark, tmp_path):
     late.store.reserve = lambda: slow
     ingest(late, a=STATEMENTS["a"], b=STATEMENTS["a"])
     assert {(r.doc_id, r.predicate) for r in store.edges().collect()} == {("a", "requires"), ("a", "permits"), ("a", "governs"), ("b", "imposes"), ("b", "amends")}
-    _, live = store._manifest()
+    live = store._batches()
     store.compact()
     with pytest.raises(RuntimeError, match="replaced"):
         store.commit(store.reserve(), [], [*live])
