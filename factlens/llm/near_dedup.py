@@ -335,9 +335,9 @@ def _met(members: DataFrame, nodes: DataFrame, forest: bool, least: float, work:
     classes = members.join(nodes.select("id", "lab"), "id")
     split = classes.groupBy("sig").agg(F.count("*").alias("c"), F.min("lab").alias("low"), F.max("lab").alias("high")).where("low != high")
     split = split.select("sig", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
+    # Each two blocks of a bucket meet in one cell: x below y, or a block with itself. A bucket gets its blocks before its nodes join.
+    split = split.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = members.join(split, "sig").join(nodes.select("id", "home", "lab", "n", "sketch"), "id").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    # Each two blocks of a bucket meet in one cell: x below y, or a block with itself.
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("sig", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "id", "home", "lab", "n", "sketch")
     cells = rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
 
