@@ -14,6 +14,8 @@ a class or id go too, unless they hold MOST of the page's text (and none is mark
 say so (`ad`), or its first or last part (`site-header`, `comment-list`) where the other part doesn't say that something
 else merely has one (`has-sidebar`). Headings, paragraphs and inline elements go only by a whole class or id.
 
+A page is read in time in proportion to its length: tags without an end, stray end tags and deep nesting included.
+
 Edge cases: null or empty html gives an empty text; a null URL's page counts to the host ''; markup without any
 container counts as the body; unclosed tags end with their parent or the page; repeated rows are extracted one by one.
 """
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -52,7 +55,8 @@ HAVING = frozenset("has have with without no not is in show hide open close belo
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 MAIN = frozenset("article articlebody body content entry main post story text".split())
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)""", re.S)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_PLAIN = re.compile(r"[^'\">]*")
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PART = re.compile(r"[-_.:]+|(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"\d+")
@@ -71,8 +75,12 @@ class _Said(NamedTuple):
 _NOTHING = _Said([], False, False, False, False)
 
 
-@lru_cache(maxsize=20_000)
 def _said(attributes: str) -> _Said:
+    return _known(attributes) if len(attributes) < 1000 else _known.__wrapped__(attributes)
+
+
+@lru_cache(maxsize=20_000)
+def _known(attributes: str) -> _Said:
     main = out = plainly = gone = False
     classes: set[str] = set()
     for m in _ATTRIBUTE.finditer(attributes):
@@ -96,11 +104,50 @@ def _said(attributes: str) -> _Said:
     return _Said(sorted(classes), main, out, plainly, gone)
 
 
+class _Tags:
+    """The tags of a page, found in one pass whatever the page looks like: behind the last `>` there is none, and where a tag's
+    quotes leave no end for it, that is remembered, so that no later tag goes the same way again."""
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.quotes = {q: source.rfind(q) for q in "'\""}
+        self.dead: set[int] = set()
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """The first tag from a place on: start, end, whether it closes, name ('' for comments and the like), attributes."""
+        m = _OPEN.search(self.source, at, self.last + 1)
+        if m is None:  # a comment needs no end
+            start = self.source.find("<!--", at)
+            return None if start < 0 else (start, len(self.source), False, "", "")
+        if m[1]:
+            end = self.source.find("-->", m.end())
+            return m.start(), len(self.source) if end < 0 else end + 3, False, "", ""
+        end = -1 if m[2] else self._end(m.end())
+        end = end if end >= 0 else self.source.find(">", m.end())
+        return m.start(), end + 1, bool(m[3]), (m[4] or "").lower(), self.source[m.end() : end] if m[4] else ""
+
+    def _end(self, at: int) -> int:
+        """Where the first `>` outside of quotes is; -1 if there is none."""
+        opened: list[int] = []
+        while True:
+            if at <= self.last:
+                at = _PLAIN.match(self.source, at, self.last + 1).end()
+            if at <= self.last and self.source[at] == ">":
+                return at
+            if at > self.last or at in self.dead or self.quotes[self.source[at]] <= at:
+                self.dead.update(opened, [at])
+                return -1
+            opened.append(at)
+            at = self.source.find(self.source[at], at + 1) + 1
+
+
 class Page:
     """A page's containers and text blocks, read in one pass over its tags."""
 
     def __init__(self, source: str):
-        self.paths: list[str] = ["body"]
+        # A container's own part of its path, and the number of the path; equal paths of a page have equal numbers.
+        self.parts: list[str] = ["body"]
+        self.path_ids: list[int] = [0]
         self.parents: list[int] = [-1]
         self.weights: list[float] = [0.5]
         self.doubtful: list[bool] = [False]  # boilerplate by a class or id
@@ -110,6 +157,9 @@ class Page:
     def _read(self, source: str) -> None:
         # The stack holds (tag, container that holds while it is open, in boilerplate, in a link).
         stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        opened: Counter[str] = Counter()
+        path_ids: dict[tuple[int, str], int] = {}
+        tags = _Tags(source)
         parts: list[str] = []
         linked = at = 0
 
@@ -128,40 +178,43 @@ class Page:
                 parts.append(piece)
                 linked += len(piece) * link
 
+        def close(depth: int) -> None:
+            for x in stack[depth:]:
+                opened[x[0]] -= 1
+            del stack[depth:]
+
         size = len(source)
         while at < size:
-            m = _TAG.search(source, at)
-            if m is None:
+            tag = tags.after(at)
+            if tag is None:
                 add(source[at:])
                 break
-            add(source[at : m.start()])
-            at = m.end()
-            name = (m[2] or m[5] or "").lower()
+            start, end, closing, name, attributes = tag
+            add(source[at:start])
+            at = end
             if not name:
                 continue
-            closing, attributes = m[1] or m[4], m[3] or m[6] or ""
             if name in BLOCKS:
                 end_block()
             elif name == "br":
                 add(" ")
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        end_block() if name in BLOCKS or name in BOILERPLATE else None
-                        del stack[k:]
-                        break
+                if opened[name] > 0:
+                    k = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name)
+                    end_block() if name in BLOCKS or name in BOILERPLATE else None
+                    close(k)
                 continue
             if name in RAW:
                 if not attributes.endswith("/"):
-                    found = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
+                    found = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at, tags.last + 1)
                     at = found.end() if found else size
                 continue
             if name in VOID or attributes.endswith("/") and name not in CONTAINERS:
                 continue
             if name in BLOCKS and stack[-1][0] == "p":
-                stack.pop()
+                close(len(stack) - 1)
             if name in ("li", "td", "th", "tr", "dd", "dt") and stack[-1][0] == name:
-                stack.pop()
+                close(len(stack) - 1)
             _, box, out, link = stack[-1]
             if name in ("html", "body"):
                 continue
@@ -171,19 +224,22 @@ class Page:
                 end_block() if name in BLOCKS else None
             out = out or bad
             if name in CONTAINERS and not out:
-                self.paths.append(f"{self.paths[box]}/{name}" + "".join(f".{x}" for x in said.classes))
+                part = name + "".join(f".{x}" for x in said.classes)
+                self.parts.append(part)
+                self.path_ids.append(path_ids.setdefault((self.path_ids[box], part), len(path_ids) + 1))
                 self.parents.append(box)
                 self.weights.append(4.0 if name == "article" else 3.0 if name == "main" or said.main else 1.0)
                 self.doubtful.append(said.out)
-                box = len(self.paths) - 1
+                box = len(self.parts) - 1
             if name in CONTAINERS or name in BOILERPLATE or name in ("p", "a", "dt", "th") or bad:
                 stack.append((name, box, out, link or name == "a"))
+                opened[name] += 1
         end_block()
 
     def _settle(self) -> list[int]:
         """Decide which doubtful containers are boilerplate: those that hold less than MOST of the page's text (outside
         links), and all if the main text is marked elsewhere. Returns the characters below each container, without those in boilerplate."""
-        own = [0] * len(self.paths)
+        own = [0] * len(self.parts)
         for _, box, n in self.blocks:
             own[box] += n
         below = own[:]
@@ -200,23 +256,40 @@ class Page:
                 own[self.parents[i]] += own[i]
         return own
 
-    def best(self) -> tuple[str, int]:
-        """The path of the container with the highest score, and the characters below it."""
+    def _best(self) -> tuple[int, int]:
+        """The container with the highest score, and the characters below it."""
         chars = self._settle()
         out = [False] * len(chars)
         for i in range(1, len(chars)):
             out[i] = self.cut[i] or out[self.parents[i]]
         i = max((k for k, gone in enumerate(out) if not gone), key=lambda k: (chars[k] * self.weights[k], k))
-        return self.paths[i], chars[i]
+        return i, chars[i]
+
+    def best(self) -> tuple[str, int]:
+        """The path of that container, and the characters below it."""
+        i, chars = self._best()
+        parts = []
+        while i >= 0:
+            parts.append(self.parts[i])
+            i = self.parents[i]
+        return "/".join(reversed(parts)), chars
+
+    def _having(self, path: str | None) -> set[int]:
+        """The number of a path in this page, if it has it."""
+        # For each container whose path begins the wanted one, how many characters of it.
+        upto = [len("body") if path and path.startswith("body") else -1]
+        for part, parent in zip(self.parts[1:], self.parents[1:], strict=True):
+            n = upto[parent]
+            upto.append(n + 1 + len(part) if n >= 0 and path.startswith("/" + part, n) else -1)
+        return {k for k, n in zip(self.path_ids, upto, strict=True) if path is not None and n == len(path)}
 
     def text(self, path: str | None) -> str:
         """The text below the containers with that path, or below the page's own best container if it has none."""
-        best = self.best()[0]
-        if path not in self.paths:
-            path = best
+        best, _ = self._best()
+        wanted = self._having(path) or {self.path_ids[best]}
         inside: list[bool] = []
-        for i, (own, parent) in enumerate(zip(self.paths, self.parents, strict=True)):
-            inside.append(own == path or parent >= 0 and inside[parent] and not self.cut[i])
+        for i, (own, parent) in enumerate(zip(self.path_ids, self.parents, strict=True)):
+            inside.append(own in wanted or parent >= 0 and inside[parent] and not self.cut[i])
         return "\n".join(text for text, box, _ in self.blocks if inside[box])
 
 

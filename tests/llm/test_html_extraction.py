@@ -1,8 +1,11 @@
 import html
 import random
 import re
+import time
 
-from factlens.llm.html_extraction import Page, extract_text, winning_paths
+import pytest
+
+from factlens.llm.html_extraction import Page, _Tags, extract_text, winning_paths
 
 ARTICLE = '<article><h1>Ti&amp;tle\n x</h1><p><b>One &lt;two&gt;<br><p>Three  <i>fo</i>ur</p> tail<aside>side</aside><form>f</form><div class="comments"><p>Reader</p></div></article>'
 
@@ -73,3 +76,40 @@ def test_vote_ties(spark):
     pages = spark.createDataFrame([(1, "http://h/1", "<div class='a'><p>one two</p></div><div class='b'><p>x</p></div>"), (2, "http://h/2", "<div class='b'><p>one two</p></div><div class='a'><p>x</p></div>")], "page_id long, url string, html string")
     assert [r.path for r in winning_paths(pages).collect()] == ["body/div.a"]
     assert {r.page_id: r.text for r in extract_text(pages).collect()} == {1: "one two", 2: "x"}
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<article><p>one two</p></article>" + "<a " * 350_000, "one two"),
+    ("<article><p>one two</p></article>" + '<a ">" ' * 150_000, None),
+    ("<article><p>one two</p></article>" + "<a '\">" * 150_000, None),
+    ("<script>" + "</script " * 120_000, ""),
+    ("<div>" * 100_000 + "<p>one two</p>", "one two"),
+    ('<div class="a b">' * 60_000 + "<p>one two</p>" + "</div>" * 60_000, "one two"),
+    ("<body><article><p>one two</p>" + "</em>" * 200_000 + "<p>three</p></article>", "one two\nthree"),
+    ("<i><b>" * 60_000 + "</nav></div>" * 60_000 + "<p>one</p>", "one"),
+    ("<article>" + "<p>x<li>y" * 50_000, "\n".join(["x", "y"] * 50_000)),
+])
+def test_broken_pages_take_seconds(page, want):
+    began = time.process_time()
+    read = Page(page)
+    path, _ = read.best()
+    text = read.text(path)
+    assert time.process_time() - began < 12
+    assert want is None or text.split("\n<a")[0].split("<a")[0].strip() == want
+
+
+def plain_tags(source):
+    """Tags by one pattern that tries every `<` anew, as a second opinion."""
+    rx = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^'">])*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)""", re.S)
+    return [(m.start(), m.end(), bool(m[1] or m[4]), (m[2] or m[5] or "").lower(), m[3] or m[6] or "") for m in rx.finditer(source)]
+
+
+def test_tags_by_a_second_opinion():
+    rng = random.Random(11)
+    for _ in range(4000):
+        source = "".join(rng.choice(["<", ">", "a", "/", " ", '"', "'", "<a ", "</b>", "<!--", "-->", "<!x", "=", "<p class='x'>", "é"]) for _ in range(rng.randrange(40)))
+        tags, at, found = _Tags(source), 0, []
+        while at < len(source) and (tag := tags.after(at)):
+            found.append(tag)
+            at = tag[1]
+        assert found == plain_tags(source), source
