@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from factlens.functions import extract, window
 from factlens.functions.extract import VERBS
-from factlens.operators import retrieval
+from factlens.operators import retrieval, similarity
 from factlens.plans.facts import table
 from factlens.plans.texts import SPOKEN
 
@@ -102,6 +102,17 @@ def question_node_match(spark, sf):
     return parts.join(asked, "p_partkey").where(retrieval.question_names_node(F.col("name"), F.col("question"))).select("p_partkey", "name")
 
 
+def similar_parts(spark, sf):
+    """Pairs of different word sets of parts' names that are alike."""
+    return similarity.similar_sets(similarity.token_sets(_parts(spark, sf))).select("a_key", "b_key", F.round("likeness", 6).alias("likeness"))
+
+
+def similar_names(spark, sf):
+    """The same for the names found in all documents."""
+    names = extract.candidate_entities(table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"]).select("name").distinct()
+    return similarity.similar_sets(similarity.token_sets(names)).select("a_key", "b_key", F.round("likeness", 6).alias("likeness"))
+
+
 #: What stands around a reply's JSON, by kind: fenced, with words around it, plain; the fourth kind is broken off.
 FRAMES = [("```json\n", "\n```"), ("Here it is: ", " Bye."), ("", ""), ("no json {", "")]
 
@@ -131,7 +142,7 @@ def llm_reply_entities(spark, sf):
     return extract.reply_entities(replies(spark, sf), ["doc", "lot"]).select("doc", "lot", "name", "type")
 
 
-NAMES = ["relation_frames", "chunk_window", "find_dates", "window_grammar", "window_quarters", "window_halves", "window_months", "seed_dedupe", "question_node_match", "llm_json_salvage", "llm_reply_entities"]
+NAMES = ["relation_frames", "chunk_window", "find_dates", "window_grammar", "window_quarters", "window_halves", "window_months", "seed_dedupe", "question_node_match", "llm_json_salvage", "llm_reply_entities", "similar_parts", "similar_names"]
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _VERBS = "[" + ", ".join(f"'{v}'" for v in VERBS) + "]"
@@ -170,6 +181,9 @@ r AS (
 SELECT l_orderkey, CAST(generate_subscripts(kept, 1) - 1 AS INTEGER) AS i, unnest(kept) AS name FROM kept""",
     "question_node_match": f"""WITH {PARTS}, w AS (SELECT a.p_partkey, a.name, {WORDS3.format('a.name')} AS mine, {WORDS3.format("'What does the ' || b.name || ' cost, and is it small or red?'")} AS theirs FROM parts a JOIN parts b ON b.p_partkey = a.p_partkey + 1)
 SELECT p_partkey, name FROM w WHERE len(mine) >= 2 AND len(list_intersect(mine, theirs)) >= greatest(2, len(mine) - 1)""",
+    "similar_parts": f"""WITH {PARTS}, s AS (SELECT DISTINCT list_sort({WORDS3.format("regexp_replace(trim(name), '^([Tt][Hh][Ee]|[Aa][Nn]?)\\s+', '')")}) AS w FROM parts),
+  t AS (SELECT array_to_string(w, ' ') AS key, len(w) AS l, unnest(w) AS token FROM s), o AS (SELECT a.key AS a_key, b.key AS b_key, any_value(a.l) AS la, any_value(b.l) AS lb, count(*) AS o FROM t a JOIN t b USING (token) WHERE a.key < b.key GROUP BY ALL)
+SELECT a_key, b_key, round(o / (la + lb - o), 6) AS likeness FROM o WHERE o / (la + lb - o) > 0.4""",
     "llm_json_salvage": f"WITH {LINES} SELECT doc, lot, subject, predicate, object, valid_from, valid_until, CAST(valid_from AS VARCHAR) AS start_label FROM lines WHERE kind <> 3",
     "llm_reply_entities": f"WITH {LINES} SELECT doc, lot, subject AS name, 'Party' AS type FROM lines WHERE kind <> 3",
 }

@@ -12,7 +12,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["snapshot_diff", "time_sliced_bfs", "node_merge", "candidate_entities", "vector_topk", "stored_window_snapshot", "stored_neighbors_2hop", "stored_bfs", "interval_overlap_all", "interval_overlap_own", "as_of_latest", "graph_stats", "neighbors_2hop", "neighbors_bag", *statements.NAMES])
+@pytest.mark.parametrize("name", ["snapshot_diff", "time_sliced_bfs", "node_merge", "candidate_entities", "vector_topk", "stored_window_snapshot", "stored_neighbors_2hop", "stored_bfs", "interval_overlap_all", "interval_overlap_own", "as_of_latest", "graph_stats", "neighbors_2hop", "neighbors_bag", *statements.ORACLES])
 def test_oracle(spark, name):
     db = duckdb.connect()
     for t in ("orders", "lineitem", "documents", "embeddings", "events", "customer", "nation", "part"):
