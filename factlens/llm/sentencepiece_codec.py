@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by max-plus parallel scan (see max_plus.py), over DataFrames.
 
 Texts of up to GIANT characters are one row's work: up to two chunks' length they are one chunk, and beyond the chunks' matrices
-are scanned there (at sf0.1 that is a third of all characters or more). Longer ones are dealt out: each chunk, with a piece's
+are scanned there (at sf0.1 24 % of all characters). Longer ones are dealt out: each chunk, with a piece's
 width of context on either side, is a row of its own; its transfer matrix is worked out anywhere, the matrices of a text
 (a few hundred numbers a chunk) meet for the scan, and each chunk is traced back by itself.
 
