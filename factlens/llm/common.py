@@ -10,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 
+from factlens.sources.scratch import shared_folder
+
 #: Spark deletes a query's shuffle files when it ends, where this is set.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -19,24 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). Where none is set, a temporary folder serves a session whose
-    executors run in the driver's process (local[...]); a cluster without the setting is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else None
-    if not folder:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="factlens-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 class Scratch:
     """An operator's intermediate tables, by name, as Parquet in the shared folder: their lineage ends there, so they survive
     lost executors and plans stay small. What isn't dropped goes when the session ends."""
