@@ -272,6 +272,7 @@ ORACLES = {k: f"WITH {FACTS} {v}" if not v.startswith(",") else f"WITH {FACTS}{v
     "interval_intersection": f"SELECT chunk_id, edge_seq, greatest(valid_from, DATE '1997-07-01') AS \"start\", least(coalesce(valid_until, DATE '9999-12-31'), DATE '1997-09-30') AS \"end\" FROM facts WHERE predicate = 'returns' AND {IN_Q3}",
     "interval_contains": "SELECT predicate, count(*) FILTER (valid_from <= DATE '1997-08-15' AND (valid_until IS NULL OR valid_until >= DATE '1997-08-15')) AS on_day, count(*) FILTER (valid_from <= DATE '1997-07-01' AND (valid_until IS NULL OR valid_until >= DATE '1997-09-30')) AS whole_window, count(*) FILTER (valid_from >= DATE '1997-07-01' AND valid_until <= DATE '1997-09-30') AS inside_window, count(*) FILTER (valid_until IS NULL) AS open_ended FROM facts GROUP BY predicate",
     "interval_rendered": "SELECT chunk_id, edge_seq, CAST(valid_from AS VARCHAR) || ' → ' || coalesce(CAST(valid_until AS VARCHAR), '…') AS validity FROM facts WHERE valid_from >= DATE '2001-06-01'",
+    "interval_rendered_facts": "SELECT chunk_id, edge_seq, CAST(valid_from AS VARCHAR) || ' → ' || coalesce(CAST(valid_until AS VARCHAR), '…') AS validity FROM facts",
     "temporal_density_sweep": ", ev AS (SELECT d, sum(n) AS n FROM (SELECT valid_from AS d, 1 AS n FROM facts UNION ALL SELECT valid_until, -1 FROM facts) WHERE d IS NOT NULL GROUP BY d), run AS (SELECT d AS segment_start, lead(d) OVER (ORDER BY d) AS segment_end, CAST(sum(n) OVER (ORDER BY d) AS BIGINT) AS active FROM ev) SELECT * FROM run WHERE active > 0 AND segment_end IS NOT NULL",
     "snapshot_diff": _diff_sql(_pick(IN_Q3, "ASC"), _pick(IN_Q4 + LATE, "ASC"), " AND a.evidence IS NOT DISTINCT FROM b.evidence"),
     "context_diff": _diff_sql(_pick(IN_Q3, "DESC"), _pick(IN_Q4 + LATE, "DESC"), ""),
