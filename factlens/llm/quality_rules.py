@@ -5,28 +5,37 @@ Base figures: words are runs of `[^\x20\x09-\x0D]`; a document fails the base ru
 
 Method: a document's histogram of character classes and its histogram of common words are compared with those of each
 language reference by Jensen-Shannon distance (base 2, 0 to 1). The language whose references are nearest counts, so the
-lang column is never read. Documents shorter than a guard are not judged by that histogram: too few characters or words
-say nothing about a distribution.
+lang column of a judged document is never read. Documents shorter than a guard are not judged by that histogram: too few
+characters or words say nothing about a distribution.
+
+References are fitted by `fit_references` on a bounded sample of rows labelled as good: SAMPLE_ROWS a language, in the order
+of the MD5 of their ids, whole texts. A language without such rows (or with under MIN_SAMPLE_WORDS words of them) has the
+shares given here. The limits keep 99.9 % of the good rows at sf0.1 that the references haven't seen.
 
 Edge cases: a null or empty text has no words (base_failed); a text of white space too; repeated rows are judged one by
-one; extra columns are not read.
+one; extra columns are not read. Labelled rows without an id, a language or a document are not sampled; rows that share an
+id and a language are sampled together; without labels all references are the ones given here.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factlens.llm.common import table
+from factlens.llm.common import saved, table
 
 SPACES = " \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: Minimum-length guards: characters for the class histogram, words for the common-word histogram.
 GUARD_CHARS, GUARD_WORDS = 200, 50
 #: Largest distances to the nearest language that a kept document may have.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.40
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.30
+#: Of the references: sampled rows a language, words that a language needs in them, its common words, languages at most.
+SAMPLE_ROWS, MIN_SAMPLE_WORDS, REFERENCE_WORDS, MAX_LANGUAGES = 300, 1_000, 16, 32
+#: What follows a word without being part of it.
+STOPS = ".,;:!?"
 
 #: Character classes as regular expressions; what none of them holds is the last class.
 CLASSES = (("lower", r"\p{Ll}"), ("space", r"[ \t-\r]"), ("upper", r"\p{Lu}"), ("digit", r"[0-9]"), ("stop", r"[.,;:!?'\"()-]"))
@@ -89,43 +98,82 @@ def _distance(counts: Column, total: Column, shares: list[float]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)))
 
 
+def _least(values: list[Column]) -> Column:
+    return F.array_min(F.array(*values))
+
+
 def _rest(counts: Column, total: Column) -> Column:
     """counts and, last, what is left of total, as doubles."""
     return F.concat(counts, F.array(total - F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)))
 
 
-def class_reference(lang: str) -> list[float]:
-    total = sum(CLASS_SHARES[lang])
-    return [x / total for x in CLASS_SHARES[lang]]
-
-
-def word_reference(lang: str) -> list[float]:
-    """Shares of the language's common words and, last, of all other words."""
-    shares = [x / 1000 for x in COMMON_WORDS[lang].values()]
-    return [*shares, 1 - math.fsum(shares)]
+#: A language's shares of the character classes, and its common words with their shares of all words.
+Reference = tuple[list[float], dict[str, float]]
+
+
+def given_references() -> dict[str, Reference]:
+    """The references that stand in this module."""
+    return {lang: ([x / sum(CLASS_SHARES[lang]) for x in CLASS_SHARES[lang]], {w: x / 1000 for w, x in words.items()}) for lang, words in COMMON_WORDS.items()}
+
+
+def fit_references(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, words: int = REFERENCE_WORDS) -> dict[str, Reference]:
+    """References by language from the labelled rows (quality 1) of a sample, and the given ones for other languages. Ids are
+    joined and ranked first, so texts are read for the sample alone; what comes to the driver is bounded by languages and words."""
+    good = labels.where(F.col("quality") == 1).select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct()
+    named = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
+    order = Window.partitionBy("_lang").orderBy(F.md5(F.col("_id").cast("string")), "_id")
+    ids = named.where("_lang IS NOT NULL").join(good, "_id").distinct().withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rows).drop("_rank")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    sample = saved(texts.join(F.broadcast(ids), ["_id", "_lang"]).select("_lang", "_text", _words(F.col("_text")).alias("_words")))
+    counted, classes = _classes(sample)
+    sums = [F.sum(c).alias(f"c{i}") for i, c in enumerate(classes)]
+    totals = counted.groupBy("_lang").agg(F.sum(F.size("_words")).alias("n"), F.sum(F.length("_text")).alias("chars"), *sums)
+    totals = totals.where(F.col("n") >= MIN_SAMPLE_WORDS).orderBy(F.desc("n"), "_lang").limit(MAX_LANGUAGES).collect()
+    word = F.lower(F.rtrim("word", F.lit(STOPS)))
+    counts = sample.select("_lang", F.explode("_words").alias("word")).select("_lang", word.alias("word")).where(F.col("word").rlike(r"^\p{L}+$")).groupBy("_lang", "word").count()
+    best = Window.partitionBy("_lang").orderBy(F.desc("count"), "word")
+    top: dict[str, dict[str, int]] = {t["_lang"]: {} for t in totals}
+    listed = counts.where(F.col("_lang").isin(list(top))).withColumn("place", F.row_number().over(best)).where(F.col("place") <= words)
+    for r in listed.orderBy("_lang", "place").collect():
+        top[r["_lang"]][r["word"]] = r["count"]
+    out = given_references()
+    for t in totals:
+        if common := top[t["_lang"]]:
+            # One more than was counted, so that no share is zero.
+            of = [t[f"c{i}"] for i in range(len(CLASSES))]
+            shares = [(x + 1) / (t["chars"] + len(of) + 1) for x in [*of, t["chars"] - sum(of)]]
+            out[t["_lang"]] = shares, {w: k / (t["n"] + 1) for w, k in common.items()}
+    return out
+
+
+def _classes(df: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """df with columns that its _text becomes when classes are taken out one by one, and each class's characters."""
+    # Each class is taken out of what the classes before it left, so all but the first see short texts.
+    left = [f"_left{i}" for i in range(len(CLASSES) + 1)]
+    df = df.withColumn(left[0], F.col("_text"))
+    for (_, rx), before, after in zip(CLASSES, left, left[1:], strict=False):
+        df = df.withColumn(after, F.regexp_replace(before, f"{rx}+", ""))
+    return df, [F.length(a) - F.length(b) for a, b in zip(left, left[1:], strict=False)]
 
 
-def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, keep: bool = False) -> DataFrame:
+def judge_quality(docs: DataFrame, references: dict[str, Reference] | None = None, *, id_col: str = "doc_id", text_col: str = "text", max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, keep: bool = False) -> DataFrame:
     """One row per row of docs: id_col, the base figures, base_failed, class_distance and word_distance (null under the
-    guards) to the nearest language, kept; with keep, also the whole input row as struct `input`."""
+    guards) to the nearest language of the references (the given ones, if none), kept; with keep, also the whole input row as
+    struct `input`."""
+    references = references or given_references()
     text = F.coalesce(F.col(text_col), F.lit(""))
     whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input")] if keep else []
     base = docs.select(F.col(id_col), text.alias("_text"), *whole)
     base = base.withColumn("_words", _words(F.col("_text")))
     lines = let(F.filter(F.split("_text", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0), lambda a: F.size(a) - F.size(F.array_distinct(a)))
-    # Each class is taken out of what the classes before it left, so all but the first see short texts.
-    left = [f"_left{i}" for i in range(len(CLASSES) + 1)]
-    base = base.withColumn(left[0], F.col("_text"))
-    for (_, rx), before, after in zip(CLASSES, left, left[1:], strict=False):
-        base = base.withColumn(after, F.regexp_replace(before, f"{rx}+", ""))
-    classes = [F.length(a) - F.length(b) for a, b in zip(left, left[1:], strict=False)]
-    listed = sorted({w for x in COMMON_WORDS.values() for w in x})
+    base, classes = _classes(base)
+    listed = sorted({w for _, words in references.values() for w in words})
     figures = base.select(
         id_col,
         *["input"] * keep,
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        F.regexp_count(left[-1], F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_count(f"_left{len(CLASSES)}", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         lines.cast("long").alias("n_dup_lines"),
         _repeated(F.col("_words")).cast("long").alias("n_repeat_words"),
         F.length("_text").alias("_chars"),
@@ -133,17 +181,17 @@ def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         _common(F.col("_text"), listed).alias("_common"),
     )
     chars, n = F.col("_chars").cast("double"), F.col("n_words").cast("double")
-    by_class = let(_rest(F.col("_classes"), chars), lambda c: F.least(*[_distance(c, chars, class_reference(x)) for x in CLASS_SHARES]))
+    by_class = let(_rest(F.col("_classes"), chars), lambda c: _least([_distance(c, chars, shares) for shares, _ in references.values()]))
 
-    def by_lang(counts: Column, lang: str) -> Column:
-        own = F.transform(F.array(*[F.lit(listed.index(w)) for w in COMMON_WORDS[lang]]), lambda i: F.get(counts, i))
-        return _distance(_rest(own, n), n, word_reference(lang))
+    def by_lang(counts: Column, words: dict[str, float]) -> Column:
+        own = F.transform(F.array(*[F.lit(listed.index(w)) for w in words]), lambda i: F.get(counts, i))
+        return _distance(_rest(own, n), n, [*words.values(), 1 - math.fsum(words.values())])
 
     def counted(common: Column) -> Column:
         marked = F.array(*[F.lit(f",{w},") for w in listed])
         return F.transform(marked, lambda w: (F.length(common) - F.length(F.replace(common, w, F.lit("")))) / F.length(w))
 
-    by_word = let(let(F.col("_common"), counted), lambda c: F.least(*[by_lang(c, x) for x in COMMON_WORDS]))
+    by_word = let(let(F.col("_common"), counted), lambda c: _least([by_lang(c, words) for _, words in references.values()]))
     judged = figures.withColumns({
         "class_distance": F.when(F.col("_chars") >= GUARD_CHARS, by_class),
         "word_distance": F.when(F.col("n_words") >= GUARD_WORDS, by_word),
@@ -155,44 +203,64 @@ def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def _common(text: Column, listed: list[str]) -> Column:
     """The listed words that stand in the text, in any case and with or without stops after them, each between commas."""
-    rx = rf"(?i)(?<![^ \t-\r])(?:{'|'.join(listed)})(?=[.,;:!?]*(?:[ \t-\r]|\z))"
+    # By first letter, so that most words are left after one comparison a letter.
+    by_letter = "|".join(f"{c}(?:{'|'.join(w[1:] for w in listed if w[0] == c)})" for c in sorted({w[0] for w in listed}))
+    rx = rf"(?iu)(?<![^ \t-\r])(?:{by_letter})(?=[{STOPS}]*(?:[ \t-\r]|\z))"
     return F.lower(F.concat(F.lit(","), F.array_join(F.regexp_extract_all(text, F.lit(rx), F.lit(0)), ",,"), F.lit(",")))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judge_quality(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    out = judge_quality(docs, fit_references(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def _oracle() -> str:
-    """DuckDB SQL for op9_quality_rules, with the reference shares written out."""
+    """DuckDB SQL for op9_quality_rules; it fits the references too."""
 
-    def distance(counts: list[str], total: str, shares: list[float]) -> str:
-        parts = [f"(CASE WHEN {c} > 0 THEN {c} / {total} * log2({c} / {total} / (({c} / {total} + {q!r}) / 2)) ELSE 0 END + {q!r} * log2({q!r} / (({c} / {total} + {q!r}) / 2))) / 2" for c, q in zip(counts, shares, strict=True)]
-        return f"sqrt(greatest(0.0, {' + '.join(parts)}))"
+    def distance(counts: str, total: str, shares: str) -> str:
+        p, q = f"(z[1] / {total})", "z[2]"
+        part = f"(CASE WHEN z[1] > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END + {q} * log2({q} / (({p} + {q}) / 2))) / 2"
+        return f"sqrt(greatest(0.0, list_sum(list_transform(list_zip({counts}, {shares}), lambda z: {part}))))"
 
-    listed = sorted({w for x in COMMON_WORDS.values() for w in x})
     seen = [f"c{i}" for i in range(len(CLASSES))]
-    by_class = ", ".join(distance([*seen, "c_rest"], "chars", class_reference(x)) for x in CLASS_SHARES)
-    by_word = ", ".join(distance([*[f"w{listed.index(w)}" for w in COMMON_WORDS[x]], f"(n - {' - '.join(f'w{listed.index(w)}' for w in COMMON_WORDS[x])})"], "n", word_reference(x)) for x in COMMON_WORDS)
-    count = ", ".join(f"CAST(len(list_filter(low, lambda x: x = '{w}')) AS DOUBLE) AS w{i}" for i, w in enumerate(listed))
+    every = [*seen, "c_rest"]
     classes = ", ".join(f"CAST(length(regexp_replace(t, '[^{rx.strip('[]').replace(chr(39), chr(39) * 2)}]', '', 'g')) AS DOUBLE) AS c{i}" for i, (_, rx) in enumerate(CLASSES))
+    given = " UNION ALL ".join(f"SELECT '{lang}', {shares!r}, {list(words)!r}, {[*words.values()]!r}" for lang, (shares, words) in given_references().items())
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT rid, p, array_to_string(ws[p:p + 4], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS p FROM d WHERE len(ws) >= 5)),
 dup AS (SELECT rid, p FROM win QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
 rep AS (SELECT rid, count(DISTINCT q) AS r FROM (SELECT rid, unnest(range(p, p + 5)) AS q FROM dup) GROUP BY rid),
 f AS (
-  SELECT rid, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+  SELECT rid, doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
     coalesce(r, 0) AS n_repeat_words, CAST(length(t) AS DOUBLE) AS chars, CAST(len(ws) AS DOUBLE) AS n, {classes},
-    list_transform(ws, lambda x: lower(rtrim(x, '.,;:!?'))) AS low
+    list_transform(ws, lambda x: lower(rtrim(x, '{STOPS}'))) AS low
   FROM d LEFT JOIN rep USING (rid)
-), g AS (SELECT *, chars - {' - '.join(seen)} AS c_rest, {count}, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f)
+), g AS (SELECT *, chars - {' - '.join(seen)} AS c_rest, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f),
+good AS (SELECT DISTINCT g.lang, g.doc_id FROM g JOIN labels l ON l.doc_id = g.doc_id WHERE l.quality = 1 AND g.lang IS NOT NULL),
+ids AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) <= {SAMPLE_ROWS}),
+sample AS (SELECT g.* FROM g JOIN ids USING (lang, doc_id)),
+totals AS (
+  SELECT lang, sum(n) AS n, sum(chars) AS chars, {', '.join(f'sum({c}) AS {c}' for c in every)}
+  FROM sample GROUP BY lang HAVING sum(n) >= {MIN_SAMPLE_WORDS} ORDER BY sum(n) DESC, lang LIMIT {MAX_LANGUAGES}
+), top AS (
+  SELECT lang, w, count(*) AS k FROM (SELECT lang, unnest(low) AS w FROM sample) WHERE regexp_full_match(w, '\p{{L}}+')
+  GROUP BY lang, w QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) <= {REFERENCE_WORDS}
+), fitted AS (
+  SELECT lang, [{', '.join(f'(any_value({c}) + 1) / (any_value(chars) + {len(every)})' for c in every)}] AS cs,
+    list(w ORDER BY k DESC, w) AS rw, list(k / (n + 1) ORDER BY k DESC, w) AS rs
+  FROM totals JOIN top USING (lang) GROUP BY lang
+), given(lang, cs, rw, rs) AS ({given}),
+refs AS (SELECT cs, rw, list_append(rs, 1 - list_sum(rs)) AS rs FROM (SELECT * FROM fitted UNION ALL SELECT * FROM given WHERE lang NOT IN (SELECT lang FROM fitted))),
+own AS (SELECT rid, n, rs, list_transform(rw, lambda w: CAST(len(list_filter(low, lambda x: x = w)) AS DOUBLE)) AS k FROM g, refs WHERE n_words >= {GUARD_WORDS}),
+by_word AS (SELECT rid, min({distance('list_append(k, n - list_sum(k))', 'n', 'rs')}) AS word_distance FROM own GROUP BY rid),
+by_class AS (SELECT rid, min({distance(f"[{', '.join(every)}]", 'chars', 'cs')}) AS class_distance FROM g, refs WHERE chars >= {GUARD_CHARS} GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND (chars < {GUARD_CHARS} OR least({by_class}) <= {MAX_CLASS_DISTANCE}) AND (n_words < {GUARD_WORDS} OR least({by_word}) <= {MAX_WORD_DISTANCE}) AS kept
-FROM g
+  NOT base_failed AND coalesce(class_distance, 0) <= {MAX_CLASS_DISTANCE} AND coalesce(word_distance, 0) <= {MAX_WORD_DISTANCE} AS kept
+FROM g LEFT JOIN by_word USING (rid) LEFT JOIN by_class USING (rid)
 """
 
 

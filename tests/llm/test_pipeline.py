@@ -6,7 +6,7 @@ import sentencepiece
 import corpus_pipeline
 from factlens.llm.decontamination import words_of as plain_words
 from factlens.llm.near_dedup import similar, words_of
-from factlens.llm.quality_rules import judge_quality
+from factlens.llm.quality_rules import fit_references, judge_quality
 from factlens.llm.secret_scans import RULES, Scanner, redacted
 from factlens.llm.sentencepiece_codec import MODEL_PATH
 
@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 def test_run_by_a_plain_version(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = [plain_words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    good = {r.doc_id for r in judge_quality(docs).where("kept").collect()}
+    good = {r.doc_id for r in judge_quality(docs, fit_references(docs, spark.read.parquet(f"{SF}/labels.parquet"))).where("kept").collect()}
     rows = sorted(((r.doc_id, r.text) for r in docs.collect() if r.doc_id in good))
     root = {i: i for i, _ in rows}
 
