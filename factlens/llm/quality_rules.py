@@ -34,6 +34,8 @@ GUARD_CHARS, GUARD_WORDS = 200, 50
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.30
 #: Of the references: sampled rows a language, words that a language needs in them, its common words, languages at most.
 SAMPLE_ROWS, MIN_SAMPLE_WORDS, REFERENCE_WORDS, MAX_LANGUAGES = 300, 1_000, 16, 32
+#: Parts in which a language's ids are ranked before they are ranked as one.
+SALTS = 64
 #: What follows a word without being part of it.
 STOPS = ".,;:!?"
 
@@ -121,8 +123,12 @@ def fit_references(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     joined and ranked first, so texts are read for the sample alone; what comes to the driver is bounded by languages and words."""
     good = labels.where(F.col("quality") == 1).select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct()
     named = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    order = Window.partitionBy("_lang").orderBy(F.md5(F.col("_id").cast("string")), "_id")
-    ids = named.where("_lang IS NOT NULL").join(good, "_id").distinct().withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rows).drop("_rank")
+    ids = named.where("_lang IS NOT NULL").join(good, "_id").distinct().withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)))
+    # The first of each salt before the first of all: a language that most rows have isn't ranked in one task.
+    for keys in (["_lang", "_salt"], ["_lang"]):
+        order = Window.partitionBy(*keys).orderBy(F.md5(F.col("_id").cast("string")), "_id")
+        ids = ids.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rows).drop("_rank")
+    ids = ids.drop("_salt")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.coalesce(text_col, F.lit("")).alias("_text"))
     sample = saved(texts.join(F.broadcast(ids), ["_id", "_lang"]).select("_lang", "_text", _words(F.col("_text")).alias("_words")))
     counted, classes = _classes(sample)
