@@ -22,6 +22,8 @@ VERB_ORDER = [*sorted(VERBS, key=lambda v: (-len(v), v)), *sorted(TIMING_VERBS,
 MOST_ENTITIES = 24
 FOUND = "array<struct<day:date,kind:int,label:string>>"
 _ISO, _SLASH, _BARE = r"\b\d{4}-\d{1,2}-\d{1,2}\b", r"\b\d{1,2}/\d{1,2}/\d{4}\b", r"\b(?:19|20)\d{2}\b"
+# A capitalised word and what hyphens join to it is a name, whose numbers are no years; but not after a part of a year.
+_NAMED = rf"(?<![\w-])(?!(?i:{'|'.join(sorted(MONTHS, key=len, reverse=True))}|q[1-4]|h[12]|fy|cy|mid|early|late|pre|post)-)[A-Z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)+"
 
 
 def date_literal(token) -> Column:
@@ -38,7 +40,7 @@ def find_dates(text) -> Column:
     """The dates that a text names with their labels, by date: array of struct(day, kind, label).
 
     Whole dates first, then months (their first day), quarters (their first and last day), then years that stand in no
-    whole date and equal no date found before.
+    whole date and in no name of joined parts (Part-1907, Lot-3-1950) and equal no date found before.
     """
     text = text if isinstance(text, Column) else F.col(text)
     low = F.lower(text)
@@ -52,7 +54,7 @@ def find_dates(text) -> Column:
     quarters = every(low, r"\bq[1-4]\s*,?\s*\d{4}\b")
     whole = F.concat(iso, slash, month, _dated(quarters, lambda t: of_quarter(t, 2), 3), _dated(quarters, lambda t: F.last_day(of_quarter(t, 0)), 3))
     # Whole dates are blanked out before years are looked for, so none is found inside one.
-    blank = F.aggregate(F.transform(F.concat(iso, slash), lambda x: x["label"]), text, lambda s, t: F.replace(s, t, F.lit(" ")))
+    blank = F.regexp_replace(F.aggregate(F.transform(F.concat(iso, slash), lambda x: x["label"]), text, lambda s, t: F.replace(s, t, F.lit(" "))), _NAMED, " ")
     years = lambda before: F.filter(_dated(F.array_distinct(every(blank, _BARE)), lambda t: F.make_date(t.cast("int"), F.lit(1), F.lit(1)), 4), lambda y: ~F.exists(before, lambda b: b["day"] == y["day"]))
     by_day = lambda a: F.array_sort(F.transform(a, lambda x, i: F.struct(x["day"].alias("day"), i.alias("i"), x["kind"].alias("kind"), x["label"].alias("label"))))
     every_one = F.concat(whole, years(whole))
