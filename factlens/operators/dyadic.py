@@ -17,6 +17,8 @@ from factlens.functions import interval as iv
 
 #: Up to so many nodes with their counts are broadcast; trees of up to 2 ** 20 days never have more.
 MAX_BROADCAST_NODES = 1 << 21
+#: A row is compared with all rows of its key on the right side, if these are not more than so many.
+MOST_OF_A_KEY = 1000
 
 
 class Tree:
@@ -57,13 +59,26 @@ class Tree:
 
 def overlap_join(left: DataFrame, right: DataFrame, ls: str, le: str, rs: str, re: str, *, on: list[str] = (), tree: Tree | None = None) -> DataFrame:
     """All pairs of rows whose intervals overlap (and whose columns `on` are equal), each once. Columns of the two sides other than
-    `on` have different names."""
+    `on` have different names. With `on`, only keys with more than MOST_OF_A_KEY rows on the right go by nodes."""
+    if on:
+        large = right.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > MOST_OF_A_KEY).select(*on)
+        found = large.count()
+        small = lambda df: df.join(large, [*on], "left_anti") if found else df
+        pairs = small(left).join(small(right), [*on]).where(iv.overlaps(ls, le, rs, re))
+        if not found:
+            return pairs
+        return pairs.unionByName(_by_nodes(left.join(large, [*on], "left_semi"), right.join(large, [*on], "left_semi"), ls, le, rs, re, on, tree))
+    return _by_nodes(left, right, ls, le, rs, re, on, tree)
+
+
+def _by_nodes(left: DataFrame, right: DataFrame, ls: str, le: str, rs: str, re: str, on: list[str], tree: Tree | None) -> DataFrame:
     tree = tree or Tree.over((left, ls, le), (right, rs, re))
     a = left.withColumns({"_ls": tree.start(ls), "_le": tree.end(le)})
     b = right.withColumns({"_rs": tree.start(rs), "_re": tree.end(re)})
     by = ["_node", *on]
-    inside = a.withColumn("_node", F.explode(tree.cover(F.col("_ls"), F.col("_le")))).join(b.withColumn("_node", F.explode(tree.ancestors(F.col("_rs")))), by)
-    around = a.withColumn("_node", F.explode(tree.ancestors(F.col("_ls")))).join(b.withColumn("_node", F.explode(tree.cover(F.col("_rs") + 1, F.col("_re")))), by)
+    # Spark takes a side for as large as it was before its explode, so without the hint it would broadcast what it shouldn't.
+    inside = a.withColumn("_node", F.explode(tree.cover(F.col("_ls"), F.col("_le")))).join(b.withColumn("_node", F.explode(tree.ancestors(F.col("_rs")))).hint("merge"), by)
+    around = a.withColumn("_node", F.explode(tree.ancestors(F.col("_ls")))).join(b.withColumn("_node", F.explode(tree.cover(F.col("_rs") + 1, F.col("_re")))).hint("merge"), by)
     # For intervals that end before they start the condition asks for more than the nodes do.
     return inside.unionByName(around).where(iv.overlaps(ls, le, rs, re)).drop("_node", "_ls", "_le", "_rs", "_re")
 
