@@ -146,10 +146,10 @@ def reply_json(reply) -> Column:
     """A model's reply as JSON text: without code fences, else what lies from the first { to the last }; null if that is
     no JSON either."""
     reply = reply if isinstance(reply, Column) else F.col(reply)
-    bare = F.trim(F.regexp_replace(F.trim(reply), r"(?s)^```(?:json)?\s*|\s*```$", ""))
-    core = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+    once = lambda text, then: F.element_at(F.transform(F.array(text), then), 1)
     valid = lambda c: F.try_parse_json(c).isNotNull() & (c != "")
-    return F.when(valid(bare), bare).when(valid(core), core)
+    core = lambda bare: once(F.regexp_extract(bare, r"(?s)\{.*\}", 0), lambda c: F.when(valid(c), c))
+    return once(F.trim(F.regexp_replace(F.trim(reply), r"(?s)^```(?:json)?\s*|\s*```$", "")), lambda bare: F.when(valid(bare), bare).otherwise(core(bare)))
 
 
 def reply_date(value) -> Column:
@@ -160,7 +160,8 @@ def reply_date(value) -> Column:
 
 def reply_relations(replies: DataFrame, ids: list[str], reply: str = "reply") -> DataFrame:
     """The complete relations of replies: blank subjects, predicates or objects are left out, sentences cut to 300."""
-    parsed = replies.select(*ids, F.from_json(reply_json(reply), REPLY).alias("r")).select(*ids, F.posexplode("r.relations").alias("position", "x"))
+    # An outer explode, since from an inner one Spark makes a filter that parses the reply again (and again in a join below it).
+    parsed = replies.select(*ids, F.from_json(reply_json(reply), REPLY).alias("r")).select(*ids, F.posexplode_outer("r.relations").alias("position", "x"))
     part = lambda c: F.trim(F.coalesce(F.col(f"x.{c}"), F.lit("")))
     start, end = reply_date(F.col("x.validity.start")), reply_date(F.col("x.validity.end"))
     out = parsed.select(*ids, "position", part("subject").alias("subject"), part("predicate").alias("predicate"), part("object").alias("object"), start.alias("valid_from"), end.alias("valid_until"), F.coalesce("x.validity.start_label", start.cast("string")).alias("start_label"), F.coalesce("x.validity.end_label", end.cast("string")).alias("end_label"), F.substring(part("sentence"), 1, 300).alias("sentence"), F.coalesce("x.confidence", F.lit(0.5)).alias("confidence"))
@@ -169,7 +170,7 @@ def reply_relations(replies: DataFrame, ids: list[str], reply: str = "reply") ->
 
 def reply_entities(replies: DataFrame, ids: list[str], reply: str = "reply") -> DataFrame:
     """The named entities of replies."""
-    parsed = replies.select(*ids, F.from_json(reply_json(reply), REPLY).alias("r")).select(*ids, F.posexplode("r.entities").alias("position", "x"))
+    parsed = replies.select(*ids, F.from_json(reply_json(reply), REPLY).alias("r")).select(*ids, F.posexplode_outer("r.entities").alias("position", "x"))
     out = parsed.select(*ids, "position", F.trim("x.name").alias("name"), F.coalesce(F.nullif(F.trim("x.type"), F.lit("")), F.lit("Other")).alias("type"), "x.aliases", F.coalesce("x.confidence", F.lit(0.5)).alias("confidence"))
     return out.where(F.coalesce("name", F.lit("")) != "")
 

@@ -22,7 +22,8 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     valid_until, and the sentence that says so."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("od"))
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    li = table(spark, sf, "lineitem").groupBy(*keys).agg(F.max(F.struct(F.col("l_shipdate").cast("date").alias("sd"), "l_linestatus")).alias("x")).select(*keys, "x.*")
+    # Dealt by order once, for the latest lines and for the join.
+    li = table(spark, sf, "lineitem").repartition("l_orderkey").groupBy(*keys).agg(F.max(F.struct(F.col("l_shipdate").cast("date").alias("sd"), "l_linestatus")).alias("x")).select(*keys, "x.*")
     rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).where("od IS NOT NULL AND sd IS NOT NULL")
     verb = F.element_at(F.array(*map(F.lit, VERBS)), ((F.col("l_partkey") + F.col("l_linenumber")) % len(VERBS) + 1).cast("int"))
     rows = rows.select(
