@@ -16,8 +16,8 @@ def as_of_latest(probes: DataFrame, facts: DataFrame, key: str, probe_time: str,
     """
     slice_ = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / days)
     own = facts.where(F.col(key).isNotNull() & F.col(fact_time).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(fact_time).alias("_t"))
-    latest = own.agg(F.max_by(F.struct(*facts.columns), tie).alias("_v")).withColumn("_slice", slice_("_t"))
-    asked = probes.select(F.col(key).alias("_k"), F.col(probe_time).alias("_t"), F.struct(*probes.columns).alias("_p"), slice_(probe_time).alias("_slice"))
+    latest = own.agg(F.max_by(F.struct(*[c for c in facts.columns if c != key]), tie).alias("_v")).withColumn("_slice", slice_("_t"))
+    asked = probes.select(F.col(key).alias("_k"), F.col(probe_time).alias("_t"), F.struct(*[c for c in probes.columns if c != key]).alias("_p"), slice_(probe_time).alias("_slice"))
     none = lambda c, df: F.lit(None).cast(df.schema[c].dataType)
     rows = latest.select("_k", "_t", "_slice", "_v", none("_p", asked).alias("_p"), F.lit(0).alias("_kind")).unionByName(asked.where("_k IS NOT NULL AND _t IS NOT NULL").select("_k", "_t", "_slice", none("_v", latest).alias("_v"), "_p", F.lit(1).alias("_kind")))
     within = Window.partitionBy("_k", "_slice").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
@@ -28,6 +28,8 @@ def as_of_latest(probes: DataFrame, facts: DataFrame, key: str, probe_time: str,
     ends = ends.groupBy("_k", "_slice").agg(F.first("_last", ignorenulls=True).alias("_last"))
     before = Window.partitionBy("_k").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("_k", "_slice", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
-    out = held.join(carried, ["_k", "_slice"]).select("_p.*", F.coalesce("_own", "_carried").alias(name))
-    lost = asked.where("_k IS NULL OR _t IS NULL").select("_p.*", none("_v", latest).alias(name))
-    return out.unionByName(lost)
+    out = held.join(carried, ["_k", "_slice"]).select("_k", "_p", F.coalesce("_own", "_carried").alias("_v"))
+    lost = asked.where("_k IS NULL OR _t IS NULL").select("_k", "_p", none("_v", latest).alias("_v"))
+    # The key isn't carried along in the structs.
+    fact = F.when(F.col("_v").isNotNull(), F.struct(*[F.col("_k").alias(c) if c == key else F.col(f"_v.{c}").alias(c) for c in facts.columns]))
+    return out.unionByName(lost).select(*[F.col("_k").alias(c) if c == key else F.col(f"_p.{c}").alias(c) for c in probes.columns], fact.alias(name))

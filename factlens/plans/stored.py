@@ -53,7 +53,7 @@ def as_of_latest(spark, sf):
     """Each event with the latest fact of the customer of the same number three years before, and whether it still holds."""
     day = F.add_months(F.col("ts").cast("date"), -36)
     events = table(spark, sf, "events").select("event_id", F.concat(F.lit("customer#"), F.col("user_id").cast("string")).alias("subject"), day.alias("day"))
-    own = facts(spark, sf).select("subject", "predicate", "object", "valid_from", "valid_until", "edge_seq")
+    own = facts(spark, sf).select("subject", "valid_from", "valid_until", "edge_seq")
     found = asof.as_of_latest(events, own, "subject", "day", "valid_from", "edge_seq")
     holds = iv.contains("fact.valid_from", "fact.valid_until", F.col("day"))
     return found.select("event_id", F.col("fact.edge_seq").alias("edge_seq"), F.col("fact.valid_from").alias("valid_from"), F.when(F.col("fact").isNotNull(), holds).alias("holds"))
