@@ -57,8 +57,11 @@ def with_broad_recall(hits: DataFrame, chunks: DataFrame, vector: list[float], k
 
 def distinct_seeds(names: Column, most_alike: float = SEED_LIKENESS) -> Column:
     """Of an ordered array of names those whose words are not too like those of a name kept before."""
-    keep = lambda acc, x: F.when(F.exists(acc, lambda h: jaccard(search_tokens(x), search_tokens(h)) > most_alike), acc).otherwise(F.concat(acc, F.array(x)))
-    return F.aggregate(names, F.array().cast("array<string>"), keep)
+    kept = "array<struct<name:string,words:array<string>>>"
+    keep = lambda acc, x: F.when(F.exists(acc, lambda h: jaccard(x["words"], h["words"]) > most_alike), acc).otherwise(F.concat(acc, F.array(x))).cast(kept)
+    # A name's words are looked for once, not with each name that it is compared with.
+    worded = F.transform(names, lambda x: F.struct(x.alias("name"), search_tokens(x).alias("words")))
+    return F.aggregate(worded, F.array().cast(kept), keep, lambda acc: F.transform(acc, lambda x: x["name"]))
 
 
 def question_names_node(name: Column, question: Column) -> Column:

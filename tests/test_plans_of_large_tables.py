@@ -16,3 +16,7 @@ def plan(spark, name):
 
 def test_as_of_join_carries_what_is_asked_for(spark):
     assert "part#" not in plan(spark, "as_of_latest")
+
+
+def test_words_of_a_seed_are_looked_for_once(spark):
+    assert plan(spark, "seed_dedupe").count("regexp_extract_all(") == 1
