@@ -107,6 +107,8 @@ def relation_frames(chunks: DataFrame, ids: list[str], text: str = "text") -> Da
     In each sentence the first verb with a usable object decides; of equal relations of a text the first stands, and a
     sentence whose verb repeats one goes on to its next verb.
     """
+    # Names are looked for only in texts with a verb between spaces, which every frame has.
+    chunks = chunks.where(F.lower(text).rlike(rf"(?U)(?:^|\s)(?:{'|'.join(VERB_ORDER)})(?:\s|$)"))
     names = candidate_entities(chunks, ids, text).groupBy(*ids).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("names"))
     rows = chunks.join(names, ids, "left").select(*ids, F.coalesce("names", F.array().cast("array<string>")).alias("names"), F.posexplode(sentences(text)).alias("position", "s")).withColumn("low", F.lower("s"))
 

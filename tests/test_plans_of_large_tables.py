@@ -20,3 +20,9 @@ def test_as_of_join_carries_what_is_asked_for(spark):
 
 def test_words_of_a_seed_are_looked_for_once(spark):
     assert plan(spark, "seed_dedupe").count("regexp_extract_all(") == 1
+
+
+def test_names_are_looked_for_in_texts_with_verbs(spark):
+    assert "RLIKE" in plan(spark, "relation_frames_documents").split("Generate")[-1]
+    edges = spark.createDataFrame([(1, "Tax Act requires care. x"), (2, "The Tax Act requires\ncare of it"), (3, "The Tax Actrequires care"), (4, "The Tax Act is REQUIRES care")], "id int, text string")
+    assert sorted((r.id, r.object) for r in extract.relation_frames(edges, ["id"]).select("id", "object").collect()) == [(4, "care")]
