@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlens.functions.text import word_tokens
@@ -15,9 +15,12 @@ EMBEDDERS: dict[str, Callable] = {}
 
 
 def bucket(word: Column, dimensions: int = DIMENSIONS) -> Column:
-    """The md5 of a word as a 128-bit number modulo the dimensions, folded by 16 bits at a time."""
-    part = lambda i: F.conv(F.substr(F.md5(word), i * F.lit(4) + 1, F.lit(4)), 16, 10).cast("long")
-    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(7)), part), F.lit(0).cast("long"), lambda a, x: F.pmod(a * 65536 + x, F.lit(dimensions).cast("long"))).cast("int")
+    """The md5 of a word as a 128-bit number modulo the dimensions (below 2 ** 31), folded by 32 bits at a time."""
+    out = F.lit(0).cast("long")
+    for i in range(4):
+        part = F.conv(F.substring(F.md5(word), 8 * i + 1, 8), 16, 10).cast("long")
+        out = F.pmod(out * F.lit(1 << 32) + part, F.lit(dimensions).cast("long"))
+    return out.cast("int")
 
 
 def term_frequencies(df: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
@@ -27,12 +30,11 @@ def term_frequencies(df: DataFrame, ids: list[str], text: str = "text") -> DataF
 
 def sparse_embedding(df: DataFrame, ids: list[str], text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
     """ids, bucket, value: one plus the logarithm of each word's frequency, added up by bucket, to length 1."""
-    terms = term_frequencies(df, ids, text)
-    # A word's bucket is worked out once per word, not once per text that holds it.
-    words = terms.select("term").distinct().withColumn("bucket", bucket(F.col("term"), dimensions))
-    values = terms.join(words, "term").groupBy(*ids, "bucket").agg(F.sum(1 + F.log("tf")).alias("value"))
-    norms = values.groupBy(*ids).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    return values.join(norms, ids).select(*ids, "bucket", (F.col("value") / F.col("norm")).alias("value"))
+    # Texts are dealt by their ids once; a text's words, buckets and norm are counted where it is.
+    terms = term_frequencies(df.select(*ids, text).repartition(*ids), ids, text).withColumn("bucket", bucket(F.col("term"), dimensions))
+    values = terms.groupBy(*ids, "bucket").agg(F.sum(1 + F.log("tf")).alias("value"))
+    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(*ids)))
+    return values.select(*ids, "bucket", (F.col("value") / norm).alias("value"))
 
 
 def dense_embedding(df: DataFrame, ids: list[str], text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:

@@ -26,3 +26,11 @@ def test_names_are_looked_for_in_texts_with_verbs(spark):
     assert "RLIKE" in plan(spark, "relation_frames_documents").split("Generate")[-1]
     edges = spark.createDataFrame([(1, "Tax Act requires care. x"), (2, "The Tax Act requires\ncare of it"), (3, "The Tax Actrequires care"), (4, "The Tax Act is REQUIRES care")], "id int, text string")
     assert sorted((r.id, r.object) for r in extract.relation_frames(edges, ["id"]).select("id", "object").collect()) == [(4, "care")]
+
+
+def test_texts_are_dealt_once(spark):
+    assert plan(spark, "hashing_embedding_sparse_documents").count("Exchange hashpartitioning") == 1
+    words = ["a", "straße", "42", ""]
+    for dimensions in (256, 768, 1_000_003):
+        got = spark.createDataFrame([(w,) for w in words], "w string").select("w", embed.bucket(F.col("w"), dimensions).alias("b")).collect()
+        assert {r.w: r.b for r in got} == {w: int(hashlib.md5(w.encode()).hexdigest(), 16) % dimensions for w in words}
