@@ -22,13 +22,14 @@ def stored_window_snapshot(spark, sf):
 
 
 def stored_neighbors_2hop(spark, sf):
-    """Two hops over an adjacency that is kept by buckets."""
-    return graph.neighbors(traversal.store_adjacency(facts(spark, sf)), "customer#7", 2, window=Q3).select(*EDGE, "hop")
+    """Two hops over an adjacency that is kept by buckets; lines that differ have another chunk or edge_seq."""
+    return graph.neighbors(traversal.store_adjacency(facts(spark, sf).select(*EDGE, "edge_seq")), "customer#7", 2, window=Q3).select(*EDGE, "hop")
 
 
 def stored_bfs(spark, sf):
     seeds = spark.range(1).select(F.lit("The Customer#7").alias("name"))
-    return graph.time_sliced_bfs(traversal.store_adjacency(facts(spark, sf)), seeds, 2, Q3, most=40).select("subject", "predicate", "object", "edge_seq", "hop")
+    rows = facts(spark, sf).select("subject", "predicate", "object", "valid_from", "valid_until", "edge_seq")
+    return graph.time_sliced_bfs(traversal.store_adjacency(rows), seeds, 2, Q3, most=40).select("subject", "predicate", "object", "edge_seq", "hop")
 
 
 def _spans(spark, sf) -> DataFrame:

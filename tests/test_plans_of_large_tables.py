@@ -34,3 +34,13 @@ def test_texts_are_dealt_once(spark):
     for dimensions in (256, 768, 1_000_003):
         got = spark.createDataFrame([(w,) for w in words], "w string").select("w", embed.bucket(F.col("w"), dimensions).alias("b")).collect()
         assert {r.w: r.b for r in got} == {w: int(hashlib.md5(w.encode()).hexdigest(), 16) % dimensions for w in words}
+
+
+def test_adjacency_holds_asked_columns(spark, monkeypatch):
+    from factlens.operators import traversal
+
+    kept = []
+    monkeypatch.setattr(traversal, "store_adjacency", lambda edges: kept.append(edges.columns) or edges)
+    for name in ("stored_bfs", "stored_neighbors_2hop"):
+        entry.queries()[name](spark, SF)
+    assert [("evidence" in c, "chunk_id" in c) for c in kept] == [(False, False), (False, True)]
