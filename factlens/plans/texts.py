@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlens.functions import embed, extract, text, window
-from factlens.operators import answers, chunking, retrieval
+from factlens.operators import answers, chunking, nearest, retrieval
 from factlens.plans.facts import FACTS, facts, table
 
 #: The day on which windows in documents are read.
@@ -165,11 +165,10 @@ def window_grammar_documents(spark, sf):
 
 
 def vector_topk(spark, sf):
-    """The ten nearest vectors of each vector whose id is divisible by 100. Spark keeps ten rows per query and task before
-    the ranking's shuffle."""
+    """The ten nearest vectors of each vector whose id is divisible by 100."""
     v = table(spark, sf, "embeddings")
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return retrieval.nearest_of_each(v, q, 10)
+    return nearest.nearest_of_each(v, q, 10)
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
