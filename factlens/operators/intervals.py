@@ -42,9 +42,9 @@ def sweep(df: DataFrame, start: str = "valid_from", end: str = "valid_until") ->
     """Segments (segment_start, segment_end, active) between neighbouring dates with at least one active interval.
 
     Starts add one and ends take one away on their own day; open ends add no event, and the last segment is not closed.
-    The events are summed by day before the running sum, so one task sees days, not rows.
+    The events are summed by day before the running sum, so one task sees days, not rows. What gives the rows runs once.
     """
-    events = df.select(F.col(start).alias("d"), F.lit(1).alias("n")).unionByName(df.select(F.col(end).alias("d"), F.lit(-1).alias("n")))
+    events = df.select(F.inline(F.array(*[F.struct(F.col(c).alias("d"), F.lit(n).alias("n")) for c, n in ((start, 1), (end, -1))])))
     by_day = events.where("d IS NOT NULL").groupBy("d").agg(F.sum("n").alias("n"))
     order = Window.orderBy("d")
     out = by_day.select(F.col("d").alias("segment_start"), F.lead("d").over(order).alias("segment_end"), F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("active"))

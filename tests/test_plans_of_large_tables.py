@@ -44,3 +44,14 @@ def test_adjacency_holds_asked_columns(spark, monkeypatch):
     for name in ("stored_bfs", "stored_neighbors_2hop"):
         entry.queries()[name](spark, SF)
     assert [("evidence" in c, "chunk_id" in c) for c in kept] == [(False, False), (False, True)]
+
+
+def test_sweep_joins_once_and_deals_rows_by_their_number(spark, monkeypatch):
+    from factlens.plans import facts
+
+    want = sorted(entry.queries()["temporal_density_sweep"](spark, SF).collect())
+    assert plan(spark, "temporal_density_sweep").count("Scan parquet") == 2
+    monkeypatch.setattr(facts, "UNDEALT", 1000)
+    monkeypatch.setattr(facts, "JOINED", 1000)
+    assert ", 6), REPARTITION_BY_NUM" in plan(spark, "temporal_density_sweep")
+    assert sorted(entry.queries()["temporal_density_sweep"](spark, SF).collect()) == want
