@@ -1,14 +1,18 @@
 """Sharding by balanced label propagation, under the law `rows`: the shards' row counts differ by one at most.
 
 Linked documents have equal texts (null counts as empty), or are linked by a given table of links between ids. Each document
-starts in the shard that its id hashes to. A group of documents with equal texts is one node, whose first label is the shard that
-holds most of it.
+starts in the shard that its id hashes to: its label.
+
+Rounds among equal texts: in each round a document counts the labels of its text's documents and wishes for the one that most of
+them have (ties by a hash). Those of a text with the same label wish alike and are counted as one part, so a round's work is at
+most `shards` parts a text. Wishes are granted as far as the wished shard has room (up to SLACK of a quota beyond it for the time)
+or gives back as many rows: those that gain most are ranked first. Rounds end when nobody wishes, no wish is granted, or after
+ROUNDS. Then a group of documents with equal texts is one node, whose label is that of most of it.
 
 Rounds of propagation: over the links between groups, each group counts its neighbours' labels by the links' weights and wishes for
-the label that most of them have, if that is more than its own label has. Wishes are granted as far as the wished shard has room
-(up to SLACK of a quota beyond it for the time) or gives back as many rows: those that gain most are ranked first. A shard beyond its
+the label that most of them have, if that is more than its own label has. Wishes are granted as among equal texts. A shard beyond its
 quota also lets groups go that gain nothing, those first that lose least. In each round a group moves only if its turn (a hash of group and round) has come, so that two neighbours don't swap labels for ever. Rounds end when no
-wish is granted, or after ROUNDS. Without links between groups there is nothing to propagate and no round is run.
+wish is granted, or after ROUNDS. Without given links only the rounds among equal texts are run.
 
 Then groups of two documents or more, and groups with links, are placed as wholes in the shard of their label, as far as the
 shard's quota leaves room: they are ranked, large ones first, and those whose ranks' rows fit are placed. The others take the shard
@@ -94,6 +98,35 @@ def _ways(wished: dict[int, int], room: list[int]) -> list[int]:
     return out
 
 
+def _most() -> Column:
+    """The label that most of a group's rows (n) have, ties by a hash: n, tie, label."""
+    return F.max(F.struct("n", F.xxhash64("h", "chunk", "label").alias("tie"), "label"))
+
+
+def _gathered(parts: DataFrame, quota: list[int], work: Scratch, cell_rows: int, rounds: int) -> DataFrame:
+    """Parts of groups of equal texts (KEY, the shard they started in, label, n) with the labels that rounds of propagation
+    among equal texts end in."""
+    parts = work.save("parts", parts)
+    most = [int(q * (1 + SLACK)) + 1 for q in quota]
+    cells = max(1, -(-parts.count() // (len(quota) * cell_rows)))
+    for _ in range(rounds):
+        load = {r["label"]: r["n"] for r in parts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+        sums = parts.groupBy(*KEY, "label").agg(F.sum("n").alias("n"))
+        best = sums.groupBy(*KEY).agg(_most().alias("b"))
+        movers = sums.join(best, KEY).where(F.col("label") != F.col("b.label")).select(*KEY, "n", "label", F.col("b.label").alias("wish"), (F.col("b.n") - F.col("n") + 1).alias("gain"))
+        movers = work.save("movers", movers.withColumn("way", F.col("label") * len(quota) + F.col("wish")).withColumn("small", -F.floor(F.log2(F.col("gain") + 1))))
+        wished = {r["way"]: r["n"] for r in movers.groupBy("way").agg(F.sum("n").alias("n")).collect()}
+        if not wished:
+            break
+        ways = _ways(wished, [max(0, m - load.get(s, 0)) for s, m in enumerate(most)])
+        ranked = _ranked(movers, ["way", "small"], cells, KEY, [F.desc("gain"), *KEY], F.col("n"))
+        moved = work.save("moved", ranked.where(F.col("start") + F.col("n") <= _pick(ways, F.col("way"))).select(*KEY, "label", "wish"))
+        if moved.isEmpty():
+            break
+        parts = work.save("parts", parts.join(moved, [*KEY, "label"], "left").select(*KEY, "shard", F.coalesce("wish", "label").alias("label"), "n"))
+    return parts
+
+
 def _propagated(groups: DataFrame, ties: DataFrame, quota: list[int], work: Scratch, cell_rows: int, rounds: int) -> DataFrame:
     """Groups (KEY, n, target) with the targets that rounds of propagation end in."""
     labels = work.save("labels", groups.withColumnRenamed("target", "label"))
@@ -184,21 +217,26 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, *, id_col: str = "doc_i
     large = work.save("large", large.select("h", "crc", "size", F.ceil(F.col("n") / (0.9 * most)).alias("chunks")))
     keyed = rows.join(F.broadcast(large), ["h", "crc", "size"], "left")
     keyed = keyed.withColumn("chunk", F.coalesce(F.pmod(F.xxhash64(F.lit(7), "id"), "chunks"), F.lit(0)).cast("int")).drop("chunks")
-    counts = keyed.groupBy(*KEY, "shard").agg(F.count("*").alias("n"))
-    wish = F.max(F.struct("n", F.xxhash64("h", "chunk", "shard").alias("tie"), "shard")).getField("shard")
-    groups = counts.groupBy(*KEY).agg(F.sum("n").alias("n"), wish.alias("target"))
-    if links is None:
-        ties, groups = None, work.save("groups", groups.where("n > 1"))
-    else:
+    counts = keyed.groupBy(*KEY, "shard").agg(F.count("*").alias("n")).withColumn("label", F.col("shard"))
+    copied = counts.groupBy(*KEY).agg(F.sum("n").alias("of")).where("of > 1").drop("of")
+    parts = _gathered(counts.join(copied, KEY), quota, work, cell_rows, rounds)
+    ties = None
+    if links is not None:
         weight = F.col("weight").cast("long") if "weight" in links.columns else F.lit(1).cast("long")
         ties = work.save("ties", _ties(links.select("a", "b", weight.alias("weight")), keyed))
-        groups = work.save("groups", groups.join(ties.select(*KEY).distinct().withColumn("tied", F.lit(True)), KEY, "left").where("n > 1 OR tied").drop("tied"))
+        alone = counts.join(copied, KEY, "left_anti").join(ties.select(*KEY).distinct(), KEY)
+        parts = parts.unionByName(alone)
+    groups = parts.groupBy(*KEY, "label").agg(F.sum("n").alias("n")).groupBy(*KEY).agg(F.sum("n").alias("n"), _most().getField("label").alias("target"))
+    groups = work.save("groups", groups)
+    if ties is not None:
         groups = _propagated(groups, ties, quota, work, cell_rows, rounds)
     placed = _placed(groups, quota, work, cell_rows, ties)
-    # A chunk has at most about a quota's rows, and Spark splits what is hot in a join.
-    state = keyed.join(placed, KEY, "left").withColumn("late", F.col("to").isNull().cast("int")).withColumn("shard", F.coalesce("to", "shard")).drop("to")
+    # Parts go where their group does, or else where their rounds ended. A chunk has at most about a quota's rows, and Spark
+    # splits what is hot in a join.
+    ends = parts.drop("n").join(placed, KEY, "left")
+    state = keyed.join(ends, [*KEY, "shard"], "left").withColumn("late", F.col("to").isNull().cast("int")).withColumn("shard", F.coalesce("to", "label", "shard")).drop("to", "label")
     out = _filled(work.save("state", state), quota, cell_rows, id_col)
-    work.drop("rows", "groups", "left")
+    work.drop("rows", "groups", "parts", "left")
     return out
 
 

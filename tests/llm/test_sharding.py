@@ -89,3 +89,23 @@ def test_rounds_keep_communities_together(spark):
     assert cut_of(got, named) < 0.4 * total < none and cut_of(got, named) < once
     assert assign_shards(docs.limit(0), links=given).count() == 0
     assert len(assign_shards(docs, 8, links=given.limit(0)).collect()) == len(rows)
+
+
+def test_rounds_gather_equal_texts(spark, monkeypatch):
+    """Without the packing that comes after them, rounds bring equal texts together as far as quotas allow."""
+    from factlens.llm import sharding
+
+    monkeypatch.setattr(sharding, "_placed", lambda groups, *more: groups.select(*sharding.KEY, F.col("target").alias("to")).limit(0))
+    texts = [f"text {i}" for i in range(300)] + [f"copy {i // 4}" for i in range(240)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def cut(rounds):
+        where = defaultdict(set)
+        rows = assign_shards(docs, 6, cell_rows=20, rounds=rounds).collect()
+        sizes = Counter(r.shard for r in rows)
+        assert max(sizes.values()) - min(sizes.values()) <= 1 and len({(r.shard, r.slot) for r in rows}) == len(texts)
+        for r in rows:
+            where[texts[r.doc_id]].add(r.shard)
+        return sum(len(x) > 1 for x in where.values())
+
+    assert cut(rounds=0) > 40 > 15 > cut(rounds=12)
