@@ -14,6 +14,7 @@ when the model is loaded), so what lies between two word starts has the same bes
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from itertools import chain
 from typing import NamedTuple
 
@@ -30,6 +31,14 @@ SHORT = 64
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
+def _splitter(pieces: Iterable[str]) -> re.Pattern:
+    """What cuts a text to units: before spaces and, where no piece lies across, between letters and what isn't any."""
+    more = re.escape("".join(sorted({c for p in pieces for c in p if c.isalnum() and not c.isalpha() and not c.isdecimal()})))
+    letters, others = rf"[^\W\d_{more}]", rf"(?:[^\w{SPACE}]|[\d_{more}])"
+    fine = re.compile(f"{SPACE}*(?:{letters}*|{others}*)")
+    return re.compile(f"{SPACE}*{letters}+|{SPACE}*{others}+|{SPACE}+") if all(map(fine.fullmatch, pieces)) else _UNITS
+
+
 class Model(NamedTuple):
     """What a SentencePiece model file says: pieces as (text, score, type), and how texts are prepared."""
 
@@ -65,13 +74,16 @@ class Lattice:
         self.unknown = next((i for i, (_, _, t) in enumerate(model.pieces) if t == UNKNOWN), 0)
         self.unknown_score = min(self.score.values(), default=0.0) - 10
         self.cuts = not any(a != SPACE and b == SPACE for p in self.score for a, b in zip(p, p[1:], strict=False))
+        self.split = (_splitter(self.score) if self.cuts else _UNITS).findall
         self.bpe = model.kind == BPE
         # What each id adds to a text; bytes beyond ASCII need their neighbours.
         self.high = {i for b, i in self.bytes.items() if b > 127}
         self.shown = ["" if t == CONTROL else " ⁇ " if t == UNKNOWN else chr(int(p[3:5], 16)) if t == BYTE else p.replace(SPACE, " ") for p, _, t in model.pieces]
         self._follows: dict[tuple[str, str], bool] = {}
         self._units: dict[str, tuple[float, tuple[int, ...]]] = {}
+        # Units' ids, and those of the time before: frequent units outlast the rare ones that are dropped.
         self._unit_ids: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
 
     # -- texts and ids ---------------------------------------------------------------------------------------------
 
@@ -107,16 +119,19 @@ class Lattice:
 
     def merged(self, text: str) -> list[str]:
         """The pieces that BPE merges leave of a short text: best score first, then leftmost."""
-        parts, get = list(text), self.score.get
-        value = [get(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
-        while value and (best := max(value)) > NONE:
+        parts, get, none = list(text), self.score.get, NONE
+        value = [get(text[i : i + 2], none) for i in range(len(text) - 1)]
+        while value:
+            best = max(value)
+            if best == none:
+                break
             i = value.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            parts[i] = joined = parts[i] + parts.pop(i + 1)
             del value[i]
             if i < len(value):
-                value[i] = get(parts[i] + parts[i + 1], NONE)
+                value[i] = get(joined + parts[i + 1], none)
             if i:
-                value[i - 1] = get(parts[i - 1] + parts[i], NONE)
+                value[i - 1] = get(parts[i - 1] + joined, none)
         return parts
 
     def _weight(self, before: str | None, piece: str) -> float:
@@ -185,7 +200,11 @@ class Lattice:
         if known is None:
             if self.bpe and self.cuts and len(s) <= SHORT:
                 # The one path that weighs 0 is what the merges leave: quicker found by them than searched for.
-                known = 0.0, tuple(i for piece in self.merged(s) for i in self._ids_of(piece))
+                pieces = self.merged(s)
+                try:
+                    known = 0.0, tuple(map(self.ids.__getitem__, pieces))
+                except KeyError:
+                    known = 0.0, tuple(i for piece in pieces for i in self._ids_of(piece))
             else:
                 found = self._paths(s, 0, None, len(s))
                 start = max(found[len(s)], key=lambda k: found[len(s)][k][0])
@@ -198,12 +217,12 @@ class Lattice:
 
     def units(self, s: str) -> list[int]:
         """The ids of a stretch from one word start to another, or to the text's end."""
-        own, known = _UNITS.findall(s), self._unit_ids
-        if len(known) > self.kept:
-            known.clear()
+        if 2 * len(self._unit_ids) > self.kept:
+            self._older, self._unit_ids = self._unit_ids, {}
+        own, known, older = self.split(s), self._unit_ids, self._older
         fresh = set(own).difference(known)
         for u in fresh:
-            known[u] = self.unit(u)[1]
+            known[u] = older.get(u) or self.unit(u)[1]
         out = list(chain.from_iterable(map(known.__getitem__, own)))
         for u in fresh:
             if len(u) > SHORT:
@@ -242,7 +261,7 @@ class Lattice:
         first, last = self._inner(s, b0, b1)
         out: dict[State, dict[State, float]] = {}
         if last > b0:
-            middle = sum(self.unit(u)[0] for u in _UNITS.findall(s[first:last])) if not self.bpe else 0.0
+            middle = sum(self.unit(u)[0] for u in self.split(s[first:last])) if not self.bpe else 0.0
             tail = {START: 0.0} if last == b1 else {x: w for x, (w, _, _) in self._exits(s, self._paths(s, last, None, b1), b1, end).items()}
         for entry in self.states(s, b0):
             q, before = b0 + entry[1], s[b0 + entry[0] : b0 + entry[1]] or None

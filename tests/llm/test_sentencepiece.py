@@ -69,3 +69,23 @@ def test_the_scan_carries_long_texts(spark, library):
             scanned += len(r.text)
             assert lattice.encode(r.text) == library.encode(r.text)
     assert scanned > 0.15 * every
+
+
+def test_units_are_cut_between_letters_and_others(library):
+    """Words are remembered without the marks around them, and frequent ones outlast rare ones; the ids stay the library's."""
+    lattice = Lattice(read_model(), kept=40)
+    rng = random.Random(8)
+    marks = ["", ".", ",", "²", "².", "_", "1", "é", "́", "½", "\n", "!!", "字", "🙂", "▁", "  ", "٣"]
+    for _ in range(400):
+        text = " ".join(rng.choice(marks) + rng.choice(["word", "of", "Öl", "naïve", "x" * rng.randrange(1, 90)]) + rng.choice(marks) + rng.choice(marks) for _ in range(8))
+        assert lattice.encode(text) == library.encode(text), text
+    lattice = Lattice(read_model())
+    lattice.encode("word. word, word!\nword; (word)")
+    assert {u for u in lattice._unit_ids if "word" in u} == {"▁word", "word"}
+
+
+def test_pieces_across_letters_and_marks_keep_units_whole():
+    pieces = [("<unk>", 0.0, 2), *[(p, -float(i), NORMAL) for i, p in enumerate(["▁", "a", ".", "a.", "▁a."])]]
+    for kind in (BPE, UNIGRAM):
+        lattice = Lattice(Model(kind, pieces, True, False))
+        assert lattice.split("▁a.▁a") == ["▁a.", "▁a"] and lattice.decode(lattice.encode("a. a")) == "a. a"
