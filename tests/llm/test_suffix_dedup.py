@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from factlens.llm.suffix_dedup import ORDER, Windows, difference_cover, remove_repeats
+from factlens.llm.suffix_dedup import ORDER, Windows, difference_cover, op8_suffix_dedup, remove_repeats
 
 
 def brute(texts, length):
@@ -70,3 +70,18 @@ def test_few_or_no_repeats_in_many_buckets(spark):
         for bucket in (300, 400_000):
             got = remove_repeats(docs, bucket=bucket, with_kept=True).collect()
             assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256, bytes(r.kept)) for r in got} == dict(enumerate(brute(rows, 400)))
+
+
+def test_planted_passages_show_in_n_removed_not_in_n_bytes(spark, tmp_path):
+    """The query on passages of over 50 words that stand in several documents: those of 400 bytes or more go, shorter ones stay."""
+    rng = random.Random(12)
+    say = lambda n, wide: " ".join("".join(rng.choice("abcdefghé") for _ in range(rng.randrange(2, wide))) for _ in range(n))
+    long, short, clean = say(90, 12), say(55, 6), ""
+    assert len(short.encode()) < 390 < 410 < len(long.encode())
+    planted = [long] * 8 + [short] * 8 + [clean] * 8
+    texts = [f"{say(rng.randrange(20, 200), 9)} {x} {say(rng.randrange(20, 200), 9)}" for x in planted]
+    spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op8_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert {i: tuple(r)[1:] for i, r in got.items()} == {i: x[:4] for i, x in enumerate(brute(texts, 400))}
+    assert [got[i].n_removed > 0 for i in range(24)] == [x == long for x in planted]
+    assert [got[i].n_bytes for i in range(24)] == [len(t.encode()) for t in texts]
