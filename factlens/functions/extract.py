@@ -23,7 +23,12 @@ MOST_ENTITIES = 24
 FOUND = "array<struct<day:date,kind:int,label:string>>"
 _ISO, _SLASH, _BARE = r"\b\d{4}-\d{1,2}-\d{1,2}\b", r"\b\d{1,2}/\d{1,2}/\d{4}\b", r"\b(?:19|20)\d{2}\b"
 # A capitalised word and what hyphens join to it is a name, whose numbers are no years; but not after a part of a year.
-_NAMED = rf"(?<![\w-])(?!(?i:{'|'.join(sorted(MONTHS, key=len, reverse=True))}|q[1-4]|h[12]|fy|cy|mid|early|late|pre|post)-)[A-Z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)+"
+_NAMED = rf"(?=[A-Z])(?<![\w-])(?!(?i:{'|'.join(sorted(MONTHS, key=len, reverse=True))}|q[1-4]|h[12]|fy|cy|mid|early|late|pre|post)-)[A-Z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)+"
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def date_literal(token) -> Column:
@@ -42,23 +47,28 @@ def find_dates(text) -> Column:
     Whole dates first, then months (their first day), quarters (their first and last day), then years that stand in no
     whole date and in no name of joined parts (Part-1907, Lot-3-1950) and equal no date found before.
     """
-    text = text if isinstance(text, Column) else F.col(text)
-    low = F.lower(text)
     every = lambda of, rx: F.regexp_extract_all(of, F.lit(rx), F.lit(0))
-    iso = _dated(every(text, _ISO), date_literal, 0)
-    slash = _dated(every(text, _SLASH), date_literal, 1)
     names = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
     year = lambda t: F.regexp_extract(t, r"(\d{4})$", 1).cast("int")
-    month = _dated(every(low, rf"\b(?:{'|'.join(sorted(MONTHS, key=len, reverse=True))})\s+\d{{4}}\b"), lambda t: F.make_date(F.nullif(year(t), F.lit(0)), F.element_at(names, F.regexp_extract(t, r"^[a-z]+", 0)), F.lit(1)), 2)
+    month = lambda t: F.make_date(F.nullif(year(t), F.lit(0)), F.element_at(names, F.regexp_extract(t, r"^[a-z]+", 0)), F.lit(1))
+    initials = "".join(sorted({m[0] for m in MONTHS}))
+    months = lambda low: _dated(every(low, rf"\b(?=[{initials}])(?:{'|'.join(sorted(MONTHS, key=len, reverse=True))})\s+\d{{4}}\b"), month, 2)
     of_quarter = lambda t, m: F.make_date(F.nullif(year(t), F.lit(0)), 3 * F.substring(t, 2, 1).cast("int") - m, F.lit(1))
-    quarters = every(low, r"\bq[1-4]\s*,?\s*\d{4}\b")
-    whole = F.concat(iso, slash, month, _dated(quarters, lambda t: of_quarter(t, 2), 3), _dated(quarters, lambda t: F.last_day(of_quarter(t, 0)), 3))
-    # Whole dates are blanked out before years are looked for, so none is found inside one.
-    blank = F.regexp_replace(F.aggregate(F.transform(F.concat(iso, slash), lambda x: x["label"]), text, lambda s, t: F.replace(s, t, F.lit(" "))), _NAMED, " ")
-    years = lambda before: F.filter(_dated(F.array_distinct(every(blank, _BARE)), lambda t: F.make_date(t.cast("int"), F.lit(1), F.lit(1)), 4), lambda y: ~F.exists(before, lambda b: b["day"] == y["day"]))
-    by_day = lambda a: F.array_sort(F.transform(a, lambda x, i: F.struct(x["day"].alias("day"), i.alias("i"), x["kind"].alias("kind"), x["label"].alias("label"))))
-    every_one = F.concat(whole, years(whole))
-    return F.transform(by_day(every_one), lambda x: F.struct(x["day"].alias("day"), x["kind"].alias("kind"), x["label"].alias("label"))).cast(FOUND)
+    both_ends = lambda q: F.concat(_dated(q, lambda t: of_quarter(t, 2), 3), _dated(q, lambda t: F.last_day(of_quarter(t, 0)), 3))
+    quarters = lambda low: _let(every(low, r"\bq[1-4]\s*,?\s*\d{4}\b"), both_ends)
+    # Whole dates are blanked out before years are looked for, so none is found inside one; names only where there are any.
+    blank = lambda t, days: F.aggregate(days, t, lambda s, x: F.replace(s, x["label"], F.lit(" ")))
+    bare = lambda t: F.array_distinct(every(F.regexp_replace(t, _NAMED, " "), _BARE))
+    years = lambda t, before: F.filter(_dated(bare(t), lambda y: F.make_date(y.cast("int"), F.lit(1), F.lit(1)), 4), lambda y: ~F.exists(before, lambda b: b["day"] == y["day"]))
+    with_years = lambda whole, t: F.when(t.rlike(_BARE), F.concat(whole, years(t, whole))).otherwise(whole)
+    by_day = lambda a: F.sort_array(F.transform(a, lambda x, i: F.struct(x["day"].alias("day"), i.alias("i"), x["kind"].alias("kind"), x["label"].alias("label"))))
+
+    def of(t: Column) -> Column:
+        days = F.concat(_dated(every(t, _ISO), date_literal, 0), _dated(every(t, _SLASH), date_literal, 1))
+        return _let(days, lambda d: _let(F.concat(d, _let(F.lower(t), lambda low: F.concat(months(low), quarters(low)))), lambda whole: _let(blank(t, d), lambda rest: with_years(whole, rest))))
+
+    found = _let(text if isinstance(text, Column) else F.col(text), of)
+    return F.transform(by_day(found), lambda x: F.struct(x["day"].alias("day"), x["kind"].alias("kind"), x["label"].alias("label"))).cast(FOUND)
 
 
 def chunk_window(text) -> Column:
@@ -81,15 +91,38 @@ def chunk_window(text) -> Column:
     return F.element_at(F.transform(F.array(find_dates(text)), of), 1)
 
 
+def _runs(sentence: Column) -> Column:
+    """The runs of one to four capitalised words of a sentence."""
+    return F.regexp_extract_all(sentence, F.lit(r"\b[A-Z][A-Za-z0-9&.-]*(?:\s+[A-Z][A-Za-z0-9&.-]*){0,3}\b"), F.lit(0))
+
+
+def _bare(run: Column) -> Column:
+    """A run without articles before it."""
+    return F.regexp_replace(F.regexp_replace(run, r"\s+", " "), r"(?i)^(?:(?:the|a|an)(?:\s+|$))+", "")
+
+
+def _names(said: Column, most: int) -> Column:
+    """What candidate_entities finds in an array of sentences (struct with field s), from the last rank to the first:
+    array of struct(name, low)."""
+    named = lambda run: _let(_bare(run), lambda b: F.when(b == "", F.array().cast("array<string>")).when(b.contains(" "), F.array(run, b)).otherwise(F.array(run)))
+    every = F.flatten(F.transform(F.flatten(F.transform(said, lambda x: _runs(x["s"]))), named))
+
+    def ranked(names: Column) -> Column:
+        # The names are sorted, so a name's count is the way to where the next one begins.
+        first = F.filter(F.transform(names, lambda x, i: F.when(F.coalesce(F.get(names, i - 1) != x, F.lit(True)), i)), lambda i: i.isNotNull())
+        counted = lambda a: F.transform(a, lambda i, k: F.struct((i - F.coalesce(F.get(a, k + 1), F.size(names))).alias("n"), F.get(names, i).alias("name")))
+        return F.slice(F.sort_array(_let(first, counted)), 1, most)
+
+    return F.reverse(F.transform(_let(F.sort_array(every), ranked), lambda x: F.struct(x["name"].alias("name"), F.lower(x["name"]).alias("low"))))
+
+
 def candidate_entities(chunks: DataFrame, ids: list[str], text: str = "text", most: int = MOST_ENTITIES) -> DataFrame:
     """ids, name, n, rank: the most frequent runs of one to four capitalised words of each text.
 
     A run counts as it stands, and once more, without articles before it, if two words or more are left then.
     """
-    rx = r"\b[A-Z][A-Za-z0-9&.-]*(?:\s+[A-Z][A-Za-z0-9&.-]*){0,3}\b"
-    runs = chunks.select(*ids, F.explode(sentences(text)).alias("s")).select(*ids, F.explode(F.regexp_extract_all("s", F.lit(rx), F.lit(0))).alias("run"))
-    bare = F.regexp_replace(F.regexp_replace("run", r"\s+", " "), r"(?i)^(?:(?:the|a|an)(?:\s+|$))+", "")
-    names = runs.withColumn("bare", bare).where("bare != ''")
+    runs = chunks.select(*ids, F.explode(sentences(text)).alias("s")).select(*ids, F.explode(_runs(F.col("s"))).alias("run"))
+    names = runs.withColumn("bare", _bare(F.col("run"))).where("bare != ''")
     counted = names.select(*ids, F.explode(F.when(F.col("bare").contains(" "), F.array("run", "bare")).otherwise(F.array("run"))).alias("name")).groupBy(*ids, "name").agg(F.count("*").alias("n"))
     order = Window.partitionBy(*ids).orderBy(F.desc("n"), "name")
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
@@ -109,32 +142,32 @@ def relation_frames(chunks: DataFrame, ids: list[str], text: str = "text") -> Da
     """
     # Names are looked for only in texts with a verb between spaces, which every frame has.
     chunks = chunks.where(F.lower(text).rlike(rf"(?U)(?:^|\s)(?:{'|'.join(VERB_ORDER)})(?:\s|$)"))
-    names = candidate_entities(chunks, ids, text).groupBy(*ids).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("names"))
-    rows = chunks.join(names, ids, "left").select(*ids, F.coalesce("names", F.array().cast("array<string>")).alias("names"), F.posexplode(sentences(text)).alias("position", "s")).withColumn("low", F.lower("s"))
-
-    def frame(verb: Column) -> Column:
-        at = F.instr(F.col("low"), verb)
-        before = F.filter("names", lambda c: F.instr(F.col("low"), F.lower(c)).between(1, at - 1))
-        subject = F.coalesce(canonical_name(F.try_element_at(before, F.lit(-1))), F.lit(""))
-        tail = F.get(F.split(F.get(F.split(F.substr("s", at + F.length(verb)), r"(?i)\b(?:as of|until|effective|on|commencing)\b", 2), F.lit(0)), r"[.!?;]|\(see", 2), F.lit(0))
-        words = F.filter(F.split(F.regexp_replace(tail, r"^[ ,;:-]+|[ ,;:-]+$", ""), r"\s+"), lambda w: w != "")
-        object_ = canonical_name(F.array_join(F.slice(words, 1, 4), " "))
-        return F.struct(subject.alias("subject"), verb.alias("predicate"), object_.alias("object"))
-
-    fits = F.filter(F.array(*map(F.lit, VERB_ORDER)), lambda v: F.contains(F.concat(F.lit(" "), "low", F.lit(" ")), F.concat(F.lit(" "), v, F.lit(" "))))
-    usable = F.filter(F.transform(fits, frame), lambda r: (F.length(r["object"]) >= 2) & ~F.lower(r["object"]).isin(STOPWORDS))
-    framed = rows.select(*ids, "position", "s", "low", usable.alias("frames")).where(F.size("frames") > 0)
-
-    # A fold over the text's sentences: each takes its first frame that none before it has taken.
-    listed = framed.groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("position", "s", "low", "frames"))).alias("rows"))
-    taken = "array<struct<position:int,s:string,low:string,r:struct<subject:string,predicate:string,object:string>>>"
-
+    # The rest is done inside a row, bounded by one text (and others with the same ids, which count as one text with it).
+    placed = lambda t: F.transform(sentences(t), lambda s, i: F.struct(i.alias("position"), s.alias("s"), F.lower(s).alias("low")))
+    rows = chunks.groupBy(*ids).agg(F.collect_list(text).alias("_texts")).select(*ids, F.sort_array(F.flatten(F.transform("_texts", placed))).alias("_said"))
+    rows = rows.withColumn("_names", _names(F.col("_said"), MOST_ENTITIES))
+    kind = "struct<subject:string,predicate:string,object:string>"
+
+    def frame(low: Column, s: Column, verb: Column, at: Column) -> Column:
+        name = lambda got, c: F.when(got.isNotNull(), got).when(F.contains(low, c["low"]), F.when(F.instr(low, c["low"]) < at, c["name"]))
+        subject = F.coalesce(canonical_name(F.aggregate("_names", F.lit(None).cast("string"), name)), F.lit(""))
+        # What follows the first time or the first stop after the verb is cut off.
+        tail = F.regexp_replace(F.substr(s, at + F.length(verb)), r"(?s)(?:\b(?i:as of|until|effective|on|commencing)\b|[.!?;]|\(see).*", "")
+        tail = F.regexp_replace(tail, r"^[ ,;:-]+|[ ,;:-]+$", "")
+        words = F.regexp_extract_all(tail, F.lit(r"\S+"), F.lit(0))
+        return F.struct(subject.alias("subject"), verb.alias("predicate"), canonical_name(F.array_join(F.slice(words, 1, 4), " ")).alias("object")).cast(kind)
+
+    # A fold over the text's sentences: each takes its first frame that none before it has taken; later frames aren't worked out.
     def fold(acc: Column, x: Column) -> Column:
-        left = F.filter(x["frames"], lambda f: ~F.exists(acc, lambda a: a["r"] == f))
-        one = F.struct(x["position"].alias("position"), x["s"].alias("s"), x["low"].alias("low"), F.get(left, F.lit(0)).alias("r"))
-        return F.when(F.size(left) > 0, F.concat(acc, F.array(one))).otherwise(acc).cast(taken)
-
-    out = listed.select(*ids, F.explode(F.aggregate("rows", F.array().cast(taken), fold)).alias("x")).select(*ids, "x.position", "x.s", "x.low", "x.r.*")
+        usable = lambda f: (F.length(f["object"]) >= 2) & ~F.lower(f["object"]).isin(STOPWORDS) & ~F.exists(acc, lambda a: a["r"] == f)
+        one = lambda v: _let(_let(F.instr(x["low"], v), lambda at: frame(x["low"], x["s"], v, at)), lambda f: F.when(usable(f), f))
+        fits = F.array_intersect(F.array(*map(F.lit, VERB_ORDER)), F.split(x["low"], " "))
+        first = F.aggregate(fits, F.lit(None).cast(kind), lambda got, v: F.when(got.isNotNull(), got).otherwise(one(v)))
+        taken = lambda r: F.when(r.isNotNull(), F.concat(acc, F.array(F.struct(x["position"].alias("position"), x["s"].alias("s"), x["low"].alias("low"), r.alias("r"))))).otherwise(acc)
+        return _let(first, taken)
+
+    taken = F.aggregate("_said", F.array().cast(f"array<struct<position:int,s:string,low:string,r:{kind}>>"), fold)
+    out = rows.select(*ids, F.explode(taken).alias("x")).select(*ids, "x.position", "x.s", "x.low", "x.r.*")
     dates = out.withColumn("d", find_dates("s"))
     first, last = F.try_element_at("d", F.lit(1)), F.try_element_at("d", F.lit(-1))
     end = lambda f: F.when(F.size("d") > 1, last[f]).when((F.size("d") == 1) & F.col("low").rlike(r"\b(?:before|until|through|to)\b"), first[f])

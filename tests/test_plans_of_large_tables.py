@@ -1,6 +1,7 @@
 """What is computed and shuffled once; results are compared with SQL elsewhere."""
 
 import hashlib
+from datetime import date
 
 from pyspark.sql import functions as F
 
@@ -65,3 +66,19 @@ def test_more_parts_than_writers_send_on_only_when_tasks_are_large(spark, monkey
     assert ", 200), REPARTITION_BY_NUM" in plan(spark, "temporal_density_sweep")
     monkeypatch.setattr(facts, "MOST_JOINED", 20)
     assert ", 300), REPARTITION_BY_NUM" in plan(spark, "temporal_density_sweep")
+
+
+def test_relations_and_dates_are_read_inside_a_row(spark):
+    """Each table is scanned once, and the patterns of whole dates are looked for once a text."""
+    assert plan(spark, "relation_frames").count("Scan parquet") == 2
+    assert "Window" not in plan(spark, "relation_frames")
+    for name in ("find_dates", "relation_frames", "chunk_window"):
+        assert plan(spark, name).count(r"\b\d{4}-\d{1,2}-\d{1,2}\b") == 1, name
+    said = "The Tax Act sets fees and requires care. The Tax Act sets fees and requires care. A Rate Act bars entry until 2024-05-01. The Tax Act bars the."
+    texts = spark.createDataFrame([(1, said), (1, "The Tax Act sets fees and requires care."), (2, ""), (3, None)], "id int, text string")
+    got = extract.relation_frames(texts, ["id"]).orderBy("position", "predicate").collect()
+    assert [(r.id, r.position, r.subject, r.predicate, r.object, r.valid_from) for r in got] == [
+        (1, 0, "Tax Act", "requires", "care", None),
+        (1, 0, "Tax Act", "sets", "fees and requires care", None),
+        (1, 2, "Rate Act", "bars", "entry", date(2024, 5, 1)),
+    ]
