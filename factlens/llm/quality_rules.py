@@ -8,12 +8,13 @@ language reference by Jensen-Shannon distance (base 2, 0 to 1). The language who
 lang column of a judged document is never read. Documents shorter than a guard are not judged by that histogram: too few
 characters or words say nothing about a distribution.
 
-References are fitted by `fit_references` on a bounded sample of rows labelled as good: SAMPLE_ROWS a language, in the order
-of the MD5 of their ids, whole texts. A language without such rows (or with under MIN_SAMPLE_WORDS words of them) has the
-shares given here. The limits keep 99.9 % of the good rows at sf0.1 that the references haven't seen.
+References are fitted by `fit_references` on rows labelled as good, whole texts: for the pipeline on all of them, of all
+languages; for op9, whose SQL says so, on a bounded sample of SAMPLE_ROWS a language, in the order of the MD5 of their ids, and
+MAX_LANGUAGES languages. A language without such rows (or with under MIN_SAMPLE_WORDS words of them) has the shares given
+here, if any. The limits keep 99.9 % of the good rows at sf0.1 that the references haven't seen.
 
 Edge cases: a null or empty text has no words (base_failed); a text of white space too; repeated rows are judged one by
-one; extra columns are not read. Labelled rows without an id, a language or a document are not sampled; rows that share an
+one; extra columns are not read. Labelled rows without an id, a language or a document are not fitted on; rows that share an
 id and a language are sampled together; without labels all references are the ones given here.
 """
 
@@ -34,6 +35,8 @@ GUARD_CHARS, GUARD_WORDS = 200, 50
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.30
 #: Of the references: sampled rows a language, words that a language needs in them, its common words, languages at most.
 SAMPLE_ROWS, MIN_SAMPLE_WORDS, REFERENCE_WORDS, MAX_LANGUAGES = 300, 1_000, 16, 32
+#: Labelled ids that are sent to all tasks when all rows are fitted on; with more, texts and ids are joined by a shuffle.
+MOST_SENT_IDS = 1_000_000
 #: Parts in which a language's ids are ranked before they are ranked as one.
 SALTS = 64
 #: What follows a word without being part of it.
@@ -118,23 +121,23 @@ def given_references() -> dict[str, Reference]:
     return {lang: ([x / sum(CLASS_SHARES[lang]) for x in CLASS_SHARES[lang]], {w: x / 1000 for w, x in words.items()}) for lang, words in COMMON_WORDS.items()}
 
 
-def fit_references(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, words: int = REFERENCE_WORDS) -> dict[str, Reference]:
-    """References by language from the labelled rows (quality 1) of a sample, and the given ones for other languages. Ids are
-    joined and ranked first, so texts are read for the sample alone; what comes to the driver is bounded by languages and words."""
+def fit_references(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int | None = SAMPLE_ROWS, words: int = REFERENCE_WORDS, languages: int | None = MAX_LANGUAGES) -> dict[str, Reference]:
+    """References by language from the labelled rows (quality 1), and the given ones for other languages: from a sample of
+    `rows` a language, or from all if that is None, and likewise for `languages`. What comes to the driver is bounded by
+    languages and words."""
     good = labels.where(F.col("quality") == 1).select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct()
-    named = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    ids = named.where("_lang IS NOT NULL").join(good, "_id").distinct().withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)))
-    # The first of each salt before the first of all: a language that most rows have isn't ranked in one task.
-    for keys in (["_lang", "_salt"], ["_lang"]):
-        order = Window.partitionBy(*keys).orderBy(F.md5(F.col("_id").cast("string")), "_id")
-        ids = ids.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rows).drop("_rank")
-    ids = ids.drop("_salt")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.coalesce(text_col, F.lit("")).alias("_text"))
-    sample = saved(texts.join(F.broadcast(ids), ["_id", "_lang"]).select("_lang", "_text", _words(F.col("_text")).alias("_words")))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.coalesce(text_col, F.lit("")).alias("_text")).where("_lang IS NOT NULL")
+    with_words = lambda df: df.select("_lang", "_text", _words(F.col("_text")).alias("_words"))
+    if rows is None:
+        # Read twice, for the totals and for the words, rather than written.
+        sample = with_words(texts.join(F.broadcast(good) if good.count() <= MOST_SENT_IDS else good, "_id", "left_semi"))
+    else:
+        sample = saved(with_words(texts.join(F.broadcast(_sampled_ids(texts.select("_id", "_lang"), good, rows)), ["_id", "_lang"])))
     counted, classes = _classes(sample)
     sums = [F.sum(c).alias(f"c{i}") for i, c in enumerate(classes)]
     totals = counted.groupBy("_lang").agg(F.sum(F.size("_words")).alias("n"), F.sum(F.length("_text")).alias("chars"), *sums)
-    totals = totals.where(F.col("n") >= MIN_SAMPLE_WORDS).orderBy(F.desc("n"), "_lang").limit(MAX_LANGUAGES).collect()
+    totals = totals.where(F.col("n") >= MIN_SAMPLE_WORDS).orderBy(F.desc("n"), "_lang")
+    totals = (totals if languages is None else totals.limit(languages)).collect()
     word = F.lower(F.rtrim("word", F.lit(STOPS)))
     counts = sample.select("_lang", F.explode("_words").alias("word")).select("_lang", word.alias("word")).where(F.col("word").rlike(r"^\p{L}+$")).groupBy("_lang", "word").count()
     best = Window.partitionBy("_lang").orderBy(F.desc("count"), "word")
@@ -152,6 +155,16 @@ def fit_references(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     return out
 
 
+def _sampled_ids(named: DataFrame, good: DataFrame, rows: int) -> DataFrame:
+    """_id, _lang: the first `rows` good ids of each language. Ids are joined and ranked, so texts are read for the sample alone."""
+    ids = named.join(good, "_id").distinct().withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)))
+    # The first of each salt before the first of all: a language that most rows have isn't ranked in one task.
+    for keys in (["_lang", "_salt"], ["_lang"]):
+        order = Window.partitionBy(*keys).orderBy(F.md5(F.col("_id").cast("string")), "_id")
+        ids = ids.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rows).drop("_rank")
+    return ids.drop("_salt")
+
+
 def _classes(df: DataFrame) -> tuple[DataFrame, list[Column]]:
     """df with columns that its _text becomes when classes are taken out one by one, and each class's characters."""
     # Each class is taken out of what the classes before it left, so all but the first see short texts.

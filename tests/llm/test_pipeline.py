@@ -1,9 +1,12 @@
+import math
 import re
 from itertools import combinations
 
 import sentencepiece
+from test_rules import plain_fit
 
 import corpus_pipeline
+from factlens.llm import quality_rules
 from factlens.llm.decontamination import words_of as plain_words
 from factlens.llm.near_dedup import similar, words_of
 from factlens.llm.quality_rules import fit_references, judge_quality
@@ -53,3 +56,25 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[1:4]:
         assert stage(spark, odd, SF).count() == 2
     assert re.match("[a-z]", corpus_pipeline.STAGES[0][0])
+
+
+def test_quality_stage_fits_on_all_labelled_rows(spark, tmp_path, monkeypatch):
+    """More rows of a language and more languages than op9's sample has, labelled twice, or without an id or a language."""
+    text = lambda i: " ".join(f"{a}{b}" for a in ("wort", "Satz", chr(97 + i % 26) * 3) for b in ("", "e", "en", "t.")) + " 12"
+    rows = [(i, "en", text(i)) for i in range(700)] + [(1000 + i, f"l{i}", text(i) * 120) for i in range(45)] + [(2000, None, text(1)), (None, "en", text(2)), (2001, "en", None)]
+    labels = [(i, 1) for i, *_ in rows if i is None or i % 7] + [(i, 0) for i, *_ in rows if i is not None and i % 7 == 0] + [(8, 1), (9, None), (5000, 1)]
+    spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, lang string, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(*r, 0) for r in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    good = {i for i, k in labels if k == 1 and i is not None}
+    want = plain_fit([(i, lang, t or "") for i, lang, t in rows if i is not None and lang], good, most=None)
+    fitted = []
+    monkeypatch.setattr(corpus_pipeline, "judge_quality", lambda docs, references, keep: fitted.append(references) or judge_quality(docs, references, keep=keep))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for most in (1_000_000, 1):
+        monkeypatch.setattr(quality_rules, "MOST_SENT_IDS", most)
+        assert corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).columns == docs.columns
+        got = fitted.pop()
+        assert set(got) == set(want) and len(want) > 36
+        for lang, (classes, words) in want.items():
+            assert all(map(math.isclose, got[lang][0], classes)) and list(got[lang][1]) == list(words), lang
+            assert all(map(math.isclose, got[lang][1].values(), words.values()))
